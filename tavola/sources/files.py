@@ -23,15 +23,20 @@ SUGGESTION_SCHEMA = ("tetikleyici string, oneri string, confidence double, lift
                      "support double, oneri_metni string")
 
 
+NULL_TOKEN = "\\N"
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    """S3 sink: quoted CSV with header (text with commas gets quoted)."""
-    (df.write.mode("overwrite").option("header", header).option("quoteAll", False)
-       .option("escape", '"').csv(path))
+    """S3 sink: quoted CSV with header (text with commas gets quoted).  NULL is
+    written as \\N so that it stays distinct from the empty string."""
+    (df.write.mode("overwrite").option("header", header).option("escape", '"')
+       .option("nullValue", NULL_TOKEN).option("emptyValue", '""').csv(path))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """S3 source: CSV with header and a declared schema (no inference)."""
     return (spark.read.schema(schema).option("header", header).option("escape", '"')
+                 .option("nullValue", NULL_TOKEN).option("emptyValue", "")
                  .option("multiLine", True).csv(path))
 
 

@@ -19,7 +19,7 @@ TODAY = "1998-06-15"
     "SELECT product_id, product_name, description, price, category_id, is_active, is_available "
     "FROM product_f", "product_f"))
 def scan_products(spark, sf):
-    return Fixtures(spark, sf).product_f.drop("basket_label")
+    return Fixtures(spark, sf).product_f.drop("basket_label", "basket_type")
 
 
 @register("scan_categories", with_views(

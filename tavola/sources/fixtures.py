@@ -57,6 +57,7 @@ def product_f(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_partkey") % 20 != 0).alias("is_active"),
         (F.col("p_partkey") % 10 != 0).alias("is_available"),
         F.col("p_brand").alias("basket_label"),
+        F.col("p_type").alias("basket_type"),
     )
 
 
@@ -243,7 +244,7 @@ FIXTURE_SQL = {
  concat(p_type, ' ', p_brand) AS description,
  CAST(p_retailprice AS DECIMAL(18,2)) AS price, 1 + p_size % 8 AS category_id,
  p_partkey % 20 <> 0 AS is_active, p_partkey % 10 <> 0 AS is_available,
- p_brand AS basket_label
+ p_brand AS basket_label, p_type AS basket_type
 FROM part""",
     "order_f": """SELECT o_orderkey AS order_id,
  concat('Masa ', CAST(o_custkey AS VARCHAR)) AS table_number,

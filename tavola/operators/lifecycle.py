@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from tavola.functions import exprs as X
 from tavola.operators.reports import CLOSED_STATES
 
-ZERO = F.lit(0).cast("decimal(18,2)")
+def _zero() -> Column:
+    return F.lit(0).cast("decimal(18,2)")
 
 
 def initial_paid(orders: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def initial_paid(orders: DataFrame) -> DataFrame:
     if "paid_amount" in orders.columns:
         return orders
     return orders.withColumn("paid_amount", F.when(F.col("status") == X.PAID, F.col("total_amount"))
-                                             .otherwise(ZERO))
+                                             .otherwise(_zero()))
 
 
 def last_change(changes: DataFrame, key: str, value: str, order=("ts", "change_id")) -> DataFrame:
@@ -62,7 +63,7 @@ def append_lines(orders: DataFrame, items: DataFrame, new_lines: DataFrame,
     new_items = (lines.join(targets.select("table_number", "order_id"), "table_number")
                       .select((max_item + 1 + F.col("line_id")).alias("item_id"), "order_id",
                               "product_id", "quantity",
-                              F.coalesce("price", ZERO).cast("decimal(18,2)").alias("unit_price"),
+                              F.coalesce("price", _zero()).cast("decimal(18,2)").alias("unit_price"),
                               F.lit(X.PENDING).alias("item_status")))
     all_items = items.select(*new_items.columns).unionByName(new_items)
     touched = targets.select("order_id", "table_number", "first_ts", "is_new")
@@ -108,7 +109,7 @@ def apply_payments(orders: DataFrame, payments: DataFrame) -> DataFrame:
     any order, so the batch sum decides); unknown orders are ignored."""
     paid = payments.groupBy("order_id").agg(F.sum("amount").alias("_paid"), F.count(F.lit(1)).alias("_n"))
     o = initial_paid(orders).join(paid, "order_id", "left")
-    new_paid = (F.col("paid_amount") + F.coalesce("_paid", ZERO)).cast("decimal(18,2)")
+    new_paid = (F.col("paid_amount") + F.coalesce("_paid", _zero())).cast("decimal(18,2)")
     return o.select(
         "order_id", "table_number", "total_amount", new_paid.alias("paid_amount"),
         F.when(F.col("_n").isNotNull() & (new_paid >= F.col("total_amount")), F.lit(X.PAID))
@@ -136,7 +137,7 @@ def pay_items(orders: DataFrame, items: DataFrame, pay_list: DataFrame) -> DataF
     settled = after_items.groupBy("order_id").agg(F.bool_and(
         F.coalesce("_p", F.lit(False)) | F.col("item_status").isin(*CLOSED_STATES)).alias("_all"))
     o = initial_paid(orders).join(gained, "order_id", "left").join(settled, "order_id", "left")
-    new_paid = (F.col("paid_amount") + F.coalesce("_gain", ZERO)).cast("decimal(18,2)")
+    new_paid = (F.col("paid_amount") + F.coalesce("_gain", _zero())).cast("decimal(18,2)")
     close = F.col("_n_paid").isNotNull() & (F.col("_all") | (new_paid >= F.col("total_amount")))
     return o.select("order_id", "table_number", "total_amount", new_paid.alias("paid_amount"),
                     F.when(close, F.lit(X.PAID)).otherwise(F.col("status")).alias("status"),
@@ -174,7 +175,7 @@ def merge_active_orders(orders: DataFrame, items: DataFrame) -> tuple[DataFrame,
                           F.when(F.col("_other_pending") == 1, F.lit(X.PENDING)).otherwise(F.col("status"))
                            .alias("status"),
                           F.coalesce("paid_sum", "paid_amount").alias("paid_amount"),
-                          F.when(F.col("paid_sum").isNotNull(), F.coalesce("_total", ZERO))
+                          F.when(F.col("paid_sum").isNotNull(), F.coalesce("_total", _zero()))
                            .otherwise(F.col("total_amount")).alias("total_amount"),
                           "created_at"))
     return merged, new_items
@@ -208,7 +209,8 @@ def _compose(f: Column, g: Column) -> Column:
                     (d1 + d2).alias("d"))
 
 
-IDENTITY = F.struct(F.lit(NEVER).cast("long").alias("t"), F.lit(0).cast("long").alias("c"),
+def _identity() -> Column:
+    return F.struct(F.lit(NEVER).cast("long").alias("t"), F.lit(0).cast("long").alias("c"),
                     F.lit(0).cast("long").alias("d"))
 
 
@@ -219,7 +221,7 @@ def _fold_level(df: DataFrame, keys: list[str], bucket: Column | None) -> DataFr
     agg = df.groupBy(*grp).agg(
         F.array_sort(F.collect_list(F.struct("ts", "event_id", "fn"))).alias("_ev"),
         F.min("ts").alias("_ts"), F.min_by("event_id", F.struct("ts", "event_id")).alias("_id"))
-    folded = F.aggregate("_ev", IDENTITY, lambda acc, e: _compose(acc, e["fn"]))
+    folded = F.aggregate("_ev", _identity(), lambda acc, e: _compose(acc, e["fn"]))
     return agg.select(*keys, F.col("_ts").alias("ts"), F.col("_id").alias("event_id"), folded.alias("fn"))
 
 

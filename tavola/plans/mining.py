@@ -20,13 +20,13 @@ TYPE = ("basket_type", replace(M.BATCH, min_lift=0.9))
 def mining_ctes(label: str, preset: M.RulePreset) -> dict[str, str]:
     mx = preset.max_support
     return {
-        "bk": f"""
+        "lbasket": f"""
  SELECT i.order_id AS basket_id, list_sort(list_distinct(list(p.{label}))) AS items
  FROM order_item_f i JOIN product_f p ON p.product_id = i.product_id GROUP BY i.order_id""",
-        "nb": "SELECT COUNT(*) AS n FROM bk",
+        "nb": "SELECT COUNT(*) AS n FROM lbasket",
         "subsets": """
  SELECT list_filter(items, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS items FROM (
-  SELECT items, unnest(range(1, (CAST(1 AS BIGINT) << len(items)))) AS m FROM bk)""",
+  SELECT items, unnest(range(1, (CAST(1 AS BIGINT) << len(items)))) AS m FROM lbasket)""",
         "fi_all": f"""
  SELECT s.items, COUNT(*) AS freq, COUNT(*) / nb.n AS support, len(s.items) AS length, nb.n AS n_baskets
  FROM subsets s, nb GROUP BY s.items, nb.n HAVING COUNT(*) >= ceil({preset.min_support} * nb.n)""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, app: str = "tavola",
-                shuffle_partitions: int | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None, driver_memory: str = "16g") -> SparkSession:
     """Build (or reuse) a session with the settings every job here assumes.
 
     AQE is on so that small join sides become broadcasts only after their
@@ -19,6 +19,9 @@ def get_session(master: str | None = None, app: str = "tavola",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            b = b.config("spark.driver.memory", driver_memory)
     b = (b.config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -17,6 +17,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tavola.session import cut_lineage
+
 
 @dataclass(frozen=True)
 class RulePreset:
@@ -54,11 +56,15 @@ def frequent_itemsets(basket_df: DataFrame, min_support: float,
         fp = fp.setNumPartitions(num_partitions)
     model = fp.fit(basket_df)
     n = basket_df.count()
-    return (model.freqItemsets
-            .select(F.array_sort("items").alias("items"), F.col("freq").cast("long").alias("freq"))
-            .withColumn("support", F.col("freq") / F.lit(float(n)))
-            .withColumn("length", F.size("items"))
-            .withColumn("n_baskets", F.lit(n).cast("long")))
+    fi = (model.freqItemsets
+          .select(F.array_sort("items").alias("items"), F.col("freq").cast("long").alias("freq"))
+          .withColumn("support", F.col("freq") / F.lit(float(n)))
+          .withColumn("length", F.size("items"))
+          .withColumn("n_baskets", F.lit(n).cast("long")))
+    # The itemset table is referenced several times by the rule step; it is
+    # bounded by min_support, so it is written once to the shared checkpoint
+    # folder instead of re-running the tree mining per reference.
+    return cut_lineage(fi)
 
 
 def drop_too_frequent(itemsets: DataFrame, max_support: float) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tavola.functions import rules as RU
+from tavola.session import reuse
 
 
 # ---------------------------------------------------------------------------
@@ -121,7 +122,8 @@ def relevant_rules(bk: DataFrame, rules: DataFrame, alias_pairs: DataFrame | Non
 
 def basket_recommendations(baskets: DataFrame, products: DataFrame, rules: DataFrame,
                            alias_pairs: DataFrame | None, limit: int = 5) -> DataFrame:
-    bk = basket_keywords(baskets, products, alias_pairs)
+    rules = reuse(rules)
+    bk = reuse(basket_keywords(baskets, products, alias_pairs))
     m = relevant_rules(bk, rules, alias_pairs).join(rule_order(rules), "rule_id")
     # First rule per result name (ignoring case) in rule order
     first = m.groupBy("basket_id", F.lower("oneri").alias("_rec")).agg(
@@ -170,19 +172,21 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
     ``baskets``: (basket_id, product_id).  ``products``: catalogue with
     product_name, category_id, price, is_active, is_available.
     ``campaigns``: optional (basket_id, target_ids array<int>, campaign_title)."""
-    catalog = (products.filter(F.col("is_active") & F.col("is_available"))
-                       .select("product_id", "product_name", "category_id", "price"))
+    catalog = reuse(products.filter(F.col("is_active") & F.col("is_available"))
+                            .select("product_id", "product_name", "category_id", "price"))
     prod, cls = class_tables(catalog)
-    cart = baskets.select("basket_id", "product_id").distinct().join(
+    prod, cls = reuse(prod), reuse(cls)
+    rules = reuse(rules)
+    cart = reuse(baskets.select("basket_id", "product_id").distinct().join(
         products.select("product_id", F.col("product_name").alias("item_name"),
-                        F.col("category_id").alias("item_category")), "product_id")
-    cart_cats = cart.select("basket_id", F.col("item_category").alias("category_id")).distinct()
+                        F.col("category_id").alias("item_category")), "product_id"))
+    cart_cats = reuse(cart.select("basket_id", F.col("item_category").alias("category_id")).distinct())
     has_meal = cart.groupBy("basket_id").agg(
         F.max(F.col("item_category").isin(*meal_categories)).alias("has_meal"))
     # cart items that are also candidates (they are excluded by id)
     cart_in = cart.select("basket_id", "product_id").join(prod.select("product_id", *CLASS), "product_id")
-    n_cart_cls = cart_in.groupBy("basket_id", *CLASS).agg(F.count(F.lit(1)).alias("n_cart"))
-    n_cart_cat = cart_in.groupBy("basket_id", "category_id").agg(F.count(F.lit(1)).alias("n_cart_cat"))
+    n_cart_cls = reuse(cart_in.groupBy("basket_id", *CLASS).agg(F.count(F.lit(1)).alias("n_cart")))
+    n_cart_cat = reuse(cart_in.groupBy("basket_id", "category_id").agg(F.count(F.lit(1)).alias("n_cart_cat")))
 
     # Category complement, per cart item (dense: whole category)
     p1 = (cart.join(F.broadcast(complements), cart.item_category == complements.src_category)
@@ -205,15 +209,21 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
                    .select("basket_id", *CLASS, p2_score, p2_reason, p2_key))
     # Rule boost -> classes whose keywords meet the rule's result keywords
     rules_o = rule_order(rules)
-    bk = basket_keywords(baskets, products, alias_pairs)
-    rel = relevant_rules(bk, rules, alias_pairs)
-    rk = keywords(rules, ["rule_id"], "oneri", alias_pairs)
+    bk = basket_keywords(cart.select("basket_id", "product_id"), products, alias_pairs)
+    rel = relevant_rules(reuse(bk), rules, alias_pairs)
+    # Rules with the same result text boost the same classes: relevant rules
+    # are first summed per (basket, result text), then joined to the classes
+    # that text reaches (fewer rows than per rule).
+    rk = keywords(rules.select("oneri").distinct(), ["oneri"], "oneri", alias_pairs)
     ck = keywords(cls.select(*CLASS), CLASS, "product_name", alias_pairs)
-    rule_cls = rk.join(ck, "keyword").select("rule_id", *CLASS).distinct()
-    p3 = (rel.join(rule_cls, "rule_id").join(rules_o.select("rule_id", "confidence", "tetikleyici", "rule_key"), "rule_id")
-             .select("basket_id", *CLASS, times("confidence", 0.8).alias("score"),
-                     F.concat(F.lit("apriori:"), "tetikleyici").alias("reason"),
-                     reason_key(3, rule_key=F.col("rule_key"))))
+    text_cls = rk.join(ck, "keyword").select("oneri", *CLASS).distinct()
+    per_text = (rel.join(rules_o.select("rule_id", "oneri", "confidence", "tetikleyici", "rule_key"), "rule_id")
+                   .withColumn("key", reason_key(3, rule_key=F.col("rule_key")))
+                   .groupBy("basket_id", "oneri")
+                   .agg(F.sum(times("confidence", 0.8)).cast(SCORE).alias("score"),
+                        F.min_by(F.concat(F.lit("apriori:"), "tetikleyici"), "key").alias("reason"),
+                        F.min("key").alias("key")))
+    p3 = per_text.join(text_cls, "oneri").select("basket_id", *CLASS, "score", "reason", "key")
 
     dense = p1.unionByName(p2_dense).groupBy("basket_id", "category_id").agg(
         F.sum("score").cast(SCORE).alias("d_score"), F.min_by("reason", "key").alias("d_reason"),
@@ -221,6 +231,7 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
     sparse = p2_sparse.unionByName(p3).groupBy("basket_id", *CLASS).agg(
         F.sum("score").cast(SCORE).alias("s_score"), F.min_by("reason", "key").alias("s_reason"),
         F.min("key").alias("s_key"))
+    dense, sparse = reuse(dense), reuse(sparse)
 
     # R3d: fill when fewer than `limit` products are scored
     cat_size = catalog.groupBy("category_id").agg(F.count(F.lit(1)).alias("cat_size"))
@@ -241,7 +252,7 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
                               F.lit("popular-fill").alias("d_reason"),
                               reason_key(4).alias("d_key"),
                               F.lit(True).alias("is_fill")))
-    dense_all = dense.withColumn("is_fill", F.lit(False)).unionByName(fill)
+    dense_all = reuse(dense.withColumn("is_fill", F.lit(False)).unionByName(fill))
 
     # candidates from sparse classes: dense part added unless it is the fill
     sp = (sparse.join(dense_all, ["basket_id", "category_id"], "left")
@@ -322,9 +333,11 @@ def dashboard_recommendations(products: DataFrame, complements: DataFrame, pairi
     """For every catalogue product: ``limit`` other products by score
     (complement x .5; pairing x .6 on a name match else x .3; rule x .4 once
     per rule; fill .05 from other categories), score capped at 1."""
-    catalog = (products.filter(F.col("is_active") & F.col("is_available"))
-                       .select("product_id", "product_name", "category_id", "price"))
+    catalog = reuse(products.filter(F.col("is_active") & F.col("is_available"))
+                            .select("product_id", "product_name", "category_id", "price"))
     prod, cls = class_tables(catalog)
+    prod, cls = reuse(prod), reuse(cls)
+    rules = reuse(rules)
     q = cls.select(F.col("category_id").alias("q_cat"), F.col("product_name").alias("q_name"))
     cand = cls.select(*CLASS, "first_id", "class_size")
     qkey = ["q_cat", "q_name"]
@@ -355,8 +368,8 @@ def dashboard_recommendations(products: DataFrame, complements: DataFrame, pairi
             .select(*qkey, *CLASS, times("confidence", 0.4).alias("score"),
                     F.format_string("Apriori (güven: %%%d)", (F.col("confidence") * 100).cast("int")).alias("reason"),
                     reason_key(3, rule_key=F.col("rule_key"))))
-    scored = p1.unionByName(p2).unionByName(p3).groupBy(*qkey, *CLASS).agg(
-        F.sum("score").cast(SCORE).alias("score"), F.min_by("reason", "key").alias("reason"))
+    scored = reuse(p1.unionByName(p2).unionByName(p3).groupBy(*qkey, *CLASS).agg(
+        F.sum("score").cast(SCORE).alias("score"), F.min_by("reason", "key").alias("reason")))
     # phase 4: fill from other categories when fewer than `limit` are scored
     counted = (scored.join(cand.select(*CLASS, "class_size"), CLASS)
                      .groupBy(*qkey).agg(F.sum(F.col("class_size") - F.when(

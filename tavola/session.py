@@ -64,6 +64,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Mark a DataFrame that later steps reference several times: it is
+    computed once and kept (memory, spilling to disk).  A lost executor only
+    costs recomputing its partitions from lineage."""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     return checkpoint_dir(spark).rstrip("/") + "/" + name

@@ -85,6 +85,18 @@ def reason_key(phase: int, a=None, b=None, c=None, rule_key: Column | None = Non
                     rk.alias("r")).alias("key")
 
 
+PH = 1 << 60   # phase weight of a numeric reason key
+
+
+def num_key(phase: int, a=None, b=None, c=None) -> Column:
+    """Numeric form of the loop position: phase, cart item id (< 2^40),
+    word position and list position (< 2^10 each).  Keeps the first-reason
+    aggregation hash based (no string or struct buffers)."""
+    def lng(x):
+        return (F.lit(0) if x is None else (F.col(x) if isinstance(x, str) else x)).cast("long")
+    return (F.lit(phase * PH) + lng(a) * (1 << 20) + lng(b) * (1 << 10) + lng(c)).alias("key")
+
+
 # ---------------------------------------------------------------------------
 # By product name
 # ---------------------------------------------------------------------------
@@ -191,14 +203,14 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
     # Category complement, per cart item (dense: whole category)
     p1 = (cart.join(F.broadcast(complements), cart.item_category == complements.src_category)
               .select("basket_id", "category_id", times("weight", 0.5).alias("score"),
-                      F.concat(F.lit("complement-to-"), "item_name").alias("reason"),
-                      reason_key(1, "product_id", "pos")))
+                      F.col("product_id").alias("ref"), num_key(1, "product_id", "pos")))
     # Keyword pairing, per word of each cart item
     cw = cart.select("basket_id", "product_id", F.posexplode(words(F.col("item_name"))).alias("word_pos", "keyword"))
-    pw = cw.join(F.broadcast(pairings), "keyword")
+    kw_ids = pairings.select("keyword").distinct().withColumn("kw_id", F.xxhash64("keyword"))
+    pw = cw.join(F.broadcast(pairings), "keyword").join(F.broadcast(kw_ids), "keyword")
     p2_score = times("boost", 0.7).alias("score")
-    p2_reason = F.concat(F.lit("pairs-with-"), "keyword").alias("reason")
-    p2_key = reason_key(2, "product_id", "word_pos", "pos")
+    p2_reason = F.col("kw_id").alias("ref")
+    p2_key = num_key(2, "product_id", "word_pos", "pos")
     p2_dense = pw.filter(F.col("target_name").isNull()).select("basket_id", "category_id", p2_score, p2_reason, p2_key)
     targets = (F.broadcast(pairings.filter(F.col("target_name").isNotNull()))
                .join(cls.select(*CLASS), "category_id")
@@ -218,18 +230,20 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
     ck = keywords(cls.select(*CLASS), CLASS, "product_name", alias_pairs)
     text_cls = rk.join(ck, "keyword").select("oneri", *CLASS).distinct()
     per_text = (rel.join(rules_o.select("rule_id", "oneri", "confidence", "tetikleyici", "rule_key"), "rule_id")
-                   .withColumn("key", reason_key(3, rule_key=F.col("rule_key")))
                    .groupBy("basket_id", "oneri")
                    .agg(F.sum(times("confidence", 0.8)).cast(SCORE).alias("score"),
-                        F.min_by(F.concat(F.lit("apriori:"), "tetikleyici"), "key").alias("reason"),
-                        F.min("key").alias("key")))
-    p3 = per_text.join(text_cls, "oneri").select("basket_id", *CLASS, "score", "reason", "key")
+                        F.min_by("rule_id", "rule_key").alias("ref"),
+                        F.min("rule_key").alias("_rk")))
+    # rule order as a small number per basket (rank of its first rule)
+    per_text = per_text.withColumn("_r3", F.dense_rank().over(Window.partitionBy("basket_id").orderBy("_rk")))
+    p3 = per_text.join(text_cls, "oneri").select("basket_id", *CLASS, "score", "ref",
+                                                 num_key(3, F.col("_r3")))
 
     dense = p1.unionByName(p2_dense).groupBy("basket_id", "category_id").agg(
-        F.sum("score").cast(SCORE).alias("d_score"), F.min_by("reason", "key").alias("d_reason"),
+        F.sum("score").cast(SCORE).alias("d_score"), F.min_by("ref", "key").alias("d_ref"),
         F.min("key").alias("d_key"))
     sparse = p2_sparse.unionByName(p3).groupBy("basket_id", *CLASS).agg(
-        F.sum("score").cast(SCORE).alias("s_score"), F.min_by("reason", "key").alias("s_reason"),
+        F.sum("score").cast(SCORE).alias("s_score"), F.min_by("ref", "key").alias("s_ref"),
         F.min("key").alias("s_key"))
     dense, sparse = reuse(dense), reuse(sparse)
 
@@ -249,8 +263,8 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
                       .join(cart_cats, ["basket_id", "category_id"], "left_anti")
                       .join(dense.select("basket_id", "category_id"), ["basket_id", "category_id"], "left_anti")
                       .select("basket_id", "category_id", dec(0.15).alias("d_score"),
-                              F.lit("popular-fill").alias("d_reason"),
-                              reason_key(4).alias("d_key"),
+                              F.lit(0).cast("long").alias("d_ref"),
+                              num_key(4).alias("d_key"),
                               F.lit(True).alias("is_fill")))
     dense_all = reuse(dense.withColumn("is_fill", F.lit(False)).unionByName(fill))
 
@@ -260,22 +274,25 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
                 .select("basket_id", *CLASS,
                         (F.col("s_score") + F.when(~F.coalesce("is_fill", F.lit(True)), F.col("d_score"))
                          .otherwise(dec(0))).cast(SCORE).alias("score"),
-                        F.when(~F.coalesce("is_fill", F.lit(True)) & (F.col("d_key") < F.col("s_key")), F.col("d_reason"))
-                         .otherwise(F.col("s_reason")).alias("reason"),
+                        F.when(~F.coalesce("is_fill", F.lit(True)) & (F.col("d_key") < F.col("s_key")), F.col("d_ref"))
+                         .otherwise(F.col("s_ref")).alias("ref"),
+                        F.when(~F.coalesce("is_fill", F.lit(True)) & (F.col("d_key") < F.col("s_key")), F.col("d_key"))
+                         .otherwise(F.col("s_key")).alias("key"),
                         (F.lit(2) + F.coalesce("n_cart", F.lit(0))).alias("_n")))
     sp_c = expand_class(sp, prod, ["basket_id"], F.col("_n")).drop("_n")
     # candidates from dense-only classes: the first classes by first id
     n_sp_cat = sparse.groupBy("basket_id", "category_id").agg(F.count(F.lit(1)).alias("n_sp"))
     explore = (dense_all.join(n_sp_cat, ["basket_id", "category_id"], "left")
                         .join(n_cart_cat, ["basket_id", "category_id"], "left")
-                        .select("basket_id", "category_id", "d_score", "d_reason",
+                        .select("basket_id", "category_id", "d_score", "d_ref", "d_key",
                                 F.explode(F.sequence(F.lit(1), (F.lit(2) + F.coalesce("n_sp", F.lit(0))
                                                                 + F.coalesce("n_cart_cat", F.lit(0))).cast("int")))
                                  .alias("class_rank")))
     dn = (explore.join(cls.select("category_id", "class_rank", "product_name"), ["category_id", "class_rank"])
                  .join(sparse.select("basket_id", *CLASS), ["basket_id"] + CLASS, "left_anti")
                  .join(n_cart_cls, ["basket_id"] + CLASS, "left")
-                 .select("basket_id", *CLASS, F.col("d_score").alias("score"), F.col("d_reason").alias("reason"),
+                 .select("basket_id", *CLASS, F.col("d_score").alias("score"), F.col("d_ref").alias("ref"),
+                         F.col("d_key").alias("key"),
                          (F.lit(2) + F.coalesce("n_cart", F.lit(0))).alias("_n")))
     dn_c = expand_class(dn, prod, ["basket_id"], F.col("_n")).drop("_n")
     cand = (sp_c.unionByName(dn_c)
@@ -296,8 +313,21 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
         "rank", F.row_number().over(Window.partitionBy("basket_id").orderBy(*order))).filter(F.col("rank") <= limit)
     raw = F.col("score").cast("double") / F.greatest(F.col("_max").cast("double"), F.lit(0.01)) * 0.95
     conf = F.least(F.lit(0.95), F.greatest(F.lit(0.50), raw))
+    # decode the first reason of the final rows only (at most `limit` per basket)
+    ph = F.floor(F.col("key") / F.lit(PH)).cast("int")
+    names = products.select(F.col("product_id").alias("_pid"), F.col("product_name").alias("_pname"))
+    top = (top.withColumn("_ph", ph)
+              .join(names, (F.col("_ph") == 1) & (F.col("ref") == F.col("_pid")), "left")
+              .join(F.broadcast(kw_ids.withColumnRenamed("keyword", "_kw")),
+                    (F.col("_ph") == 2) & (F.col("ref") == F.col("kw_id")), "left")
+              .join(rules.select(F.col("rule_id").alias("_rid"), F.col("tetikleyici").alias("_trig")),
+                    (F.col("_ph") == 3) & (F.col("ref") == F.col("_rid")), "left"))
+    reason = (F.when(F.col("_ph") == 1, F.concat(F.lit("complement-to-"), F.col("_pname")))
+               .when(F.col("_ph") == 2, F.concat(F.lit("pairs-with-"), F.col("_kw")))
+               .when(F.col("_ph") == 3, F.concat(F.lit("apriori:"), F.col("_trig")))
+               .otherwise(F.lit("popular-fill")))
     out = top.select("basket_id", "rank", "product_id", "product_name", "price", "category_id",
-                     (F.floor(conf * 100 + 0.5) / 100).alias("confidence"), "reason")
+                     (F.floor(conf * 100 + 0.5) / 100).alias("confidence"), reason.alias("reason"))
     if campaigns is None:
         return out.withColumn("has_campaign", F.lit(False)).withColumn(
             "campaign_title", F.lit(None).cast("string"))

@@ -66,10 +66,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def reuse(df: DataFrame) -> DataFrame:
     """Mark a DataFrame that later steps reference several times: it is
-    computed once and kept (memory, spilling to disk).  A lost executor only
-    costs recomputing its partitions from lineage."""
+    computed once and kept on the executors' local disks (not in the heap,
+    so joins, sorts and aggregations keep their execution memory).  A lost
+    executor only costs recomputing its partitions from lineage."""
     from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

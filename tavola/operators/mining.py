@@ -17,7 +17,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tavola.session import cut_lineage
+from tavola.session import cut_lineage, reuse
 
 
 @dataclass(frozen=True)
@@ -54,6 +54,7 @@ def frequent_itemsets(basket_df: DataFrame, min_support: float,
     fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0)
     if num_partitions:
         fp = fp.setNumPartitions(num_partitions)
+    basket_df = reuse(basket_df.select("items"))   # read by the fit's passes and by the count
     model = fp.fit(basket_df)
     n = basket_df.count()
     fi = (model.freqItemsets

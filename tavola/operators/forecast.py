@@ -53,13 +53,15 @@ def features(daily: DataFrame, unknown_weather_code: int = 2, weekend_from: int
 def standardize(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
     """M8: (x - mean) / population std, std 0 -> 1 (one global aggregate,
     attached as scalar subqueries)."""
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
-                   *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
+    fields = [F.avg(c).alias(f"m_{c}") for c in cols]
+    fields += [F.stddev_pop(c).alias(f"s_{c}") for c in cols]
+    # one pass over the data; the single-row result is one scalar subquery
+    stats = df.agg(F.struct(*fields).alias("st")).scalar()
     out = [F.col(k) for k in keep]
     for c in cols:
-        m = stats.select(f"m_{c}").scalar()
-        s = stats.select(F.when(F.col(f"s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"s_{c}"))).scalar()
-        out.append(((F.col(c) - m) / s).alias(c))
+        m, sd = stats.getField(f"m_{c}"), stats.getField(f"s_{c}")
+        sd = F.when(sd == 0, F.lit(1.0)).otherwise(sd)
+        out.append(((F.col(c) - m) / sd).alias(c))
     return df.select(*out)
 
 

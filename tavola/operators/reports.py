@@ -72,7 +72,7 @@ def category_share(orders: DataFrame, items: DataFrame, products: DataFrame,
                 .join(cats, "category_id", "left"))
     per_cat = (with_cat.groupBy(F.coalesce("category_name", F.lit("Diğer")).alias("category_name"))
                        .agg(X.money_sum(F.col("rev")).alias("total_revenue")))
-    total = F.sum("total_revenue").over(Window.partitionBy())
+    total = per_cat.agg(F.sum("total_revenue")).scalar()   # one row per category name -> scalar
     return (per_cat.withColumn("_total", total)
                    .filter(F.col("_total") != 0)
                    .select("category_name", "total_revenue",

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from tavola.operators import datasets as D
 from tavola.operators import forecast as FC
-from tavola.operators import mining as M
 from tavola.operators import segments as SG
-from tavola.plans.datasets import SUMMARY_CTES, TRAINING_EXTRA, _summary, _summary_sql, _training
+from tavola.plans.datasets import TRAINING_EXTRA, _summary, _summary_sql, _training
 from tavola.plans.registry import register
 from tavola.session import scratch_path
 from tavola.sources import files
@@ -228,5 +227,3 @@ def refresh_job(spark, sf):
                      F.lit(spark.read.text(f"{base}/basket_lines").count()).alias("basket_lines"),
                      F.lit(train.count()).alias("training_days"), "r2")
 
-
-_ = (SUMMARY_CTES, M)

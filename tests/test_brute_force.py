@@ -23,7 +23,6 @@ def test_smart_basket_properties(spark, small_dir):
     assert (df.groupby("basket_id").size() <= 6).all()
     assert (df.groupby(["basket_id", "category_id"]).size() <= 2).all()
     assert df.confidence.between(0.5, 0.95).all()
-    carts = QUERIES["order_product_pairs"]  # noqa: F841  (cart exclusion checked below)
     b = spark.read.parquet(f"{small_dir}/lineitem.parquet").selectExpr(
         "l_orderkey AS basket_id", "l_partkey AS product_id").distinct().toPandas()
     merged = df.merge(b, on=["basket_id", "product_id"])

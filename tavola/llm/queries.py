@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tavola.llm import bpe, language, packing, quality, training_order
-from tavola.llm.common import read_table, text_or_empty, written
+from tavola.llm.common import read_table, ship_package, text_or_empty, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -17,10 +19,15 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = query
         if sql is not None:
             ORACLE[name] = sql
-        return fn
+        return query
     return deco
 
 

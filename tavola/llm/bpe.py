@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding (operator 3).
 
-``encode`` and ``decode`` are columns.  Method for one word: the contiguous
+``encode``, ``decode`` and ``round_trip`` (both at once) are columns.  Method for one word: the contiguous
 rank array.  The list of parts and the list of the ranks of adjacent parts lie
 side by side; the smallest rank is looked up, the boundary there is deleted,
 and the two ranks beside it are refreshed, until no pair has a rank.  Words of
@@ -389,3 +389,16 @@ def decode(ids: Column, tokenizer: str) -> Column:
                          for r in rows.to_pylist()], type=pa.string())
 
     return F.arrow_udf(run, "string").asNondeterministic()(ids)
+
+
+def round_trip(text: Column, tokenizer: str) -> Column:
+    """Struct (ids binary, decoded string): ``encode`` and then ``decode``, both in
+    one Python worker, so that a task holds the vocabulary once."""
+    def run(texts: pa.Array) -> pa.Array:
+        bpe = load(tokenizer)
+        ids = bpe.encode_batch(texts.to_pylist())
+        return pa.StructArray.from_arrays(
+            [pa.array([i.astype("<u4").tobytes() for i in ids], type=pa.binary()),
+             pa.array([bpe.decode(i).decode() for i in ids], type=pa.string())], ["ids", "decoded"])
+
+    return F.arrow_udf(run, "ids binary, decoded string").asNondeterministic()(text)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tavola.session import checkpoint_dir
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ARROW_ROWS = 1000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +37,11 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application."""
+def prepare(spark: SparkSession) -> None:
+    """Settle what the operators ask of a session: small Arrow batches, because
+    rows are whole documents, and this package in the executors' Python workers
+    (sent once per application)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_tavola_shipped", False):
         return

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tavola.llm import ann, bpe, html_text, language, packing, quality, training_order
-from tavola.llm.common import read_table, ship_package, text_or_empty, written
+from tavola.llm.common import read_table, prepare, text_or_empty, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -21,7 +21,7 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         @functools.wraps(fn)
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = query
@@ -46,8 +46,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_bpe")
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
-    coded = (docs.withColumn("ids", bpe.encode(F.col("text"), TOKENIZER)).drop("text")
-             .withColumn("decoded", bpe.decode(F.col("ids"), TOKENIZER)))
+    coded = docs.select("doc_id", bpe.round_trip(F.col("text"), TOKENIZER).alias("c")).select("doc_id", "c.*")
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tavola.llm import ann, bpe, html_text, language, packing, quality, training_order
+from tavola.llm import ann, bpe, html_text, language, licences, packing, quality, training_order
 from tavola.llm.common import read_table, prepare, text_or_empty, written
 
 QUERIES: dict = {}
@@ -52,6 +52,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@register("op5_licences", licences.oracle())
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs).drop("text")
+
+
 @register("op6_html_text")
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tavola.llm import ann, bpe, html_text, language, licences, packing, quality, training_order
+from tavola.llm import ann, bpe, html_text, language, licences, packing, quality, repeats, training_order
 from tavola.llm.common import read_table, prepare, text_or_empty, written
 
 QUERIES: dict = {}
@@ -52,6 +52,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@register("op4_repeats")
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = repeats.remove_repeats(docs)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op5_licences", licences.oracle())
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -55,11 +55,12 @@ def encoded_stream(docs: DataFrame, tokenizer: str, closing_id: int = CLOSING_ID
 
 def placed(stream: DataFrame) -> DataFrame:
     """Add ``place``, the document's first id in the whole stream: a prefix sum
-    over one total per partition."""
+    over one total per partition.  The sums are
+    written, so Spark sees how small they are and the stream stays where it is."""
     totals = stream.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return stream.join(starts, "part").withColumn("place", F.col("base") + F.col("at"))
+    return stream.join(written(starts, "places"), "part").withColumn("place", F.col("base") + F.col("at"))
 
 
 def stream_length(stream: DataFrame) -> int:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tavola.llm import ann, bpe, html_text, language, licences, packing, quality, repeats, training_order
+from tavola.llm import ann, bpe, html_text, language, licences, ngram_join, packing, quality, repeats, training_order
 from tavola.llm.common import read_table, prepare, text_or_empty, written
 
 QUERIES: dict = {}
@@ -43,6 +43,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+@register("op2_ngram_join")
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.connect(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @register("op3_bpe")
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))

@@ -398,3 +398,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, text_c
            .withColumn("_cut", _cut(F.col(text_col), F.col("_spans"), F.col("_copied"))))
     return out.withColumns({c: F.col(f"_cut.{c}") for c in ("n_bytes", "n_removed", "n_spans", "kept")}).drop(
         "_of", "_digest", "_spans", "_copied", "_cut")
+
+
+def readable(kept: Column) -> Column:
+    """Text of UTF-8 bytes; bytes of a letter that was cut through are left out."""
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else r.decode(errors="ignore") for r in rows.to_pylist()], type=pa.string())
+
+    return F.arrow_udf(run, "string")(kept)

@@ -87,12 +87,14 @@ def basket_presence(items: DataFrame, products: DataFrame, label: str) -> DataFr
 
 def basket_onehot(items: DataFrame, products: DataFrame, label: str,
                   values: list[str] | None = None) -> DataFrame:
-    """Order x label 0/1 matrix.  The label domain must be small (pivot is
-    capped by spark.sql.pivotMaxValues); pass ``values`` when known so no
-    distinct pass is needed."""
+    """Order x label 0/1 matrix, one column per label of ``values``.  Without
+    a list the matrix stays in its long form (order, label), which has no
+    bound on the number of labels and collects none to the driver."""
     long = basket_presence(items, products, label)
-    wide = long.groupBy("order_id").pivot(label, values).agg(F.max(F.lit(1)))
-    return wide.fillna(0, subset=[c for c in wide.columns if c != "order_id"])
+    if values is None:
+        return long
+    has = [F.max(F.when(F.col(label) == v, 1).otherwise(0)).alias(v) for v in values]
+    return long.groupBy("order_id").agg(*has)
 
 
 # --------------------------------------------------------------------------- A16

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tavola.functions import exprs as X
-from tavola.operators.reports import CLOSED_STATES
+from tavola.operators.reports import CLOSED_STATES, stock_check
 
 def _zero() -> Column:
     return F.lit(0).cast("decimal(18,2)")
@@ -40,11 +40,11 @@ def append_lines(orders: DataFrame, items: DataFrame, new_lines: DataFrame,
                  products: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New lines go to the newest active order of their table (which becomes
     Pending and is re-totalled); a table without one gets one new order,
-    opened by its first accepted line.  Lines of unavailable products are
-    refused (P18).  Returns (orders, items)."""
-    prod = products.select("product_id", "price", "is_available")
-    lines = (new_lines.join(prod, "product_id", "left")
-                      .filter(F.coalesce(F.col("is_available"), F.lit(True))))
+    opened by its first accepted line.  A request (``request_id``) with an
+    unavailable product is refused as a whole (P18).  Returns (orders, items)."""
+    accepted = stock_check(new_lines, products, "request_id").filter("accepted").select("request_id")
+    lines = (new_lines.join(accepted, "request_id", "left_semi")
+                      .join(products.select("product_id", "price"), "product_id", "left"))
     active = orders.filter(~F.col("status").isin(*CLOSED_STATES))
     newest = active.groupBy("table_number").agg(
         F.max_by("order_id", F.struct("created_at", "order_id")).alias("target_order"))
@@ -54,14 +54,13 @@ def append_lines(orders: DataFrame, items: DataFrame, new_lines: DataFrame,
         F.min("ts").alias("first_ts"))
     # new keys are offset by the current maxima (scalar subqueries, run once)
     max_order = orders.select(F.max("order_id")).scalar()
-    max_item = items.select(F.max("item_id")).scalar()
     targets = (firsts.join(newest, "table_number", "left")
                      .select("table_number", "first_ts",
                              F.coalesce("target_order", max_order + 1 + F.col("first_line"))
                               .alias("order_id"),
                              F.col("target_order").isNull().alias("is_new")))
     new_items = (lines.join(targets.select("table_number", "order_id"), "table_number")
-                      .select((max_item + 1 + F.col("line_id")).alias("item_id"), "order_id",
+                      .select(F.concat(F.lit("new-"), F.col("line_id").cast("string")).alias("item_id"), "order_id",
                               "product_id", "quantity",
                               F.coalesce("price", _zero()).cast("decimal(18,2)").alias("unit_price"),
                               F.lit(X.PENDING).alias("item_status")))
@@ -125,9 +124,10 @@ def freed_tables(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- L6
-def pay_items(orders: DataFrame, items: DataFrame, pay_list: DataFrame) -> DataFrame:
+def pay_items(orders: DataFrame, items: DataFrame, pay_list: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pay listed items: items not Paid/Cancelled add their value and become
-    Paid; the order closes when all its items are settled or paid >= total."""
+    Paid; the order closes when all its items are settled or paid >= total.
+    Returns (orders, items)."""
     listed = items.join(pay_list.select("item_id").distinct(), "item_id", "left_semi")
     payable = listed.filter(~F.col("item_status").isin(*CLOSED_STATES))
     gained = payable.groupBy("order_id").agg(
@@ -139,9 +139,11 @@ def pay_items(orders: DataFrame, items: DataFrame, pay_list: DataFrame) -> DataF
     o = initial_paid(orders).join(gained, "order_id", "left").join(settled, "order_id", "left")
     new_paid = (F.col("paid_amount") + F.coalesce("_gain", _zero())).cast("decimal(18,2)")
     close = F.col("_n_paid").isNotNull() & (F.col("_all") | (new_paid >= F.col("total_amount")))
-    return o.select("order_id", "table_number", "total_amount", new_paid.alias("paid_amount"),
-                    F.when(close, F.lit(X.PAID)).otherwise(F.col("status")).alias("status"),
-                    F.coalesce("_n_paid", F.lit(0)).cast("long").alias("items_paid"))
+    paid_orders = o.select("order_id", "table_number", "total_amount", new_paid.alias("paid_amount"),
+                           F.when(close, F.lit(X.PAID)).otherwise(F.col("status")).alias("status"),
+                           F.coalesce("_n_paid", F.lit(0)).cast("long").alias("items_paid"))
+    status = F.when(F.col("_p"), F.lit(X.PAID)).otherwise(F.col("item_status"))
+    return paid_orders, after_items.withColumn("item_status", status).drop("_p")
 
 
 # --------------------------------------------------------------------------- L7
@@ -184,33 +186,34 @@ def merge_active_orders(orders: DataFrame, items: DataFrame) -> tuple[DataFrame,
 # --------------------------------------------------------------------------- L8
 # A cart event is a function on the quantity q (0 = not in the cart):
 #   add q -> q + 1; remove q -> 0; increase q -> q + 1 if q > 0; decrease q -> q - 1 (floor 0).
-# Each is of the form  q -> c if q <= t else q + d,  and that form is closed
-# under composition, so events fold associatively: any grouping of
-# consecutive events gives the same result.
-NEVER, ALWAYS = -1, 1 << 40
+# Each is of the form  q -> c if q <= t else q + d  (always c, where ``all`` is set),
+# and that form is closed under composition, so events fold associatively: any
+# grouping of consecutive events gives the same result.
+NEVER = -1
 
 
 def _event_fn(action: Column) -> Column:
-    t = (F.when(action == "add", F.lit(NEVER)).when(action == "remove", F.lit(ALWAYS))
+    t = (F.when(action == "add", F.lit(NEVER))
           .when(action == "increase", F.lit(0)).when(action == "decrease", F.lit(1))
           .otherwise(F.lit(NEVER)))
     d = (F.when(action == "add", F.lit(1)).when(action == "increase", F.lit(1))
           .when(action == "decrease", F.lit(-1)).otherwise(F.lit(0)))
-    return F.struct(t.cast("long").alias("t"), F.lit(0).cast("long").alias("c"), d.cast("long").alias("d"))
+    return F.struct((action == "remove").alias("all"), t.cast("long").alias("t"), F.lit(0).cast("long").alias("c"),
+                    d.cast("long").alias("d"))
 
 
 def _compose(f: Column, g: Column) -> Column:
     """g after f."""
     t1, c1, d1 = f["t"], f["c"], f["d"]
     t2, c2, d2 = g["t"], g["c"], g["d"]
-    c_left = F.when(c1 <= t2, c2).otherwise(c1 + d2)
-    return F.struct(F.greatest(t1, t2 - d1).alias("t"),
-                    F.when(t2 - d1 > t1, c2).otherwise(c_left).alias("c"),
+    c_left = F.when(g["all"] | (c1 <= t2), c2).otherwise(c1 + d2)
+    return F.struct((f["all"] | g["all"]).alias("all"), F.greatest(t1, t2 - d1).alias("t"),
+                    F.when(~f["all"] & (t2 - d1 > t1), c2).otherwise(c_left).alias("c"),
                     (d1 + d2).alias("d"))
 
 
 def _identity() -> Column:
-    return F.struct(F.lit(NEVER).cast("long").alias("t"), F.lit(0).cast("long").alias("c"),
+    return F.struct(F.lit(False).alias("all"), F.lit(NEVER).cast("long").alias("t"), F.lit(0).cast("long").alias("c"),
                     F.lit(0).cast("long").alias("d"))
 
 
@@ -233,7 +236,7 @@ def cart_fold(events: DataFrame, cart_key: str = "cart_id") -> DataFrame:
     hourly = _fold_level(ev, keys, F.date_trunc("hour", "ts"))
     daily = _fold_level(hourly, keys, F.date_trunc("day", "ts"))
     total = _fold_level(daily, keys, None)
-    qty = F.when(F.col("fn.t") >= 0, F.col("fn.c")).otherwise(F.col("fn.d"))
+    qty = F.when(F.col("fn.all") | (F.col("fn.t") >= 0), F.col("fn.c")).otherwise(F.col("fn.d"))
     return total.select(*keys, qty.alias("quantity")).filter(F.col("quantity") > 0)
 
 
@@ -255,13 +258,39 @@ def dimension_upsert(dim: DataFrame, changes: DataFrame, key: str, value_cols: l
 
 # --------------------------------------------------------------------------- L10
 def payment_guard(orders: DataFrame, payments: DataFrame) -> DataFrame:
-    """Each payment checked against the order's remaining amount at the start
-    of the batch: amount <= 0 or above the remaining amount is refused."""
+    """Each payment checked, in (ts, payment_id) order, against what is left of
+    its order after the payments accepted before it: amount <= 0 or above the
+    remaining amount is refused.
+
+    A payment above the opening amount can never be accepted and changes
+    nothing, so only the others are folded.  They are dealt out by order and
+    sorted, and one running amount is carried from row to row: no order's
+    payments are held together, however many there are."""
     o = initial_paid(orders).select(
-        "order_id", (F.col("total_amount") - F.col("paid_amount")).alias("remaining"))
-    p = payments.join(o, "order_id", "left")
-    reason = (F.when(F.col("amount") <= 0, F.lit("non_positive"))
-               .when(F.col("remaining").isNull(), F.lit("unknown_order"))
-               .when(F.col("amount") > F.col("remaining"), F.lit("exceeds_remaining")))
-    return p.select("payment_id", "order_id", "amount", "remaining", reason.alias("reason"),
-                    reason.isNull().alias("accepted"))
+        "order_id", (F.col("total_amount") - F.col("paid_amount")).cast("decimal(18,2)").alias("opening"))
+    p = payments.select("payment_id", "ts", "order_id", "amount").join(o, "order_id", "left")
+    open_for = F.coalesce((F.col("amount") > 0) & (F.col("amount") <= F.col("opening")), F.lit(False))
+    fields = "payment_id long, order_id long, amount decimal(18,2), remaining decimal(18,2), reason string"
+
+    def fold(batches):
+        import pyarrow as pa
+        now, left = None, None
+        for batch in batches:
+            remaining, reasons = [], []
+            for order, amount, opening in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if order != now:
+                    now, left = order, opening
+                remaining.append(left)
+                reasons.append(None if amount <= left else "exceeds_remaining")
+                left -= amount if amount <= left else 0
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(remaining, type=pa.decimal128(18, 2)),
+                 pa.array(reasons, type=pa.string())], names=["payment_id", "order_id", "amount", "remaining", "reason"])
+
+    folded = (p.filter(open_for).repartition("order_id").sortWithinPartitions("order_id", "ts", "payment_id")
+               .select("payment_id", "order_id", F.col("amount").cast("decimal(18,2)"), "opening").mapInArrow(fold, fields))
+    refused = p.filter(~open_for).select(
+        "payment_id", "order_id", "amount", F.lit(None).cast("decimal(18,2)").alias("remaining"),
+        F.when(F.col("amount") <= 0, F.lit("non_positive")).when(F.col("opening").isNull(), F.lit("unknown_order"))
+         .otherwise(F.lit("exceeds_remaining")).alias("reason"))
+    return folded.unionByName(refused).withColumn("accepted", F.col("reason").isNull())

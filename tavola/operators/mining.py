@@ -122,11 +122,11 @@ def sorted_rules(rules: DataFrame) -> DataFrame:
 
 
 def round_to(col, digits: int):
-    """Round to ``digits`` decimals in plain double arithmetic (half up);
+    """Round to ``digits`` decimals in plain double arithmetic, ties to even;
     infinity passes through."""
     scale = float(10 ** digits)
     c = F.col(col) if isinstance(col, str) else col
-    return F.when(F.abs(c) == INF, c).otherwise(F.floor(c * scale + 0.5) / scale)
+    return F.when(F.abs(c) == INF, c).otherwise(F.rint(c * scale) / scale)
 
 
 def rules_file_rows(rules: DataFrame) -> DataFrame:

@@ -327,7 +327,7 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
                .when(F.col("_ph") == 3, F.concat(F.lit("apriori:"), F.col("_trig")))
                .otherwise(F.lit("popular-fill")))
     out = top.select("basket_id", "rank", "product_id", "product_name", "price", "category_id",
-                     (F.floor(conf * 100 + 0.5) / 100).alias("confidence"), reason.alias("reason"))
+                     (F.rint(conf * 100) / 100).alias("confidence"), reason.alias("reason"))
     if campaigns is None:
         return out.withColumn("has_campaign", F.lit(False)).withColumn(
             "campaign_title", F.lit(None).cast("string"))
@@ -432,7 +432,7 @@ def dashboard_recommendations(products: DataFrame, complements: DataFrame, pairi
         Window.partitionBy("product_id").orderBy(F.desc("score"), "rec_id"))).filter(F.col("rank") <= limit)
     conf = F.least(F.col("score").cast("double"), F.lit(1.0))
     return out.select("product_id", "rank", "rec_id", "rec_name", "rec_category", "price",
-                      (F.floor(conf * 1000 + 0.5) / 1000).alias("confidence"), "reason")
+                      (F.rint(conf * 1000) / 1000).alias("confidence"), "reason")
 
 
 # ---------------------------------------------------------------------------

@@ -10,6 +10,8 @@ which broadcasts them only when their runtime size is under the threshold.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,8 +138,7 @@ def dashboard_kpis(occupancy: DataFrame, orders: DataFrame, today) -> DataFrame:
         F.coalesce(X.money_sum(F.when((F.to_date("created_at") == F.lit(today).cast("date"))
                                       & (F.col("status") == X.PAID), F.col("total_amount"))),
                    F.lit(0).cast("decimal(38,2)")).alias("daily_revenue"))
-    # both sides are global aggregates (exactly one row each)
-    return t.withColumn("_k", F.lit(1)).join(o.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return t.select("*", *[o.select(c).scalar().alias(c) for c in o.columns])
 
 
 # --------------------------------------------------------------------------- A8/L2
@@ -236,18 +237,21 @@ def menu_filter(products: DataFrame, term: str | None, category_id: int | None =
     return p
 
 
-def menu_search(products: DataFrame, term: str) -> DataFrame:
-    if not term or not term.strip():
-        return products
-    return products.filter(X.contains_ci(F.col("product_name"), term)
-                           | F.coalesce(X.contains_ci(F.col("description"), term), F.lit(False)))
+def _any_term(df: DataFrame, terms: tuple[str, ...], match) -> DataFrame:
+    """Rows that one of the terms matches; a blank term matches all."""
+    if any(not t or not t.strip() for t in terms):
+        return df
+    return df.filter(F.coalesce(reduce(lambda a, b: a | b, map(match, terms)), F.lit(False)))
+
+
+def menu_search(products: DataFrame, *terms: str) -> DataFrame:
+    return _any_term(products, terms, lambda t: X.contains_ci(F.col("product_name"), t)
+                     | F.coalesce(X.contains_ci(F.col("description"), t), F.lit(False)))
 
 
-def staff_search(staff: DataFrame, term: str) -> DataFrame:
-    if not term or not term.strip():
-        return staff
+def staff_search(staff: DataFrame, *terms: str) -> DataFrame:
     full = F.concat_ws(" ", "name", "surname")
-    return staff.filter(X.contains_ci(full, term) | F.col("phone").contains(term))
+    return _any_term(staff, terms, lambda t: X.contains_ci(full, t) | F.coalesce(F.col("phone").contains(t), F.lit(False)))
 
 
 def staff_public(staff: DataFrame) -> DataFrame:
@@ -273,12 +277,12 @@ def unpaid_items(orders: DataFrame, items: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- P18
 def stock_check(new_lines: DataFrame, products: DataFrame, key: str = "line_id") -> DataFrame:
-    """A request (group of lines) with any unavailable or unknown product is
-    rejected; returns one row per request with accepted flag."""
+    """A request (group of lines) with any known but unavailable product is
+    rejected; unknown products pass.  One row per request with accepted flag."""
     avail = products.select("product_id", "is_available")
     flagged = new_lines.join(avail, "product_id", "left")
     return flagged.groupBy(key).agg(
-        F.coalesce(F.bool_and(F.coalesce("is_available", F.lit(False))), F.lit(False)).alias("accepted"))
+        F.bool_and(F.coalesce("is_available", F.lit(True))).alias("accepted"))
 
 
 # --------------------------------------------------------------------------- P19

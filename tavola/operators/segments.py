@@ -75,7 +75,7 @@ def assign_fixed(scaled_df: DataFrame, centroids: list[list[float]]) -> DataFram
 
 def _r(x, digits):
     scale = float(10 ** digits)
-    return F.floor(x * scale + 0.5) / scale
+    return F.rint(x * scale) / scale
 
 
 def profile(summary: DataFrame, assignment: DataFrame) -> DataFrame:

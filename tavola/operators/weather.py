@@ -1,44 +1,49 @@
-"""Weather attach with a staleness bound (J14), as a bucketed as-of join.
+"""Weather attach with a staleness bound (J14), as a linear as-of join.
 
 A reading counts for an order when it is the latest reading at or before
-the order time and less than ``max_age`` old.  Because older readings never
-count, both sides are cut into time buckets of ``max_age``: an order only
-needs readings from its own bucket and the one before, so readings are
-copied into their bucket and the next, joined on the bucket key (an
-equi-join, partitioned by time, no global ordering), filtered by the time
-bound, and the latest one is kept per order with ``max_by``.
+the order time and less than ``max_age`` old.  Time is cut into slots, thirty
+of which make up ``max_age``.  Inside a slot one ordered window over both sides
+gives each order the last reading before it.  Orders without one take the
+latest reading of the slots before: each slot's last reading (one row a slot,
+by partial ``max_by``) is handed to the thirty slots after it.  No order meets
+more than one row of the other side, and a busy half hour is thirty windows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.functions import exprs as X
 
 DEFAULT_TEXT = "Bilinmiyor"
 DEFAULT_TEMPERATURE = 20.0
+SLOTS = 30
 
 
 def attach_weather(orders: DataFrame, readings: DataFrame, max_age_minutes: int = 30,
                    order_key: str = "event_id", order_ts: str = "ts") -> DataFrame:
     """``readings``: (reading_id, reading_ts, weather_code, temperature)."""
     width = max_age_minutes * 60 * 1_000_000  # microseconds
-    o_us = F.unix_micros(F.col(order_ts).cast("timestamp"))
-    r_us = F.unix_micros(F.col("reading_ts").cast("timestamp"))
-    o_bucket = F.floor(o_us / width)
-    r_bucket = F.floor(r_us / width)
-    o = orders.select(order_key, order_ts, o_bucket.alias("_b"))
-    r = readings.select("reading_id", "reading_ts", "weather_code", "temperature",
-                        F.explode(F.array(r_bucket, r_bucket + 1)).alias("_b"))
-    age = o_us - r_us
-    fresh = (o.join(r, "_b")
-              .filter((F.col("reading_ts") <= F.col(order_ts)) & (age < width))
-              .groupBy(order_key)
-              .agg(F.max_by(F.struct("reading_id", "weather_code", "temperature"),
-                            F.struct("reading_ts", "reading_id")).alias("r")))
-    j = orders.select(order_key, order_ts).join(fresh, order_key, "left")
-    return j.select(order_key, order_ts,
+    slot = F.floor(F.col("us") / (width // SLOTS)).alias("slot")
+    reading = F.struct("us", "reading_id", "weather_code", "temperature")
+    o = orders.select(F.col(order_key).alias("key"), F.col(order_ts).alias("at"),
+                      F.unix_micros(F.col(order_ts).cast("timestamp")).alias("us")).select("*", slot)
+    r = (readings.withColumn("us", F.unix_micros(F.col("reading_ts").cast("timestamp")))
+                 .select("us", slot, reading.alias("reading")))
+    both = (o.select("key", "at", "us", "slot", F.lit(None).cast(r.schema["reading"].dataType).alias("reading"))
+             .unionByName(r, allowMissingColumns=True))
+    order = Window.partitionBy("slot").orderBy("us", F.col("reading").isNull(), "reading.reading_id")
+    near = (both.withColumn("last", F.last("reading", ignorenulls=True)
+                            .over(order.rowsBetween(Window.unboundedPreceding, 0)))
+                .filter(F.col("reading").isNull()).drop("reading"))
+    carried = (r.groupBy("slot").agg(F.max_by("reading", F.struct("us", "reading.reading_id")).alias("carry"))
+                .select(F.explode(F.sequence(F.col("slot") + 1, F.col("slot") + SLOTS)).alias("slot"), "carry")
+                .groupBy("slot").agg(F.max_by("carry", F.struct("carry.us", "carry.reading_id")).alias("carry")))
+    best = F.coalesce("last", "carry")
+    j = (near.join(carried, "slot", "left")
+             .withColumn("r", F.when(F.col("us") - best["us"] < width, best)))
+    return j.select(F.col("key").alias(order_key), F.col("at").alias(order_ts),
                     F.col("r.reading_id").alias("reading_id"),
                     F.when(F.col("r").isNotNull(), X.weather_text(F.col("r.weather_code")))
                      .otherwise(F.lit(DEFAULT_TEXT)).alias("weather_condition"),

@@ -77,11 +77,23 @@ def basket_lines(spark, sf):
     return D.basket_lines(fx.order_item_f, fx.product_f)
 
 
-@register("basket_onehot", with_views("""
-SELECT * FROM (PIVOT (SELECT DISTINCT i.order_id, p.basket_label FROM order_item_f i
-  JOIN product_f p ON p.product_id = i.product_id) ON basket_label USING coalesce(max(1), 0)
-  GROUP BY order_id)""", "order_item_f", "product_f"))
+# The basket labels of the test products (the form is Brand#nm, n and m 1 to 5).
+BASKET_LABELS = [f"Brand#{n}{m}" for n in range(1, 6) for m in range(1, 6)]
+PRESENCE = """SELECT DISTINCT i.order_id, p.basket_label FROM order_item_f i
+  JOIN product_f p ON p.product_id = i.product_id"""
+
+
+@register("basket_onehot", with_views("SELECT order_id, " + ", ".join(
+    f"max(CASE WHEN basket_label = '{v}' THEN 1 ELSE 0 END) AS \"{v}\"" for v in BASKET_LABELS)
+    + " FROM presence GROUP BY order_id", "order_item_f", "product_f", extra={"presence": PRESENCE}))
 def basket_onehot(spark, sf):
+    fx = Fixtures(spark, sf)
+    return D.basket_onehot(fx.order_item_f, fx.product_f, "basket_label", BASKET_LABELS)
+
+
+@register("basket_presence", with_views(PRESENCE, "order_item_f", "product_f"))
+def basket_presence(spark, sf):
+    """S7/A15 in the long form, for any number of labels."""
     fx = Fixtures(spark, sf)
     return D.basket_onehot(fx.order_item_f, fx.product_f, "basket_label")
 

@@ -12,8 +12,9 @@ PAID0 = "CASE WHEN status = 5 THEN total_amount ELSE CAST(0 AS DECIMAL(18,2)) EN
 
 APPEND_CTES = {
     "lines": """
- SELECT n.*, p.price, p.is_available FROM new_line_f n LEFT JOIN product_f p ON p.product_id = n.product_id
- WHERE coalesce(p.is_available, true)""",
+ SELECT n.*, p.price FROM new_line_f n LEFT JOIN product_f p ON p.product_id = n.product_id
+ WHERE n.request_id IN (SELECT n.request_id FROM new_line_f n LEFT JOIN product_f p ON p.product_id = n.product_id
+  GROUP BY n.request_id HAVING bool_and(coalesce(p.is_available, true)))""",
     "newest": """
  SELECT table_number, arg_max(order_id, (created_at, order_id)) AS target_order
  FROM order_f WHERE status NOT IN (5, 6) GROUP BY table_number""",
@@ -26,7 +27,7 @@ APPEND_CTES = {
   n.target_order IS NULL AS is_new
  FROM firsts f LEFT JOIN newest n ON n.table_number = f.table_number""",
     "new_items": """
- SELECT (SELECT max(item_id) FROM order_item_f) + 1 + l.line_id AS item_id, t.order_id, l.product_id,
+ SELECT 'new-' || CAST(l.line_id AS VARCHAR) AS item_id, t.order_id, l.product_id,
   l.quantity, CAST(coalesce(l.price, 0) AS DECIMAL(18,2)) AS unit_price, 0 AS item_status
  FROM lines l JOIN targets t ON t.table_number = l.table_number""",
     "all_items": """
@@ -126,7 +127,7 @@ LEFT JOIN settled s ON s.order_id = o.order_id""", "order_f", "order_item_f", "i
                                 extra=PAY_CTES))
 def pay_items(spark, sf):
     fx = Fixtures(spark, sf)
-    return L.pay_items(fx.order_f, fx.order_item_f, fx.item_status_change_f)
+    return L.pay_items(fx.order_f, fx.order_item_f, fx.item_status_change_f)[0]
 
 
 MERGE_CTES = {
@@ -199,13 +200,45 @@ def dimension_upsert(spark, sf):
     return out.select("product_id", "product_name", "price", "category_id")
 
 
-@register("payment_guard", with_views(f"""
-SELECT p.payment_id, p.order_id, p.amount, o.remaining,
- CASE WHEN p.amount <= 0 THEN 'non_positive' WHEN o.remaining IS NULL THEN 'unknown_order'
-      WHEN p.amount > o.remaining THEN 'exceeds_remaining' END AS reason,
- NOT (p.amount <= 0 OR o.remaining IS NULL OR p.amount > o.remaining) AS accepted
-FROM payment_f p LEFT JOIN (SELECT order_id, total_amount - {PAID0} AS remaining FROM order_f) o
- ON o.order_id = p.order_id""", "order_f", "payment_f"))
+@register("payment_guard", "WITH RECURSIVE " + with_views("""
+SELECT payment_id, order_id, amount, left_before AS remaining,
+ CASE WHEN amount > left_before THEN 'exceeds_remaining' END AS reason, amount <= left_before AS accepted
+FROM fold WHERE n > 0
+UNION ALL
+SELECT payment_id, order_id, amount, NULL, CASE WHEN amount <= 0 THEN 'non_positive'
+  WHEN opening IS NULL THEN 'unknown_order' ELSE 'exceeds_remaining' END, false
+FROM p WHERE NOT open_for""", "order_f", "payment_f", extra={
+    "p": f"""SELECT p.*, o.opening, coalesce(p.amount > 0 AND p.amount <= o.opening, false) AS open_for
+ FROM payment_f p LEFT JOIN (SELECT order_id, CAST(total_amount - {PAID0} AS DECIMAL(18,2)) AS opening FROM order_f) o
+ ON o.order_id = p.order_id""",
+    "numbered": "SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts, payment_id) AS n FROM p WHERE open_for",
+    "fold": """SELECT DISTINCT order_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS payment_id,
+  CAST(0 AS DECIMAL(18,2)) AS amount, opening AS left_before FROM numbered
+ UNION ALL
+ SELECT q.order_id, q.n, q.payment_id, q.amount, CAST(f.left_before - CASE WHEN f.amount <= f.left_before
+   THEN f.amount ELSE 0 END AS DECIMAL(18,2)) FROM fold f JOIN numbered q ON q.order_id = f.order_id AND q.n = f.n + 1"""})
+    .removeprefix("WITH "))
 def payment_guard(spark, sf):
     fx = Fixtures(spark, sf)
     return L.payment_guard(fx.order_f, fx.payment_f)
+
+
+@register("freed_tables", with_views(f"""
+SELECT DISTINCT o.table_number FROM order_f o JOIN paid p ON p.order_id = o.order_id
+WHERE o.status <> 5 AND {PAID0} + p.amount >= o.total_amount""", "order_f", "payment_f",
+                                   extra={"paid": "SELECT order_id, SUM(amount) AS amount FROM payment_f GROUP BY order_id"}))
+def freed_tables(spark, sf):
+    """Tables whose order the payments close."""
+    fx = Fixtures(spark, sf)
+    return L.freed_tables(fx.order_f, L.apply_payments(fx.order_f, fx.payment_f))
+
+
+@register("pay_items_state", with_views("""
+SELECT i.item_id, i.order_id, CASE WHEN p.item_id IS NOT NULL THEN 5 ELSE i.item_status END AS item_status
+FROM order_item_f i LEFT JOIN payable p ON p.item_id = i.item_id""", "order_item_f", "item_status_change_f",
+                                      extra={"payable": PAY_CTES["payable"]}))
+def pay_items_state(spark, sf):
+    """The items' state after the payment."""
+    fx = Fixtures(spark, sf)
+    return L.pay_items(fx.order_f, fx.order_item_f, fx.item_status_change_f)[1].select(
+        "item_id", "order_id", "item_status")

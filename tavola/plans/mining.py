@@ -51,8 +51,8 @@ def mining_ctes(label: str, preset: M.RulePreset) -> dict[str, str]:
   AND support <= {mx} AND antecedent_support <= {mx} AND consequent_support <= {mx}""",
         "sugg": f"""
  SELECT antecedent_text AS tetikleyici, consequent_text AS oneri,
-  floor(confidence * 1000.0 + 0.5) / 1000.0 AS confidence, floor(lift * 1000.0 + 0.5) / 1000.0 AS lift,
-  floor(support * 1000.0 + 0.5) / 1000.0 AS support,
+  round_even(confidence * 1000.0, 0) / 1000.0 AS confidence, round_even(lift * 1000.0, 0) / 1000.0 AS lift,
+  round_even(support * 1000.0, 0) / 1000.0 AS support,
   '''' || antecedent_text || ''' ile birlikte ''' || consequent_text || ''' de ekleyin? (%'
    || CAST(CAST(trunc(confidence * 100) AS INTEGER) AS VARCHAR) || ' müşteri tercih etti)' AS oneri_metni
  FROM rules WHERE confidence >= {preset.suggest_confidence}""",
@@ -99,9 +99,9 @@ def assoc_rules_multi(spark, sf):
 
 @register("rules_file", mining_sql("""
 SELECT antecedent_text AS antecedent, consequent_text AS consequent,
- floor(support * 10000.0 + 0.5) / 10000.0 AS support, floor(confidence * 10000.0 + 0.5) / 10000.0 AS confidence,
- floor(lift * 10000.0 + 0.5) / 10000.0 AS lift, floor(leverage * 10000.0 + 0.5) / 10000.0 AS leverage,
- CASE WHEN conviction = 'inf'::DOUBLE THEN conviction ELSE floor(conviction * 10000.0 + 0.5) / 10000.0 END AS conviction
+ round_even(support * 10000.0, 0) / 10000.0 AS support, round_even(confidence * 10000.0, 0) / 10000.0 AS confidence,
+ round_even(lift * 10000.0, 0) / 10000.0 AS lift, round_even(leverage * 10000.0, 0) / 10000.0 AS leverage,
+ CASE WHEN conviction = 'inf'::DOUBLE THEN conviction ELSE round_even(conviction * 10000.0, 0) / 10000.0 END AS conviction
 FROM rules""", BRAND))
 def rules_file(spark, sf):
     return M.rules_file_rows(rules_for(spark, sf, BRAND))

@@ -167,10 +167,10 @@ def segment_assign(spark, sf):
 
 PROFILE_SQL = """
  SELECT segment_id, musteri_sayisi,
-  floor(musteri_sayisi / (SELECT COUNT(*) FROM summary) * 100 * 10 + 0.5) / 10 AS yuzde,
-  floor(spend * 100 + 0.5) / 100 AS ortalama_tutar, floor(grp * 10 + 0.5) / 10 AS ortalama_kisi,
-  floor(items * 10 + 0.5) / 10 AS ortalama_urun, floor(rev * 100 + 0.5) / 100 AS toplam_ciro,
-  floor(wk * 100 * 10 + 0.5) / 10 AS hafta_sonu_orani, coalesce(peak, 12) AS en_yogun_saat,
+  round_even(musteri_sayisi / (SELECT COUNT(*) FROM summary) * 100 * 10, 0) / 10 AS yuzde,
+  round_even(spend * 100, 0) / 100 AS ortalama_tutar, round_even(grp * 10, 0) / 10 AS ortalama_kisi,
+  round_even(items * 10, 0) / 10 AS ortalama_urun, round_even(rev * 100, 0) / 100 AS toplam_ciro,
+  round_even(wk * 100 * 10, 0) / 10 AS hafta_sonu_orani, coalesce(peak, 12) AS en_yogun_saat,
   rank() OVER (ORDER BY spend DESC, segment_id) AS rnk
  FROM (SELECT a.segment_id, COUNT(*) AS musteri_sayisi, avg(s.toplam_tutar) AS spend, avg(s.kisi_sayisi) AS grp,
    avg(s.urun_sayisi) AS items, sum(s.toplam_tutar) AS rev, avg(s.hafta_sonu) AS wk,

@@ -179,8 +179,8 @@ SMART_CTES = {
 # tests run it against the Spark query on sf0.001.
 SMART_BASKET_BRUTE_FORCE_SQL = rec_sql("""
 SELECT basket_id, rank, product_id, product_name, price, category_id,
- floor(least(0.95, greatest(0.50, CAST(score AS DOUBLE) / greatest(CAST(mx AS DOUBLE), 0.01) * 0.95))
-  * 100 + 0.5) / 100 AS confidence,
+ round_even(least(0.95, greatest(0.50, CAST(score AS DOUBLE) / greatest(CAST(mx AS DOUBLE), 0.01) * 0.95))
+  * 100, 0) / 100 AS confidence,
  reason, false AS has_campaign, CAST(NULL AS VARCHAR) AS campaign_title
 FROM top WHERE rank <= 6""", SMART_CTES)
 

@@ -297,10 +297,7 @@ WHERE contains(lower(product_name), 'plate') OR coalesce(contains(lower(descript
 """, "product_f"))
 def menu_search(spark, sf):
     p = Fixtures(spark, sf).product_f
-    a = R.menu_search(p, "plate").select("product_id")
-    b = R.menu_search(p, "Brand#1").select("product_id")
-    return p.join(a.union(b).distinct(), "product_id", "left_semi").select(
-        "product_id", "product_name", "description")
+    return R.menu_search(p, "plate", "Brand#1").select("product_id", "product_name", "description")
 
 
 @register("staff_search", with_views("""
@@ -309,8 +306,7 @@ WHERE contains(lower(concat_ws(' ', name, surname)), lower('AD3 SOYAD1'))
    OR contains(phone, '00007')""", "staff_f"))
 def staff_search(spark, sf):
     s = Fixtures(spark, sf).staff_f
-    return R.staff_search(s, "AD3 SOYAD1").unionByName(R.staff_search(s, "00007")).distinct().select(
-        "staff_id", "name", "surname", "phone")
+    return R.staff_search(s, "AD3 SOYAD1", "00007").select("staff_id", "name", "surname", "phone")
 
 
 # --------------------------------------------------------------------------- P12
@@ -427,12 +423,12 @@ def keyword_tags(spark, sf):
 
 # --------------------------------------------------------------------------- P18
 @register("stock_check", with_views("""
-SELECT n.table_number, coalesce(bool_and(coalesce(p.is_available, false)), false) AS accepted
+SELECT n.request_id, bool_and(coalesce(p.is_available, true)) AS accepted
 FROM new_line_f n LEFT JOIN product_f p ON p.product_id = n.product_id
-GROUP BY n.table_number""", "new_line_f", "product_f"))
+GROUP BY n.request_id""", "new_line_f", "product_f"))
 def stock_check(spark, sf):
     fx = Fixtures(spark, sf)
-    return R.stock_check(fx.new_line_f, fx.product_f, key="table_number")
+    return R.stock_check(fx.new_line_f, fx.product_f, key="request_id")
 
 
 # --------------------------------------------------------------------------- P19

@@ -7,14 +7,12 @@ views only rename and re-map columns, they never sample.
 Mapping (fixed values, see FIXTURES.md):
   part      -> products   (category = 1 + p_size % 8)
   orders    -> orders     (status from o_orderstatus and the key)
-  lineitem  -> order items (item id = order key * 100 + line rank)
+  lineitem  -> order items (item id = order key and line rank)
   customer  -> tables, supplier -> staff, events -> change and event streams
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,9 +39,11 @@ def _case(key: Column, mapping: list[tuple[int, object]], default=None) -> Colum
     return expr.otherwise(F.lit(default)) if default is not None else expr
 
 
-def category_f(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    return spark.createDataFrame(
-        CATEGORY_ROWS, "category_id int, category_name string, station_id int")
+def category_f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categories that products are in, with their names and stations."""
+    names = spark.createDataFrame(CATEGORY_ROWS, "category_id int, category_name string, station_id int")
+    used = read_table(spark, sf_dir, "part").select((F.lit(1) + F.col("p_size") % 8).alias("category_id")).distinct()
+    return names.join(used, "category_id", "left_semi")
 
 
 def product_f(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ def order_item_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     rf = F.col("l_returnflag")
     return (li.join(part, li.l_partkey == part.p_partkey)
               .select(
-                  (F.col("l_orderkey") * 100 + F.row_number().over(w)).alias("item_id"),
+                  F.concat_ws("-", F.col("l_orderkey"), F.row_number().over(w)).alias("item_id"),
                   F.col("l_orderkey").alias("order_id"),
                   F.col("l_partkey").alias("product_id"),
                   F.col("l_quantity").cast("int").alias("quantity"),
@@ -151,17 +151,27 @@ def staff_f(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 4 != 0).alias("is_active"))
 
 
+def _size(spark: SparkSession, sf_dir: str, table: str) -> Column:
+    """Rows of a table as a scalar subquery: changes are spread over all keys."""
+    return read_table(spark, sf_dir, table).select(F.count(F.lit(1))).scalar()
+
+
+def payment_order(spark: SparkSession, sf_dir: str) -> Column:
+    """Order that an event pays: eight events in a row pay the same order."""
+    return F.floor(F.col("event_id") / 8).cast("long") % _size(spark, sf_dir, "orders")
+
+
 def payment_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir, "purchase").select(
         F.col("event_id").alias("payment_id"), "ts",
-        (F.col("event_id") % 500).alias("order_id"),
+        payment_order(spark, sf_dir).alias("order_id"),
         (F.col("value").cast(MONEY) * 1000).cast(MONEY).alias("amount"))
 
 
 def order_status_change_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir, "click").select(
         F.col("event_id").alias("change_id"), "ts",
-        (F.col("event_id") % 500).alias("order_id"),
+        (F.floor(F.col("event_id") / 4).cast("long") % _size(spark, sf_dir, "orders")).alias("order_id"),
         (F.col("event_id") % 7).cast("int").alias("new_status"))
 
 
@@ -169,7 +179,7 @@ def item_status_change_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return _events(spark, sf_dir, "error").select(
         e.alias("change_id"), "ts",
-        ((e % 500) * 100 + 1 + e % 4).alias("item_id"),
+        F.concat_ws("-", e % _size(spark, sf_dir, "orders"), 1 + e % 4).alias("item_id"),
         (e % 7).cast("int").alias("new_status"))
 
 
@@ -178,7 +188,8 @@ def new_line_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir, "signup").select(
         e.alias("line_id"), "ts",
         F.concat(F.lit("Masa "), F.col("user_id").cast("string")).alias("table_number"),
-        (e % 200).alias("product_id"),
+        (e * 7 % _size(spark, sf_dir, "part")).alias("product_id"),
+        (F.col("user_id") * 16 + e % 16).alias("request_id"),
         (F.lit(1) + e % 5).cast("int").alias("quantity"))
 
 
@@ -190,13 +201,13 @@ def cart_event_f(spark: SparkSession, sf_dir: str) -> DataFrame:
                .otherwise(F.lit("remove")))
     return _events(spark, sf_dir).select(
         "event_id", "ts", F.col("user_id").alias("cart_id"),
-        (F.col("event_id") % 5).alias("product_id"), action.alias("action"))
+        (F.col("user_id") * 5 % _size(spark, sf_dir, "part") + F.col("event_id") % 5).alias("product_id"), action.alias("action"))
 
 
 def product_change_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return _events(spark, sf_dir, "view").select(
-        e.alias("change_id"), "ts", (e % 220).alias("product_id"),
+        e.alias("change_id"), "ts", (e % (_size(spark, sf_dir, "part") + 20)).alias("product_id"),
         F.col("value").cast(MONEY).alias("new_price"), (e % 17 == 0).alias("is_delete"))
 
 
@@ -239,7 +250,8 @@ class Fixtures:
 FIXTURE_SQL = {
     "category_f": """SELECT * FROM (VALUES (1,'Başlangıçlar',1),(2,'Salatalar',1),(3,'Burgerler',1),
  (4,'Pizzalar',1),(5,'Ana Yemekler',1),(6,'Makarnalar',1),(7,'İçecekler',2),
- (8,'Tatlılar',1)) AS t(category_id, category_name, station_id)""",
+ (8,'Tatlılar',1)) AS t(category_id, category_name, station_id)
+WHERE category_id IN (SELECT 1 + p_size % 8 FROM part)""",
     "product_f": """SELECT p_partkey AS product_id, p_name AS product_name,
  concat(p_type, ' ', p_brand) AS description,
  CAST(p_retailprice AS DECIMAL(18,2)) AS price, 1 + p_size % 8 AS category_id,
@@ -261,9 +273,9 @@ FROM part""",
  CASE WHEN o_orderkey % 10 = 0 THEN NULL
       ELSE CAST((o_orderkey * 13) % 41 - 5 AS DOUBLE) END AS temperature
 FROM orders""",
-    "order_item_f": """SELECT l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey,
+    "order_item_f": """SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey,
   l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax,
-  l_returnflag) AS item_id,
+  l_returnflag) AS VARCHAR)) AS item_id,
  l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity,
  CAST(p_retailprice AS DECIMAL(18,2)) AS unit_price,
  CAST(CASE l_returnflag WHEN 'R' THEN 6 WHEN 'A' THEN 5 ELSE l_linenumber % 4 END AS INTEGER) AS item_status
@@ -287,23 +299,25 @@ FROM lineitem""",
  lpad(CAST(s_suppkey AS VARCHAR), CASE WHEN s_suppkey % 5 = 0 THEN 3 ELSE 4 END, '0') AS code,
  concat('hash', s_name) AS password_hash, s_suppkey % 4 <> 0 AS is_active
 FROM supplier""",
-    "payment_f": """SELECT event_id AS payment_id, ts, event_id % 500 AS order_id,
+    "payment_f": """SELECT event_id AS payment_id, ts, event_id // 8 % (SELECT COUNT(*) FROM orders) AS order_id,
  CAST(CAST(value AS DECIMAL(18,2)) * 1000 AS DECIMAL(18,2)) AS amount
 FROM events WHERE event_type = 'purchase'""",
-    "order_status_change_f": """SELECT event_id AS change_id, ts, event_id % 500 AS order_id,
+    "order_status_change_f": """SELECT event_id AS change_id, ts, event_id // 4 % (SELECT COUNT(*) FROM orders) AS order_id,
  CAST(event_id % 7 AS INTEGER) AS new_status
 FROM events WHERE event_type = 'click'""",
-    "item_status_change_f": """SELECT event_id AS change_id, ts, (event_id % 500) * 100 + 1 + event_id % 4 AS item_id,
+    "item_status_change_f": """SELECT event_id AS change_id, ts, concat_ws('-', CAST(event_id % (SELECT COUNT(*) FROM orders) AS VARCHAR),
+  CAST(1 + event_id % 4 AS VARCHAR)) AS item_id,
  CAST(event_id % 7 AS INTEGER) AS new_status
 FROM events WHERE event_type = 'error'""",
     "new_line_f": """SELECT event_id AS line_id, ts, concat('Masa ', CAST(user_id AS VARCHAR)) AS table_number,
- event_id % 200 AS product_id, CAST(1 + event_id % 5 AS INTEGER) AS quantity
+ event_id * 7 % (SELECT COUNT(*) FROM part) AS product_id, user_id * 16 + event_id % 16 AS request_id, CAST(1 + event_id % 5 AS INTEGER) AS quantity
 FROM events WHERE event_type = 'signup'""",
-    "cart_event_f": """SELECT event_id, ts, user_id AS cart_id, event_id % 5 AS product_id,
+    "cart_event_f": """SELECT event_id, ts, user_id AS cart_id,
+ user_id * 5 % (SELECT COUNT(*) FROM part) + event_id % 5 AS product_id,
  CASE event_type WHEN 'view' THEN 'add' WHEN 'purchase' THEN 'add'
   WHEN 'click' THEN 'increase' WHEN 'error' THEN 'decrease' ELSE 'remove' END AS action
 FROM events""",
-    "product_change_f": """SELECT event_id AS change_id, ts, event_id % 220 AS product_id,
+    "product_change_f": """SELECT event_id AS change_id, ts, event_id % ((SELECT COUNT(*) FROM part) + 20) AS product_id,
  CAST(value AS DECIMAL(18,2)) AS new_price, event_id % 17 = 0 AS is_delete
 FROM events WHERE event_type = 'view'""",
     "campaign_log_f": """SELECT event_id AS log_id, ts, user_id AS terminal_id,
@@ -319,7 +333,3 @@ def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> s
     for n, text in (extra or {}).items():
         parts.append(f"{n} AS ({text})")
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -3,20 +3,18 @@
 The source pushes every new order to all listeners; here the order events
 arrive as a file stream.  Nothing in the source carries event time or late
 data, so no watermark is needed: T1 is a stateless projection (append),
-T2 a keyed aggregate (update mode, state = one row per table), T3 applies
-payments per micro-batch with ``foreachBatch`` and writes one output folder
-per batch id, so a retried batch overwrites itself (exactly-once effect).
+T2 keeps the events that each table's state depends on and upserts them per
+micro-batch, T3 sums payments per micro-batch.  Both write one folder per batch
+id, so a retried batch overwrites itself, and all checkpoints lie beside the
+outputs, so a restart goes on where the last run ended (exactly-once effect).
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tavola.operators import lifecycle as L
-from tavola.session import scratch_path
 from tavola.sources.tables import TABLE_SCHEMAS, table_path
 
 
@@ -40,26 +38,69 @@ def order_feed(events: DataFrame) -> DataFrame:
                                     F.col("amount").cast("string")).alias("message"))
 
 
-def table_state(events: DataFrame) -> DataFrame:
-    """Live per-table state: event count, order count and total, last
-    event type (by time, then id)."""
-    return events.groupBy("table_id").agg(
-        F.count(F.lit(1)).alias("events"),
-        F.count_if(F.col("event_type") == "purchase").alias("orders"),
-        F.sum(F.when(F.col("event_type") == "purchase", F.col("amount"))).cast("decimal(38,2)").alias("ordered"),
-        F.max_by("event_type", F.struct("ts", "event_id")).alias("last_event"))
-
-
-def run_to_end(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a streaming query over everything available into a memory table
-    and return that table (tests and the batch-equal check)."""
-    spark = df.sparkSession
-    qname = f"{name}_{uuid.uuid4().hex[:8]}"
-    q = (df.writeStream.outputMode(mode).format("memory").queryName(qname)
-           .option("checkpointLocation", scratch_path(spark, f"streams/{qname}"))
-           .trigger(availableNow=True).start())
+def _key(kind: str):
+    return F.when(F.col("event_type") == kind, F.struct("ts", "event_id"))
+
+
+def live_events(events: DataFrame) -> DataFrame:
+    """The events that a table's occupancy still depends on: its last payment
+    (signup), its last confirmation (click), and the orders (purchase) since the
+    last payment.  Any order of arrival gives the same rows, and rows that come
+    twice count once."""
+    last = events.groupBy("table_id").agg(F.max(_key("signup")).alias("_paid"), F.max(_key("click")).alias("_seen"))
+    own = F.struct("ts", "event_id")
+    keep = ((F.col("event_type") == "purchase") & (F.col("_paid").isNull() | (own > F.col("_paid")))) \
+        | (own == F.col("_paid")) | (own == F.col("_seen"))
+    return events.join(last, "table_id").filter(keep).select(*events.columns).distinct()
+
+
+def occupancy(live: DataFrame) -> DataFrame:
+    """Per table whether it has unpaid orders, whether one of them is not
+    confirmed yet, their amount, number and oldest time."""
+    last = live.groupBy("table_id").agg(F.max(_key("click")).alias("seen"))
+    orders = live.filter(F.col("event_type") == "purchase").join(last, "table_id")
+    pending = F.col("seen").isNull() | (F.struct("ts", "event_id") > F.col("seen"))
+    unpaid = orders.groupBy("table_id").agg(
+        F.count(F.lit(1)).alias("open_orders"), F.max(pending).alias("has_pending_order"),
+        F.sum("amount").cast("decimal(38,2)").alias("open_amount"), F.min("ts").alias("oldest_order_at"))
+    return last.select("table_id").join(unpaid, "table_id", "left").select(
+        "table_id", F.col("open_orders").isNotNull().alias("is_occupied"),
+        F.coalesce("has_pending_order", F.lit(False)).alias("has_pending_order"),
+        F.coalesce("open_orders", F.lit(0)).alias("open_orders"), "open_amount", "oldest_order_at")
+
+
+def _checkpoint(out_dir: str) -> str:
+    """A stream's checkpoint lies beside its output, so that a restart with the
+    same output goes on where the last run ended."""
+    return out_dir.rstrip("/") + "_checkpoint"
+
+
+def run_feed(feed: DataFrame, out_dir: str) -> DataFrame:
+    """Append the feed to files, each row once, and read them back."""
+    q = (feed.writeStream.outputMode("append").format("parquet").option("path", out_dir)
+             .option("checkpointLocation", _checkpoint(out_dir)).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return feed.sparkSession.read.schema(feed.schema).parquet(out_dir)
+
+
+def run_table_state(events: DataFrame, out_dir: str) -> DataFrame:
+    """Upsert the live events of every table per micro-batch.  Version N is
+    written from version N - 1 and batch N, so a batch that is run again writes
+    the same rows to the same place.  Returns the occupancy after the last batch."""
+    spark, schema = events.sparkSession, events.schema
+
+    def before(n: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{out_dir}/version={n}")
+
+    def upsert(batch: DataFrame, n: int) -> None:
+        known = before(n - 1).unionByName(batch) if n else batch
+        live_events(known).write.mode("overwrite").parquet(f"{out_dir}/version={n}")
+
+    q = (events.writeStream.foreachBatch(upsert).option("checkpointLocation", _checkpoint(out_dir))
+               .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(qname)
+    versions = spark.read.parquet(out_dir).select(F.max("version")).first()[0]
+    return occupancy(before(int(versions)))
 
 
 def settle_payments(spark: SparkSession, payments: DataFrame, out_dir: str):
@@ -69,8 +110,7 @@ def settle_payments(spark: SparkSession, payments: DataFrame, out_dir: str):
         (batch.groupBy("order_id").agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n"))
               .write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}"))
 
-    q = (payments.writeStream.foreachBatch(apply)
-                 .option("checkpointLocation", scratch_path(spark, f"streams/pay-{uuid.uuid4().hex[:8]}"))
+    q = (payments.writeStream.foreachBatch(apply).option("checkpointLocation", _checkpoint(out_dir))
                  .trigger(availableNow=True).start())
     q.awaitTermination()
 

@@ -3,7 +3,7 @@
 Frequent itemsets come from MLlib's distributed FP-Growth (PFP).  MLlib's own
 rule generator only emits one-item consequents, so rules with any split of an
 itemset are produced here: each frequent itemset of size >= 2 is expanded to
-all its proper non-empty subsets by bit mask (a generator inside the task, no
+all its proper non-empty subsets level by level (generators inside the task, no
 shuffle), then antecedent and consequent supports are attached with two
 equi-joins on the sorted item array.  The itemset table is the only thing
 joined and it is itself bounded by ``min_support``.
@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,14 +76,25 @@ def drop_too_frequent(itemsets: DataFrame, max_support: float) -> DataFrame:
 
 
 def rule_candidates(itemsets: DataFrame) -> DataFrame:
-    """Every (antecedent, consequent) split of every itemset of size >= 2."""
-    big = itemsets.filter(F.col("length") >= 2)
-    two_pow = lambda e: F.pow(F.lit(2), e).cast("long")  # noqa: E731  exact below 2^63
-    mask = F.explode(F.sequence(F.lit(1).cast("long"), two_pow(F.col("length")) - 2))
-    split = big.select("items", "freq", "n_baskets", mask.alias("m"))
-    ante = F.filter("items", lambda x, i: F.col("m").bitwiseAND(two_pow(i)) != 0)
-    return split.select("items", "freq", "n_baskets", ante.alias("antecedent")).withColumn(
-        "consequent", F.array_except("items", "antecedent"))
+    """Every (antecedent, consequent) split of every itemset of size >= 2.
+
+    Antecedents are made level by level: each row drops one more item, at or
+    after the place where the last one was dropped, which makes every subset
+    once.  A row yields as many rows as it has items left, never 2^n at once."""
+    level = itemsets.filter(F.col("length") >= 2).select(
+        "items", "freq", "n_baskets", F.col("items").alias("antecedent"), F.lit(0).alias("start"))
+    longest = itemsets.agg(F.max("length")).first()[0] or 0
+    levels = [level.filter(F.lit(False))]
+    left = F.size("antecedent")
+    for _ in range(longest - 1):
+        drop = level.filter((left > 1) & (F.col("start") < left)).withColumn(
+            "start", F.explode(F.sequence(F.col("start"), left - 1)))
+        level = drop.withColumn("antecedent", F.concat(
+            F.slice("antecedent", F.lit(1), F.col("start")),
+            F.slice("antecedent", F.col("start") + 2, F.greatest(left - F.col("start") - 1, F.lit(0)))))
+        levels.append(level)
+    split = reduce(lambda a, b: a.unionByName(b), levels)
+    return split.drop("start").withColumn("consequent", F.array_except("items", "antecedent"))
 
 
 def association_rules(itemsets: DataFrame, preset: RulePreset) -> DataFrame:

@@ -49,3 +49,18 @@ def test_suggestion_text_golden(spark):
     pct = sorted(int(r["oneri_metni"].split("(%")[1].split(" ")[0]) for r in out)
     assert pct == [94, 100, 100]
     assert out[0]["oneri_metni"].startswith("'")
+
+
+def test_splits_of_long_itemsets(spark):
+    from pyspark.sql import functions as F
+    from tavola.operators.mining import rule_candidates
+    sets = [[f"i{k:02d}" for k in range(n)] for n in (1, 2, 3, 14)]
+    df = spark.createDataFrame([(s, 5, 10, len(s)) for s in sets], "items array<string>, freq long, n_baskets long, length int")
+    got = rule_candidates(df)
+    counts = {len(r["items"]): (r["n"], r["d"]) for r in got.groupBy("items").agg(
+        F.count("*").alias("n"), F.countDistinct("antecedent").alias("d")).collect()}
+    assert counts == {n: (2 ** n - 2,) * 2 for n in (2, 3, 14)}
+    bad = got.filter((F.size("antecedent") == 0) | (F.size("consequent") == 0)
+                     | (F.size("antecedent") + F.size("consequent") != F.size("items")))
+    assert bad.count() == 0
+    assert rule_candidates(df.limit(0)).count() == 0

@@ -85,16 +85,12 @@ def reason_key(phase: int, a=None, b=None, c=None, rule_key: Column | None = Non
                     rk.alias("r")).alias("key")
 
 
-PH = 1 << 60   # phase weight of a numeric reason key
-
-
-def num_key(phase: int, a=None, b=None, c=None) -> Column:
-    """Numeric form of the loop position: phase, cart item id (< 2^40),
-    word position and list position (< 2^10 each).  Keeps the first-reason
-    aggregation hash based (no string or struct buffers)."""
+def loop_key(phase: int, a=None, b=None, c=None) -> Column:
+    """Position of a contribution in the source's loop order, compared field by
+    field: phase, cart item id, word position, list position."""
     def lng(x):
         return (F.lit(0) if x is None else (F.col(x) if isinstance(x, str) else x)).cast("long")
-    return (F.lit(phase * PH) + lng(a) * (1 << 20) + lng(b) * (1 << 10) + lng(c)).alias("key")
+    return F.struct(F.lit(phase).alias("ph"), lng(a).alias("a"), lng(b).alias("b"), lng(c).alias("c")).alias("key")
 
 
 # ---------------------------------------------------------------------------
@@ -203,14 +199,14 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
     # Category complement, per cart item (dense: whole category)
     p1 = (cart.join(F.broadcast(complements), cart.item_category == complements.src_category)
               .select("basket_id", "category_id", times("weight", 0.5).alias("score"),
-                      F.col("product_id").alias("ref"), num_key(1, "product_id", "pos")))
+                      F.col("product_id").alias("ref"), loop_key(1, "product_id", "pos")))
     # Keyword pairing, per word of each cart item
     cw = cart.select("basket_id", "product_id", F.posexplode(words(F.col("item_name"))).alias("word_pos", "keyword"))
     kw_ids = pairings.select("keyword").distinct().withColumn("kw_id", F.xxhash64("keyword"))
     pw = cw.join(F.broadcast(pairings), "keyword").join(F.broadcast(kw_ids), "keyword")
     p2_score = times("boost", 0.7).alias("score")
     p2_reason = F.col("kw_id").alias("ref")
-    p2_key = num_key(2, "product_id", "word_pos", "pos")
+    p2_key = loop_key(2, "product_id", "word_pos", "pos")
     p2_dense = pw.filter(F.col("target_name").isNull()).select("basket_id", "category_id", p2_score, p2_reason, p2_key)
     targets = (F.broadcast(pairings.filter(F.col("target_name").isNotNull()))
                .join(cls.select(*CLASS), "category_id")
@@ -237,7 +233,7 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
     # rule order as a small number per basket (rank of its first rule)
     per_text = per_text.withColumn("_r3", F.dense_rank().over(Window.partitionBy("basket_id").orderBy("_rk")))
     p3 = per_text.join(text_cls, "oneri").select("basket_id", *CLASS, "score", "ref",
-                                                 num_key(3, F.col("_r3")))
+                                                 loop_key(3, F.col("_r3")))
 
     dense = p1.unionByName(p2_dense).groupBy("basket_id", "category_id").agg(
         F.sum("score").cast(SCORE).alias("d_score"), F.min_by("ref", "key").alias("d_ref"),
@@ -264,7 +260,7 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
                       .join(dense.select("basket_id", "category_id"), ["basket_id", "category_id"], "left_anti")
                       .select("basket_id", "category_id", dec(0.15).alias("d_score"),
                               F.lit(0).cast("long").alias("d_ref"),
-                              num_key(4).alias("d_key"),
+                              loop_key(4).alias("d_key"),
                               F.lit(True).alias("is_fill")))
     dense_all = reuse(dense.withColumn("is_fill", F.lit(False)).unionByName(fill))
 
@@ -314,7 +310,7 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
     raw = F.col("score").cast("double") / F.greatest(F.col("_max").cast("double"), F.lit(0.01)) * 0.95
     conf = F.least(F.lit(0.95), F.greatest(F.lit(0.50), raw))
     # decode the first reason of the final rows only (at most `limit` per basket)
-    ph = F.floor(F.col("key") / F.lit(PH)).cast("int")
+    ph = F.col("key.ph")
     names = products.select(F.col("product_id").alias("_pid"), F.col("product_name").alias("_pname"))
     top = (top.withColumn("_ph", ph)
               .join(names, (F.col("_ph") == 1) & (F.col("ref") == F.col("_pid")), "left")
@@ -445,29 +441,48 @@ HEAVY_DRINK_WORDS = ["Kola", "Fanta", "Ayran", "Şalgam", "Ice Tea"]
 LIGHT_DRINK_WORDS = ["Su", "Soda", "Limonata", "Ice Tea"]
 HEAVY_MEAL_CATEGORIES = [3, 4, 5, 6]
 
-# The picks depend only on (level, seed), never on the request, so they are
-# computed once per level over the catalogue and joined to the requests:
-# no request x catalogue product is formed.
+# A request draws its picks on its own: slot k of a request is a hash of
+# (request, slot, seed) that points into the numbered pool of its level, skipping
+# what earlier slots have drawn.  No request x catalogue product is formed.
+
+
+def _draws(size: Column, n: int, seed: int) -> Column:
+    """Up to n different numbers below ``size``, drawn by ``request_id``."""
+    def hashed(slot: Column) -> Column:
+        text = F.concat_ws("-", F.col("request_id").cast("string"), slot.cast("string"), F.lit(str(seed)))
+        return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+    def draw(taken: Column, slot: Column) -> Column:
+        free = F.pmod(hashed(slot), size - slot)        # the free-th number that is not taken yet
+        number = F.aggregate(F.array_sort(taken), free, lambda i, t: F.when(i >= t, i + 1).otherwise(i))
+        return F.array_append(taken, number)
+
+    slots = F.slice(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), F.lit(1),
+                    F.least(size, F.lit(n)).cast("int"))
+    return F.aggregate(slots, F.expr("array()").cast("array<long>"), draw)
 
 
-def _picks(pool: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(*order, "product_id")
-    return pool.withColumn("pick", F.row_number().over(w)).filter(F.col("pick") <= n)
+def _pick(requests: DataFrame, pool: DataFrame, group: str, n: int, seed: int) -> DataFrame:
+    """Rows (request columns, slot, pool columns): n draws per request from the
+    pool rows of its ``group``."""
+    numbered = pool.withColumn("number", (F.row_number().over(Window.partitionBy(group).orderBy("product_id")) - 1).cast("long"))
+    sizes = numbered.groupBy(group).agg(F.count(F.lit(1)).alias("pool_size"))
+    drawn = (requests.join(sizes, group)
+             .select("*", F.posexplode(_draws(F.col("pool_size"), n, seed)).alias("slot", "number")))
+    return drawn.join(numbered, [group, "number"]).drop("number")
 
 
 def wizard_mains(products: DataFrame, requests: DataFrame, seed: int, n: int = 4) -> DataFrame:
     """``requests`` (request_id, hunger) -> n mains from the level's
-    categories in seeded random order."""
+    categories in seeded random order, drawn for each request."""
     spark = requests.sparkSession
     levels = spark.createDataFrame([(h, c) for h, cats in HUNGER_CATEGORIES.items() for c in cats],
                                    "hunger string, category_id int")
-    pool = F.broadcast(levels).join(products.select("product_id", "product_name", "category_id", "price"),
-                                    "category_id")
-    picks = _picks(pool, ["hunger"], [F.xxhash64("product_id", F.lit(seed))], n)
-    req = requests.withColumn("hunger", F.when(F.col("hunger").isin("az", "orta"), F.col("hunger"))
-                                         .otherwise(F.lit("cok")))
-    return req.join(F.broadcast(picks), "hunger").select(
-        "request_id", "pick", "product_id", "product_name", "category_id", "price")
+    pool = products.select("product_id", "product_name", "category_id", "price").join(F.broadcast(levels), "category_id")
+    req = requests.select("request_id", F.when(F.col("hunger").isin("az", "orta"), F.col("hunger"))
+                          .otherwise(F.lit("cok")).alias("hunger"))
+    return _pick(req, pool, "hunger", n, seed).select(
+        "request_id", (F.col("slot") + 1).alias("pick"), "product_id", "product_name", "category_id", "price")
 
 
 def _any_contains(name: Column, ws: list[str], lower: bool = False) -> Column:
@@ -479,31 +494,36 @@ def _any_contains(name: Column, ws: list[str], lower: bool = False) -> Column:
 
 
 def wizard_drinks(products: DataFrame, requests: DataFrame, seed: int, drink_category: int = 7,
-                  n: int = 4) -> DataFrame:
+                  n: int = 4, hot=HOT_DRINK_WORDS, heavy_words=HEAVY_DRINK_WORDS,
+                  light_words=LIGHT_DRINK_WORDS) -> DataFrame:
     """``requests`` (request_id, main_category).  Hot drinks are dropped;
-    heavy meals prefer one keyword list, light meals another (W11)."""
+    heavy meals prefer one keyword list, light meals another (W11): preferred
+    drinks are drawn first, then the others."""
     name = F.col("product_name")
     drinks = products.filter((F.col("category_id") == drink_category)
-                             & ~_any_contains(name, HOT_DRINK_WORDS, lower=True)).select(
-        "product_id", "product_name", "price")
-    heavy = drinks.withColumn("heavy", F.lit(True)).withColumn("pref", _any_contains(name, HEAVY_DRINK_WORDS))
-    light = drinks.withColumn("heavy", F.lit(False)).withColumn("pref", _any_contains(name, LIGHT_DRINK_WORDS))
-    picks = _picks(heavy.unionByName(light), ["heavy"],
-                   [F.col("pref").desc(), F.xxhash64("product_id", F.lit(seed))], n)
-    req = requests.withColumn("heavy", F.coalesce(F.col("main_category").isin(*HEAVY_MEAL_CATEGORIES),
-                                                  F.lit(False)))
-    return req.join(F.broadcast(picks), "heavy").select("request_id", "pick", "product_id", "product_name",
-                                                         "price")
+                             & ~_any_contains(name, hot, lower=True)).select("product_id", "product_name", "price")
+    by_meal = (drinks.withColumn("meal", F.lit("heavy")).withColumn("pref", _any_contains(name, heavy_words))
+               .unionByName(drinks.withColumn("meal", F.lit("light")).withColumn("pref", _any_contains(name, light_words))))
+    pool = by_meal.withColumn("level", F.concat_ws("-", "meal", F.when(F.col("pref"), F.lit("first")).otherwise(F.lit("last"))))
+    heavy = F.coalesce(F.col("main_category").isin(*HEAVY_MEAL_CATEGORIES), F.lit(False))
+    meal = F.when(heavy, F.lit("heavy")).otherwise(F.lit("light"))
+    req = requests.select("request_id", meal.alias("_meal"), F.explode(F.array(F.lit("first"), F.lit("last"))).alias("_turn"))
+    req = req.select("request_id", F.concat_ws("-", "_meal", "_turn").alias("level"))
+    drawn = _pick(req, pool, "level", n, seed)
+    firsts = (pool.filter("pref").groupBy("meal").agg(F.least(F.lit(n), F.count(F.lit(1))).cast("int").alias("before")))
+    pick = F.col("slot") + 1 + F.when(F.col("pref"), 0).otherwise(F.coalesce("before", F.lit(0)))
+    return (drawn.join(firsts, "meal", "left").withColumn("pick", pick).filter(F.col("pick") <= n)
+                 .select("request_id", "pick", "product_id", "product_name", "price"))
 
 
 def wizard_desserts(products: DataFrame, requests: DataFrame, seed: int, dessert_category: int = 8,
                     n: int = 4) -> DataFrame:
-    """N desserts in seeded random order."""
-    desserts = (products.filter(F.col("category_id") == dessert_category)
-                        .select("product_id", "product_name", "price").withColumn("_g", F.lit(1)))
-    picks = _picks(desserts, ["_g"], [F.xxhash64("product_id", F.lit(seed))], n)
-    return (requests.withColumn("_g", F.lit(1)).join(F.broadcast(picks), "_g")
-                    .select("request_id", "pick", "product_id", "product_name", "price"))
+    """N desserts in seeded random order, drawn for each request."""
+    desserts = products.filter(F.col("category_id") == dessert_category).select(
+        "product_id", "product_name", "price", F.col("category_id").alias("level"))
+    req = requests.select("request_id", F.lit(dessert_category).alias("level"))
+    return _pick(req, desserts, "level", n, seed).select(
+        "request_id", (F.col("slot") + 1).alias("pick"), "product_id", "product_name", "price")
 
 
 def combo_total(main: DataFrame, drink: DataFrame, dessert: DataFrame) -> DataFrame:

@@ -60,28 +60,94 @@ def _menu(fx):
     return fx.product_f.filter(F.col("is_active"))
 
 
-@register("wizard_mains")
+def _draw_ctes(name: str, requests: str, group: str, pool: str) -> dict[str, str]:
+    """Four draws per request from the numbered pool of its group, as SQL."""
+    h = f"CAST('0x' || substr(md5(concat_ws('-', CAST(request_id AS VARCHAR), '{{}}', '{WIZARD_SEED}')), 1, 8) AS BIGINT)"
+    draw = ", ".join(f"CASE WHEN m > {k} THEN {h.format(k)} % (m - {k}) END AS r{k}" for k in range(4))
+    return {
+        f"{name}_pool": f"SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY product_id) - 1 AS number FROM ({pool})",
+        f"{name}_r": f"""SELECT q.*, {draw} FROM ({requests}) q
+ JOIN (SELECT {group}, COUNT(*) AS m FROM {name}_pool GROUP BY {group}) s USING ({group})""",
+        f"{name}_1": f"SELECT *, r0 AS i0, r1 + CAST(r1 >= r0 AS INTEGER) AS i1 FROM {name}_r",
+        f"{name}_2": f"""SELECT *, t + CAST(t >= greatest(i0, i1) AS INTEGER) AS i2
+ FROM (SELECT *, r2 + CAST(r2 >= least(i0, i1) AS INTEGER) AS t FROM {name}_1)""",
+        f"{name}_3": f"""SELECT *, t2 + CAST(t2 >= s[3] AS INTEGER) AS i3 FROM (
+ SELECT *, t1 + CAST(t1 >= s[2] AS INTEGER) AS t2 FROM (
+ SELECT *, r3 + CAST(r3 >= s[1] AS INTEGER) AS t1 FROM (SELECT *, list_sort([i0, i1, i2]) AS s FROM {name}_2)))""",
+        f"{name}_d": f"""SELECT d.request_id, d.k AS slot, p.* FROM (
+  SELECT request_id, {group}, unnest([0, 1, 2, 3]) AS k, unnest([i0, i1, i2, i3]) AS number FROM {name}_3) d
+ JOIN {name}_pool p ON p.{group} = d.{group} AND p.number = d.number""",
+    }
+
+
+# Words of the test vocabulary that stand for drink words.
+TEST_HOT, TEST_HEAVY, TEST_LIGHT = ["bolt"], ["gear", "plate"], ["widget", "nut"]
+
+
+def _has(words: list[str], name: str = "product_name") -> str:
+    return "(" + " OR ".join(f"contains({name}, '{w}')" for w in words) + ")"
+
+
+WIZARD_CTES = {
+    "menu": "SELECT product_id, product_name, category_id, price FROM product_f WHERE is_active",
+    "req": """SELECT f.order_id AS request_id, CASE WHEN n <= 2 THEN 'az' WHEN n <= 4 THEN 'orta' ELSE 'cok' END AS hunger,
+  p.category_id AS main_category
+ FROM (SELECT order_id, COUNT(*) AS n, arg_min(product_id, item_id) AS first_product FROM order_item_f GROUP BY order_id) f
+ LEFT JOIN product_f p ON p.product_id = f.first_product""",
+    **_draw_ctes("mains", "SELECT request_id, hunger FROM req", "hunger", "SELECT menu.*, l.hunger FROM menu JOIN (VALUES "
+                 + ", ".join(f"('{h}', {c})" for h, cs in RC.HUNGER_CATEGORIES.items() for c in cs)
+                 + ") AS l(hunger, category_id) ON l.category_id = menu.category_id"),
+    "drinkable": f"SELECT * FROM menu WHERE category_id = 7 AND NOT {_has(TEST_HOT, 'lower(product_name)')}",
+    **_draw_ctes("drinks", """SELECT request_id, meal || turn AS level FROM (SELECT request_id,
+  CASE WHEN coalesce(main_category IN (3, 4, 5, 6), false) THEN 'heavy' ELSE 'light' END AS meal,
+  unnest(['-first', '-last']) AS turn FROM req)""", "level", f"""SELECT *, meal || CASE WHEN pref THEN '-first' ELSE '-last' END AS level
+ FROM (SELECT *, 'heavy' AS meal, {_has(TEST_HEAVY)} AS pref FROM drinkable
+       UNION ALL SELECT *, 'light', {_has(TEST_LIGHT)} FROM drinkable)"""),
+    "drinks": """SELECT request_id, CAST(pick AS INTEGER) AS pick, product_id, product_name, price FROM (
+  SELECT d.*, slot + 1 + CASE WHEN pref THEN 0 ELSE coalesce(before, 0) END AS pick FROM drinks_d d
+  LEFT JOIN (SELECT meal, least(4, COUNT(*)) AS before FROM drinks_pool WHERE pref GROUP BY meal) b USING (meal))
+ WHERE pick <= 4""",
+    **_draw_ctes("desserts", "SELECT request_id, 8 AS level FROM req", "level", "SELECT *, category_id AS level FROM menu WHERE category_id = 8"),
+}
+
+
+def _wizard_sql(body: str) -> str:
+    return with_views(body, "product_f", "order_item_f", extra=WIZARD_CTES)
+
+
+@register("wizard_mains", _wizard_sql(
+    "SELECT request_id, CAST(slot + 1 AS INTEGER) AS pick, product_id, product_name, category_id, price FROM mains_d"))
 def wizard_mains(spark, sf):
     fx = Fixtures(spark, sf)
     return RC.wizard_mains(_menu(fx), _requests(fx), WIZARD_SEED)
 
 
-@register("wizard_drinks")
+def _drinks(fx, req):
+    return RC.wizard_drinks(_menu(fx), req, WIZARD_SEED, hot=TEST_HOT, heavy_words=TEST_HEAVY, light_words=TEST_LIGHT)
+
+
+@register("wizard_drinks", _wizard_sql("SELECT * FROM drinks"))
 def wizard_drinks(spark, sf):
     fx = Fixtures(spark, sf)
-    return RC.wizard_drinks(_menu(fx), _requests(fx), WIZARD_SEED)
+    return _drinks(fx, _requests(fx))
 
 
-@register("wizard_desserts")
+@register("wizard_desserts", _wizard_sql("""
+SELECT s.request_id, CAST(s.slot + 1 AS INTEGER) AS pick, s.product_id, s.product_name, s.price,
+ CAST(coalesce(m.price, 0) + coalesce(d.price, 0) + coalesce(f.price, 0) AS DECIMAL(20,2)) AS total
+FROM desserts_d s
+LEFT JOIN mains_d m ON m.request_id = s.request_id AND m.slot = 0
+LEFT JOIN drinks d ON d.request_id = s.request_id AND d.pick = 1
+LEFT JOIN desserts_d f ON f.request_id = s.request_id AND f.slot = 0"""))
 def wizard_desserts(spark, sf):
     """Desserts plus the combo total of the first main, drink and dessert."""
     fx = Fixtures(spark, sf)
     req = _requests(fx)
     mains = RC.wizard_mains(_menu(fx), req, WIZARD_SEED).filter("pick = 1")
-    drinks = RC.wizard_drinks(_menu(fx), req, WIZARD_SEED).filter("pick = 1")
+    drinks = _drinks(fx, req).filter("pick = 1")
     desserts = RC.wizard_desserts(_menu(fx), req, WIZARD_SEED)
     total = RC.combo_total(mains, drinks, desserts.filter("pick = 1"))
-    return desserts.join(total, "request_id", "left")
+    return desserts.join(total, "request_id", "left").withColumn("total", F.col("total").cast("decimal(20,2)"))
 
 
 # ----------------------------------------------------------------- U2

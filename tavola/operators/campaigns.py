@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tavola.functions import rules as RU
 
@@ -87,14 +86,17 @@ def context_campaigns(contexts: DataFrame, spark: SparkSession, key: str = "cont
 
 
 def pool_picks(contexts: DataFrame, spark: SparkSession, seed: int, key: str = "context_id") -> DataFrame:
-    """2 or 3 picks from the always-on pool per context, seeded."""
-    n_pool = len(ALWAYS_ON_POOL)
-    count = F.lit(2) + F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2))
-    picks = (contexts.select(key, count.alias("_k"),
-                             F.explode(F.sequence(F.lit(0), F.lit(n_pool - 1))).alias("seq"))
-                     .withColumn("_h", F.xxhash64(F.col(key), F.col("seq"), F.lit(seed + 1))))
-    ranked = picks.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_h", "seq")))
-    chosen = ranked.filter(F.col("_r") <= F.col("_k")).select(key, "seq", F.col("_r").alias("pick_order"))
+    """2 or 3 picks from the always-on pool per context, in the order of
+    md5(context, entry, seed).  The fixed pool is sorted inside the row."""
+    def hashed(*parts) -> Column:
+        return F.md5(F.concat_ws("-", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
+
+    k = F.col(key)
+    count = F.lit(2) + (F.conv(F.substring(hashed(k, seed), 1, 8), 16, 10).cast("long") % 2).cast("int")
+    entries = F.transform(F.sequence(F.lit(0), F.lit(len(ALWAYS_ON_POOL) - 1)),
+                          lambda s: F.struct(hashed(k, s, seed).alias("h"), s.alias("seq")))
+    chosen = (contexts.select(key, F.posexplode(F.slice(F.array_sort(entries), F.lit(1), count)).alias("_r", "_e"))
+                      .select(key, F.col("_e.seq").alias("seq"), (F.col("_r") + 1).alias("pick_order")))
     return chosen.join(F.broadcast(pool_rules(spark)), "seq").withColumn(
         "seq", F.lit(1000) + F.col("pick_order")).drop("pick_order")
 

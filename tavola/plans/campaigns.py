@@ -41,8 +41,8 @@ CAMP_SQL = "SELECT * FROM (VALUES " + ", ".join(
     for i, c in enumerate(C.CONTEXT_CAMPAIGNS)) + \
     ") AS t(campaign_id, title, discount_percent, target_categories, priority, kind, p1, p2, seq)"
 POOL_SQL = "SELECT * FROM (VALUES " + ", ".join(
-    f"('{c[0]}', '{c[1]}', {c[2]}, {_sql_list(c[3])}, '{c[4]}')" for c in C.ALWAYS_ON_POOL) + \
-    ") AS t(campaign_id, title, discount_percent, target_categories, priority)"
+    f"({i}, '{c[0]}', '{c[1]}', {c[2]}, {_sql_list(c[3])}, '{c[4]}')" for i, c in enumerate(C.ALWAYS_ON_POOL)) + \
+    ") AS t(entry, campaign_id, title, discount_percent, target_categories, priority)"
 
 COND_SQL = """CASE c.kind
   WHEN 'cold' THEN x.weather IN ('Soğuk/Karlı', 'Yağmurlu') OR x.temperature < 10
@@ -72,7 +72,21 @@ def campaign_candidates(spark, sf):
     return C.campaign_candidates(order_contexts(Fixtures(spark, sf)), spark, SEED, with_pool=False)
 
 
-@register("campaign_pool")
+POOL_CTES = {
+    "pool": POOL_SQL,
+    "picks": f"""SELECT *, row_number() OVER (PARTITION BY context_id
+   ORDER BY md5(concat_ws('-', CAST(context_id AS VARCHAR), CAST(entry AS VARCHAR), '{SEED}')), entry) AS r
+  FROM ctx, pool""",
+}
+
+
+@register("campaign_pool", with_views(f"""
+SELECT * FROM cands
+UNION ALL
+SELECT context_id, campaign_id, title, discount_percent, target_categories, priority, 1000 + r,
+ CASE priority WHEN 'yuksek' THEN 0 WHEN 'orta' THEN 1 ELSE 2 END, CASE priority WHEN 'yuksek' THEN 1 WHEN 'orta' THEN 2 ELSE 3 END
+FROM picks WHERE r <= 2 + CAST('0x' || substr(md5(concat_ws('-', CAST(context_id AS VARCHAR), '{SEED}')), 1, 8) AS BIGINT) % 2""",
+                                      "order_f", extra={**CTX_CTES, **POOL_CTES}))
 def campaign_pool(spark, sf):
     """Context campaigns plus 2-3 seeded picks from the always-on pool."""
     return C.campaign_candidates(order_contexts(Fixtures(spark, sf)), spark, SEED, with_pool=True)

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -106,7 +107,18 @@ def profile(summary: DataFrame, assignment: DataFrame) -> DataFrame:
         _r(F.col("_items"), 1).alias("ortalama_urun"),
         _r(F.col("_rev"), 2).alias("toplam_ciro"),
         _r(F.col("_weekend") * 100, 1).alias("hafta_sonu_orani"),
-        F.coalesce("en_yogun_saat", F.lit(12)).alias("en_yogun_saat"))
+        F.coalesce("en_yogun_saat", F.lit(12)).alias("en_yogun_saat")).orderBy(F.desc("toplam_ciro"), "segment_id")
+
+
+def cached(spark: SparkSession, path: str, compute) -> DataFrame:
+    """The saved table at ``path``, which ``compute`` fills where it is missing."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def dominant(profile_df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.ml import PipelineModel
@@ -11,8 +12,9 @@ from tavola.operators import datasets as D
 from tavola.operators import forecast as FC
 from tavola.operators import segments as SG
 from tavola.plans.datasets import TRAINING_EXTRA, _summary, _summary_sql, _training
+from tavola.plans.datasets import BASKET_LABELS
 from tavola.plans.registry import register
-from tavola.session import scratch_path
+from tavola.session import cut_lineage, scratch_path
 from tavola.sources import files
 from tavola.sources.fixtures import Fixtures
 
@@ -107,6 +109,21 @@ def forecast_fit(spark, sf):
                      F.lit(float(lr.intercept)).alias("intercept"), "r2")
 
 
+@register("forecast_equations", "SELECT unnest(['intercept', " + ", ".join(f"'{f}'" for f in FC.FEATURES)
+          + "]) AS feature, true AS holds")
+def forecast_equations(spark, sf):
+    """The normal equations of the fit, one row per column: the weighted
+    residuals are orthogonal to it (to a millionth of its size)."""
+    model, train = _model(spark, sf)
+    p = model.transform(train).withColumn("intercept", F.lit(1.0))
+    w, rest = F.col("weight"), F.col("toplam_ciro") - F.col("prediction")
+    names = ["intercept", *FC.FEATURES]
+    holds = [(F.abs(F.sum(w * rest * F.col(c))) <= 1e-6 * (F.sum(w * F.abs(F.col("toplam_ciro") * F.col(c))) + 1e-9)).alias(c)
+             for c in names]
+    return p.agg(*holds).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("holds")) for c in names])).alias("r")).select("r.*")
+
+
 @register("forecast")
 def forecast(spark, sf):
     model, _ = _model(spark, sf)
@@ -199,18 +216,38 @@ def dominant_segment(spark, sf):
 
 @register("segments")
 def segments(spark, sf):
-    """Best of 10 K-Means fits, profiled and named; the result
-    is saved as a table in the shared folder and read back."""
-    summary = _summary(spark, sf)
-    sc = SG.scaled(SG.segment_features(summary))
-    model, _ = SG.best_kmeans(sc, k=4, n_init=10)
-    prof = SG.profile(summary, SG.assign(model, sc))
-    path = scratch_path(spark, f"segments/{uuid.uuid4().hex}")
-    prof.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-@register("refresh_job")
+    """Best of 10 K-Means fits, profiled, named and sorted by
+    revenue; the result is saved once per folder and read from then on."""
+    def fit():
+        summary = _summary(spark, sf)
+        sc = SG.scaled(SG.segment_features(summary))
+        model, _ = SG.best_kmeans(sc, k=4, n_init=10)
+        return SG.profile(summary, SG.assign(model, sc))
+
+    name = hashlib.sha256(sf.rstrip("/").encode()).hexdigest()[:24]
+    return (SG.cached(spark, scratch_path(spark, f"segments/{name}"), fit)
+              .orderBy(F.desc("toplam_ciro"), "segment_id"))
+
+
+@register("segments_check", _summary_sql("""
+SELECT COUNT(*) AS orders, COUNT(*) AS at_nearest_centre, 3 AS starts_not_better FROM summary"""))
+def segments_check(spark, sf):
+    """Each order lies in the segment of its nearest centre, and no
+    start of the best-of-n costs less than the best."""
+    sc = cut_lineage(SG.scaled(SG.segment_features(_summary(spark, sf))))
+    model, best = SG.best_kmeans(sc, k=4, n_init=3)
+    costs = [SG.best_kmeans(sc, k=4, n_init=1, seed=42 + i)[1] for i in range(3)]
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+    near = SG.assign_fixed(sc, centres).withColumnRenamed("segment_id", "near")
+    return SG.assign(model, sc).join(near, "siparis_id").agg(
+        F.count(F.lit(1)).alias("orders"), F.count_if(F.col("segment_id") == F.col("near")).alias("at_nearest_centre")
+    ).withColumn("starts_not_better", F.lit(sum(c >= best for c in costs)))
+
+
+@register("refresh_job", _summary_sql("""
+SELECT (SELECT COUNT(*) FROM summary) AS summary_rows, (SELECT COUNT(DISTINCT order_id) FROM order_item_f) AS basket_lines,
+ (SELECT COUNT(DISTINCT order_id) FROM order_item_f) AS basket_rows, (SELECT COUNT(*) FROM training) AS training_days,
+ true AS fitted""", extra=TRAINING_EXTRA))
 def refresh_job(spark, sf):
     """Export the summary (CSV), basket lines (text) and the one-hot
     basket (CSV), then retrain the forecast; one row of counts."""
@@ -219,11 +256,12 @@ def refresh_job(spark, sf):
     summary = D.order_summary(fx.order_f, fx.order_item_f, fx.product_f)
     files.write_csv(summary, f"{base}/orders_summary")
     files.write_text_lines(D.basket_lines(fx.order_item_f, fx.product_f), "line", f"{base}/basket_lines")
-    files.write_csv(D.basket_onehot(fx.order_item_f, fx.product_f, "basket_label"), f"{base}/market_basket")
+    files.write_csv(D.basket_onehot(fx.order_item_f, fx.product_f, "basket_label", BASKET_LABELS), f"{base}/market_basket")
     model, train = _model(spark, sf)
-    r2 = FC.weighted_r2(model, train)
     n_sum = spark.read.schema(files.SUMMARY_SCHEMA).option("header", True).csv(f"{base}/orders_summary")
-    return r2.select(F.lit(n_sum.count()).alias("summary_rows"),
-                     F.lit(spark.read.text(f"{base}/basket_lines").count()).alias("basket_lines"),
-                     F.lit(train.count()).alias("training_days"), "r2")
+    counts = {"summary_rows": n_sum, "basket_lines": spark.read.text(f"{base}/basket_lines"),
+              "basket_rows": spark.read.option("header", True).csv(f"{base}/market_basket"), "training_days": train}
+    return FC.weighted_r2(model, train).select(
+        *[df.select(F.count(F.lit(1))).scalar().alias(name) for name, df in counts.items()],
+        F.col("r2").between(0, 1).alias("fitted"))
 

@@ -130,18 +130,29 @@ def relevant_rules(bk: DataFrame, rules: DataFrame, alias_pairs: DataFrame | Non
 
 def basket_recommendations(baskets: DataFrame, products: DataFrame, rules: DataFrame,
                            alias_pairs: DataFrame | None, limit: int = 5) -> DataFrame:
+    """The first ``limit`` rules of each basket in rule order.
+
+    What a basket gets depends only on its set of keywords, so the rules are
+    matched once per distinct set (its key is an md5 of the sorted words) and
+    the few rows of each set are joined back to its baskets."""
     rules = reuse(rules)
-    bk = reuse(basket_keywords(baskets, products, alias_pairs))
-    m = relevant_rules(bk, rules, alias_pairs).join(rule_order(rules), "rule_id")
+    words_of = (basket_keywords(baskets, products, alias_pairs).groupBy("basket_id")
+                .agg(F.sort_array(F.collect_set("keyword")).alias("words"))
+                .withColumn("set_id", F.md5(F.to_json("words"))))
+    words_of = reuse(words_of)
+    sets = reuse(words_of.select("set_id", "words").distinct()
+                 .select(F.col("set_id").alias("basket_id"), F.explode("words").alias("keyword")))
+    m = relevant_rules(sets, rules, alias_pairs).join(rule_order(rules), "rule_id")
     # First rule per result name (ignoring case) in rule order
     first = m.groupBy("basket_id", F.lower("oneri").alias("_rec")).agg(
         F.min_by(F.struct("tetikleyici", "oneri", "confidence", "lift", "oneri_metni", "rule_key"),
                  F.col("rule_key")).alias("r")).select("basket_id", "r.*")
     w = Window.partitionBy("basket_id").orderBy("rule_key")
-    return (first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-                 .select("basket_id", "rank", F.col("tetikleyici").alias("trigger"),
-                         F.col("oneri").alias("recommendation"), "confidence", "lift",
-                         F.col("oneri_metni").alias("message")))
+    top = (first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+                .select(F.col("basket_id").alias("set_id"), "rank", F.col("tetikleyici").alias("trigger"),
+                        F.col("oneri").alias("recommendation"), "confidence", "lift",
+                        F.col("oneri_metni").alias("message")))
+    return words_of.select("basket_id", "set_id").join(top, "set_id").drop("set_id")
 
 
 # ---------------------------------------------------------------------------

@@ -20,7 +20,7 @@ Texts are known by a 128-bit digest, so copies of one text are worked on once a
 task, and a text that is there twice is covered as a whole.  Within a task equal
 surroundings are settled at once and only one of them is sent on, so a passage
 that a third of the documents share does not gather in one task; a fingerprint
-with more than ``hot`` different places is settled by counting hashes of all its
+in more than ``hot`` different texts is settled by counting hashes of all its
 windows instead, which Spark adds up before it shuffles.  Nothing is left out.
 
 Defined results: a null text is empty; texts shorter than ``length`` are
@@ -43,10 +43,11 @@ from pyspark.sql import functions as F
 
 from tavola.llm.common import written
 from tavola.llm.textscan import mix
+from tavola.llm.workers import lean
 
 LENGTH = 400
-HOT = 50_000             # places of a fingerprint that one task sorts at most
-SLICE = 1 << 20          # bytes hashed at once
+HOT = 20_000             # texts with a fingerprint that one task sorts at most
+SLICE = 1 << 18          # bytes hashed at once
 KNOWN = 100_000          # surroundings or texts that a task remembers
 BASE = 0x9E3779B97F4A7C15 | 1
 _U64 = (1 << 64) - 1
@@ -64,7 +65,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k bytes from each place on."""
-    size = 1 << max(21, (len(buf) - 1).bit_length())
+    size = 1 << max(19, (len(buf) - 1).bit_length())
     power, inverse = _powers(size)
     n = len(buf)
     sums = np.zeros(n + 1, dtype=np.uint64)
@@ -122,14 +123,6 @@ def digest(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
 
 
-def _pack(text: Column) -> Column:
-    def run(texts: pa.Array) -> pa.Array:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        return pa.array([squeeze((t or "").encode()) for t in texts.to_pylist()], type=pa.binary())
-
-    return F.arrow_udf(run, "binary").asNondeterministic()(text)
-
-
 def _unpack(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
@@ -152,7 +145,7 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
                 [pa.array(fp), pa.array(ids, type=pa.binary()).take(pa.array(number)), pa.array(place)],
                 names=["fp", "digest", "pos"])
 
-    return texts.mapInArrow(run, "fp long, digest binary, pos long")
+    return texts.mapInArrow(lean(run), "fp long, digest binary, pos long")
 
 
 def _surroundings(placed: DataFrame, length: int) -> DataFrame:
@@ -189,7 +182,7 @@ def _surroundings(placed: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)],
                                              names=[f.split()[0] for f in fields.split(", ")])
 
-    return placed.mapInArrow(run, fields)
+    return placed.mapInArrow(lean(run), fields)
 
 
 def _matrix(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -232,52 +225,58 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], groups: np.ndarray,
     left, left_length = _matrix(lefts)
     a, b = order[:-1], order[1:]
     lcp = np.where(groups[a] == groups[b], _common(right, right_length, a, b), 0)
-    done = np.zeros(len(order), dtype=bool)     # extended as far left as the text is known
+    left_rank = np.empty(len(order), dtype=np.int64)
+    left_rank[sorted(range(len(lefts)), key=lefts.__getitem__)] = np.arange(len(order))
+    reach = np.full(len(order), -1, dtype=np.int64)     # left extension in the intervals within
     for first, last, depth in intervals(lcp, 1):
         members = order[first:last + 1]
-        if done[members].all():
+        if (reach[members] == left_length[members]).all():
             continue
-        by_left = members[np.array(sorted(range(len(members)), key=lambda i: lefts[members[i]]))]
+        by_left = members[np.argsort(left_rank[members])]
         shared = _common(left, left_length, by_left[:-1], by_left[1:])
         extent = np.maximum(np.append(shared, 0), np.append(0, shared))
-        far = (extent + depth >= length) & ~done[by_left]
+        more = extent > reach[by_left]          # else an interval within reaches as far, and deeper
+        far = more & (extent + depth >= length)
         for row, e in zip(by_left[far].tolist(), extent[far].tolist()):
             yield row, e, depth
-        done[by_left[extent == left_length[by_left]]] = True
+        reach[by_left[more]] = extent[more]
 
 
 def _interval_spans(around: DataFrame, length: int) -> DataFrame:
     """Spans (digest, start, stop) from surroundings that lie together and in
     order by fingerprint; spans in the input pass through."""
-    def settle(rows: list[tuple]) -> list[tuple]:
+    types = pa.binary(), pa.int64(), pa.int64()
+
+    def give(spans: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*spans) if spans else [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)],
+                                          names=["digest", "start", "stop"])
+
+    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         out = []
         if len(rows) > 1:
             groups = np.array([r[0] for r in rows], dtype=np.int64)
             for i, e, depth in maximal_repeats([r[4] for r in rows], [r[5] for r in rows], groups, length):
                 out.append((rows[i][1], rows[i][2] - e, rows[i][2] + depth))
-        return out
+                if len(out) >= 1 << 14:
+                    yield give(out)
+                    out = []
+        yield give(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        types = pa.binary(), pa.int64(), pa.int64()
-
-        def give(spans):
-            columns = zip(*spans) if spans else [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)],
-                                              names=["digest", "start", "stop"])
-
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
             spans = [(r[1], r[2], r[3]) for r in rows if r[5] is None]
             held += [r for r in rows if r[5] is not None]
             if len(held) >= 4096 and held[0][0] != held[-1][0]:
                 cut = next(i for i in range(len(held) - 1, -1, -1) if held[i][0] != held[-1][0]) + 1
-                spans += settle(held[:cut])
+                yield from settle(held[:cut])
                 held = held[cut:]
             yield give(spans)
-        yield give(settle(held))
+        yield from settle(held)
 
-    return around.mapInArrow(run, "digest binary, start long, stop long")
+    return around.mapInArrow(lean(run), "digest binary, start long, stop long")
 
 
 def _window_spans(placed: DataFrame, length: int) -> DataFrame:
@@ -289,17 +288,18 @@ def _window_spans(placed: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             hashes, ids, starts = [], [], []
             for d, packed, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                raw = _unpack(packed)
-                for a in at:
-                    for s in range(max(a["pos"] - reach, 0), min(a["pos"], len(raw) - length) + 1):
+                raw, upto = _unpack(packed), -1
+                for pos in sorted(a["pos"] for a in at):
+                    for s in range(max(pos - reach, upto + 1), min(pos, len(raw) - length) + 1):
                         hashes.append(hashlib.blake2b(raw[s:s + length], digest_size=16).digest())
                         ids.append(d)
                         starts.append(s)
+                        upto = s
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes, pa.binary()), pa.array(ids, pa.binary()), pa.array(starts, pa.int64())],
                 names=["window", "digest", "start"])
 
-    windows = placed.mapInArrow(run, "window binary, digest binary, start long")
+    windows = placed.mapInArrow(lean(run), "window binary, digest binary, start long")
     windows = windows.withColumn("place", F.xxhash64("digest", "start"))
     repeated = (windows.groupBy("window").agg(F.min("place").alias("a"), F.max("place").alias("b"))
                 .where("a <> b").select("window"))
@@ -318,12 +318,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, text_c
                       F.lit(True).alias("copied")))
     found = written(_anchor_rows(texts.select("digest", "text"), length), "anchors")
     place = F.xxhash64("digest", "pos")
-    repeated = (found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("c"))
+    repeated = (found.groupBy("fp", "digest").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+                .groupBy("fp").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("c"))
                 .where("a <> b").select("fp", (F.col("c") > hot).alias("hot")))
     wanted = written(found.join(repeated, "fp").groupBy("digest", "hot")
                      .agg(F.collect_set(F.struct("pos", "fp")).alias("at")), "wanted")
-    packed = texts.select("digest", _pack(F.col("text")).alias("packed"))
-    once = _once(packed)
+    once = _once(texts.select("digest", "text"))
 
     def placed(is_hot: bool) -> DataFrame:
         return once.join(wanted.where(F.col("hot") == is_hot), "digest").select("digest", "packed", "at")
@@ -339,10 +339,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, text_c
                                               F.max("copied").alias("copied")), "spans")
 
 
-def _once(packed: DataFrame) -> DataFrame:
-    """Texts (digest, packed) without those that the same task has sent before."""
+def _once(texts: DataFrame) -> DataFrame:
+    """Compressed texts (digest, packed) without those that the same task has sent before."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             new = []
             for i, d in enumerate(batch.column(0).to_pylist()):
@@ -351,9 +352,12 @@ def _once(packed: DataFrame) -> DataFrame:
                         seen.clear()
                     seen.add(d)
                     new.append(i)
-            yield batch.take(pa.array(new, type=pa.int64()))
+            new = pa.array(new, type=pa.int64())
+            packed = [squeeze((t.as_py() or "").encode()) for t in batch.column(1).take(new)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(new), pa.array(packed, type=pa.binary())],
+                                             names=["digest", "packed"])
 
-    return packed.mapInArrow(run, "digest binary, packed binary")
+    return texts.mapInArrow(lean(run), "digest binary, packed binary")
 
 
 def merged(spans, size: int) -> list[tuple[int, int]]:
@@ -386,7 +390,7 @@ def _cut(packed: Column, spans: Column, copied: Column) -> Column:
             [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()),
              pa.array(kept, pa.binary())], ["n_bytes", "n_removed", "n_spans", "kept"])
 
-    return F.arrow_udf(run, "n_bytes long, n_removed long, n_spans long, kept binary").asNondeterministic()(
+    return F.arrow_udf(lean(run), "n_bytes long, n_removed long, n_spans long, kept binary").asNondeterministic()(
         packed, spans, copied)
 
 
@@ -405,4 +409,4 @@ def readable(kept: Column) -> Column:
     def run(rows: pa.Array) -> pa.Array:
         return pa.array([None if r is None else r.decode(errors="ignore") for r in rows.to_pylist()], type=pa.string())
 
-    return F.arrow_udf(run, "string")(kept)
+    return F.arrow_udf(lean(run), "string")(kept)

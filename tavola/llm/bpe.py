@@ -29,6 +29,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tavola.llm.textscan import span_hashes
+from tavola.llm.workers import lean
 
 SHORT = 256            # bytes; longer words are merged with a heap
 MEMORY = 900_000       # distinct words remembered by a worker
@@ -378,7 +379,7 @@ def encode(text: Column, tokenizer: str) -> Column:
         return pa.array([ids.astype("<u4").tobytes() for ids in bpe.encode_batch(texts.to_pylist())],
                         type=pa.binary())
 
-    return F.arrow_udf(run, "binary").asNondeterministic()(text)
+    return F.arrow_udf(lean(run), "binary").asNondeterministic()(text)
 
 
 def decode(ids: Column, tokenizer: str) -> Column:
@@ -388,7 +389,7 @@ def decode(ids: Column, tokenizer: str) -> Column:
         return pa.array([bpe.decode(np.frombuffer(r or b"", dtype="<u4")).decode()
                          for r in rows.to_pylist()], type=pa.string())
 
-    return F.arrow_udf(run, "string").asNondeterministic()(ids)
+    return F.arrow_udf(lean(run), "string").asNondeterministic()(ids)
 
 
 def round_trip(text: Column, tokenizer: str) -> Column:
@@ -401,4 +402,4 @@ def round_trip(text: Column, tokenizer: str) -> Column:
             [pa.array([i.astype("<u4").tobytes() for i in ids], type=pa.binary()),
              pa.array([bpe.decode(i).decode() for i in ids], type=pa.string())], ["ids", "decoded"])
 
-    return F.arrow_udf(run, "ids binary, decoded string").asNondeterministic()(text)
+    return F.arrow_udf(lean(run), "ids binary, decoded string").asNondeterministic()(text)

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tavola.llm.common import written
+from tavola.llm.workers import lean
 
 MIN_PAGES = 10           # pages of a host on which a subtree must recur at least,
 MIN_SHARE = 0.5          # and the share of the host's pages
@@ -205,7 +206,7 @@ def subtree_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64())],
                                              names=["host", "digest"])
 
-    found = pages.select(F.col(url_col), F.col(html_col)).mapInArrow(run, "host string, digest long")
+    found = pages.select(F.col(url_col), F.col(html_col)).mapInArrow(lean(run), "host string, digest long")
     return found.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages"))
 
 
@@ -228,7 +229,7 @@ def main_text(html: Column, digests: Column) -> Column:
         return pa.array([Page(h.as_py() or "").text(frozenset(r.as_py() or ()))
                          for h, r in zip(htmls, recurring)], type=pa.string())
 
-    return F.arrow_udf(run, "string").asNondeterministic()(html, digests)
+    return F.arrow_udf(lean(run), "string").asNondeterministic()(html, digests)
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html",
@@ -239,7 +240,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html",
 
     sites = templates(pages, url_col, html_col, min_pages, min_share).select(
         F.col("host").alias("_host"), F.col("digests").alias("_digests"))
-    hosted = pages.withColumn("_of", F.arrow_udf(run, "string").asNondeterministic()(F.col(url_col)))
+    hosted = pages.withColumn("_of", F.arrow_udf(lean(run), "string").asNondeterministic()(F.col(url_col)))
     return (hosted.join(sites, F.col("_of") == F.col("_host"), "left")
             .withColumn("text", main_text(F.col(html_col), F.col("_digests")))
             .withColumn("n_chars", F.length("text").cast("long")).drop("_of", "_host", "_digests"))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tavola.llm.common import written
+from tavola.llm.workers import lean
 
 MIN_WORDS = 50           # fewer words fail
 REPEAT_PERCENT = 50      # more of the words in repeated 3-word windows fail
@@ -65,7 +66,7 @@ def counts(text: Column) -> Column:
         return pa.StructArray.from_arrays(
             [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(COUNTS))], list(COUNTS))
 
-    return F.arrow_udf(run, ", ".join(f"{c} long" for c in COUNTS))(text)
+    return F.arrow_udf(lean(run), ", ".join(f"{c} long" for c in COUNTS))(text)
 
 
 def base_failed() -> Column:

@@ -30,14 +30,18 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tavola.llm.workers import lean
 
 SAMPLES = 96             # labelled texts a language
 SAMPLE_BYTES = 4096      # bytes of each
 DICTIONARIES = 2         # dictionaries a language; the texts are dealt out to them
 BLOCK = 2048             # bytes compressed at once
-LEVEL = 5
-SHORT = 400              # texts of fewer bytes are compressed with SHORT_LEVEL
-SHORT_LEVEL = 13         # and matches of three bytes, to tell languages by few words
+SHORT = 400              # texts of fewer bytes are searched more deeply, for matches of three bytes
+# Parameters of the compressors; the tables are as large as a dictionary needs.
+LONG_TEXT = dict(window_log=18, hash_log=16, chain_log=16, search_log=3, min_match=5,
+                 strategy=zstandard.STRATEGY_LAZY)
+SHORT_TEXT = dict(window_log=18, hash_log=16, chain_log=17, search_log=6, min_match=3,
+                  strategy=zstandard.STRATEGY_BTLAZY2)
 MARGIN = 0.002           # share of bytes by which the best language must win
 LANGUAGES = 256          # labels of a model at most; more are no language labels
 
@@ -70,13 +74,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
 @lru_cache(maxsize=4)
 def _compressors(model: tuple) -> tuple[list, list]:
-    def compressor(data: bytes, level: int, **more):
+    def compressor(data: bytes, **how):
         content = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        how = zstandard.ZstdCompressionParameters.from_level(
-            level, write_checksum=False, write_content_size=False, write_dict_id=False, **more)
+        how = zstandard.ZstdCompressionParameters(
+            **how, write_checksum=False, write_content_size=False, write_dict_id=False)
         return zstandard.ZstdCompressor(dict_data=content, compression_params=how).compress
-    return ([[compressor(d, SHORT_LEVEL, min_match=3) for d in dicts] for _, dicts in model],
-            [[compressor(d, LEVEL) for d in dicts] for _, dicts in model])
+    return ([[compressor(d, **SHORT_TEXT) for d in dicts] for _, dicts in model],
+            [[compressor(d, **LONG_TEXT) for d in dicts] for _, dicts in model])
 
 
 def plain(text: str) -> bytes:
@@ -120,7 +124,7 @@ def predict(text: Column, model: dict[str, list[bytes]], margin: float = MARGIN)
             [pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
             ["lang", "score", "rejected"])
 
-    return F.arrow_udf(run, "lang string, score double, rejected boolean").asNondeterministic()(text)
+    return F.arrow_udf(lean(run), "lang string, score double, rejected boolean").asNondeterministic()(text)
 
 
 def classify(docs: DataFrame, model: dict[str, list[bytes]], text_col: str = "text",

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tavola.llm.bpe import load
 from tavola.llm.common import written
+from tavola.llm.workers import lean
 
 WINDOW = 2048
 CLOSING_ID = 1
@@ -50,7 +51,7 @@ def encoded_stream(docs: DataFrame, tokenizer: str, closing_id: int = CLOSING_ID
             at += int(n.sum())
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return written(picked.mapInArrow(run, STREAM_SCHEMA), "stream")
+    return written(picked.mapInArrow(lean(run), STREAM_SCHEMA), "stream")
 
 
 def placed(stream: DataFrame) -> DataFrame:
@@ -68,35 +69,41 @@ def stream_length(stream: DataFrame) -> int:
     return stream.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def pieces(stream: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """Second pass: boundary records, one row per document and window it touches."""
-    fields = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-              "sequence_id long, offset long" + (", ids binary" if with_ids else ""))
+def cuts(n: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(row, sequence, start, stop, offset) of the pieces of documents with n ids
+    from ``place`` on: a piece is ids start to stop of its row, at ``offset``."""
+    first, last = place // window, (place + n - 1) // window
+    count = last - first + 1
+    row = np.repeat(np.arange(len(n)), count)
+    sequence = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    begin = np.maximum(sequence * window, place[row])
+    end = np.minimum((sequence + 1) * window, (place + n)[row])
+    return row, sequence, begin - place[row], end - place[row], begin - sequence * window
+
+
+def cut_ids(ids: pa.Array, row, start, stop, width: int) -> list[memoryview]:
+    """Stored bytes of each piece."""
+    return [memoryview(ids[r].as_buffer())[a * width:b * width]
+            for r, a, b in zip(row.tolist(), start.tolist(), stop.tolist())]
+
+
+def pieces(stream: DataFrame, width: int, window: int = WINDOW) -> DataFrame:
+    """Second pass: boundary records, one row per document and window it touches.
+    ``width`` is the bytes of a stored id."""
+    fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = load(tokenizer).dtype.itemsize
         for batch in batches:
             n, place = (batch.column(i).to_numpy() for i in (1, 2))
-            first, last = place // window, (place + n - 1) // window
-            count = last - first + 1
-            row = np.repeat(np.arange(len(n)), count)
-            sequence = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            begin = np.maximum(sequence * window, place[row])
-            end = np.minimum((sequence + 1) * window, (place + n)[row])
-            start = begin - place[row]
-            ids = batch.column(3)
-            cut = []
-            for r, s, e in zip(row.tolist(), start.tolist(), (end - place[row]).tolist()):
-                cut.append(memoryview(ids[r].as_buffer())[s * width:e * width])
-            wide = [np.frombuffer(c, dtype=f"<u{width}").astype("<u4") for c in cut]
-            out = [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(end - begin),
-                   pa.array([zlib.crc32(w) for w in wide], type=pa.int64()), pa.array(n[row]),
-                   pa.array(sequence), pa.array(begin - sequence * window)]
-            if with_ids:
-                out.append(pa.array([bytes(c) for c in cut], type=pa.binary()))
-            yield pa.RecordBatch.from_arrays(out, names=[f.split()[0] for f in fields.split(", ")])
-
-    return placed(stream).select("doc_id", "n", "place", "ids").mapInArrow(run, fields)
+            row, sequence, start, stop, offset = cuts(n, place, window)
+            crc = [zlib.crc32(np.frombuffer(c, dtype=f"<u{width}").astype("<u4"))
+                   for c in cut_ids(batch.column(3), row, start, stop, width)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(stop - start),
+                 pa.array(crc, type=pa.int64()), pa.array(n[row]), pa.array(sequence), pa.array(offset)],
+                names=[f.split()[0] for f in fields.split(", ")])
+
+    return placed(stream).select("doc_id", "n", "place", "ids").mapInArrow(lean(run), fields)
 
 
 def padded_length(filled: Column, window: int = WINDOW) -> Column:
@@ -112,4 +119,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, closing_id: int
     total = stream_length(stream)
     rest = F.lit(total) - F.col("sequence_id") * window
     filled = F.least(rest, F.lit(window).cast("long"))
-    return pieces(stream, tokenizer, window).withColumn("padded_length", padded_length(filled, window))
+    return pieces(stream, load(tokenizer).dtype.itemsize, window).withColumn("padded_length", padded_length(filled, window))

@@ -6,8 +6,9 @@ outside the range is permuted again until it lies inside (cycle-walking).  So
 the slots 0..n-1 are used once each, and any slot can be computed from its
 sequence, or the sequence from its slot, without a sort or a lookup.
 
-Pieces go straight to the task of their slot's shard, a range of slots; one
-task writes one shard in slot order as records of one fixed stride: slot s lies
+Pieces go straight to the task of their slot's shard, a range of slots; there
+each is put in its place, without a sort, in a table of the shard's fixed size,
+and the task writes the shard as records of one fixed stride: slot s lies
 in shard s // shard_rows at byte (s % shard_rows) * stride.  A reader that
 stops after slot s starts again at s + 1 by one seek.  A record is the
 sequence's ids in the vocabulary's unsigned width, filled up with ``PAD_ID``,
@@ -21,6 +22,7 @@ repeated rows and very long documents are packed as ``packing`` says.
 
 from __future__ import annotations
 
+import functools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,13 +30,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tavola.llm.bpe import load
-from tavola.llm.packing import CLOSING_ID, WINDOW, encoded_stream, pieces, stream_length
+from tavola.llm.packing import CLOSING_ID, WINDOW, cut_ids, cuts, encoded_stream, placed, stream_length
 from tavola.llm.textscan import mix
 from tavola.session import checkpoint_dir
+from tavola.llm.workers import lean
 
 KEY = 0x5EED
 ROUNDS = 6
@@ -107,6 +111,47 @@ class Shards:
         return np.minimum(self.total - sequences * self.window, self.window)
 
 
+def _dealt(batches: Iterator[pa.RecordBatch], shards: Shards) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch of documents, compressed together by shard: how many,
+    their rows in the shard, offsets and lengths, and the ids of all."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        row, sequence, start, stop, offset = cuts(batch.column(0).to_numpy(), batch.column(1).to_numpy(), shards.window)
+        slot = shards.order.slots(sequence)
+        cut = cut_ids(batch.column(2), row, start, stop, shards.width)
+        order = np.argsort(slot // shards.shard_rows, kind="stable")
+        slot, offset, length = slot[order], offset[order], (stop - start)[order]
+        shard = slot // shards.shard_rows
+        begins = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
+        blobs = []
+        for a, b in zip(begins, [*begins[1:], len(shard)]):
+            head = np.stack([slot[a:b] % shards.shard_rows, offset[a:b], length[a:b]]).astype("<i4")
+            blobs.append(squeeze(b"".join([np.int32(b - a).tobytes(), head.tobytes(), *(cut[i] for i in order[a:b])])))
+        yield pa.RecordBatch.from_arrays([pa.array(shard[begins].astype(np.int32) if len(shard) else [], pa.int32()),
+                                          pa.array(blobs, type=pa.binary())], names=["shard", "pieces"])
+
+
+def _records(batches: Iterator[pa.RecordBatch], shards: Shards) -> Iterator[pa.RecordBatch]:
+    """Records of one shard in slot order: each piece is put in its place."""
+    dtype, unpack = np.dtype(f"<u{shards.width}"), zstandard.ZstdDecompressor().decompress
+    table = None
+    for batch in batches:
+        for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if table is None:
+                rows = min(shards.shard_rows, shards.order.n - shard * shards.shard_rows)
+                table = np.full((rows, shards.window), PAD_ID, dtype=dtype)
+            raw = unpack(blob.as_py())
+            n = int(np.frombuffer(raw, "<i4", 1)[0])
+            row, offset, length = np.frombuffer(raw, "<i4", 3 * n, 4).reshape(3, n).tolist()
+            ids, at = np.frombuffer(raw, dtype, -1, 4 + 12 * n), 0
+            for r, o, k in zip(row, offset, length):
+                table[r, o:o + k] = ids[at:at + k]
+                at += k
+    for a in range(0, 0 if table is None else len(table), 256):
+        yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in table[a:a + 256]], type=pa.binary())],
+                                         names=["record"])
+
+
 def write_shards(docs: DataFrame, tokenizer: str, key: int = KEY, shard_rows: int = SHARD_ROWS,
                  window: int = WINDOW, closing_id: int = CLOSING_ID, path: str | None = None) -> Shards:
     """Pack ``docs`` and write all sequences in training order."""
@@ -117,34 +162,10 @@ def write_shards(docs: DataFrame, tokenizer: str, key: int = KEY, shard_rows: in
     path = path or f"{checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
     shards = Shards(path, order, total, window, load(tokenizer).dtype.itemsize, shard_rows)
 
-    def slots(sequence: pa.Array) -> pa.Array:
-        return pa.array(order.slots(sequence.to_numpy()))
-
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pad = np.array([PAD_ID], dtype=f"<u{shards.width}").tobytes()
-        full, now, held, size = window * shards.width, None, [], 0
-
-        def record() -> bytes:
-            return b"".join(held) + pad * ((full - size) // shards.width)
-
-        for batch in batches:
-            done = []
-            for slot, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if slot != now and now is not None:
-                    done.append(record())
-                    held, size = [], 0
-                now = slot
-                held.append(ids)
-                size += len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(done, type=pa.binary())], names=["record"])
-        if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([record()], type=pa.binary())], names=["record"])
-
-    (pieces(stream, tokenizer, window, with_ids=True)
-     .select(F.arrow_udf(slots, "long")("sequence_id").alias("slot"), "offset", "ids")
-     .repartitionById(max(1, -(-order.n // shard_rows)), (F.col("slot") / shard_rows).cast("int"))
-     .sortWithinPartitions("slot", "offset").select("slot", "ids")
-     .mapInArrow(records, "record binary")
+    (placed(stream).select("n", "place", "ids")
+     .mapInArrow(lean(functools.partial(_dealt, shards=shards)), "shard int, pieces binary")
+     .repartitionById(max(1, -(-order.n // shard_rows)), F.col("shard"))
+     .mapInArrow(lean(functools.partial(_records, shards=shards)), "record binary")
      .select(F.col("record").cast("string").alias("value"))
      .write.option("lineSep", "\n").text(path))
     return shards
@@ -176,4 +197,4 @@ def read_shards(spark: SparkSession, shards: Shards, first_slot: int = 0) -> Dat
                     names=[f.split()[0] for f in fields.split(", ")])
 
     files = spark.read.format("binaryFile").load(shards.path).where("length > 0")
-    return files.select("path", "content").mapInArrow(run, fields)
+    return files.select("path", "content").mapInArrow(lean(run), fields)

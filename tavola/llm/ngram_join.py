@@ -42,12 +42,15 @@ from tavola.llm.common import written
 from tavola.llm.components import components
 from tavola.llm.textscan import batches as byte_batches
 from tavola.llm.textscan import mix, word_hashes
+from tavola.llm.workers import lean
 
 WORDS = 4
 PERCENT = 85
 SAMPLE = 0.35            # part of the hash range that is sent to find sets without a partner
-FLUSH = 1 << 21          # shingles a task gathers before it sends them
+FLUSH = 1 << 20          # shingles a task gathers before it sends them
 DOCS_PER_BUCKET = 64
+ROWS = 1000              # documents looked at together
+MANY = 0xFFFF            # stands for several sets; a flush has fewer
 BITS = 1 << 24           # of the filter that a second read of the texts goes through
 BLOCK = 2048             # sets of a group that one prefix tree holds
 
@@ -96,43 +99,44 @@ def _batch(fields: str, columns) -> pa.RecordBatch:
 
 def _first_pass(docs: DataFrame, words: int, buckets: int) -> DataFrame:
     """Written rows of three kinds: 0, a document (doc_id, node, n, sampled,
-    signature); 1, packed sampled shingles of a bucket (node: what to add to the
-    numbers in ``owners``); 2, packed numbers of sets in ``owners`` and, in
-    ``shingles``, how many sampled shingles each shares with others of its flush."""
-    fields = ("kind int, doc_id long, node long, n long, sampled long, signature binary, "
-              "bucket long, shingles binary, owners binary")
+    signature); 1, sampled shingles of a bucket, each 48 bits of its hash and the
+    16-bit number of the one set of the flush that has it (MANY: several have it);
+    2, how many sampled shingles the sets of a flush share with each other.  ``node``
+    is what to add to a flush's numbers.  Shingles that agree in 48 bits count as
+    shared, so the filter may let more sets pass, never fewer."""
+    fields = "kind int, doc_id long, node long, n long, sampled long, signature binary, bucket long, packed binary"
     limit = np.uint64(int(SAMPLE * 2**64))
 
     def flush(base: int, sets: list[np.ndarray]):
         sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-        shingle, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
-        order = np.argsort(shingle, kind="stable")
-        shingle, owner = shingle[order], owner[order]
-        new = np.append(True, shingle[1:] != shingle[:-1])
-        count = np.diff(np.append(np.flatnonzero(new), len(shingle)))
+        if not sizes.any():
+            return
+        key, owner = np.concatenate(sets) >> np.uint64(16), np.repeat(np.arange(len(sets), dtype=np.uint64), sizes)
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        new = np.append(True, key[1:] != key[:-1])
+        count = np.diff(np.append(np.flatnonzero(new), len(key)))
         shared = np.repeat(count > 1, count)
         who, times = np.unique(owner[shared], return_counts=True)
-        owner[shared] = np.uint32(0xFFFFFFFF)
-        shingle, owner = shingle[new], owner[new]
-        bucket = (shingle % np.uint64(buckets)).astype(np.int64)
+        owner[shared] = MANY
+        key, owner = key[new], owner[new]
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        packed = (key << np.uint64(16) | owner).astype("<u8")
         order = np.argsort(bucket, kind="stable")
-        shingle, owner, bucket = shingle[order], owner[order], bucket[order]
+        packed, bucket = packed[order], bucket[order]
         starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         ends = np.append(starts[1:], len(bucket))
         n = len(starts)
         yield _batch(fields, [[1] * n, [None] * n, [base] * n, [None] * n, [None] * n, [None] * n, bucket[starts],
-                              [shingle[a:b].tobytes() for a, b in zip(starts, ends)],
-                              [owner[a:b].tobytes() for a, b in zip(starts, ends)]])
-        if len(who):
-            yield _batch(fields, [[2], [None], [base], [None], [None], [None], [None],
-                                  [times.astype("<u8").tobytes()], [who.astype("<u4").tobytes()]])
+                              [packed[a:b].tobytes() for a, b in zip(starts, ends)]])
+        yield _batch(fields, [[2], [None], [base], [None], [None], [None], [None], [_packed_counts(who, times)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         held: list[np.ndarray] = []
         number: dict[bytes, int] = {}
         size = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             nodes, sampled, signatures = [], [], []
             for s in sets:
@@ -147,48 +151,55 @@ def _first_pass(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                 signatures.append(signature)
             n = len(sets)
             yield _batch(fields, [[0] * n, batch.column(0), nodes, list(map(len, sets)), sampled, signatures,
-                                  [None] * n, [None] * n, [None] * n])
-            if size >= FLUSH or len(held) >= 1 << 19:
+                                  [None] * n, [None] * n])
+            if size >= FLUSH or len(held) >= MANY - ROWS:
                 yield from flush(base, held)
                 base, held, number, size = base + (1 << 20), [], {}, 0
         if size:
             yield from flush(base, held)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(picked.mapInArrow(run, fields), "shingles", partition_by="kind")
+    return written(picked.mapInArrow(lean(run), fields), "shingles", partition_by="kind")
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, ROWS):
+        yield batch.slice(at, ROWS)
+
+
+def _packed_counts(who: np.ndarray, times: np.ndarray) -> bytes:
+    return np.stack([who, times]).astype("<u4").tobytes()
 
 
 def _shared_counts(rows: DataFrame) -> DataFrame:
     """(node, shared): sampled shingles that each set shares with other sets."""
-    fields = "node long, shared long"
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for base, shingles, owners in zip(*(c.to_pylist() for c in batch.columns)):
-                yield _batch(fields, [base + np.frombuffer(owners, "<u4").astype(np.int64),
-                                      np.frombuffer(shingles, "<u8").astype(np.int64)])
-
-    def settle(held):
-        shingle = np.concatenate([np.frombuffer(s, "<u8") for _, s, _ in held])
-        numbers = [np.frombuffer(o, "<u4") for _, _, o in held]
-        node = np.concatenate([b + o.astype(np.int64) for (b, _, _), o in zip(held, numbers)])
-        many = np.concatenate(numbers) == 0xFFFFFFFF
-        order = np.argsort(shingle, kind="stable")
-        shingle, node, many = shingle[order], node[order], many[order]
-        starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
-        count = np.diff(np.append(starts, len(shingle)))
-        shared = (count > 1) | np.logical_or.reduceat(many, starts)
-        return node[np.repeat(shared, count) & ~many]
+    fields = "node long, packed binary"
+
+    def settle(held: list[tuple[int, bytes]]) -> np.ndarray:
+        """Nodes of the shingles of a bucket that other flushes have too."""
+        packed = np.concatenate([np.frombuffer(p, "<u8") for _, p in held])
+        base = np.repeat([b for b, _ in held], [len(p) >> 3 for _, p in held])
+        order = np.argsort(packed, kind="stable")
+        packed, base = packed[order], base[order]
+        key, owner = packed >> np.uint64(16), (packed & np.uint64(MANY)).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(starts, len(key)))
+        shared = (count > 1) | np.logical_or.reduceat(owner == MANY, starts)
+        return (base + owner)[np.repeat(shared, count) & (owner != MANY)]
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per flush with the counts of its sets."""
         held, now, found, size = [], None, [], 0
 
         def give():
             who, times = np.unique(np.concatenate(found), return_counts=True)
-            return _batch(fields, [who, times])
+            base = who & ~np.int64((1 << 20) - 1)
+            cuts = np.flatnonzero(np.append(True, base[1:] != base[:-1]))[1:] if len(who) else []
+            parts = [p for p in zip(np.split(base, cuts), np.split(who, cuts), np.split(times, cuts)) if len(p[0])]
+            return _batch(fields, [[int(b[0]) for b, _, _ in parts], [_packed_counts(w - b, t) for b, w, t in parts]])
 
         for batch in batches:
-            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, base, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != now and held:
                     found.append(settle(held))
                     size += len(found[-1])
@@ -197,17 +208,38 @@ def _shared_counts(rows: DataFrame) -> DataFrame:
                         yield give()
                         found, size = [], 0
                 now = bucket
-                held.append(row)
+                held.append((base, packed))
         if held:
             found.append(settle(held))
         if found:
             yield give()
 
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of the counts of each flush, whose rows lie together."""
+        now, total = None, np.zeros(MANY, dtype=np.int64)
+
+        def give():
+            who = np.flatnonzero(total)
+            out = _batch("node long, shared long", [now + who, total[who]])
+            total[:] = 0
+            return out
+
+        for batch in batches:
+            for base, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if base != now and now is not None:
+                    yield give()
+                now = base
+                who, times = np.frombuffer(packed, "<u4").reshape(2, -1)
+                total[who] += times
+        if now is not None:
+            yield give()
+
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = (rows.where("kind = 1").select("bucket", "node", "shingles", "owners")
-               .repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(across, fields))
-    own = rows.where("kind = 2").select("node", "shingles", "owners").mapInArrow(local, fields)
-    return buckets.union(own).groupBy("node").agg(F.sum("shared").alias("shared"))
+    buckets = (rows.where("kind = 1").select("bucket", "node", "packed")
+               .repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(across), fields))
+    counts = buckets.unionByName(rows.where("kind = 2").select("node", "packed"))
+    return (counts.repartition(parts, "node").sortWithinPartitions("node")
+            .mapInArrow(lean(added), "node long, shared long"))
 
 
 def _filter_bits(signatures: DataFrame) -> bytes:
@@ -244,7 +276,7 @@ def _candidate_sets(docs: DataFrame, candidates: DataFrame, words: int) -> DataF
                 [pa.array(signatures, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(sets, pa.list_(pa.int64()))], names=["signature", "n", "shingles"])
 
-    sets = docs.select(F.col("text").cast("string")).mapInArrow(run, fields)
+    sets = docs.select(F.col("text").cast("string")).mapInArrow(lean(run), fields)
     once = sets.groupBy("signature").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
     return written(once.withColumn("node", F.monotonically_increasing_id()), "sets")
 

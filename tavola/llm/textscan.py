@@ -62,7 +62,7 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     return span_hashes(buf, starts, space), np.searchsorted(starts, offsets)
 
 
-def batches(texts: list[bytes], limit: int = 1 << 21):
+def batches(texts: list[bytes], limit: int = 1 << 19):
     """Index ranges of texts that together hold about ``limit`` bytes."""
     begin, size = 0, 0
     for i, t in enumerate(texts):

@@ -1,9 +1,11 @@
 """Main text of web pages with site template removal (operator 6).
 
 Every element's subtree (its tag, its text with white space made one space, and
-the digests of its children) is hashed.  Spark counts on how many pages of each
-host a digest occurs; subtrees that recur on many pages of a host belong to the
-site, not to the page, and are deleted before the text is taken.  What HTML
+the digests of its children) is hashed.  Spark counts on how many distinct pages of
+each host a digest occurs; subtrees that recur on many of them belong to the site,
+not to the page, and are deleted before the text is taken.  Pages are distinct by
+their main text as markup alone gives it, so copies of a page, also those under
+other menus or adverts, count as one page and are no evidence of a template.  What HTML
 itself marks as no article (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) is left out as well, by element name,
 role, and the words of class and id.
@@ -15,7 +17,7 @@ space; blocks that are not empty are joined by one line feed in page order.
 Defined results: null or empty html gives an empty text; a null or broken url
 has no host, so nothing of the page counts as recurring; broken markup is read
 as far as it goes, open elements end with their parent; repeated rows get equal
-results and count as pages of the host; answer columns replace input columns of
+results and count as one page of the host; answer columns replace input columns of
 the same names, other columns stay.
 """
 
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from tavola.llm.common import written
 from tavola.llm.workers import lean
 
-MIN_PAGES = 10           # pages of a host on which a subtree must recur at least,
-MIN_SHARE = 0.5          # and the share of the host's pages
+MIN_PAGES = 10           # distinct pages of a host on which a subtree must recur at least,
+MIN_SHARE = 0.5          # and the share of the host's distinct pages
 
 # Element names of HTML, roles, and words that name parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -192,22 +194,29 @@ class Page(HTMLParser):
 
 
 def subtree_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, digest, pages): on how many pages of a host a subtree occurs;
-    digest 0 counts the host's pages."""
+    """(host, digest, pages): on how many distinct pages of a host a subtree occurs;
+    digest 0 counts the host's distinct pages.
+
+    Both aggregates are partial ones: a task sends a (host, digest, page) once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, digests = [], []
+            hosts, digests, contents = [], [], []
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if (host := host_of(url)) is None:
                     continue
-                found = {*Page(html.as_py() or "").digests, 0}
+                page = Page(html.as_py() or "")
+                found = {*page.digests, 0}
                 hosts += [host] * len(found)
                 digests += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64())],
-                                             names=["host", "digest"])
-
-    found = pages.select(F.col(url_col), F.col(html_col)).mapInArrow(lean(run), "host string, digest long")
-    return found.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages"))
+                contents += [xxhash.xxh3_64_intdigest(page.text()) - 2**63] * len(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(contents, pa.int64())],
+                names=["host", "digest", "content"])
+
+    found = (pages.select(F.col(url_col), F.col(html_col))
+             .mapInArrow(lean(run), "host string, digest long, content long"))
+    once = found.groupBy("host", "digest", "content").agg(F.lit(1).alias("_"))
+    return once.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages"))
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html",

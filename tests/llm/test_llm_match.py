@@ -220,6 +220,19 @@ def test_templates_are_removed(spark, docs_of):
     assert html_text.extract(table.limit(0)).count() == 0
 
 
+def test_copies_are_no_templates(spark):
+    """A host made up mostly of copies keeps their article, under changing adverts too."""
+    copy = "<body><div class=ad>Buy {}</div><article><h1>Head</h1><p>First of it</p><p>Second of it</p></article></body>"
+    box = "<div><p>Follow us</p><p>everywhere</p></div>"
+    pages = [(i, "https://c.org/x", copy.format(i % 7)) for i in range(60)]
+    pages += [(100 + i, f"https://c.org/{i}", f"<article><p>Own {i}</p>{box}</article>") for i in range(30)]
+    pages += [(200 + i, f"https://d.org/{i}", f"<div><h1>Head</h1><p>All of it</p></div><nav>{i}</nav>") for i in range(20)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    for r in html_text.extract(table).collect():
+        assert r.text == ("Head\nFirst of it\nSecond of it" if r.page_id < 100 else
+                          f"Own {r.page_id - 100}" if r.page_id < 200 else "Head\nAll of it"), r
+
+
 def slow_nearest(rows, k, query):
     good = {}
     for i, v in rows:

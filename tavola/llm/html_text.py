@@ -8,7 +8,8 @@ their main text as markup alone gives it, so copies of a page, also those under
 other menus or adverts, count as one page and are no evidence of a template.  What HTML
 itself marks as no article (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) is left out as well, by element name,
-role, and the words of class and id.
+role, and whole names of class and id; never an element that holds the page's
+article or main, nor a form round the page's text, of which only controls go.
 
 The text is that of the outermost ``article`` elements, else of ``main``, else
 of the body.  Block elements delimit blocks; in a block white space becomes one
@@ -23,7 +24,6 @@ the same names, other columns stay.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
@@ -44,23 +44,34 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt "
     "ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NO_TEXT = frozenset(
+INERT = frozenset(
     "head title script style noscript template iframe object embed svg canvas math audio video "
-    "form button input select textarea option nav footer aside menu dialog".split())
+    "button input select textarea option".split())
+NO_TEXT = frozenset("nav footer aside menu dialog".split())
 NO_TEXT_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
     "toolbar status".split())
-NO_TEXT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo "
-    "promotion nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager footer "
-    "sidebar aside masthead toolbar cookie cookies consent gdpr notice notices popup modal overlay "
-    "newsletter subscribe subscription signup login share sharing social related comment comments "
-    "commentlist disqus respond responses replies widget widgets".split())
+# Whole names of classes and ids; a part of a longer name says nothing.
+ADVERT = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adbox ad-box ad-slot ad-container "
+    "ad-banner banner-ad top-ad sponsor sponsored".split())
+COMMENT = frozenset("comment comment-body".split())
+COMMENTS = frozenset(
+    "comments commentlist comment-list comments-area comments-section comment-form disqus disqus_thread "
+    "respond responses replies".split())
+NO_TEXT_WORDS = ADVERT | COMMENT | COMMENTS | frozenset(
+    "promo promotion nav navbar navigation main-nav main-navigation site-nav site-navigation top-nav "
+    "menu main-menu menubar breadcrumb breadcrumbs pagination pager footer site-footer page-footer "
+    "sidebar left-sidebar right-sidebar sidebar-left sidebar-right aside masthead site-header toolbar "
+    "cookie cookies cookie-banner cookie-bar cookie-consent cookie-notice consent gdpr notice notices "
+    "popup modal overlay newsletter newsletter-signup subscribe subscription signup login share sharing "
+    "share-buttons share-links social social-links social-share related related-posts related-articles "
+    "widget widgets widget-area".split())
 FRAME = frozenset(["#root", "html", "body", "main", "article"])
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
           "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIST_SCOPE = frozenset("ul ol dl table".split())
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+SOFT, HARD, DEAD = 1, 2, 3    # markup against an element: by a name or role, as no article, as no text at all
 
 
 def host_of(url: str | None) -> str | None:
@@ -70,21 +81,25 @@ def host_of(url: str | None) -> str | None:
         return None
 
 
-def _marked(tag: str, attrs: list) -> bool:
-    """Whether the markup itself says that an element is no part of an article."""
-    if tag in NO_TEXT:
-        return True
+def _marked(tag: str, attrs: list) -> int:
+    """How strongly the markup itself says that an element is no part of an article."""
+    found = DEAD if tag in INERT else HARD if tag in NO_TEXT else SOFT if tag == "form" else 0
     for name, value in attrs:
-        value = value or ""
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "role" and value.lower() in NO_TEXT_ROLES:
-            return True
-        if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name in ("class", "id") and any(w.lower() in NO_TEXT_WORDS for w in _WORDS.findall(value)):
-            return True
-    return False
+        value = (value or "").lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            found = max(found, SOFT)
+        elif name == "role" and value in NO_TEXT_ROLES:
+            found = max(found, SOFT)
+        elif name == "style" and "display:none" in value.replace(" ", ""):
+            found = max(found, SOFT)
+        elif name in ("class", "id"):
+            names = {*value.split()}
+            if tag == "article":
+                # an article is one of many things; only a comment or an advert is none
+                found = max(found, HARD if names & (ADVERT | COMMENT) else 0)
+            elif tag != "main" and names & NO_TEXT_WORDS:
+                found = max(found, HARD if names & (ADVERT | COMMENT | COMMENTS) else SOFT)
+    return found
 
 
 class Page(HTMLParser):
@@ -93,7 +108,7 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents, self.marked = ["#root"], [-1], [False]
+        self.tags, self.parents, self.marked = ["#root"], [-1], [0]
         self.digests: list[int] = [0]
         self.flow: list[tuple[int, str] | None] = []
         self.open: list[tuple[int, str, list[str]]] = [(0, "#root", [])]
@@ -164,21 +179,62 @@ class Page(HTMLParser):
         if text := " ".join(data.split()):
             parts.append(text)
 
+    def _weights(self, cost: list[int], most: int) -> list[int]:
+        """Letters below each element, without what is marked more strongly."""
+        weight = [0] * len(self.tags)
+        for item in self.flow:
+            if item is not None and cost[item[0]] <= most:
+                weight[item[0]] += len("".join(item[1].split()))
+        for e in range(len(weight) - 1, 0, -1):
+            weight[self.parents[e]] += weight[e]
+        return weight
+
+    def _spared(self, mark: list[int], article: list[bool]) -> list[bool]:
+        """Elements that no markup deletes: those with the page's article or main.
+
+        Of the outermost articles those count that no element round them is marked
+        against, else those in elements marked by a name, a role or as a form; the
+        ones in menus, sidebars or comments, and comments themselves, only on a page
+        that has more text in them than outside.  A form that holds most of the
+        page's text is a wrapper, of which only the controls go."""
+        n, parents, tags = len(self.tags), self.parents, self.tags
+        cost = [0] * n
+        for e in range(1, n):
+            cost[e] = max(cost[parents[e]], mark[e])
+        articles = [e for e in range(1, n) if tags[e] == "article" and not article[parents[e]] and cost[e] < DEAD]
+        mains = [e for e in range(1, n) if tags[e] == "main" and cost[e] < DEAD]
+        keep = ([e for e in articles if not cost[e]] or [e for e in articles if cost[e] == SOFT])
+        keep += [e for e in mains if not cost[e]] or [e for e in mains if cost[e] == SOFT]
+        if not keep and (hard := articles or mains):
+            weight = self._weights(cost, HARD)
+            if 2 * sum(weight[e] for e in hard) > weight[0]:
+                keep = hard
+        if "form" in tags:
+            weight = self._weights(cost, SOFT)
+            keep += [e for e in range(1, n) if tags[e] == "form" and 2 * weight[e] > weight[0]]
+        spared = [False] * n
+        for e in keep:
+            while e > 0 and not spared[e]:
+                spared[e] = True
+                e = parents[e]
+        return spared
+
     def text(self, recurring: frozenset[int] = frozenset()) -> str:
         """Main text without the subtrees whose digests are given."""
         n = len(self.tags)
-        framed = [t in ("main", "article") for t in self.tags]
-        for e in range(n - 1, 0, -1):
-            framed[self.parents[e]] |= framed[e]
-        gone, article, main = [False] * n, [False] * n, [False] * n
+        gone, article, main, mark = [False] * n, [False] * n, [False] * n, [*self.marked]
         for e in range(1, n):
             up, tag = self.parents[e], self.tags[e]
             article[e] = article[up] or tag == "article"
             main[e] = main[up] or tag == "main"
-            by_markup = (self.marked[e] or (tag == "header" and not article[e])) and not (
-                framed[e] and tag not in NO_TEXT and tag != "article")
-            gone[e] = gone[up] or (tag not in ("html", "body") and by_markup) or (
-                tag not in FRAME and self.digests[e] in recurring and self.digests[e] != 0)
+            if tag in ("html", "body"):
+                mark[e] = 0
+            elif tag == "header" and not article[e]:
+                mark[e] = max(mark[e], SOFT)
+        spared = self._spared(mark, article)
+        for e in range(1, n):
+            gone[e] = gone[self.parents[e]] or (mark[e] > 0 and not spared[e]) or (
+                self.tags[e] not in FRAME and self.digests[e] in recurring and self.digests[e] != 0)
         shown = [e for e in range(n) if not gone[e]]
         kept = (article if any(article[e] for e in shown) else main if any(main[e] for e in shown)
                 else [True] * n)

@@ -204,6 +204,24 @@ def test_main_text_of_a_page():
     assert html_text.Page("<div>" * 3000 + "deep").text() == "deep"
 
 
+def test_markup_deletes_no_article():
+    for html, text in {
+            "<article class='post category-social has-comments'><p>a</p></article><p>b</p>": "a",
+            "<article id=notice class='widget category-notices'><p>a</p></article>": "a",
+            "<body><form action=x><input value=y><div><article><p>a</p><button>Go</button></article></div></form><p>b": "a",
+            "<form><div><p>Long text of it</p><select><option>no</select></div></form><form>Search</form>": "Long text of it",
+            "<div class='widget related'><article><p>a</p></article></div><p>more text</p>": "a",
+            "<aside><article><p>the whole article</p></article></aside><p>b</p>": "the whole article",
+            "<main><p>real text</p><aside><article>teaser</article></aside></main>": "real text",
+            "<article><p>a</p><section class=notice-period><p>b</p></section><div class=related-work>c</div>"
+            "<div class=widget-api>d</div><div class='x related'>no</div></article>": "a\nb\nc\nd",
+            "<article>a<section class=comments><article>no</article></section></article>": "a",
+            "<article><p>a</p></article><div id=comments><article>no</article></div>"
+            "<article class='comment odd'>no</article><article class=ad>no</article>": "a",
+            "<header><main><p>a</p></main></header><p>b": "a", "<main class=modal>a</main>b": "a"}.items():
+        assert html_text.Page(html).text() == text, html
+
+
 def test_templates_are_removed(spark, docs_of):
     box = "<div><p>Follow us</p><p>everywhere</p></div>"
     pages = [(i, f"https://a.org/{i}", f"<body><article><p>Text {i}</p>{box if i % 4 else ''}</article></body>") for i in range(40)]

@@ -2,8 +2,12 @@
 
 Every element's subtree (its tag, its text with white space made one space, and
 the digests of its children) is hashed.  Spark counts on how many distinct pages of
-each host a digest occurs; subtrees that recur on many of them belong to the site,
-not to the page, and are deleted before the text is taken.  Pages are distinct by
+each host, and of each section of a host, a digest occurs; subtrees that recur on
+many of them belong to the site, not to the page, and are deleted before the text is
+taken.  An absolute number of pages decides (10, on small hosts 6 to 10); on hosts
+and in sections of over 500 pages, a share of 2 %, so that what many pages happen to
+share stays.  Single paragraphs, headings, list items and table cells, which may be
+body text, go if a fifth of the pages has them.  Nothing recurs on fewer than 6.  Pages are distinct by
 their main text as markup alone gives it, so copies of a page, also those under
 other menus or adverts, count as one page and are no evidence of a template.  What HTML
 itself marks as no article (menus, headers, footers, sidebars, notices, adverts,
@@ -36,8 +40,11 @@ from pyspark.sql import functions as F
 from tavola.llm.common import written
 from tavola.llm.workers import lean
 
-MIN_PAGES = 10           # distinct pages of a host on which a subtree must recur at least,
-MIN_SHARE = 0.5          # and the share of the host's distinct pages
+# A subtree recurs on a host, or in a section of it (the first part of the path), if it stands on
+MIN_PAGES = 10           # so many distinct pages at least; under twice as many pages: on half of them,
+SMALL_PAGES = 6          # but never on fewer than these;
+MIN_SHARE = 0.02         # and on this share of the distinct pages,
+BLOCK_SHARE = 0.2        # or on this one if it is a paragraph or the like, which may be body text
 
 # Element names of HTML, roles, and words that name parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,6 +74,7 @@ NO_TEXT_WORDS = ADVERT | COMMENT | COMMENTS | frozenset(
     "popup modal overlay newsletter newsletter-signup subscribe subscription signup login share sharing "
     "share-buttons share-links social social-links social-share related related-posts related-articles "
     "widget widgets widget-area".split())
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption figcaption blockquote pre address".split())
 FRAME = frozenset(["#root", "html", "body", "main", "article"])
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
           "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -81,6 +89,14 @@ def host_of(url: str | None) -> str | None:
         return None
 
 
+def scopes_of(url: str | None) -> list[str]:
+    """A url's host, and its host and first directory; none without a host."""
+    if (host := host_of(url)) is None:
+        return []
+    first, slash, _ = urlsplit(url).path.lstrip("/").partition("/")
+    return [host, f"{host}/{first}"] if slash and first else [host]
+
+
 def _marked(tag: str, attrs: list) -> int:
     """How strongly the markup itself says that an element is no part of an article."""
     found = DEAD if tag in INERT else HARD if tag in NO_TEXT else SOFT if tag == "form" else 0
@@ -219,8 +235,10 @@ class Page(HTMLParser):
                 e = parents[e]
         return spared
 
-    def text(self, recurring: frozenset[int] = frozenset()) -> str:
-        """Main text without the subtrees whose digests are given."""
+    def text(self, recurring: frozenset[int] = frozenset(), often: frozenset[int] | None = None) -> str:
+        """Main text without the subtrees whose digests are given; ``often`` has
+        those of paragraphs and the like, if not the same."""
+        often = recurring if often is None else often
         n = len(self.tags)
         gone, article, main, mark = [False] * n, [False] * n, [False] * n, [*self.marked]
         for e in range(1, n):
@@ -234,7 +252,8 @@ class Page(HTMLParser):
         spared = self._spared(mark, article)
         for e in range(1, n):
             gone[e] = gone[self.parents[e]] or (mark[e] > 0 and not spared[e]) or (
-                self.tags[e] not in FRAME and self.digests[e] in recurring and self.digests[e] != 0)
+                self.tags[e] not in FRAME and self.digests[e] != 0
+                and self.digests[e] in (often if self.tags[e] in BLOCKS else recurring))
         shown = [e for e in range(n) if not gone[e]]
         kept = (article if any(article[e] for e in shown) else main if any(main[e] for e in shown)
                 else [True] * n)
@@ -250,62 +269,76 @@ class Page(HTMLParser):
 
 
 def subtree_counts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, digest, pages): on how many distinct pages of a host a subtree occurs;
-    digest 0 counts the host's distinct pages.
+    """(scope, digest, pages): on how many distinct pages of a host, or of a section
+    of a host, a subtree occurs; digest 0 counts all its distinct pages.
 
-    Both aggregates are partial ones: a task sends a (host, digest, page) once."""
+    Both aggregates are partial ones: a task sends a (scope, digest, page) once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, digests, contents = [], [], []
+            scopes, digests, contents = [], [], []
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if (host := host_of(url)) is None:
+                if not (within := scopes_of(url)):
                     continue
                 page = Page(html.as_py() or "")
-                found = {*page.digests, 0}
-                hosts += [host] * len(found)
-                digests += found
-                contents += [xxhash.xxh3_64_intdigest(page.text()) - 2**63] * len(found)
+                found = {d for d, tag in zip(page.digests, page.tags) if tag not in FRAME} | {0}
+                content = xxhash.xxh3_64_intdigest(page.text()) - 2**63
+                for scope in within:
+                    scopes += [scope] * len(found)
+                    digests += found
+                    contents += [content] * len(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(contents, pa.int64())],
-                names=["host", "digest", "content"])
+                [pa.array(scopes, pa.string()), pa.array(digests, pa.int64()), pa.array(contents, pa.int64())],
+                names=["scope", "digest", "content"])
 
     found = (pages.select(F.col(url_col), F.col(html_col))
-             .mapInArrow(lean(run), "host string, digest long, content long"))
-    once = found.groupBy("host", "digest", "content").agg(F.lit(1).alias("_"))
-    return once.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("pages"))
+             .mapInArrow(lean(run), "scope string, digest long, content long"))
+    once = found.groupBy("scope", "digest", "content").agg(F.lit(1).alias("_"))
+    return once.groupBy("scope", "digest").agg(F.count(F.lit(1)).alias("pages"))
 
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html",
-              min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """One written row per host with recurring subtrees: host, digests (array).
+def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES,
+              min_share: float = MIN_SHARE, block_share: float = BLOCK_SHARE) -> DataFrame:
+    """One written row per scope with recurring subtrees: scope, digests and often
+    (arrays; those that reach ``min_share`` and ``block_share``).
 
     A page has a bounded number of subtrees, and at most that many divided by
-    ``min_share`` can recur, so an array is as long as a page, not as a host."""
-    often = written(subtree_counts(pages, url_col, html_col).where(F.col("pages") >= min_pages), "subtrees")
-    hosts = often.where("digest = 0").select("host", F.col("pages").alias("all_pages"))
-    return written(often.where("digest <> 0").join(hosts, "host")
-                   .where(F.col("pages") >= min_share * F.col("all_pages"))
-                   .groupBy("host").agg(F.collect_list("digest").alias("digests")), "templates")
-
-
-def main_text(html: Column, digests: Column) -> Column:
-    """Main text of an html column, without the subtrees of the given digests."""
-    def run(htmls: pa.Array, recurring: pa.Array) -> pa.Array:
-        return pa.array([Page(h.as_py() or "").text(frozenset(r.as_py() or ()))
-                         for h, r in zip(htmls, recurring)], type=pa.string())
-
-    return F.arrow_udf(lean(run), "string").asNondeterministic()(html, digests)
-
-
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html",
-            min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    ``min_share`` can recur, so an array is as long as some pages, not as a host."""
+    least = min(SMALL_PAGES, min_pages)
+    counted = written(subtree_counts(pages, url_col, html_col).where(F.col("pages") >= least), "subtrees")
+    scopes = counted.where("digest = 0").select("scope", F.col("pages").alias("all_pages"))
+    bar = F.greatest(F.lit(least), F.least(F.lit(min_pages), F.col("all_pages") / 2))
+    blocks = F.when(F.col("pages") >= block_share * F.col("all_pages"), F.col("digest"))
+    return written(counted.where("digest <> 0").join(scopes, "scope")
+                   .where((F.col("pages") >= bar) & (F.col("pages") >= min_share * F.col("all_pages")))
+                   .groupBy("scope").agg(F.collect_list("digest").alias("digests"),
+                                         F.collect_list(blocks).alias("often")), "templates")
+
+
+def main_text(html: Column, *recurring: Column) -> Column:
+    """Main text of an html column, without the subtrees of the given arrays of
+    digests: those of the host and of its section, each all and those for blocks."""
+    def run(htmls: pa.Array, *given: pa.Array) -> pa.Array:
+        out = []
+        for k, html in enumerate(htmls):
+            digests, often = (frozenset(d for column in given[i::2] for d in column[k].as_py() or ()) for i in (0, 1))
+            out.append(Page(html.as_py() or "").text(digests, often))
+        return pa.array(out, type=pa.string())
+
+    return F.arrow_udf(lean(run), "string").asNondeterministic()(html, *recurring)
+
+
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES,
+            min_share: float = MIN_SHARE, block_share: float = BLOCK_SHARE) -> DataFrame:
     """Add ``text`` and ``n_chars`` to every page."""
     def run(urls: pa.Array) -> pa.Array:
-        return pa.array([host_of(u) for u in urls.to_pylist()], type=pa.string())
-
-    sites = templates(pages, url_col, html_col, min_pages, min_share).select(
-        F.col("host").alias("_host"), F.col("digests").alias("_digests"))
-    hosted = pages.withColumn("_of", F.arrow_udf(lean(run), "string").asNondeterministic()(F.col(url_col)))
-    return (hosted.join(sites, F.col("_of") == F.col("_host"), "left")
-            .withColumn("text", main_text(F.col(html_col), F.col("_digests")))
-            .withColumn("n_chars", F.length("text").cast("long")).drop("_of", "_host", "_digests"))
+        return pa.array([scopes_of(u) for u in urls.to_pylist()], type=pa.list_(pa.string()))
+
+    sites = templates(pages, url_col, html_col, min_pages, min_share, block_share)
+    out = pages.withColumn("_of", F.arrow_udf(lean(run), "array<string>").asNondeterministic()(F.col(url_col)))
+    for k in (0, 1):
+        out = out.join(sites.toDF(f"_scope{k}", f"_digests{k}", f"_often{k}"),
+                       F.get("_of", F.lit(k)) == F.col(f"_scope{k}"), "left")
+    arrays = [F.col(f"_{name}{k}") for k in (0, 1) for name in ("digests", "often")]
+    return (out.withColumn("text", main_text(F.col(html_col), *arrays))
+            .withColumn("n_chars", F.length("text").cast("long"))
+            .drop("_of", *[f"_{name}{k}" for k in (0, 1) for name in ("scope", "digests", "often")]))

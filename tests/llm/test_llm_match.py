@@ -251,6 +251,25 @@ def test_copies_are_no_templates(spark):
                           f"Own {r.page_id - 100}" if r.page_id < 200 else "Head\nAll of it"), r
 
 
+def test_templates_of_large_small_and_many_tongued_hosts(spark):
+    def page(host, where, i, box):
+        return (f"https://{host}.org/{where}{i}", f"<article><p>{host} {i}</p>{box}</article>")
+    box, no = "<div><p>Follow us</p><p>everywhere</p></div>", "<p>Yes.</p>"
+    pages = [page("large", "", i, box if i % 50 == 0 else no if i % 20 == 1 else "") for i in range(2000)]
+    tongues = [page("tongues", f"{k}/", 100 * k + i, f"<p>Box {k}</p>") for k in range(30) for i in range(12)]
+    small = [page("six", "", i, box) for i in range(6)] + [page("few", "", i, box) for i in range(5)]
+    rows = [(i, *p) for i, p in enumerate(pages + tongues + small)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.url: r.text for r in html_text.extract(table).collect()}
+    assert len(got) == len(rows)
+    for i in range(2000):
+        assert got[f"https://large.org/{i}"] == f"large {i}" + ("\nYes." if i % 50 and i % 20 == 1 else "")
+    for k in range(30):
+        assert all(got[f"https://tongues.org/{k}/{100 * k + i}"] == f"tongues {100 * k + i}" for i in range(12))
+    assert all(got[f"https://six.org/{i}"] == f"six {i}" for i in range(6))
+    assert all(got[f"https://few.org/{i}"] == f"few {i}\nFollow us\neverywhere" for i in range(5))
+
+
 def slow_nearest(rows, k, query):
     good = {}
     for i, v in rows:

@@ -158,6 +158,34 @@ def test_language_of_odd_texts(docs_of):
     assert {r.lang_pred for r in language.classify(docs_of(["text"]), {}).collect()} == {"und"}
 
 
+def test_rejection_of_gibberish_and_mixed_texts(spark, docs_of):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs.where("doc_id % 2 = 0"))
+    rnd, by = random.Random(9), {}
+    for r in docs.where("doc_id % 2 = 1 AND n_chars > 300").orderBy("doc_id").collect():
+        by.setdefault(r.lang, []).append(r.text)
+    clean = [t[:rnd.choice([150, 1000, 9000])] for texts in by.values() for t in texts]
+    noise = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz    ", k=rnd.choice([10, 100, 300, 5000]))) for _ in range(100)]
+    mixed = []
+    for _ in range(100):
+        one, two = (rnd.choice(by[lang]) for lang in rnd.sample(sorted(by), 2))
+        n = min(len(one), len(two), rnd.choice([150, 1000, 9000]))
+        mixed.append(one[:n] + " " + two[:n])
+    share = {}
+    for name, texts in {"clean": clean, "noise": noise, "mixed": mixed}.items():
+        rows = language.classify(docs_of(texts), model).collect()
+        share[name] = sum(r.rejected for r in rows) / len(rows)
+    assert share["clean"] < 0.01 and share["noise"] > 0.97 and share["mixed"] > 0.9, share
+
+
+def test_more_labels_than_a_model_holds(docs_of, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    labels = ["e", "d", "d", "c", "c", "b", "a", "a", "a"]
+    assert set(language.fit(docs_of([f"text {i} x" for i in range(9)], lang=labels))) == {"a", "c", "d"}
+    labels = ["d", "c", "b", "a"]
+    assert set(language.fit(docs_of(["one", "two", "three", "four"], lang=labels))) == {"a", "b", "c"}
+
+
 def slow_counts(text):
     import re
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")

@@ -7,8 +7,8 @@ stage's rows to the shared checkpoint folder and reads them for the next, so a
 lost executor costs no finished stage.
 
 Defined results, besides those of the operators: an empty table passes through
-all stages; rows that repeat an id and its group count as one from the third
-stage on, of which the smallest text hash stays; a row with a null doc_id
+all stages; rows that repeat an id and its text count as one from the third
+stage on, rows that repeat an id with unlike texts stay; a row with a null doc_id
 cannot be told from others by a group and stays; a text of which nothing is
 left stays as an empty text.
 """
@@ -44,12 +44,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest id, of each group of near-duplicates."""
+    """Keep one document, that of the smallest id and text hash, of each group of
+    near-duplicates; rows of one id and different texts are different documents."""
     prepare(spark)
-    classes = ngram_join.connect(docs.select("doc_id", "text"), words=NEAR_WORDS, percent=NEAR_PERCENT)
-    stay = written(classes.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct(), "stay")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = (docs.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi")
+    version = F.xxhash64("text")
+    classes = ngram_join.connect(docs.select("doc_id", "text", version.alias("version")),
+                                 words=NEAR_WORDS, percent=NEAR_PERCENT)
+    first = (F.col("doc_id") == F.col("component_id")) & (F.col("version") == F.col("component_version"))
+    stay = written(classes.where(first).select(F.col("doc_id").alias("_stay"), F.col("version").alias("_version"))
+                   .distinct(), "stay")
+    one = Window.partitionBy("doc_id", version).orderBy("source", "lang")
+    kept = (docs.join(stay, (F.col("doc_id") == F.col("_stay")) & (version == F.col("_version")), "left_semi")
             .withColumn("_row", F.row_number().over(one)).where("_row = 1"))
     return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 

@@ -104,7 +104,9 @@ def _first_pass(docs: DataFrame, words: int, buckets: int) -> DataFrame:
     2, how many sampled shingles the sets of a flush share with each other.  ``node``
     is what to add to a flush's numbers.  Shingles that agree in 48 bits count as
     shared, so the filter may let more sets pass, never fewer."""
-    fields = "kind int, doc_id long, node long, n long, sampled long, signature binary, bucket long, packed binary"
+    versions = [c for c in docs.columns if c == "version"]
+    ids = "".join(f"{c} long, " for c in ["doc_id", *versions])
+    fields = f"kind int, {ids}node long, n long, sampled long, signature binary, bucket long, packed binary"
     limit = np.uint64(int(SAMPLE * 2**64))
 
     def flush(base: int, sets: list[np.ndarray]):
@@ -127,9 +129,10 @@ def _first_pass(docs: DataFrame, words: int, buckets: int) -> DataFrame:
         starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         ends = np.append(starts[1:], len(bucket))
         n = len(starts)
-        yield _batch(fields, [[1] * n, [None] * n, [base] * n, [None] * n, [None] * n, [None] * n, bucket[starts],
+        blank = [None] * n
+        yield _batch(fields, [[1] * n, blank, *[blank for _ in versions], [base] * n, [None] * n, [None] * n, [None] * n, bucket[starts],
                               [packed[a:b].tobytes() for a, b in zip(starts, ends)]])
-        yield _batch(fields, [[2], [None], [base], [None], [None], [None], [None], [_packed_counts(who, times)]])
+        yield _batch(fields, [[2], [None], *[[None] for _ in versions], [base], [None], [None], [None], [None], [_packed_counts(who, times)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
@@ -150,7 +153,7 @@ def _first_pass(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                 sampled.append(len(part))
                 signatures.append(signature)
             n = len(sets)
-            yield _batch(fields, [[0] * n, batch.column(0), nodes, list(map(len, sets)), sampled, signatures,
+            yield _batch(fields, [[0] * n, batch.column(0), *batch.columns[2:], nodes, list(map(len, sets)), sampled, signatures,
                                   [None] * n, [None] * n])
             if size >= FLUSH or len(held) >= MANY - ROWS:
                 yield from flush(base, held)
@@ -158,7 +161,8 @@ def _first_pass(docs: DataFrame, words: int, buckets: int) -> DataFrame:
         if size:
             yield from flush(base, held)
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                         *versions)
     return written(picked.mapInArrow(lean(run), fields), "shingles", partition_by="kind")
 
 
@@ -416,17 +420,22 @@ def _links(ordered: DataFrame, percent: int, block: int) -> DataFrame:
 
 
 def connect(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id of documents (doc_id, text)."""
+    """doc_id, n_shingles, component_id of documents (doc_id, text).
+
+    With a column ``version`` (long), which tells rows of one doc_id apart, the result
+    has it too, and component_version: the least (doc_id, version) names a component."""
+    versions = [c for c in docs.columns if c == "version"]
+    own_id = (F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "version")) if versions else F.col("doc_id"))
     buckets = max(64, docs.count() // DOCS_PER_BUCKET)
     rows = _first_pass(docs, words, buckets)
-    sets = rows.where("kind = 0").select("doc_id", "node", "n", "sampled", "signature")
+    sets = rows.where("kind = 0").select("doc_id", *versions, "node", "n", "sampled", "signature")
     shared = _shared_counts(rows)
     enough = F.coalesce("shared", F.lit(0)) >= F.col("sampled") - allowed_column("n", percent)
     candidates = sets.where("n > 0").join(shared, "node", "left").where(enough).select("signature")
     found = _candidate_sets(docs, candidates, words)
     links = _links(_ordered(found, percent), percent, block)
     # documents of equal sets, and of one doc_id, belong together; then the links
-    names = sets.where("n > 0").groupBy("signature").agg(F.min("doc_id").alias("least"))
+    names = sets.where("n > 0").groupBy("signature").agg(F.min(own_id).alias("least"))
     classes = (components(links).join(found.select("node", "signature"), "node")
                .join(names, "signature").select("component", "signature", "least"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -434,5 +443,9 @@ def connect(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block:
     named = (names.join(linked, "signature", "left")
              .select(F.col("signature").alias("_signature"), F.coalesce("component_id", "least").alias("component_id")))
     own = (F.col("n") > 0) & (F.col("signature") == F.col("_signature"))
-    return sets.join(written(named, "classes"), own, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = sets.join(written(named, "classes"), own, "left")
+    component = F.coalesce("component_id", own_id)
+    if versions:
+        return named.select("doc_id", "version", F.col("n").alias("n_shingles"),
+                            component["doc_id"].alias("component_id"), component["version"].alias("component_version"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

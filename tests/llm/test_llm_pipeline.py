@@ -84,3 +84,15 @@ def test_odd_rows_pass_all_stages(spark, docs_of):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, empty, "")
         assert out.count() == 0
+
+
+def test_rows_of_one_id_stay_by_their_own_group(docs_of):
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    two, own, other, last = (" ".join(rnd.choices(words, k=80)) for _ in range(4))
+    near = two + " end"
+    docs = docs_of([two, near, own, other, last, last, two], ids=[2, 5, 5, 7, 7, 7, None])
+    got = corpus_pipeline.near_duplicate_stage(docs.sparkSession, docs, "")
+    assert sorted((r.doc_id, r.text) for r in got.collect() if r.doc_id) == sorted(
+        [(2, two), (5, own), (7, other), (7, last)])
+    assert [r.text for r in got.collect() if r.doc_id is None] == [two]

@@ -47,6 +47,7 @@ from tavola.llm.workers import lean
 
 LENGTH = 400
 HOT = 20_000             # texts with a fingerprint that one task sorts at most
+COMMON, COMMON_ROWS = 10_000, 1000   # at most so many fingerprints, of over so many anchors, join without a shuffle
 SLICE = 1 << 18          # bytes hashed at once
 KNOWN = 100_000          # surroundings or texts that a task remembers
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -318,10 +319,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, text_c
                       F.lit(True).alias("copied")))
     found = written(_anchor_rows(texts.select("digest", "text"), length), "anchors")
     place = F.xxhash64("digest", "pos")
-    repeated = (found.groupBy("fp", "digest").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-                .groupBy("fp").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("c"))
-                .where("a <> b").select("fp", (F.col("c") > hot).alias("hot")))
-    wanted = written(found.join(repeated, "fp").groupBy("digest", "hot")
+    repeated = written(found.groupBy("fp", "digest")
+                       .agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("rows"))
+                       .groupBy("fp").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("c"),
+                                          F.sum("rows").alias("rows"))
+                       .where("a <> b").select("fp", (F.col("c") > hot).alias("hot"), "rows"), "repeated")
+    wanted = written(_with_common(found, repeated).groupBy("digest", "hot")
                      .agg(F.collect_set(F.struct("pos", "fp")).alias("at")), "wanted")
     once = _once(texts.select("digest", "text"))
 
@@ -339,6 +342,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, text_c
                                               F.max("copied").alias("copied")), "spans")
 
 
+def _with_common(found: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Anchors joined with their fingerprint's row.  The rows of a very common
+    fingerprint stay where they are: the most common ones, COMMON at most, are
+    broadcast, and only anchors of the others are dealt by fingerprint."""
+    common = F.broadcast(repeated.where(F.col("rows") > COMMON_ROWS).orderBy(F.desc("rows"), "fp").limit(COMMON))
+    rare = repeated.join(common.select("fp"), "fp", "left_anti")
+    return (found.join(common, "fp").unionByName(
+        found.join(common.select("fp"), "fp", "left_anti").join(rare, "fp")).drop("rows"))
+
+
 def _once(texts: DataFrame) -> DataFrame:
     """Compressed texts (digest, packed) without those that the same task has sent before."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tavola.llm import ann, bpe, html_text, language, licences, ngram_join, packing, quality, repeats, training_order
+from tavola.llm import ann, bpe, html_text, language, licences, ngram_join, packing, quality, repeats, training_order, va_file
 from tavola.llm.common import read_table, prepare, text_or_empty, written
+from tavola.llm.vectors import integer_rows
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -140,3 +142,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = training_order.write_shards(read_table(spark, sf_dir, "documents"), TOKENIZER)
     return training_order.read_shards(spark, shards)
+
+
+DIM, CENTROIDS, ROUNDS = 64, 40, 5      # of op12
+
+
+@register("op12_centroids")
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = integer_rows(read_table(spark, sf_dir, "embeddings"), "embedding", F.col("vec_id"), dim=DIM)
+    found = va_file.cluster(rows, DIM, va_file.first_by_hash(rows, CENTROIDS, "2:"), ROUNDS)
+    members = written(found.members, "members")
+    sums = members.groupBy("cluster").agg(F.try_sum("distance").alias("cluster_inertia"))
+    total = members.agg(F.try_sum("distance").alias("inertia"))
+    codes = [(i, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(found.centroids)]
+    of_cluster = (sums.join(spark.createDataFrame(codes, "cluster int, centroid_sha256 string"), "cluster")
+                  .withColumn("inertia", F.lit(total.first().inertia).cast("long")))
+    return (members.join(F.broadcast(of_cluster), "cluster")     # a row a centroid
+            .select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"))

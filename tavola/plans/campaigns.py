@@ -187,7 +187,8 @@ def _cart_lines(spark, sf):
 
 
 @register("cart_discount", with_views("""
-SELECT cart_id, CAST(SUM(CASE WHEN hit THEN price * quantity * discount_percent / 100 ELSE 0 END) AS DECIMAL(18,2))
+SELECT cart_id, CAST(SUM(CASE WHEN hit THEN CAST(price AS DECIMAL(14,2)) * CAST(quantity AS DECIMAL(9,0))
+  * CAST(discount_percent AS DECIMAL(4,0)) * CAST(0.01 AS DECIMAL(3,2)) ELSE 0 END) AS DECIMAL(18,2))
  AS discount FROM lc GROUP BY cart_id""", "campaign_log_f", "cart_event_f", "product_f", "category_f",
                                     extra=CART_CTES))
 def cart_discount(spark, sf):
@@ -197,7 +198,8 @@ def cart_discount(spark, sf):
 
 @register("discounted_lines", with_views("""
 SELECT cart_id, product_id, quantity,
- CAST(CASE WHEN hit THEN price - price * discount_percent / 100 ELSE price END AS DECIMAL(18,2)) AS unit_price,
+ CAST(CASE WHEN hit THEN CAST(price AS DECIMAL(14,2)) * (100 - CAST(discount_percent AS DECIMAL(4,0)))
+  * CAST(0.01 AS DECIMAL(3,2)) ELSE price END AS DECIMAL(18,2)) AS unit_price,
  CASE WHEN hit THEN trim('[Kampanya %' || CAST(discount_percent AS VARCHAR) || '] ') ELSE '' END AS note
 FROM lc""", "campaign_log_f", "cart_event_f", "product_f", "category_f", extra=CART_CTES))
 def discounted_lines(spark, sf):

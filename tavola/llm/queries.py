@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tavola.llm import ann, bpe, html_text, language, licences, ngram_join, packing, quality, repeats, training_order, va_file
+from tavola.llm import ann, bpe, hard_negatives, html_text, language, licences, ngram_join, packing, quality, repeats, training_order, va_file
 from tavola.llm.common import read_table, prepare, text_or_empty, written
 from tavola.llm.vectors import integer_rows
 
@@ -144,6 +144,13 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.read_shards(spark, shards)
 
 
+@register("op11_hard_negatives")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    rows = integer_rows(read_table(spark, sf_dir, "embeddings"), "embedding", F.col("vec_id"), label.alias("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 DIM, CENTROIDS, ROUNDS = 64, 40, 5      # of op12
 
 

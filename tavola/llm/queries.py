@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tavola.llm import ann, bpe, hard_negatives, html_text, language, licences, ngram_join, packing, quality, repeats, training_order, va_file
+from tavola.llm import ann, bpe, hard_negatives, html_text, language, licences, minhash, ngram_join, packing, quality, repeats, training_order, va_file
 from tavola.llm.common import read_table, prepare, text_or_empty, written
 from tavola.llm.vectors import integer_rows
 
@@ -166,3 +166,8 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
                   .withColumn("inertia", F.lit(total.first().inertia).cast("long")))
     return (members.join(F.broadcast(of_cluster), "cluster")     # a row a centroid
             .select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"))
+
+
+@register("op13_minhash")
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))

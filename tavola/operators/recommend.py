@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tavola.functions import rules as RU
-from tavola.session import reuse
+from tavola.operators.score_lists import rank_in, zone_lists, zone_tables
+from tavola.session import cut_lineage, reuse
 
 
 # ---------------------------------------------------------------------------
@@ -118,14 +119,32 @@ def basket_keywords(baskets: DataFrame, products: DataFrame, alias_pairs: DataFr
     return baskets.select("basket_id", "product_id").join(pk, "product_id").select("basket_id", "keyword").distinct()
 
 
-def relevant_rules(bk: DataFrame, rules: DataFrame, alias_pairs: DataFrame | None) -> DataFrame:
-    """(basket_id, rule_id) whose trigger keywords meet the basket's and whose
-    result keywords do not (J11, U3)."""
-    tk = keywords(rules, ["rule_id"], "tetikleyici", alias_pairs)
-    rk = keywords(rules, ["rule_id"], "oneri", alias_pairs)
-    trig = bk.join(tk, "keyword").select("basket_id", "rule_id").distinct()
-    in_cart = bk.join(rk, "keyword").select("basket_id", "rule_id").distinct()
-    return trig.join(in_cart, ["basket_id", "rule_id"], "left_anti")
+def rule_words(rules: DataFrame, alias_pairs: DataFrame | None) -> DataFrame:
+    """(rule_id, trigger_words, result_words): the keywords of both sides of each rule."""
+    def of(text: str, name: str) -> DataFrame:
+        return keywords(rules, ["rule_id"], text, alias_pairs).groupBy("rule_id").agg(F.collect_set("keyword").alias(name))
+    return (rules.select("rule_id").join(of("tetikleyici", "trigger_words"), "rule_id")
+            .join(of("oneri", "result_words"), "rule_id", "left")
+            .withColumn("result_words", F.coalesce("result_words", F.expr("CAST(array() AS array<string>)"))))
+
+
+def relevant_rules(sets: DataFrame, rules: DataFrame, alias_pairs: DataFrame | None) -> DataFrame:
+    """(set_id, rule_id) of word sets (set_id, words) and the rules whose trigger
+    keywords meet the set and whose result keywords do not (J11, U3).
+
+    A pair is kept at the smallest word that both have, so no pair is made twice
+    and none has to be made distinct."""
+    by_word = rule_words(rules, alias_pairs).withColumn("word", F.explode("trigger_words"))
+    first = F.array_min(F.array_intersect("words", "trigger_words")) == F.col("word")
+    return (sets.select("set_id", "words", F.explode("words").alias("word")).join(by_word, "word")
+            .where(first & ~F.arrays_overlap("words", "result_words")).select("set_id", "rule_id"))
+
+
+def word_sets(baskets: DataFrame, products: DataFrame, alias_pairs: DataFrame | None) -> DataFrame:
+    """(basket_id, set_id, words): the sorted keywords of each basket; set_id is their md5."""
+    return (basket_keywords(baskets, products, alias_pairs).groupBy("basket_id")
+            .agg(F.sort_array(F.collect_set("keyword")).alias("words"))
+            .withColumn("set_id", F.md5(F.to_json("words"))))
 
 
 def basket_recommendations(baskets: DataFrame, products: DataFrame, rules: DataFrame,
@@ -136,20 +155,16 @@ def basket_recommendations(baskets: DataFrame, products: DataFrame, rules: DataF
     matched once per distinct set (its key is an md5 of the sorted words) and
     the few rows of each set are joined back to its baskets."""
     rules = reuse(rules)
-    words_of = (basket_keywords(baskets, products, alias_pairs).groupBy("basket_id")
-                .agg(F.sort_array(F.collect_set("keyword")).alias("words"))
-                .withColumn("set_id", F.md5(F.to_json("words"))))
-    words_of = reuse(words_of)
-    sets = reuse(words_of.select("set_id", "words").distinct()
-                 .select(F.col("set_id").alias("basket_id"), F.explode("words").alias("keyword")))
+    words_of = reuse(word_sets(baskets, products, alias_pairs))
+    sets = words_of.select("set_id", "words").distinct()
     m = relevant_rules(sets, rules, alias_pairs).join(rule_order(rules), "rule_id")
     # First rule per result name (ignoring case) in rule order
-    first = m.groupBy("basket_id", F.lower("oneri").alias("_rec")).agg(
+    first = m.groupBy("set_id", F.lower("oneri").alias("_rec")).agg(
         F.min_by(F.struct("tetikleyici", "oneri", "confidence", "lift", "oneri_metni", "rule_key"),
-                 F.col("rule_key")).alias("r")).select("basket_id", "r.*")
-    w = Window.partitionBy("basket_id").orderBy("rule_key")
+                 F.col("rule_key")).alias("r")).select("set_id", "r.*")
+    w = Window.partitionBy("set_id").orderBy("rule_key")
     top = (first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-                .select(F.col("basket_id").alias("set_id"), "rank", F.col("tetikleyici").alias("trigger"),
+                .select("set_id", "rank", F.col("tetikleyici").alias("trigger"),
                         F.col("oneri").alias("recommendation"), "confidence", "lift",
                         F.col("oneri_metni").alias("message")))
     return words_of.select("basket_id", "set_id").join(top, "set_id").drop("set_id")
@@ -182,6 +197,9 @@ def expand_class(rows: DataFrame, prod: DataFrame, keys: list[str], n: Column) -
 # ---------------------------------------------------------------------------
 # Smart basket
 # ---------------------------------------------------------------------------
+CATEGORY_CAP = 2
+
+
 def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame,
                  pairings: DataFrame, alias_pairs: DataFrame | None, rules: DataFrame,
                  limit: int = 6, campaigns: DataFrame | None = None,
@@ -190,120 +208,100 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
 
     ``baskets``: (basket_id, product_id).  ``products``: catalogue with
     product_name, category_id, price, is_active, is_available.
-    ``campaigns``: optional (basket_id, target_ids array<int>, campaign_title)."""
+    ``campaigns``: optional (basket_id, target_ids array<int>, campaign_title).
+
+    Complements and pairings score whole zones of the catalogue, a few rows a basket.
+    Rules boost names, once per distinct set of cart words; the lists of a set's best
+    products by zone (``score_lists``) are shared by all its baskets, and a basket
+    takes from each list what its own items leave."""
     catalog = reuse(products.filter(F.col("is_active") & F.col("is_available"))
                             .select("product_id", "product_name", "category_id", "price"))
-    prod, cls = class_tables(catalog)
-    prod, cls = reuse(prod), reuse(cls)
+    classes, zones = zone_tables(catalog, pairings)
+    classes, zones = cut_lineage(classes), cut_lineage(zones)
     rules = reuse(rules)
     cart = reuse(baskets.select("basket_id", "product_id").distinct().join(
         products.select("product_id", F.col("product_name").alias("item_name"),
                         F.col("category_id").alias("item_category")), "product_id"))
-    cart_cats = reuse(cart.select("basket_id", F.col("item_category").alias("category_id")).distinct())
+    cart_cats = cart.select("basket_id", F.col("item_category").alias("category_id")).distinct()
     has_meal = cart.groupBy("basket_id").agg(
         F.max(F.col("item_category").isin(*meal_categories)).alias("has_meal"))
-    # cart items that are also candidates (they are excluded by id)
-    cart_in = cart.select("basket_id", "product_id").join(prod.select("product_id", *CLASS), "product_id")
-    n_cart_cls = reuse(cart_in.groupBy("basket_id", *CLASS).agg(F.count(F.lit(1)).alias("n_cart")))
-    n_cart_cat = reuse(cart_in.groupBy("basket_id", "category_id").agg(F.count(F.lit(1)).alias("n_cart_cat")))
+    in_zone = catalog.join(classes.select("category_id", "product_name", "zone_id"), ["category_id", "product_name"])
+    own = reuse(cart.select("basket_id", "product_id").join(in_zone.select("product_id", "zone_id"), "product_id")
+                .groupBy("basket_id", "zone_id").agg(F.count(F.lit(1)).alias("n_own")))
 
-    # Category complement, per cart item (dense: whole category)
-    p1 = (cart.join(F.broadcast(complements), cart.item_category == complements.src_category)
+    # Category complement per cart item, keyword pairing per word of each item
+    p1 = (cart.join(complements, cart.item_category == complements.src_category)
               .select("basket_id", "category_id", times("weight", 0.5).alias("score"),
-                      F.col("product_id").alias("ref"), loop_key(1, "product_id", "pos")))
-    # Keyword pairing, per word of each cart item
-    cw = cart.select("basket_id", "product_id", F.posexplode(words(F.col("item_name"))).alias("word_pos", "keyword"))
-    kw_ids = pairings.select("keyword").distinct().withColumn("kw_id", F.xxhash64("keyword"))
-    pw = cw.join(F.broadcast(pairings), "keyword").join(F.broadcast(kw_ids), "keyword")
-    p2_score = times("boost", 0.7).alias("score")
-    p2_reason = F.col("kw_id").alias("ref")
-    p2_key = loop_key(2, "product_id", "word_pos", "pos")
-    p2_dense = pw.filter(F.col("target_name").isNull()).select("basket_id", "category_id", p2_score, p2_reason, p2_key)
-    targets = (F.broadcast(pairings.filter(F.col("target_name").isNotNull()))
-               .join(cls.select(*CLASS), "category_id")
-               .filter(F.lower("product_name").contains(F.lower("target_name")))
-               .select("keyword", "pos", *CLASS))
-    p2_sparse = (pw.filter(F.col("target_name").isNotNull()).drop("target_name")
-                   .join(targets, ["keyword", "pos", "category_id"])
-                   .select("basket_id", *CLASS, p2_score, p2_reason, p2_key))
-    # Rule boost -> classes whose keywords meet the rule's result keywords
-    rules_o = rule_order(rules)
-    bk = basket_keywords(cart.select("basket_id", "product_id"), products, alias_pairs)
-    rel = relevant_rules(reuse(bk), rules, alias_pairs)
-    # Rules with the same result text boost the same classes: relevant rules
-    # are first summed per (basket, result text), then joined to the classes
-    # that text reaches (fewer rows than per rule).
-    rk = keywords(rules.select("oneri").distinct(), ["oneri"], "oneri", alias_pairs)
-    ck = keywords(cls.select(*CLASS), CLASS, "product_name", alias_pairs)
-    text_cls = rk.join(ck, "keyword").select("oneri", *CLASS).distinct()
-    per_text = (rel.join(rules_o.select("rule_id", "oneri", "confidence", "tetikleyici", "rule_key"), "rule_id")
-                   .groupBy("basket_id", "oneri")
-                   .agg(F.sum(times("confidence", 0.8)).cast(SCORE).alias("score"),
-                        F.min_by("rule_id", "rule_key").alias("ref"),
-                        F.min("rule_key").alias("_rk")))
-    # rule order as a small number per basket (rank of its first rule)
-    per_text = per_text.withColumn("_r3", F.dense_rank().over(Window.partitionBy("basket_id").orderBy("_rk")))
-    p3 = per_text.join(text_cls, "oneri").select("basket_id", *CLASS, "score", "ref",
-                                                 loop_key(3, F.col("_r3")))
-
-    dense = p1.unionByName(p2_dense).groupBy("basket_id", "category_id").agg(
-        F.sum("score").cast(SCORE).alias("d_score"), F.min_by("ref", "key").alias("d_ref"),
-        F.min("key").alias("d_key"))
-    sparse = p2_sparse.unionByName(p3).groupBy("basket_id", *CLASS).agg(
-        F.sum("score").cast(SCORE).alias("s_score"), F.min_by("ref", "key").alias("s_ref"),
-        F.min("key").alias("s_key"))
-    dense, sparse = reuse(dense), reuse(sparse)
+                      F.concat(F.lit("complement-to-"), "item_name").alias("reason"), loop_key(1, "product_id", "pos")))
+    pw = cart.select("basket_id", "product_id", F.posexplode(words(F.col("item_name"))).alias("word_pos", "keyword"))
+    pw = pw.join(pairings, "keyword").select(
+        "basket_id", "category_id", "target_name", F.struct("keyword", "pos").alias("target"), times("boost", 0.7).alias("score"),
+        F.concat(F.lit("pairs-with-"), "keyword").alias("reason"), loop_key(2, "product_id", "word_pos", "pos"))
+
+    def summed(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy("basket_id", *keys).agg(
+            F.sum("score").cast(SCORE).alias("score"), F.min_by("reason", "key").alias("reason"), F.min("key").alias("key"))
+
+    of_category = summed(p1.unionByName(pw.where("target_name IS NULL").select(*p1.columns)), "category_id")
+    of_target = summed(pw.where("target_name IS NOT NULL"), "target")
+    targets = zones.select("zone_id", F.explode("targets").alias("target"))
+    cols = ["basket_id", "zone_id", "score", "reason", "key"]
+    base = reuse(summed(of_category.join(zones.select("zone_id", "category_id"), "category_id").select(*cols)
+                        .unionByName(of_target.join(targets, "target").select(*cols)), "zone_id").drop("key"))
+
+    # Rules boost names, once per distinct set of words
+    set_of = reuse(word_sets(cart.select("basket_id", "product_id"), products, alias_pairs))
+    rel = relevant_rules(set_of.select("set_id", "words").distinct(), rules, alias_pairs)
+    result_words = keywords(rules.select("oneri").distinct(), ["oneri"], "oneri", alias_pairs)
+    names = keywords(classes.select("product_name").distinct(), ["product_name"], "product_name", alias_pairs)
+    reaches = result_words.join(names, "keyword").select("oneri", "product_name").distinct()
+    per_text = (rel.join(rule_order(rules).select("rule_id", "oneri", "confidence", "tetikleyici", "rule_key"), "rule_id")
+                   .groupBy("set_id", "oneri").agg(F.sum(times("confidence", 0.8)).cast(SCORE).alias("boost"),
+                                                   F.min("rule_key").alias("rule_key")))
+    boosts = cut_lineage(per_text.join(reaches, "oneri").groupBy("set_id", "product_name").agg(
+        F.sum("boost").cast(SCORE).alias("boost"), F.min("rule_key").alias("rule_key")))
+
+    # the best products by set and zone; a basket's own items are left out of them later
+    zone_ids = F.array(*[F.lit(r.zone_id) for r in zones.select("zone_id").collect()])      # of fixed rule tables
+    most_own = (own.join(set_of.select("basket_id", "set_id"), "basket_id").groupBy("set_id", "zone_id").agg(F.max("n_own").alias("n_own")))
+    scored_zone = (base.select("basket_id", "zone_id").join(set_of.select("basket_id", "set_id"), "basket_id")
+                   .select("set_id", "zone_id").distinct().withColumn("every", F.lit(True)))
+    wanted = (set_of.select("set_id").distinct().withColumn("zone_id", F.explode(zone_ids))
+              .join(most_own, ["set_id", "zone_id"], "left").join(scored_zone, ["set_id", "zone_id"], "left")
+              .select("set_id", "zone_id", (F.lit(CATEGORY_CAP) + F.coalesce("n_own", F.lit(0))).cast("int").alias("m"),
+                      F.coalesce("every", F.lit(False)).alias("every")))
+    lists = zone_lists(boosts, wanted, catalog, classes)
+    cand = (set_of.select("basket_id", "set_id").join(lists, "set_id").join(base, ["basket_id", "zone_id"], "left")
+            .where("reached OR score IS NOT NULL")
+            .select("basket_id", "set_id", "zone_id", "product_id", "product_name", "reason",
+                    (F.coalesce("score", dec(0)) + F.col("boost")).cast(SCORE).alias("score")))
+    cand = cand.join(zones.select("zone_id", "category_id"), "zone_id").drop("zone_id")
 
     # R3d: fill when fewer than `limit` products are scored
-    cat_size = catalog.groupBy("category_id").agg(F.count(F.lit(1)).alias("cat_size"))
-    n_dense = (dense.join(cat_size, "category_id").join(n_cart_cat, ["basket_id", "category_id"], "left")
-                    .groupBy("basket_id").agg(F.sum(F.col("cat_size") - F.coalesce("n_cart_cat", F.lit(0))).alias("n1")))
-    n_sparse = (sparse.join(dense.select("basket_id", "category_id"), ["basket_id", "category_id"], "left_anti")
-                      .join(cls.select(*CLASS, "class_size"), CLASS)
-                      .join(n_cart_cls, ["basket_id"] + CLASS, "left")
-                      .groupBy("basket_id").agg(F.sum(F.col("class_size") - F.coalesce("n_cart", F.lit(0))).alias("n2")))
-    all_baskets = cart.select("basket_id").distinct()
-    needs_fill = (all_baskets.join(n_dense, "basket_id", "left").join(n_sparse, "basket_id", "left")
-                             .filter(F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0)) < limit)
-                             .select("basket_id"))
-    fill = (needs_fill.select("basket_id", F.explode(F.array(*[F.lit(c) for c in all_categories])).alias("category_id"))
-                      .join(cart_cats, ["basket_id", "category_id"], "left_anti")
-                      .join(dense.select("basket_id", "category_id"), ["basket_id", "category_id"], "left_anti")
-                      .select("basket_id", "category_id", dec(0.15).alias("d_score"),
-                              F.lit(0).cast("long").alias("d_ref"),
-                              loop_key(4).alias("d_key"),
-                              F.lit(True).alias("is_fill")))
-    dense_all = reuse(dense.withColumn("is_fill", F.lit(False)).unionByName(fill))
-
-    # candidates from sparse classes: dense part added unless it is the fill
-    sp = (sparse.join(dense_all, ["basket_id", "category_id"], "left")
-                .join(n_cart_cls, ["basket_id"] + CLASS, "left")
-                .select("basket_id", *CLASS,
-                        (F.col("s_score") + F.when(~F.coalesce("is_fill", F.lit(True)), F.col("d_score"))
-                         .otherwise(dec(0))).cast(SCORE).alias("score"),
-                        F.when(~F.coalesce("is_fill", F.lit(True)) & (F.col("d_key") < F.col("s_key")), F.col("d_ref"))
-                         .otherwise(F.col("s_ref")).alias("ref"),
-                        F.when(~F.coalesce("is_fill", F.lit(True)) & (F.col("d_key") < F.col("s_key")), F.col("d_key"))
-                         .otherwise(F.col("s_key")).alias("key"),
-                        (F.lit(2) + F.coalesce("n_cart", F.lit(0))).alias("_n")))
-    sp_c = expand_class(sp, prod, ["basket_id"], F.col("_n")).drop("_n")
-    # candidates from dense-only classes: the first classes by first id
-    n_sp_cat = sparse.groupBy("basket_id", "category_id").agg(F.count(F.lit(1)).alias("n_sp"))
-    explore = (dense_all.join(n_sp_cat, ["basket_id", "category_id"], "left")
-                        .join(n_cart_cat, ["basket_id", "category_id"], "left")
-                        .select("basket_id", "category_id", "d_score", "d_ref", "d_key",
-                                F.explode(F.sequence(F.lit(1), (F.lit(2) + F.coalesce("n_sp", F.lit(0))
-                                                                + F.coalesce("n_cart_cat", F.lit(0))).cast("int")))
-                                 .alias("class_rank")))
-    dn = (explore.join(cls.select("category_id", "class_rank", "product_name"), ["category_id", "class_rank"])
-                 .join(sparse.select("basket_id", *CLASS), ["basket_id"] + CLASS, "left_anti")
-                 .join(n_cart_cls, ["basket_id"] + CLASS, "left")
-                 .select("basket_id", *CLASS, F.col("d_score").alias("score"), F.col("d_ref").alias("ref"),
-                         F.col("d_key").alias("key"),
-                         (F.lit(2) + F.coalesce("n_cart", F.lit(0))).alias("_n")))
-    dn_c = expand_class(dn, prod, ["basket_id"], F.col("_n")).drop("_n")
-    cand = (sp_c.unionByName(dn_c)
-                .join(cart.select("basket_id", "product_id"), ["basket_id", "product_id"], "left_anti"))
+    sizes = (base.select("basket_id", "zone_id").join(zones.select("zone_id", "zone_size"), "zone_id")
+             .join(own, ["basket_id", "zone_id"], "left").groupBy("basket_id")
+             .agg(F.sum(F.col("zone_size") - F.coalesce("n_own", F.lit(0))).alias("n_zone")))
+    few = (set_of.select("basket_id", "set_id").join(sizes, "basket_id", "left")
+           .withColumn("n_zone", F.coalesce("n_zone", F.lit(0))).where(F.col("n_zone") < limit))
+    more = (few.join(boosts.select("set_id", "product_name"), "set_id").join(classes, "product_name")
+            .join(base.select("basket_id", "zone_id"), ["basket_id", "zone_id"], "left_anti"))
+    taken = (few.join(boosts.select("set_id", "product_name"), "set_id")
+             .join(cart.select("basket_id", "product_id"), "basket_id").join(in_zone, ["product_id", "product_name"])
+             .join(base.select("basket_id", "zone_id"), ["basket_id", "zone_id"], "left_anti")
+             .groupBy("basket_id").agg(F.count(F.lit(1)).alias("n_taken")))
+    reached = more.groupBy("basket_id").agg(F.sum("class_size").alias("n_reached"))
+    needs = (few.join(reached, "basket_id", "left").join(taken, "basket_id", "left")
+             .where(F.col("n_zone") + F.coalesce("n_reached", F.lit(0)) - F.coalesce("n_taken", F.lit(0)) < limit)
+             .select("basket_id", "set_id"))
+    first = rank_in(in_zone.drop("price"), ["category_id"], ["product_id"], "_nth", CATEGORY_CAP + limit)
+    fill = (needs.withColumn("category_id", F.explode(F.array(*[F.lit(c) for c in all_categories])))
+            .join(cart_cats, ["basket_id", "category_id"], "left_anti").join(first, "category_id")
+            .join(base.select("basket_id", "zone_id"), ["basket_id", "zone_id"], "left_anti")
+            .join(boosts.select("set_id", "product_name"), ["set_id", "product_name"], "left_anti")
+            .select("basket_id", "set_id", "product_id", "product_name", F.lit("popular-fill").alias("reason"),
+                    dec(0.15).alias("score"), "category_id"))
+    cand = cand.unionByName(fill).join(cart.select("basket_id", "product_id"), ["basket_id", "product_id"], "left_anti")
+
     # R3e: meal penalty
     cand = (cand.join(cart_cats.withColumn("_in_cart", F.lit(True)), ["basket_id", "category_id"], "left")
                 .join(has_meal, "basket_id", "left"))
@@ -311,30 +309,19 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
     factor = (F.when(is_meal & F.coalesce("_in_cart", F.lit(False)), dec(0.1))
                .when(is_meal & F.coalesce("has_meal", F.lit(False)), dec(0.25)).otherwise(dec(1)))
     cand = cand.withColumn("score", times("score", factor))
-    # R3f: rank, cap 2 per category, normalise by the basket maximum
+    # R3f: rank, cap per category, normalise by the basket maximum
     order = [F.desc("score"), F.asc("product_id")]
     cand = cand.withColumn("_cat_rank", F.row_number().over(
         Window.partitionBy("basket_id", "category_id").orderBy(*order)))
     cand = cand.withColumn("_max", F.max("score").over(Window.partitionBy("basket_id")))
-    top = cand.filter(F.col("_cat_rank") <= 2).withColumn(
+    top = cand.filter(F.col("_cat_rank") <= CATEGORY_CAP).withColumn(
         "rank", F.row_number().over(Window.partitionBy("basket_id").orderBy(*order))).filter(F.col("rank") <= limit)
     raw = F.col("score").cast("double") / F.greatest(F.col("_max").cast("double"), F.lit(0.01)) * 0.95
     conf = F.least(F.lit(0.95), F.greatest(F.lit(0.50), raw))
-    # decode the first reason of the final rows only (at most `limit` per basket)
-    ph = F.col("key.ph")
-    names = products.select(F.col("product_id").alias("_pid"), F.col("product_name").alias("_pname"))
-    top = (top.withColumn("_ph", ph)
-              .join(names, (F.col("_ph") == 1) & (F.col("ref") == F.col("_pid")), "left")
-              .join(F.broadcast(kw_ids.withColumnRenamed("keyword", "_kw")),
-                    (F.col("_ph") == 2) & (F.col("ref") == F.col("kw_id")), "left")
-              .join(rules.select(F.col("rule_id").alias("_rid"), F.col("tetikleyici").alias("_trig")),
-                    (F.col("_ph") == 3) & (F.col("ref") == F.col("_rid")), "left"))
-    reason = (F.when(F.col("_ph") == 1, F.concat(F.lit("complement-to-"), F.col("_pname")))
-               .when(F.col("_ph") == 2, F.concat(F.lit("pairs-with-"), F.col("_kw")))
-               .when(F.col("_ph") == 3, F.concat(F.lit("apriori:"), F.col("_trig")))
-               .otherwise(F.lit("popular-fill")))
-    out = top.select("basket_id", "rank", "product_id", "product_name", "price", "category_id",
-                     (F.rint(conf * 100) / 100).alias("confidence"), reason.alias("reason"))
+    by_rule = boosts.select("set_id", "product_name", F.concat(F.lit("apriori:"), "rule_key.tetikleyici").alias("_rule"))
+    out = (top.join(by_rule, ["set_id", "product_name"], "left").join(catalog.select("product_id", "price"), "product_id")
+           .select("basket_id", "rank", "product_id", "product_name", "price", "category_id",
+                   (F.rint(conf * 100) / 100).alias("confidence"), F.coalesce("reason", "_rule").alias("reason")))
     if campaigns is None:
         return out.withColumn("has_campaign", F.lit(False)).withColumn(
             "campaign_title", F.lit(None).cast("string"))

@@ -172,22 +172,3 @@ SMART_CTES = {
     "top": """SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY score DESC, product_id) AS rank
  FROM ranked WHERE cat_rank <= 2""",
 }
-
-
-# Brute-force oracle: too slow on whole sf0.01 tables (it scores every
-# basket x candidate pair), so it is not registered for the driver's check;
-# tests run it against the Spark query on sf0.001.
-SMART_BASKET_BRUTE_FORCE_SQL = rec_sql("""
-SELECT basket_id, rank, product_id, product_name, price, category_id,
- round_even(least(0.95, greatest(0.50, CAST(score AS DOUBLE) / greatest(CAST(mx AS DOUBLE), 0.01) * 0.95))
-  * 100, 0) / 100 AS confidence,
- reason, false AS has_campaign, CAST(NULL AS VARCHAR) AS campaign_title
-FROM top WHERE rank <= 6""", SMART_CTES)
-
-
-@register("smart_basket")
-def smart_basket(spark, sf):
-    fx = Fixtures(spark, sf)
-    return RC.smart_basket(
-        fx.basket_f, fx.product_f, RU.complements_df(spark), RU.pairings_df(spark, RU.TEST_PAIRINGS),
-        RU.alias_pairs_df(spark, RU.TEST_ALIASES), rules_by_name(spark, sf), limit=6)

@@ -4,7 +4,7 @@ from collections import Counter
 
 from oracle_check import duck_con, norm
 from tavola.plans import QUERIES
-from tavola.plans import recommend as PR
+from tavola.plans import smart_basket as PR
 
 
 def test_smart_basket_equals_brute_force(spark, small_dir):
@@ -27,6 +27,7 @@ def test_smart_basket_properties(spark, small_dir):
         "l_orderkey AS basket_id", "l_partkey AS product_id").distinct().toPandas()
     merged = df.merge(b, on=["basket_id", "product_id"])
     assert merged.empty
+    assert 0 < df.has_campaign.sum() < len(df) and (df.campaign_title.notna() == df.has_campaign).all()
 
 
 def test_dashboard_properties(spark, small_dir):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tavola.functions import rules as RU
+from tavola.operators.text_match import contained
 
 # Campaigns of the source -- id, title, discount percent,
 # target category names, priority -- and their conditions.
@@ -156,14 +157,22 @@ def current_campaign(active: DataFrame, suggested: DataFrame, spark: SparkSessio
 
 def target_category_ids(campaigns: DataFrame, spark: SparkSession, key: str = "campaign_id") -> DataFrame:
     """Target names -> category ids by case-insensitive substring."""
-    frag = F.broadcast(RU.campaign_category_df(spark))
-    t = campaigns.select(key, F.explode("target_categories").alias("target"))
-    hits = t.join(frag, F.lower(F.col("target")).contains(F.lower(F.col("fragment"))))
+    frag = RU.campaign_category_df(spark).withColumn("fragment", F.lower("fragment"))
+    t = campaigns.select(key, F.explode("target_categories").alias("target")).withColumn("target", F.lower("target"))
+    hits = t.join(contained(t, "target", frag, "fragment"), "target").join(frag, "fragment")
     ids = hits.groupBy(key).agg(F.array_sort(F.collect_set("category_id")).alias("target_ids"))
     return campaigns.select(key).distinct().join(ids, key, "left").withColumn(
         "target_ids", F.coalesce("target_ids", F.array().cast("array<int>")))
 
 
+def campaign_categories(campaigns: DataFrame, categories: DataFrame, key: str = "context_id") -> DataFrame:
+    """Per campaign the categories whose name contains a target (ignoring case)."""
+    targets = campaigns.select(key, F.explode("target_categories").alias("target")).withColumn("target", F.lower("target"))
+    named = categories.select("category_id", "category_name", F.lower("category_name").alias("name"))
+    hits = contained(named, "name", targets, "target").join(named, "name").select("target", "category_id", "category_name")
+    return targets.join(hits, "target").select(key, "category_id", "category_name").distinct()
+
+
 def matches_category(category_name: Column, targets: Column) -> Column:
     """The category name contains any target (ignoring case)."""
     return F.coalesce(F.exists(targets, lambda t: F.lower(category_name).contains(F.lower(t))), F.lit(False))

@@ -1,18 +1,12 @@
 """Recommenders (R1-R8) for many baskets / products at once.
 
-Matching is done with equi-joins on tokens, categories and substrings,
-never with a product of baskets and catalogue:
+Matching is done with equi-joins, never with a product of baskets and catalogue:
 
 * keyword overlap (R2, R3c) explodes words and joins on the word;
-* "name contains text" (R1, R4) joins the query text against an exploded
-  set of substrings of the (small) rule texts;
-* candidate scoring (R3, R4) works on *product classes* = (category, name):
-  every score in these recommenders is a function of the candidate's
-  category and name only, so products of one class tie and only the
-  lowest ids of a class can reach the top.  Per basket, only a bounded
-  number of products per class and of classes per category are expanded
-  (bounds derived from the cart size and the category cap), which gives
-  exactly the same top list as scoring every candidate.
+* "name contains text" (R1, R4) looks needles up by their first letters
+  (``text_match``);
+* candidate scoring (R3, R4) scores zones of the catalogue and lists of names
+  (``score_lists``); a threshold search takes the best products of each zone.
 """
 
 from __future__ import annotations
@@ -22,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tavola.functions import rules as RU
+from tavola.operators.text_match import contained
 from tavola.operators.score_lists import rank_in, zone_lists, zone_tables
 from tavola.session import cut_lineage, reuse
 
@@ -47,16 +42,6 @@ def keywords(df: DataFrame, keys: list[str], text: str, alias_pairs: DataFrame |
     return own.unionByName(more).distinct()
 
 
-def substrings(text: Column) -> Column:
-    """All non-empty substrings of ``text`` (for short rule texts)."""
-    n = F.length(text)
-    return F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.transform(F.sequence(i, F.greatest(n, F.lit(1))),
-                              lambda j: F.substr(text, i, j - i + 1)))))
-
-
-RULE_KEY_TYPE = "struct<l:double,tetikleyici:string,oneri:string>"
 # Scores are summed as decimals so that equal scores are exactly equal
 # (ties then fall to the product id, independent of summation order).
 SCORE = "decimal(20,10)"
@@ -76,16 +61,6 @@ def rule_order(rules: DataFrame) -> DataFrame:
     return rules.withColumn("rule_key", F.struct((-F.col("lift")).alias("l"), "tetikleyici", "oneri"))
 
 
-def reason_key(phase: int, a=None, b=None, c=None, rule_key: Column | None = None) -> Column:
-    """Position of a contribution in the source's loop order, used to pick
-    the first reason: (phase, cart item, word, list position, rule order)."""
-    def lng(x):
-        return (F.lit(0) if x is None else (F.col(x) if isinstance(x, str) else x)).cast("long")
-    rk = rule_key if rule_key is not None else F.lit(None).cast(RULE_KEY_TYPE)
-    return F.struct(F.lit(phase).alias("ph"), lng(a).alias("a"), lng(b).alias("b"), lng(c).alias("c"),
-                    rk.alias("r")).alias("key")
-
-
 def loop_key(phase: int, a=None, b=None, c=None) -> Column:
     """Position of a contribution in the source's loop order, compared field by
     field: phase, cart item id, word position, list position."""
@@ -100,9 +75,10 @@ def loop_key(phase: int, a=None, b=None, c=None) -> Column:
 def product_recommendations(queries: DataFrame, rules: DataFrame, limit: int = 5) -> DataFrame:
     """For each query text: rules whose trigger contains it (ignoring case),
     by confidence, first ``limit``.  ``queries`` has column ``query``."""
-    subs = (rules.select("rule_id", F.explode(substrings(F.lower("tetikleyici"))).alias("needle")))
-    q = queries.select("query").distinct().withColumn("needle", F.lower("query"))
-    hits = q.join(subs, "needle").select("query", "rule_id").distinct().join(rule_order(rules), "rule_id")
+    triggers = rules.select("rule_id", F.lower("tetikleyici").alias("trigger_text"))
+    asked = queries.select("query").distinct().withColumn("needle", F.lower("query"))
+    hits = (asked.join(contained(triggers, "trigger_text", asked, "needle"), "needle").join(triggers, "trigger_text")
+            .select("query", "rule_id").join(rule_order(rules), "rule_id"))
     w = Window.partitionBy("query").orderBy(F.desc("confidence"), F.col("rule_key"))
     return (hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
                 .select("query", "rank", F.col("tetikleyici").alias("trigger"),
@@ -170,30 +146,6 @@ def basket_recommendations(baskets: DataFrame, products: DataFrame, rules: DataF
     return words_of.select("basket_id", "set_id").join(top, "set_id").drop("set_id")
 
 
-# ---------------------------------------------------------------------------
-# product classes
-# ---------------------------------------------------------------------------
-CLASS = ["category_id", "product_name"]
-
-
-def class_tables(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(products with within-class rank, classes with size, first id and
-    rank inside their category by first id)."""
-    prod = catalog.withColumn("within_rank", F.row_number().over(
-        Window.partitionBy(*CLASS).orderBy("product_id")))
-    cls = catalog.groupBy(*CLASS).agg(F.min("product_id").alias("first_id"),
-                                      F.count(F.lit(1)).alias("class_size"))
-    cls = cls.withColumn("class_rank", F.row_number().over(
-        Window.partitionBy("category_id").orderBy("first_id")))
-    return prod, cls
-
-
-def expand_class(rows: DataFrame, prod: DataFrame, keys: list[str], n: Column) -> DataFrame:
-    """Join each (keys, class) row to the class's first ``n`` products by id."""
-    return (rows.withColumn("within_rank", F.explode(F.sequence(F.lit(1), n.cast("int"))))
-                .join(prod, CLASS + ["within_rank"]))
-
-
 # ---------------------------------------------------------------------------
 # Smart basket
 # ---------------------------------------------------------------------------
@@ -332,20 +284,17 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
                       F.when(flag, F.col("campaign_title")).alias("campaign_title"))
 
 
-def rule_name_matches(rules: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rule_id, class) where a result name rn of the rule (comma list) and
-    the class name n satisfy: rn in n, or n in rn, or a word of rn longer
-    than 3 letters is in n (all lower case).  Each test is an equi-join
-    against the substrings of the other side."""
+def rule_name_matches(rules: DataFrame, names: DataFrame) -> DataFrame:
+    """(rule_id, product_name) where a result name rn of the rule (comma list) and the
+    product name n satisfy: rn in n, or n in rn, or a word of rn longer than 3 letters
+    is in n (all lower case)."""
     rn = rules.select("rule_id", F.explode(F.transform(F.split("oneri", ","),
                                                        lambda x: F.lower(F.trim(x)))).alias("rn"))
-    terms = rn.select("rule_id", "rn").unionByName(
+    names = names.select("product_name").distinct().withColumn("name", F.lower("product_name"))
+    terms = rn.unionByName(
         rn.select("rule_id", F.explode(F.filter(F.split("rn", " "), lambda w: F.length(w) > 3)).alias("rn")))
-    name_subs = classes.select(*CLASS, F.explode(substrings(F.lower("product_name"))).alias("rn"))
-    a = terms.join(name_subs, "rn").select("rule_id", *CLASS)
-    rn_subs = rn.select("rule_id", F.explode(substrings(F.col("rn"))).alias("_n"))
-    b = rn_subs.join(classes.select(*CLASS, F.lower("product_name").alias("_n")), "_n").select("rule_id", *CLASS)
-    return a.unionByName(b).distinct()
+    hits = (contained(names, "name", terms, "rn").unionByName(contained(rn, "rn", names, "name").select("name", "rn"))).distinct()
+    return (terms.distinct().join(hits, "rn").join(names, "name").select("rule_id", "product_name").distinct())
 
 
 # ---------------------------------------------------------------------------
@@ -356,72 +305,86 @@ def dashboard_recommendations(products: DataFrame, complements: DataFrame, pairi
                               all_categories=tuple(RU.ALL_CATEGORIES)) -> DataFrame:
     """For every catalogue product: ``limit`` other products by score
     (complement x .5; pairing x .6 on a name match else x .3; rule x .4 once
-    per rule; fill .05 from other categories), score capped at 1."""
+    per rule; fill .05 from other categories), score capped at 1.
+
+    Complements and pairings score zones, for each (category, name) that asks; rules
+    boost names, for each distinct set of asking words.  The best products by zone come
+    from the sets' lists (``score_lists``); no name meets every other name."""
     catalog = reuse(products.filter(F.col("is_active") & F.col("is_available"))
                             .select("product_id", "product_name", "category_id", "price"))
-    prod, cls = class_tables(catalog)
-    prod, cls = reuse(prod), reuse(cls)
-    rules = reuse(rules)
-    q = cls.select(F.col("category_id").alias("q_cat"), F.col("product_name").alias("q_name"))
-    cand = cls.select(*CLASS, "first_id", "class_size")
+    classes, zones = zone_tables(catalog, pairings)
+    classes, zones = cut_lineage(classes), cut_lineage(zones)
+    rules = reuse(rule_order(rules))
+    q = reuse(classes.select(F.col("category_id").alias("q_cat"), F.col("product_name").alias("q_name")))
     qkey = ["q_cat", "q_name"]
+    of_zone = zones.select("zone_id", "category_id", "targets")
     # phase 1
-    p1 = (q.join(F.broadcast(complements), q.q_cat == complements.src_category)
-           .join(cand, "category_id")
-           .select(*qkey, *CLASS, times("weight", 0.5).alias("score"),
-                   F.lit("Kategori tamamlayıcı").alias("reason"), reason_key(1, "pos")))
+    p1 = (q.join(complements, q.q_cat == complements.src_category).join(of_zone, "category_id")
+           .select(*qkey, "zone_id", times("weight", 0.5).alias("score"),
+                   F.lit("Kategori tamamlayıcı").alias("reason"), loop_key(1, "pos")))
     # phase 2: canonical keyword first, the word itself when the canonical has no pairing
-    qw = q.select(*qkey, F.posexplode(words(F.col("q_name"))).alias("word_pos", "word"))
-    qw = qw.join(F.broadcast(canonical), "word", "left").withColumn("canon", F.coalesce("canonical", "word"))
-    pkeys = pairings.select(F.col("keyword").alias("canon")).distinct().withColumn("_has", F.lit(True))
-    qw = (qw.join(F.broadcast(pkeys), "canon", "left")
-            .withColumn("keyword", F.when(F.col("_has"), F.col("canon")).otherwise(F.col("word"))))
-    p2 = (qw.join(F.broadcast(pairings), "keyword").join(cand, "category_id"))
-    match = F.col("target_name").isNotNull() & F.lower("product_name").contains(F.lower(F.coalesce("target_name", F.lit(""))))
-    p2 = p2.select(*qkey, *CLASS, times("boost", F.when(match, dec(0.6)).otherwise(dec(0.3))).alias("score"),
-                   F.when(match, F.concat(F.lit("'"), F.col("q_name"), F.lit("' ile eşleşme")))
-                    .otherwise(F.lit("Akıllı eşleştirme")).alias("reason"),
-                   reason_key(2, "word_pos", "pos"))
-    # phase 3: a query word (> 2 letters) inside the trigger; result names vs candidate name
-    rules_o = rule_order(rules)
-    subs = rules_o.select("rule_id", F.explode(substrings(F.lower("tetikleyici"))).alias("word"))
-    qr = (qw.filter(F.length("word") > 2).select(*qkey, "word").join(subs, "word")
-            .select(*qkey, "rule_id").distinct())
-    rule_cls = rule_name_matches(rules_o, cand.select(*CLASS))
-    p3 = (qr.join(rule_cls, "rule_id").join(rules_o.select("rule_id", "confidence", "rule_key"), "rule_id")
-            .select(*qkey, *CLASS, times("confidence", 0.4).alias("score"),
-                    F.format_string("Apriori (güven: %%%d)", (F.col("confidence") * 100).cast("int")).alias("reason"),
-                    reason_key(3, rule_key=F.col("rule_key"))))
-    scored = reuse(p1.unionByName(p2).unionByName(p3).groupBy(*qkey, *CLASS).agg(
+    qw = reuse(q.select("q_name").distinct().select("q_name", F.posexplode(words(F.col("q_name"))).alias("word_pos", "word")))
+    known = pairings.select(F.col("keyword").alias("canonical")).distinct().withColumn("_has", F.lit(True))
+    by_key = (qw.join(canonical, "word", "left").withColumn("canonical", F.coalesce("canonical", "word"))
+              .join(known, "canonical", "left").withColumn("keyword", F.when(F.col("_has"), F.col("canonical")).otherwise(F.col("word"))))
+    match = F.col("target_name").isNotNull() & F.array_contains("targets", F.struct("keyword", "pos"))
+    p2 = (by_key.join(pairings, "keyword").join(of_zone, "category_id").join(q, "q_name")
+          .select(*qkey, "zone_id", times("boost", F.when(match, dec(0.6)).otherwise(dec(0.3))).alias("score"),
+                  F.when(match, F.concat(F.lit("'"), F.col("q_name"), F.lit("' ile eşleşme")))
+                  .otherwise(F.lit("Akıllı eşleştirme")).alias("reason"), loop_key(2, "word_pos", "pos")))
+    base = reuse(p1.unionByName(p2).groupBy(*qkey, "zone_id").agg(
         F.sum("score").cast(SCORE).alias("score"), F.min_by("reason", "key").alias("reason")))
+    # phase 3: an asking word (> 2 letters) inside the trigger; result names vs candidate name
+    asking = (qw.where(F.length("word") > 2).groupBy("q_name").agg(F.sort_array(F.collect_set("word")).alias("words"))
+              .withColumn("set_id", F.md5(F.to_json("words"))))
+    none = F.md5(F.lit("[]"))
+    set_of = reuse(q.select("q_name").distinct().join(asking, "q_name", "left").withColumn("set_id", F.coalesce("set_id", none)))
+    sets = set_of.select("set_id", F.explode("words").alias("word")).distinct()
+    triggers = rules.select("rule_id", F.lower("tetikleyici").alias("trigger_text"))
+    asked = (sets.join(contained(triggers, "trigger_text", sets, "word"), "word").join(triggers, "trigger_text")
+             .select("set_id", "rule_id").distinct())
+    reach = rule_name_matches(rules, classes)
+    boosts = cut_lineage(asked.join(reach, "rule_id").join(rules.select("rule_id", "confidence", "rule_key"), "rule_id")
+                         .groupBy("set_id", "product_name").agg(
+                             F.sum(times("confidence", 0.4)).cast(SCORE).alias("boost"),
+                             F.min_by("confidence", "rule_key").alias("first_confidence")))
+    # the best of each zone; one place more, because the product itself may be among them
+    zone_ids = F.array(*[F.lit(r.zone_id) for r in zones.select("zone_id").collect()])      # of fixed rule tables
+    scored_zone = base.join(set_of.select("q_name", "set_id"), "q_name").select("set_id", "zone_id").distinct().withColumn("every", F.lit(True))
+    wanted = (set_of.select("set_id").distinct().withColumn("zone_id", F.explode(zone_ids))
+              .join(scored_zone, ["set_id", "zone_id"], "left")
+              .select("set_id", "zone_id", F.lit(limit + 1).alias("m"), F.coalesce("every", F.lit(False)).alias("every")))
+    lists = zone_lists(boosts, wanted, catalog, classes)
+    qset = reuse(q.join(set_of.select("q_name", "set_id"), "q_name"))
+    by_rule = boosts.select("set_id", "product_name", F.format_string(
+        "Apriori (güven: %%%d)", (F.col("first_confidence") * 100).cast("int")).alias("_rule"))
+    cand = (qset.join(lists, "set_id").join(base, [*qkey, "zone_id"], "left").where("reached OR score IS NOT NULL")
+            .join(by_rule, ["set_id", "product_name"], "left")
+            .select(*qkey, "product_id", (F.coalesce("score", dec(0)) + F.col("boost")).cast(SCORE).alias("score"),
+                    F.coalesce("reason", "_rule").alias("reason")))
     # phase 4: fill from other categories when fewer than `limit` are scored
-    counted = (scored.join(cand.select(*CLASS, "class_size"), CLASS)
-                     .groupBy(*qkey).agg(F.sum(F.col("class_size") - F.when(
-                         (F.col("category_id") == F.col("q_cat")) & (F.col("product_name") == F.col("q_name")), 1)
-                         .otherwise(0)).alias("n_scored")))
-    needs = q.join(counted, qkey, "left").filter(F.coalesce("n_scored", F.lit(0)) < limit).select(*qkey)
-    # fill: only the first classes (by first id) of each other category can
-    # reach the top, skipping the scored ones
-    n_sc = scored.groupBy(*qkey, "category_id").agg(F.count(F.lit(1)).alias("_s"))
-    probe = (needs.select(*qkey, F.explode(F.array(*[F.lit(c) for c in all_categories])).alias("category_id"))
-                  .filter(F.col("category_id") != F.col("q_cat"))
-                  .join(n_sc, qkey + ["category_id"], "left")
-                  .select(*qkey, "category_id", F.explode(F.sequence(
-                      F.lit(1), (F.lit(limit + 1) + F.coalesce("_s", F.lit(0))).cast("int"))).alias("class_rank")))
-    fill = (probe.join(cls.select("category_id", "class_rank", "product_name"), ["category_id", "class_rank"])
-                 .join(scored.select(*qkey, *CLASS), qkey + CLASS, "left_anti")
-                 .select(*qkey, *CLASS, dec(0.05).alias("score"), F.lit("Popüler ürün").alias("reason")))
-    allc = scored.unionByName(fill).join(cand.select(*CLASS, "first_id"), CLASS)
-    # top limit+1 classes per query class (one slot may be the query product itself)
-    allc = allc.withColumn("_r", F.row_number().over(
-        Window.partitionBy(*qkey).orderBy(F.desc("score"), "first_id"))).filter(F.col("_r") <= limit + 1)
-    rows = expand_class(allc.drop("_r"), prod, qkey, F.lit(limit + 1))
-    rows = rows.withColumn("_r", F.row_number().over(
-        Window.partitionBy(*qkey).orderBy(F.desc("score"), "product_id"))).filter(F.col("_r") <= limit + 1)
-    recs = rows.select(*qkey, F.col("product_id").alias("rec_id"), F.col("product_name").alias("rec_name"),
-                       F.col("category_id").alias("rec_category"), "price", "score", "reason")
-    base = catalog.select("product_id", F.col("category_id").alias("q_cat"), F.col("product_name").alias("q_name"))
-    out = base.join(recs, qkey).filter(F.col("rec_id") != F.col("product_id"))
+    own = classes.select(F.col("category_id").alias("q_cat"), F.col("product_name").alias("q_name"), "zone_id").withColumn("_own", F.lit(1))
+    sizes = (base.join(zones.select("zone_id", "zone_size"), "zone_id").join(own, [*qkey, "zone_id"], "left")
+             .groupBy(*qkey).agg(F.sum(F.col("zone_size") - F.coalesce("_own", F.lit(0))).alias("n_zone")))
+    few = (qset.join(sizes, qkey, "left").withColumn("n_zone", F.coalesce("n_zone", F.lit(0))).where(F.col("n_zone") < limit))
+    reached = (few.join(boosts.select("set_id", "product_name"), "set_id").join(classes, "product_name")
+               .join(base.select(*qkey, "zone_id"), [*qkey, "zone_id"], "left_anti")
+               .withColumn("_self", ((F.col("category_id") == F.col("q_cat")) & (F.col("product_name") == F.col("q_name"))).cast("int"))
+               .groupBy(*qkey).agg(F.sum(F.col("class_size") - F.col("_self")).alias("n_reached")))
+    needs = few.join(reached, qkey, "left").where(F.col("n_zone") + F.coalesce("n_reached", F.lit(0)) < limit).select(*qkey, "set_id")
+    in_zone = catalog.join(classes.select("category_id", "product_name", "zone_id"), ["category_id", "product_name"]).drop("price")
+    first = rank_in(in_zone, ["category_id"], ["product_id"], "_nth", 2 * limit + 1)
+    fill = (needs.withColumn("category_id", F.explode(F.array(*[F.lit(c) for c in all_categories])))
+            .where("category_id <> q_cat").join(first, "category_id")
+            .join(base.select(*qkey, "zone_id"), [*qkey, "zone_id"], "left_anti")
+            .join(boosts.select("set_id", "product_name"), ["set_id", "product_name"], "left_anti")
+            .select(*qkey, "product_id", dec(0.05).alias("score"), F.lit("Popüler ürün").alias("reason")))
+    best = rank_in(cand.unionByName(fill), qkey, [F.desc("score"), F.asc("product_id")], "_r", limit + 1)
+    recs = best.join(catalog, "product_id").select(
+        *qkey, F.col("product_id").alias("rec_id"), F.col("product_name").alias("rec_name"),
+        F.col("category_id").alias("rec_category"), "price", "score", "reason")
+    asking_products = catalog.select("product_id", F.col("category_id").alias("q_cat"), F.col("product_name").alias("q_name"))
+    out = asking_products.join(recs, qkey).filter(F.col("rec_id") != F.col("product_id"))
     out = out.withColumn("rank", F.row_number().over(
         Window.partitionBy("product_id").orderBy(F.desc("score"), "rec_id"))).filter(F.col("rank") <= limit)
     conf = F.least(F.col("score").cast("double"), F.lit(1.0))

@@ -212,10 +212,7 @@ SELECT t.context_id, c.category_id, c.category_name FROM top t JOIN category_f c
  ON list_bool_or(list_transform(t.target_categories, lambda x: contains(lower(c.category_name), lower(x))))""",
                                           "order_f", "category_f", extra=CTX_CTES))
 def campaign_categories(spark, sf):
-    """Per order's top campaign, the categories whose name contains a
-    target.  The category list is a fixed-size dimension (broadcast)."""
+    """Per order's top campaign, the categories whose name contains a target."""
     fx = Fixtures(spark, sf)
     top = C.top_campaign(C.campaign_candidates(order_contexts(fx), spark, SEED))
-    cats = F.broadcast(fx.category_f.select("category_id", "category_name"))
-    return (top.join(cats, C.matches_category(F.col("category_name"), F.col("target_categories")))
-               .select("context_id", "category_id", "category_name"))
+    return C.campaign_categories(top, fx.category_f)

@@ -11,7 +11,8 @@ from tavola.functions import rules as RU
 from tavola.operators import lifecycle as L
 from tavola.operators import recommend as RC
 from tavola.operators import weather as W
-from tavola.plans.recommend import alias_rows, kw_cte, rules_by_name, sql_values
+from tavola.plans.mining import mining_ctes
+from tavola.plans.recommend import NAME, alias_rows, complement_rows, kw_cte, pairing_rows, rules_by_name, sql_values, sql_words
 from tavola.plans.registry import register
 from tavola.plans.reports import WEATHER_SQL
 from tavola.sources.fixtures import Fixtures, with_views
@@ -35,9 +36,62 @@ def weather_asof(spark, sf):
 
 
 # ----------------------------------------------------------------- R4
-@register("dashboard_recommendations")
+# Every (asking product, candidate) pair, with the rule part summed per pair of names.
+DASHBOARD_CTES = {
+    "comp": sql_values(complement_rows(), ["src_category", "pos", "category_id", "weight"]),
+    "pair": sql_values(pairing_rows(RU.TEST_PAIRINGS), ["keyword", "pos", "category_id", "target_name", "boost"]),
+    "canon": sql_values(sorted(RU.TEST_CANONICAL.items()), ["word", "canonical"]),
+    "cat": "SELECT product_id, product_name, category_id, price FROM product_f WHERE is_active AND is_available",
+    "names": "SELECT DISTINCT product_name FROM cat",
+    "qw": f"""SELECT product_name, unnest({sql_words('product_name')}) AS word,
+  generate_subscripts({sql_words('product_name')}, 1) AS word_pos FROM names""",
+    "qk": """SELECT qw.product_name, qw.word_pos,
+  CASE WHEN coalesce(c.canonical, qw.word) IN (SELECT keyword FROM pair) THEN coalesce(c.canonical, qw.word) ELSE qw.word END AS keyword
+ FROM qw LEFT JOIN canon c ON c.word = qw.word""",
+    "asked": """SELECT DISTINCT qw.product_name, s.tetikleyici, s.oneri FROM qw JOIN sugg s
+ ON length(qw.word) > 2 AND contains(lower(s.tetikleyici), qw.word)""",
+    "rn": "SELECT tetikleyici, oneri, lower(trim(unnest(string_split(oneri, ',')))) AS rn FROM sugg",
+    "reach": """SELECT DISTINCT rn.tetikleyici, rn.oneri, n.product_name FROM rn JOIN names n
+ ON contains(lower(n.product_name), rn.rn) OR contains(rn.rn, lower(n.product_name))
+ OR list_bool_or(list_transform(list_filter(string_split(rn.rn, ' '), lambda w: length(w) > 3), lambda w: contains(lower(n.product_name), w)))""",
+    "by_rule": """SELECT a.product_name AS q_name, r.product_name, SUM(CAST(CAST(s.confidence AS DECIMAL(20,10)) * 0.4 AS DECIMAL(20,10))) AS score,
+  arg_min('Apriori (güven: %' || CAST(CAST(trunc(s.confidence * 100) AS INTEGER) AS VARCHAR) || ')', (-s.lift, s.tetikleyici, s.oneri)) AS reason
+ FROM asked a JOIN reach r ON r.tetikleyici = a.tetikleyici AND r.oneri = a.oneri
+ JOIN sugg s ON s.tetikleyici = a.tetikleyici AND s.oneri = a.oneri GROUP BY a.product_name, r.product_name""",
+    "by_pair": """SELECT q_cat, q_name, category_id, product_name, SUM(score) AS score, arg_min(reason, k) AS reason FROM (
+  SELECT q.category_id AS q_cat, q.product_name AS q_name, c.category_id, c.product_name,
+   CAST(CAST(co.weight AS DECIMAL(20,10)) * 0.5 AS DECIMAL(20,10)) AS score, 'Kategori tamamlayıcı' AS reason, (1, 0, co.pos) AS k
+  FROM cls q JOIN comp co ON co.src_category = q.category_id JOIN cls c ON c.category_id = co.category_id
+  UNION ALL
+  SELECT q.category_id, q.product_name, c.category_id, c.product_name,
+   CAST(CAST(p.boost AS DECIMAL(20,10)) * CASE WHEN coalesce(contains(lower(c.product_name), lower(p.target_name)), false) THEN 0.6 ELSE 0.3 END AS DECIMAL(20,10)),
+   CASE WHEN coalesce(contains(lower(c.product_name), lower(p.target_name)), false) THEN '''' || q.product_name || ''' ile eşleşme' ELSE 'Akıllı eşleştirme' END,
+   (2, qk.word_pos, p.pos)
+  FROM cls q JOIN qk ON qk.product_name = q.product_name JOIN pair p ON p.keyword = qk.keyword JOIN cls c ON c.category_id = p.category_id)
+ GROUP BY ALL""",
+    "cls": "SELECT DISTINCT category_id, product_name FROM cat",
+    "scored": """SELECT q.product_id, c.product_id AS rec_id, c.product_name AS rec_name, c.category_id AS rec_category, c.price,
+  q.category_id <> c.category_id AS other, b.score IS NOT NULL OR r.score IS NOT NULL AS is_scored,
+  CAST(coalesce(b.score, 0) + coalesce(r.score, 0) AS DECIMAL(20,10)) AS score, coalesce(b.reason, r.reason) AS reason
+ FROM cat q JOIN cat c ON c.product_id <> q.product_id
+ LEFT JOIN by_pair b ON b.q_cat = q.category_id AND b.q_name = q.product_name AND b.category_id = c.category_id AND b.product_name = c.product_name
+ LEFT JOIN by_rule r ON r.q_name = q.product_name AND r.product_name = c.product_name""",
+    "n_scored": "SELECT product_id, COUNT(*) FILTER (is_scored) AS n FROM scored GROUP BY product_id",
+}
+DASHBOARD_CTES = {k: DASHBOARD_CTES[k] for k in ("comp", "pair", "canon", "cat", "cls", "names", "qw", "qk", "asked", "rn", "reach",
+                                                 "by_rule", "by_pair", "scored", "n_scored")}
+
+
+@register("dashboard_recommendations", with_views("""
+SELECT product_id, rank, rec_id, rec_name, rec_category, price,
+ round_even(least(CAST(score AS DOUBLE), 1.0) * 1000, 0) / 1000 AS confidence, reason FROM (
+ SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY score DESC, rec_id) AS rank FROM (
+  SELECT s.product_id, rec_id, rec_name, rec_category, price, CASE WHEN is_scored THEN score ELSE CAST(0.05 AS DECIMAL(20,10)) END AS score,
+   CASE WHEN is_scored THEN reason ELSE 'Popüler ürün' END AS reason
+  FROM scored s JOIN n_scored n ON n.product_id = s.product_id WHERE is_scored OR (n.n < 8 AND other AND rec_category BETWEEN 1 AND 8)))
+WHERE rank <= 8""", "order_item_f", "product_f", extra={**mining_ctes(*NAME), **DASHBOARD_CTES}))
 def dashboard_recommendations(spark, sf):
-    """R4 for every catalogue product (oracle: brute force on sf0.001 in tests)."""
+    """R4 for every catalogue product."""
     fx = Fixtures(spark, sf)
     return RC.dashboard_recommendations(
         fx.product_f, RU.complements_df(spark), RU.pairings_df(spark, RU.TEST_PAIRINGS),

@@ -55,3 +55,21 @@ def test_payments_and_feed_are_not_counted_again(spark, folder):
     for n in (1, 3):
         paid, fed = run(n)
         assert tuple(paid) == tuple(want) and fed == want[1]
+
+
+def test_changes_are_as_many_as_a_batch_touches(spark, folder):
+    """A late batch of one table writes one row; old folders are merged and deleted."""
+    out = f"{folder}/tables"
+    S.run_table_state(S.event_stream(spark, f"{folder}/in", max_files=1), out)
+    assert {k for k, _ in S._folders(spark, out)} == {"change"}
+    one = spark.read.parquet(f"{folder}/in/events1.parquet").limit(1)
+    for k in range(6):
+        (one.withColumn("event_id", F.lit(5_000_000 + k).cast("long")).withColumn("event_type", F.lit("purchase"))
+         .withColumn("ts", F.col("ts") + F.expr("INTERVAL 900 DAYS")).coalesce(1).write.parquet(f"{folder}/in/events5{k}.parquet"))
+        got = S.run_table_state(S.event_stream(spark, f"{folder}/in"), out)
+        there = S._folders(spark, out)
+        last = max(n for _, n in there)
+        if ("change", last) in there:
+            assert spark.read.parquet(f"{out}/change={last}").count() == 1
+    assert len(there) <= S.MERGE_AFTER and ("base", 7) in there and ("change", 7) not in there
+    assert rows(got) == rows(S.occupancy(S.live_events(batch(spark, folder))))

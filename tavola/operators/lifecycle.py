@@ -4,18 +4,24 @@ The source mutates one order per request; here a whole batch of requests is
 applied at once.  "Last change wins" steps use ``max_by`` over
 ``(ts, change_id)`` -- a partial aggregate, so an order or item that receives
 a large share of all changes is combined map-side instead of being sorted in
-one task.  Order-dependent folds (the cart) use an associative composition
-of per-event transfer functions, folded first inside hour buckets and then
-across buckets, so no key's whole history is gathered in one place.
+one task.  Order-dependent folds spread one key over many tasks: the cart composes
+event functions over ranges (``segmented``), the payment guard settles an order in
+rounds of prefix sums.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tavola.functions import exprs as X
+from tavola.operators.segmented import fold_events
 from tavola.operators.reports import CLOSED_STATES, stock_check
+from tavola.session import cut_lineage
+
 
 def _zero() -> Column:
     return F.lit(0).cast("decimal(18,2)")
@@ -184,60 +190,10 @@ def merge_active_orders(orders: DataFrame, items: DataFrame) -> tuple[DataFrame,
 
 
 # --------------------------------------------------------------------------- L8
-# A cart event is a function on the quantity q (0 = not in the cart):
-#   add q -> q + 1; remove q -> 0; increase q -> q + 1 if q > 0; decrease q -> q - 1 (floor 0).
-# Each is of the form  q -> c if q <= t else q + d  (always c, where ``all`` is set),
-# and that form is closed under composition, so events fold associatively: any
-# grouping of consecutive events gives the same result.
-NEVER = -1
-
-
-def _event_fn(action: Column) -> Column:
-    t = (F.when(action == "add", F.lit(NEVER))
-          .when(action == "increase", F.lit(0)).when(action == "decrease", F.lit(1))
-          .otherwise(F.lit(NEVER)))
-    d = (F.when(action == "add", F.lit(1)).when(action == "increase", F.lit(1))
-          .when(action == "decrease", F.lit(-1)).otherwise(F.lit(0)))
-    return F.struct((action == "remove").alias("all"), t.cast("long").alias("t"), F.lit(0).cast("long").alias("c"),
-                    d.cast("long").alias("d"))
-
-
-def _compose(f: Column, g: Column) -> Column:
-    """g after f."""
-    t1, c1, d1 = f["t"], f["c"], f["d"]
-    t2, c2, d2 = g["t"], g["c"], g["d"]
-    c_left = F.when(g["all"] | (c1 <= t2), c2).otherwise(c1 + d2)
-    return F.struct((f["all"] | g["all"]).alias("all"), F.greatest(t1, t2 - d1).alias("t"),
-                    F.when(~f["all"] & (t2 - d1 > t1), c2).otherwise(c_left).alias("c"),
-                    (d1 + d2).alias("d"))
-
-
-def _identity() -> Column:
-    return F.struct(F.lit(False).alias("all"), F.lit(NEVER).cast("long").alias("t"), F.lit(0).cast("long").alias("c"),
-                    F.lit(0).cast("long").alias("d"))
-
-
-def _fold_level(df: DataFrame, keys: list[str], bucket: Column | None) -> DataFrame:
-    """Compose the functions of each (keys, bucket) group in (ts, id) order.
-    ``bucket=None`` folds the remaining summaries per key."""
-    grp = keys + ([bucket.alias("_b")] if bucket is not None else [])
-    agg = df.groupBy(*grp).agg(
-        F.array_sort(F.collect_list(F.struct("ts", "event_id", "fn"))).alias("_ev"),
-        F.min("ts").alias("_ts"), F.min_by("event_id", F.struct("ts", "event_id")).alias("_id"))
-    folded = F.aggregate("_ev", _identity(), lambda acc, e: _compose(acc, e["fn"]))
-    return agg.select(*keys, F.col("_ts").alias("ts"), F.col("_id").alias("event_id"), folded.alias("fn"))
-
-
 def cart_fold(events: DataFrame, cart_key: str = "cart_id") -> DataFrame:
     """Final cart lines (quantity > 0) after all add / increase / decrease /
     remove events, applied in (ts, event_id) order per cart and product."""
-    keys = [cart_key, "product_id"]
-    ev = events.select(*keys, "ts", "event_id", _event_fn(F.col("action")).alias("fn"))
-    hourly = _fold_level(ev, keys, F.date_trunc("hour", "ts"))
-    daily = _fold_level(hourly, keys, F.date_trunc("day", "ts"))
-    total = _fold_level(daily, keys, None)
-    qty = F.when(F.col("fn.all") | (F.col("fn.t") >= 0), F.col("fn.c")).otherwise(F.col("fn.d"))
-    return total.select(*keys, qty.alias("quantity")).filter(F.col("quantity") > 0)
+    return fold_events(events, [cart_key, "product_id"], ["ts", "event_id"], "action").filter(F.col("quantity") > 0)
 
 
 # --------------------------------------------------------------------------- L9
@@ -245,50 +201,103 @@ def dimension_upsert(dim: DataFrame, changes: DataFrame, key: str, value_cols: l
                      tombstone: str = "is_delete", defaults: dict[str, Column] | None = None) -> DataFrame:
     """Latest change per key wins; a delete removes the row; an update sets
     the value columns; an unknown key is inserted with defaults for the rest."""
-    latest = changes.groupBy(key).agg(*[
-        F.max_by(c, F.struct("ts", "change_id")).alias(c) for c in value_cols + [tombstone]])
-    j = dim.join(latest.withColumnsRenamed({c: f"_new_{c}" for c in value_cols}), key, "full")
-    out = j.filter(~F.coalesce(F.col(tombstone), F.lit(False)))
-    for c in value_cols:
-        out = out.withColumn(c, F.coalesce(F.col(f"_new_{c}"), F.col(c))).drop(f"_new_{c}")
+    latest = changes.groupBy(key).agg(
+        F.max_by(F.struct(*value_cols, tombstone), F.struct("ts", "change_id")).alias("_new"), F.lit(True).alias("_changed"))
+    j = dim.join(latest, key, "full")
+    out = j.filter(~F.coalesce(F.col(f"_new.{tombstone}"), F.lit(False)))
+    for c in value_cols:        # a change to null is a change
+        out = out.withColumn(c, F.when(F.col("_changed"), F.col(f"_new.{c}")).otherwise(F.col(c)))
+    out = out.drop("_new", "_changed")
     for c, expr in (defaults or {}).items():
         out = out.withColumn(c, F.coalesce(F.col(c), expr))
-    return out.drop(tombstone)
+    return out
 
 
 # --------------------------------------------------------------------------- L10
-def payment_guard(orders: DataFrame, payments: DataFrame) -> DataFrame:
+ONE_ROW = 64             # payments of an order that one row may hold
+
+
+def _size_class(cents: Column) -> Column:
+    """k where 2 ** k <= cents < 2 ** (k + 1), for cents > 0."""
+    return F.length(F.bin(cents)) - 1
+
+
+def _guard_rows(payments: DataFrame) -> DataFrame:
+    """(payment_id, order_id, cents, left, accepted) of orders of few payments
+    (order_id, ts, payment_id, cents, opening), each folded as one short array."""
+    one = payments.groupBy("order_id", "opening").agg(F.array_sort(F.collect_list(F.struct("ts", "payment_id", "cents"))).alias("p"))
+    start = F.struct(F.col("opening").alias("left"), F.expr("CAST(array() AS array<struct<payment_id:bigint,cents:bigint,left:bigint>>)").alias("out"))
+    step = lambda s, x: F.struct(                                                               # noqa: E731
+        F.when(x["cents"] <= s["left"], s["left"] - x["cents"]).otherwise(s["left"]).alias("left"),
+        F.array_append(s["out"], F.struct(x["payment_id"].cast("long").alias("payment_id"), x["cents"].alias("cents"), s["left"].alias("left"))).alias("out"))
+    out = one.select("order_id", F.explode(F.aggregate("p", start, step, lambda s: s["out"])).alias("r"))
+    return out.select("r.payment_id", "order_id", "r.cents", "r.left", (F.col("r.cents") <= F.col("r.left")).alias("accepted"))
+
+
+def _guard_rounds(payments: DataFrame) -> DataFrame:
+    """The same for orders of any number of payments.  What is left of an order lies in
+    [2 ** k, 2 ** (k + 1)).  As long as it does, smaller payments are accepted, their
+    prefix sums tell what is left, larger ones are refused, and the first payment of
+    the same size that fits takes it below 2 ** k.  A round settles the payments up to
+    the one that does, for all orders at once, so an order needs as many rounds as its
+    rest has sizes.  Prefix sums are taken in chunks of (order, time) and then over
+    the chunks' sums, so one order's payments lie in many tasks."""
+    spark = payments.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut_lineage(payments.repartitionByRange(parts, "order_id", "ts", "payment_id").withColumn("chunk", F.spark_partition_id()))
+    rows = rows.withColumnRenamed("opening", "left")
+    at = F.struct("ts", "payment_id")
+    done = []
+    while True:
+        size, rest = _size_class(F.col("cents")), _size_class(F.col("left"))
+        rows = rows.withColumn("small", F.when(size < rest, F.col("cents")).otherwise(0))
+        sums = rows.groupBy("order_id", "chunk").agg(F.sum("small").alias("s"))
+        before = Window.partitionBy("order_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sums.select("order_id", "chunk", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
+        inside = Window.partitionBy("order_id", "chunk").orderBy("ts", "payment_id").rowsBetween(Window.unboundedPreceding, -1)
+        now = F.col("left") - F.col("offset") - F.coalesce(F.sum("small").over(inside), F.lit(0))
+        # only rows up to the end of the round are read from here on; ``now`` is theirs alone
+        rows = rows.join(offsets, ["order_id", "chunk"]).withColumn("now", now)
+        after = F.col("now") - F.col("cents")
+        ends = (F.col("cents") <= F.col("now")) & (((size < rest) & ((after <= 0) | (_size_class(after) < rest))) | (size == rest))
+        rows = cut_lineage(rows.withColumn("ends", ends))
+        end = cut_lineage(rows.where("ends").groupBy("order_id").agg(F.min(F.struct("ts", "payment_id", "now", "cents")).alias("e"))
+                          .select("order_id", F.struct("e.ts", "e.payment_id").alias("end"), (F.col("e.now") - F.col("e.cents")).alias("new")))
+        rows = rows.drop("offset", "small", "ends").join(end, "order_id", "left")
+        settled = F.col("end").isNull() | (at <= F.col("end"))
+        done.append(rows.where(settled).select("payment_id", "order_id", "cents", F.col("now").alias("left"),
+                                               (F.col("cents") <= F.col("now")).alias("accepted")))
+        more = rows.where(~settled)
+        # nothing is left of an order: all its later payments are refused
+        done.append(more.where("new = 0").select("payment_id", "order_id", "cents", F.col("new").alias("left"), F.lit(False).alias("accepted")))
+        rows = cut_lineage(more.where("new > 0").select("order_id", "ts", "payment_id", "cents", F.col("new").alias("left"), "chunk"))
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
+def payment_guard(orders: DataFrame, payments: DataFrame, one_row: int = ONE_ROW) -> DataFrame:
     """Each payment checked, in (ts, payment_id) order, against what is left of
     its order after the payments accepted before it: amount <= 0 or above the
     remaining amount is refused.
 
-    A payment above the opening amount can never be accepted and changes
-    nothing, so only the others are folded.  They are dealt out by order and
-    sorted, and one running amount is carried from row to row: no order's
-    payments are held together, however many there are."""
+    A payment above the opening amount can never be accepted and changes nothing, so
+    only the others are followed: orders of up to ``one_row`` of them as one array,
+    orders of more in rounds."""
     o = initial_paid(orders).select(
         "order_id", (F.col("total_amount") - F.col("paid_amount")).cast("decimal(18,2)").alias("opening"))
     p = payments.select("payment_id", "ts", "order_id", "amount").join(o, "order_id", "left")
     open_for = F.coalesce((F.col("amount") > 0) & (F.col("amount") <= F.col("opening")), F.lit(False))
-    fields = "payment_id long, order_id long, amount decimal(18,2), remaining decimal(18,2), reason string"
-
-    def fold(batches):
-        import pyarrow as pa
-        now, left = None, None
-        for batch in batches:
-            remaining, reasons = [], []
-            for order, amount, opening in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                if order != now:
-                    now, left = order, opening
-                remaining.append(left)
-                reasons.append(None if amount <= left else "exceeds_remaining")
-                left -= amount if amount <= left else 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(remaining, type=pa.decimal128(18, 2)),
-                 pa.array(reasons, type=pa.string())], names=["payment_id", "order_id", "amount", "remaining", "reason"])
-
-    folded = (p.filter(open_for).repartition("order_id").sortWithinPartitions("order_id", "ts", "payment_id")
-               .select("payment_id", "order_id", F.col("amount").cast("decimal(18,2)"), "opening").mapInArrow(fold, fields))
+    cents = lambda c: (F.col(c).cast("decimal(18,2)") * 100).cast("long")                     # noqa: E731
+    followed = p.filter(open_for).select("payment_id", "ts", "order_id", cents("amount").alias("cents"), cents("opening").alias("opening"))
+    counts = followed.groupBy("order_id").agg((F.count(F.lit(1)) > one_row).alias("many"))
+    followed = cut_lineage(followed.join(counts, "order_id"))
+    folded = _guard_rows(followed.where("NOT many").drop("many"))
+    many = followed.where("many").drop("many")
+    if not many.isEmpty():
+        folded = folded.unionByName(_guard_rounds(many))
+    money = lambda c: (F.col(c).cast("decimal(18,0)") * F.lit(0.01).cast("decimal(3,2)")).cast("decimal(18,2)")
+    folded = folded.select("payment_id", "order_id", money("cents").alias("amount"), money("left").alias("remaining"),
+                           F.when(~F.col("accepted"), F.lit("exceeds_remaining")).alias("reason"))
     refused = p.filter(~open_for).select(
         "payment_id", "order_id", "amount", F.lit(None).cast("decimal(18,2)").alias("remaining"),
         F.when(F.col("amount") <= 0, F.lit("non_positive")).when(F.col("opening").isNull(), F.lit("unknown_order"))

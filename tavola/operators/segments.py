@@ -1,18 +1,18 @@
 """Order segmentation (M8-M12, A14, A21, S13): standardised features,
 best-of-n K-Means, profiles and names.
 
-K-Means runs on MLlib (distributed Lloyd iterations); the n restarts are a
-driver loop over seeds, each a distributed fit, keeping the lowest cost.
-The feature table is checkpointed once so restarts re-read it instead of
-recomputing its lineage.
+All starts of the best-of-n K-Means advance together, one scan of the written feature
+table a step.  A saved result belongs to the input files it was made from.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,6 +20,7 @@ from tavola.functions import exprs as X
 from tavola.operators.datasets import AGE_CODE, WEATHER_CODE
 from tavola.operators.forecast import standardize
 from tavola.session import cut_lineage
+from tavola.sources import files
 
 SEGMENT_FEATURES = ["toplam_tutar", "kisi_sayisi", "urun_sayisi", "saat", "hafta_sonu", "yas_kod", "hava_kod",
                     "sicaklik_c"]
@@ -42,36 +43,82 @@ def scaled(features: DataFrame) -> DataFrame:
     return standardize(features, SEGMENT_FEATURES, ["siparis_id"])
 
 
-def best_kmeans(scaled_df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42) -> tuple[KMeansModel, float]:
-    """K-Means for n seeds, lowest training cost wins."""
-    vec = VectorAssembler(inputCols=SEGMENT_FEATURES, outputCol="features").transform(scaled_df)
-    vec = cut_lineage(vec.select("siparis_id", "features"))
-    best, best_cost = None, None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(vec)
-        cost = model.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = model, cost
-    return best, best_cost
-
-
-def assign(model: KMeansModel, scaled_df: DataFrame) -> DataFrame:
-    """M11 with a fitted model."""
-    vec = VectorAssembler(inputCols=SEGMENT_FEATURES, outputCol="features").transform(scaled_df)
-    return model.transform(vec).select("siparis_id", F.col("cluster").alias("segment_id"))
+MAX_STEPS = 20
+MOVED = 1e-9             # a step that moves no centre further is the last
+
+
+def _square(centre: list[float]) -> Column:
+    return reduce(Column.__add__, [(F.col(f) - F.lit(float(v))) * (F.col(f) - F.lit(float(v))) for f, v in zip(SEGMENT_FEATURES, centre)])
+
+
+def nearest(centres: list[list[float]]) -> Column:
+    """(d, i): squared distance and index of the nearest centre (lowest index on ties)."""
+    return F.least(*[F.struct(_square(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)])
+
+
+def starts(scaled_df: DataFrame, k: int, n_init: int, seed: int) -> list[list[list[float]]]:
+    """k rows for each start: those with the least md5 of (id, seed of the start)."""
+    each = scaled_df.withColumn("_start", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
+    code = F.md5(F.concat_ws("-", F.col("siparis_id").cast("string"), (F.col("_start") + seed).cast("string")))
+    order = Window.partitionBy("_start").orderBy("_code", "siparis_id")
+    first = each.withColumn("_code", code).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    rows = first.orderBy("_start", "_r").collect()          # k * n_init rows
+    return [[[r[f] for f in SEGMENT_FEATURES] for r in rows if r["_start"] == i] for i in range(n_init)]
+
+
+def _step(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(s, i, n, cost, sums): members, cost and sums of cluster i of start s."""
+    n_starts, k, dim = centres.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, cost, sums = np.zeros((n_starts, k), np.int64), np.zeros((n_starts, k)), np.zeros((n_starts, k, dim))
+        for batch in batches:
+            x = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            for s in range(n_starts):
+                d = ((x[:, None, :] - centres[s]) ** 2).sum(axis=2)
+                i = d.argmin(axis=1)
+                n[s] += np.bincount(i, minlength=k)
+                cost[s] += np.bincount(i, weights=d[np.arange(len(i)), i], minlength=k)
+                for j in range(dim):
+                    sums[s, :, j] += np.bincount(i, weights=x[:, j], minlength=k)
+        s, i = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(i), pa.array(n[s, i]), pa.array(cost[s, i]),
+                                          pa.array(list(sums[s, i]), pa.list_(pa.float64()))], names=["s", "i", "n", "cost", "sums"])
+
+    parts = rows.select(*SEGMENT_FEATURES).mapInArrow(run, "s long, i long, n long, cost double, sums array<double>")
+    return parts.groupBy("s", "i").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"),
+                                       F.array(*[F.sum(F.col("sums")[j]) for j in range(dim)]).alias("sums"))
+
+
+def best_kmeans(scaled_df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, steps: int = MAX_STEPS):
+    """Lloyd's steps of all starts together.  One scan a step finds each row's
+    nearest centre of every start and adds up k * n_init partial sums a task; the driver
+    sees their totals only.  An empty cluster keeps its centre.  Returns the centres of
+    the start of least cost (to nine digits; then the first), that cost, and the scans."""
+    rows = cut_lineage(scaled_df.select("siparis_id", *SEGMENT_FEATURES))
+    first = starts(rows, k, n_init, seed)
+    if not first[0]:
+        return [], 0.0, 0
+    centres, scans = np.array(first), 0
+    while True:
+        found = _step(rows, centres).collect()
+        scans += 1
+        new = centres.copy()
+        for r in found:
+            new[r["s"], r["i"]] = np.array(r["sums"]) / r["n"]
+        if scans > steps or np.abs(new - centres).max() <= MOVED:
+            break
+        centres = new
+    cost = [sum(r["cost"] for r in found if r["s"] == s) for s in range(n_init)]
+    best = min(range(n_init), key=lambda s: (float(f"{cost[s]:.9g}"), s))
+    return centres[best].tolist(), cost[best], scans
 
 
 def assign_fixed(scaled_df: DataFrame, centroids: list[list[float]]) -> DataFrame:
-    """M11 as an expression: index of the nearest of fixed centroids
-    (squared distance, lowest index on ties)."""
-    dists = []
-    for i, c in enumerate(centroids):
-        d = None
-        for f, v in zip(SEGMENT_FEATURES, c):
-            t = (F.col(f) - F.lit(float(v))) * (F.col(f) - F.lit(float(v)))
-            d = t if d is None else d + t
-        dists.append(F.struct(d.alias("d"), F.lit(i).alias("i")))
-    return scaled_df.select("siparis_id", F.least(*dists)["i"].alias("segment_id"))
+    """M11 as an expression: index of the nearest of the centroids."""
+    if not centroids:
+        return scaled_df.select("siparis_id", F.lit(None).cast("int").alias("segment_id")).limit(0)
+    return scaled_df.select("siparis_id", nearest(centroids)["i"].alias("segment_id"))
 
 
 def _r(x, digits):
@@ -110,15 +157,17 @@ def profile(summary: DataFrame, assignment: DataFrame) -> DataFrame:
         F.coalesce("en_yogun_saat", F.lit(12)).alias("en_yogun_saat")).orderBy(F.desc("toplam_ciro"), "segment_id")
 
 
-def cached(spark: SparkSession, path: str, compute) -> DataFrame:
-    """The saved table at ``path``, which ``compute`` fills where it is missing."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    compute().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def cached(spark: SparkSession, path: str, inputs: list[str], compute) -> DataFrame:
+    """The table saved for the input files as they are now (their paths, sizes and
+    times); ``compute`` makes it where it is missing, and what was saved for other
+    files is deleted."""
+    now = files.fingerprint(spark, inputs)
+    if not files.exists(spark, f"{path}/{now}/_SUCCESS"):
+        compute().write.mode("overwrite").parquet(f"{path}/{now}")
+        for old in files.children(spark, path):
+            if old != now:
+                files.delete(spark, f"{path}/{old}")
+    return spark.read.parquet(f"{path}/{now}")
 
 
 def dominant(profile_df: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from tavola.plans.datasets import BASKET_LABELS
 from tavola.plans.registry import register
 from tavola.session import cut_lineage, scratch_path
 from tavola.sources import files
+from tavola.sources.tables import table_path
 from tavola.sources.fixtures import Fixtures
 
 HORIZON = 14
@@ -214,18 +215,47 @@ def dominant_segment(spark, sf):
     return SG.dominant(SG.profile(_summary(spark, sf), _fixed_assignment(spark, sf)))
 
 
-@register("segments")
+STARTS, CLUSTERS, SEED = 10, 4, 42
+
+
+def _lloyd_ctes() -> dict[str, str]:
+    """All starts and steps of the fit, one table of centres a step."""
+    f = SG.SEGMENT_FEATURES
+    square = " + ".join(f"(s.{x} - c.{x}) * (s.{x} - c.{x})" for x in f)
+    out = {"cen0": f"""SELECT CAST(st AS INTEGER) AS st, CAST(row_number() OVER (PARTITION BY st ORDER BY code, siparis_id) - 1 AS INTEGER) AS cl, {', '.join(f)}
+ FROM (SELECT *, md5(CAST(siparis_id AS VARCHAR) || '-' || CAST({SEED} + st AS VARCHAR)) AS code FROM sc, range({STARTS}) r(st))
+ QUALIFY cl < {CLUSTERS}"""}
+    for i in range(SG.MAX_STEPS + 1):
+        out[f"near{i}"] = f"""SELECT siparis_id, st, n.cl AS cl, n.d AS d FROM (
+  SELECT s.siparis_id, c.st, min({{'d': {square}, 'cl': c.cl}}) AS n FROM sc s, cen{i} c GROUP BY s.siparis_id, c.st)"""
+        if i < SG.MAX_STEPS:
+            out[f"cen{i + 1}"] = f"""SELECT c.st, c.cl, {', '.join(f'coalesce(m.{x}, c.{x}) AS {x}' for x in f)} FROM cen{i} c LEFT JOIN (
+  SELECT n.st, n.cl, {', '.join(f'avg(s.{x}) AS {x}' for x in f)} FROM near{i} n JOIN sc s ON s.siparis_id = n.siparis_id GROUP BY n.st, n.cl) m
+ ON m.st = c.st AND m.cl = c.cl"""
+    last = f"near{SG.MAX_STEPS}"
+    out["best"] = f"SELECT st FROM (SELECT st, CAST(format('{{:.8e}}', sum(d)) AS DOUBLE) AS cost FROM {last} GROUP BY st) ORDER BY cost, st LIMIT 1"
+    out["asg"] = f"SELECT siparis_id, cl AS segment_id FROM {last} WHERE st = (SELECT st FROM best)"
+    return out
+
+
+SEGMENTS_SQL = _summary_sql(f"""
+SELECT segment_id, {NAMES_SQL} AS ad, musteri_sayisi, yuzde, ortalama_tutar, ortalama_kisi, ortalama_urun,
+ toplam_ciro, hafta_sonu_orani, en_yogun_saat FROM prof""", extra={**SEG_CTES, **_lloyd_ctes(), "prof": PROFILE_SQL})
+
+
+@register("segments", SEGMENTS_SQL.replace(" AS (", " AS MATERIALIZED ("))
 def segments(spark, sf):
-    """Best of 10 K-Means fits, profiled, named and sorted by
-    revenue; the result is saved once per folder and read from then on."""
+    """Best of 10 K-Means starts, profiled, named and sorted by revenue;
+    the result is saved and read from then on, until a file of its tables changes."""
     def fit():
         summary = _summary(spark, sf)
-        sc = SG.scaled(SG.segment_features(summary))
-        model, _ = SG.best_kmeans(sc, k=4, n_init=10)
-        return SG.profile(summary, SG.assign(model, sc))
+        sc = cut_lineage(SG.scaled(SG.segment_features(summary)))
+        centres, _, _ = SG.best_kmeans(sc, CLUSTERS, STARTS, SEED)
+        return SG.profile(summary, SG.assign_fixed(sc, centres))
 
     name = hashlib.sha256(sf.rstrip("/").encode()).hexdigest()[:24]
-    return (SG.cached(spark, scratch_path(spark, f"segments/{name}"), fit)
+    inputs = [table_path(sf, t) for t in ("orders", "lineitem", "part")]
+    return (SG.cached(spark, scratch_path(spark, f"segments/{name}"), inputs, fit)
               .orderBy(F.desc("toplam_ciro"), "segment_id"))
 
 
@@ -235,13 +265,13 @@ def segments_check(spark, sf):
     """Each order lies in the segment of its nearest centre, and no
     start of the best-of-n costs less than the best."""
     sc = cut_lineage(SG.scaled(SG.segment_features(_summary(spark, sf))))
-    model, best = SG.best_kmeans(sc, k=4, n_init=3)
-    costs = [SG.best_kmeans(sc, k=4, n_init=1, seed=42 + i)[1] for i in range(3)]
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    near = SG.assign_fixed(sc, centres).withColumnRenamed("segment_id", "near")
-    return SG.assign(model, sc).join(near, "siparis_id").agg(
-        F.count(F.lit(1)).alias("orders"), F.count_if(F.col("segment_id") == F.col("near")).alias("at_nearest_centre")
-    ).withColumn("starts_not_better", F.lit(sum(c >= best for c in costs)))
+    centres, best, _ = SG.best_kmeans(sc, CLUSTERS, 3, SEED)
+    costs = [SG.best_kmeans(sc, CLUSTERS, 1, SEED + i)[1] for i in range(3)]
+    each = [SG._square(c) for c in centres]
+    own = SG.assign_fixed(sc, centres).join(sc, "siparis_id")
+    chosen = F.element_at(F.array(*each), F.col("segment_id") + 1)
+    return own.agg(F.count(F.lit(1)).alias("orders"), F.count_if(chosen <= F.least(*each)).alias("at_nearest_centre")
+                   ).withColumn("starts_not_better", F.lit(sum(c >= best * (1 - 1e-9) for c in costs)))
 
 
 @register("refresh_job", _summary_sql("""

@@ -7,6 +7,9 @@ shared storage, never at a machine-local folder.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +63,44 @@ def daily_sales_file_rows(daily: DataFrame) -> DataFrame:
     return daily.select(F.date_format("sale_date", "yyyy-MM-dd").alias("tarih"),
                         F.col("total_amount").cast("string").alias("ciro"),
                         F.col("order_count").alias("siparis_sayisi"))
+
+
+# --------------------------------------------------------------------------- folders
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _path(spark, path)
+    return system.exists(where)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    system, where = _path(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(where)) if system.exists(where) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, where = _path(spark, path)
+    system.delete(where, True)
+
+
+def manifest(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Path -> "size time" of all data files under the paths."""
+    out = {}
+    for path in paths:
+        system, where = _path(spark, path)
+        if not system.exists(where):
+            continue
+        found = system.listFiles(where, True)
+        while found.hasNext():
+            f = found.next()
+            if not f.getPath().getName().startswith(("_", ".")):
+                out[f.getPath().toString()] = f"{f.getLen()} {f.getModificationTime()}"
+    return out
+
+
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """A name for the files under the paths as they are now."""
+    return hashlib.sha256(json.dumps(sorted(manifest(spark, paths).items())).encode()).hexdigest()[:32]

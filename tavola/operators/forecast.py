@@ -90,11 +90,12 @@ def weighted_r2(model: PipelineModel, train: DataFrame) -> DataFrame:
                   / F.sum(F.col("weight") * (F.col("toplam_ciro") - F.col("yb")) ** 2)).alias("r2"))
 
 
-def calendar(start: DataFrame, days: int, weather: list[str] | None = None) -> DataFrame:
+def calendar(start: DataFrame, days: int, weather: list[str] | None = None, most: int = MAX_DAYS) -> DataFrame:
     """The next ``days`` dates after ``start`` (one row, column
     ``today``) with the weather list cycled (default) or taken as given
-    (a short list leaves the rest sunny).  Days are capped at 90 (D15)."""
-    days = max(0, min(days, MAX_DAYS))
+    (a short list leaves the rest sunny).  The service answers for ``most`` days at
+    most (D15)."""
+    days = max(0, min(days, most))
     if weather is None:
         cycle = F.array(*[F.lit(w) for w in DEFAULT_WEATHER_CYCLE])
         pick = lambda i: F.element_at(cycle, F.pmod(i, F.lit(len(DEFAULT_WEATHER_CYCLE))) + 1)

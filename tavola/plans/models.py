@@ -95,19 +95,62 @@ def forecast_calendar(spark, sf):
 
 
 def _model(spark, sf):
-    train = _train_features(spark, sf)
+    train = cut_lineage(_train_features(spark, sf))      # one row a day
     return FC.fit(train), train
 
 
-@register("forecast_fit")
+def _solve_ctes() -> dict[str, str]:
+    """The weighted normal equations of the training days, solved by elimination: table
+    ``coef`` has the coefficients of the features as they are (b0, b1, ...) and base."""
+    f, n = FC.FEATURES, len(FC.FEATURES)
+    mean = lambda x: f"sum(weight * {x}) / sum(weight)"                                           # noqa: E731
+    out = {"mid": "SELECT " + ", ".join(f"{mean(x)} AS m_{x}" for x in [*f, "toplam_ciro"]) + " FROM ff"}
+    dev = [f"(ff.{x} - mid.m_{x})" for x in [*f, "toplam_ciro"]]
+    out["e0"] = "SELECT " + ", ".join(f"sum(weight * {dev[i]} * {dev[j]}) AS a{i}_{j}" for i in range(n) for j in range(n + 1)) + " FROM ff, mid"
+    for k in range(n):
+        cells = [(f"CASE WHEN abs(a{k}_{k}) < 1e-9 THEN 0 ELSE a{k}_{j} / a{k}_{k} END" if i == k else
+                  f"CASE WHEN abs(a{k}_{k}) < 1e-9 THEN a{i}_{j} ELSE a{i}_{j} - a{i}_{k} / a{k}_{k} * a{k}_{j} END") + f" AS a{i}_{j}"
+                 for i in range(n) for j in range(n + 1)]
+        out[f"e{k + 1}"] = f"SELECT {', '.join(cells)} FROM e{k}"
+    out["coef"] = "SELECT " + ", ".join(f"a{i}_{n} AS b{i}" for i in range(n)) + ", m_toplam_ciro - " + " - ".join(
+        f"a{i}_{n} * m_{x}" for i, x in enumerate(f)) + f" AS base FROM e{n}, mid"
+    return out
+
+
+def _value_sql(row: str) -> str:
+    return "base + " + " + ".join(f"b{i} * {row}.{x}" for i, x in enumerate(FC.FEATURES))
+
+
+FIT_CTES = {**TRAINING_EXTRA, "ff": features_sql("training", 2), **_solve_ctes()}
+CALENDAR_SQL = f"""
+ SELECT CAST(t.today + INTERVAL (i + 1) DAY AS DATE) AS tarih,
+  ['Güneşli', 'Bulutlu', 'Güneşli', 'Serin', 'Bulutlu', 'Güneşli', 'Güneşli'][i % 7 + 1] AS hava,
+  CAST(NULL AS DOUBLE) AS sicaklik, CAST(NULL AS DOUBLE) AS toplam_ciro, 'db' AS kaynak
+ FROM (SELECT max(tarih) AS today FROM training) t, range(0, {HORIZON}) r(i)"""
+FORECAST_CTES = {**FIT_CTES, "cal": CALENDAR_SQL, "cf": features_sql("cal", 0), "fc": f"""
+ SELECT CAST(cf.tarih AS VARCHAR) AS tarih, ['Pazartesi', 'Salı', 'Çarşamba', 'Perşembe', 'Cuma', 'Cumartesi', 'Pazar'][isodow(cf.tarih)] AS gun,
+  hava, sicaklik, round(greatest({_value_sql('cf')}, 0), 2) AS tahmini_ciro, hafta_sonu = 1 AS hafta_sonu FROM cf, coef"""}
+
+
+def _fit_sql(body: str, extra: dict) -> str:
+    return _summary_sql(body, extra=extra).replace(" AS (", " AS MATERIALIZED (")
+
+
+FORECAST_SQL = _fit_sql("SELECT * FROM fc", FORECAST_CTES)
+
+
+@register("forecast_fit", _fit_sql("SELECT u.feature, round(u.coefficient, 3) AS coefficient, round(q.r2, 9) AS r2 FROM (" + " UNION ALL ".join(
+    f"SELECT '{x}' AS feature, b{i} * (SELECT stddev_samp({x}) FROM ff) AS coefficient FROM coef" for i, x in enumerate(FC.FEATURES))
+    + " UNION ALL SELECT 'intercept', base + " + " + ".join(f"b{i} * (SELECT avg({x}) FROM ff)" for i, x in enumerate(FC.FEATURES)) + f""" FROM coef) u,
+ (SELECT 1 - sum(weight * (toplam_ciro - ({_value_sql('ff')})) ** 2) / sum(weight * (toplam_ciro - m_toplam_ciro) ** 2) AS r2 FROM ff, coef, mid) q""",
+    FIT_CTES))
 def forecast_fit(spark, sf):
-    """Coefficients, intercept and weighted R^2 of the fit (one row)."""
+    """Coefficients of the standardised features, intercept and weighted R^2."""
     model, train = _model(spark, sf)
     lr = model.stages[-1]
-    r2 = FC.weighted_r2(model, train)
-    coef = [float(x) for x in lr.coefficients]
-    return r2.select(F.array(*[F.lit(c) for c in coef]).alias("coefficients"),
-                     F.lit(float(lr.intercept)).alias("intercept"), "r2")
+    values = [*zip(FC.FEATURES, map(float, lr.coefficients)), ("intercept", float(lr.intercept))]
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.round(F.lit(v), 3).alias("coefficient")) for n, v in values]))
+    return FC.weighted_r2(model, train).select(rows.alias("r"), F.round("r2", 9).alias("r2")).select("r.*", "r2")
 
 
 @register("forecast_equations", "SELECT unnest(['intercept', " + ", ".join(f"'{f}'" for f in FC.FEATURES)
@@ -125,19 +168,21 @@ def forecast_equations(spark, sf):
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("holds")) for c in names])).alias("r")).select("r.*")
 
 
-@register("forecast")
+@register("forecast", FORECAST_SQL)
 def forecast(spark, sf):
     model, _ = _model(spark, sf)
     return FC.predict(model, FC.calendar(_today(spark, sf), HORIZON))
 
 
-@register("forecast_summary")
+@register("forecast_summary", _fit_sql("""
+SELECT COUNT(*) AS forecast_days, round(sum(tahmini_ciro), 2) AS total_predicted_revenue,
+ round(coalesce(avg(tahmini_ciro), 0), 2) AS daily_average, max(tahmini_ciro) AS max_day FROM fc""", FORECAST_CTES))
 def forecast_summary(spark, sf):
     model, _ = _model(spark, sf)
     return FC.summary(FC.predict(model, FC.calendar(_today(spark, sf), HORIZON)))
 
 
-@register("forecast_from_saved")
+@register("forecast_from_saved", FORECAST_SQL)
 def forecast_from_saved(spark, sf):
     """Save the fitted pipeline to the shared folder, load, predict."""
     model, _ = _model(spark, sf)

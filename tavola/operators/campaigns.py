@@ -120,12 +120,16 @@ def campaign_candidates(contexts: DataFrame, spark: SparkSession, seed: int,
     return ctx.select(*cols, *_priority_cols())
 
 
+def in_priority_order(candidates: DataFrame, key: str = "context_id") -> DataFrame:
+    """The campaigns of each context by priority, then list position."""
+    return candidates.orderBy(key, "priority_rank", "seq")
+
+
 def top_campaign(candidates: DataFrame, key: str = "context_id") -> DataFrame:
     """C4: first campaign per context by (priority, list position)."""
-    best = F.struct("priority_rank", "seq")
-    return candidates.groupBy(key).agg(*[
-        F.min_by(c, best).alias(c) for c in
-        ("campaign_id", "title", "discount_percent", "target_categories", "priority_number")])
+    fields = ("campaign_id", "title", "discount_percent", "target_categories", "priority_number")
+    best = candidates.groupBy(key).agg(F.min_by(F.struct(*fields), F.struct("priority_rank", "seq")).alias("c"))
+    return best.select(key, "c.*")
 
 
 def active_campaign(log: DataFrame, key: str = "terminal_id") -> DataFrame:

@@ -92,6 +92,7 @@ def rule_candidates(itemsets: DataFrame) -> DataFrame:
         level = drop.withColumn("antecedent", F.concat(
             F.slice("antecedent", F.lit(1), F.col("start")),
             F.slice("antecedent", F.col("start") + 2, F.greatest(left - F.col("start") - 1, F.lit(0)))))
+        level = cut_lineage(level)          # written once, not made again for each later level
         levels.append(level)
     split = reduce(lambda a, b: a.unionByName(b), levels)
     return split.drop("start").withColumn("consequent", F.array_except("items", "antecedent"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tavola.functions import rules as RU
+from tavola.operators.numbering import numbered
 from tavola.operators.text_match import contained
 from tavola.operators.score_lists import rank_in, zone_lists, zone_tables
 from tavola.session import cut_lineage, reuse
@@ -425,12 +426,15 @@ def _draws(size: Column, n: int, seed: int) -> Column:
 
 def _pick(requests: DataFrame, pool: DataFrame, group: str, n: int, seed: int) -> DataFrame:
     """Rows (request columns, slot, pool columns): n draws per request from the
-    pool rows of its ``group``."""
-    numbered = pool.withColumn("number", (F.row_number().over(Window.partitionBy(group).orderBy("product_id")) - 1).cast("long"))
-    sizes = numbered.groupBy(group).agg(F.count(F.lit(1)).alias("pool_size"))
-    drawn = (requests.join(sizes, group)
-             .select("*", F.posexplode(_draws(F.col("pool_size"), n, seed)).alias("slot", "number")))
-    return drawn.join(numbered, [group, "number"]).drop("number")
+    pool rows of its ``group``; the groups are levels of a fixed rule table."""
+    pool = cut_lineage(numbered(pool, [group], ["product_id"]))
+    sizes = pool.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()         # a row a level
+    if not sizes:
+        return requests.withColumn("slot", F.lit(0)).join(pool.drop("number"), group).limit(0)
+    size = F.create_map(*[F.lit(x) for r in sizes for x in (r[group], r["n"])])
+    drawn = (requests.withColumn("_size", F.try_element_at(size, F.col(group))).where("_size IS NOT NULL")
+             .select("*", F.posexplode(_draws(F.col("_size"), n, seed)).alias("slot", "number")).drop("_size"))
+    return drawn.join(pool, [group, "number"]).drop("number")
 
 
 def wizard_mains(products: DataFrame, requests: DataFrame, seed: int, n: int = 4) -> DataFrame:

@@ -69,7 +69,7 @@ CTX_CTES = {
 
 @register("campaign_candidates", with_views("SELECT * FROM cands", "order_f", extra=CTX_CTES))
 def campaign_candidates(spark, sf):
-    return C.campaign_candidates(order_contexts(Fixtures(spark, sf)), spark, SEED, with_pool=False)
+    return C.in_priority_order(C.campaign_candidates(order_contexts(Fixtures(spark, sf)), spark, SEED, with_pool=False))
 
 
 POOL_CTES = {

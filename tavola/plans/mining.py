@@ -3,12 +3,15 @@ basket by bit mask (brute force, exact) and counts them; Spark uses FP-Growth.""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from tavola.operators import mining as M
 from tavola.plans.registry import register
+from tavola.session import scratch_path
+from tavola.sources import files
 from tavola.sources.fixtures import Fixtures, with_views
 
 # Label per basket: brand for pair rules, type for larger itemsets (the lift
@@ -104,12 +107,38 @@ SELECT antecedent_text AS antecedent, consequent_text AS consequent,
  CASE WHEN conviction = 'inf'::DOUBLE THEN conviction ELSE round_even(conviction * 10000.0, 0) / 10000.0 END AS conviction
 FROM rules""", BRAND))
 def rules_file(spark, sf):
-    return M.rules_file_rows(rules_for(spark, sf, BRAND))
+    """The rules file, written as CSV and read back."""
+    path = scratch_path(spark, f"rules/{uuid.uuid4().hex}")
+    files.write_csv(M.rules_file_rows(rules_for(spark, sf, BRAND)), path)
+    return files.read_csv(spark, path, files.RULES_SCHEMA)
 
 
 @register("suggestions", mining_sql("SELECT * FROM sugg", BRAND))
 def suggestions(spark, sf):
-    return M.suggestions(rules_for(spark, sf, BRAND), BRAND[1])
+    """The suggestions, written as JSON arrays and read back."""
+    path = scratch_path(spark, f"suggestions/{uuid.uuid4().hex}")
+    files.write_json_array(M.suggestions(rules_for(spark, sf, BRAND), BRAND[1]), path, ["tetikleyici", "oneri"])
+    return files.read_json(spark, path, files.SUGGESTION_SCHEMA, multiline=True)
+
+
+SERVICE = ("basket_type", M.SERVICE)
+
+
+@register("service_rules", mining_sql("""
+SELECT (SELECT COUNT(*) FROM fi_all) AS itemsets, (SELECT COUNT(*) FROM r0) AS candidates,
+ (SELECT COUNT(*) FROM rules) AS rules, (SELECT COUNT(*) FROM sugg) AS suggestions,
+ (SELECT COUNT(*) FROM r0 WHERE confidence >= 0.40) AS confident""", SERVICE))
+def service_rules(spark, sf):
+    """M6: what the service's thresholds leave: itemsets, rules before any filter, rules
+    of enough confidence, rules that pass all thresholds, suggestions."""
+    preset = SERVICE[1]
+    fi = _itemsets(spark, sf, SERVICE)
+    every = M.association_rules(fi, replace(preset, max_support=1.0, min_confidence=0.0, min_lift=0.0))
+    rules = M.association_rules(fi, preset)
+    counts = {"itemsets": fi, "candidates": every, "rules": rules, "suggestions": M.suggestions(rules, preset),
+              "confident": every.where(F.col("confidence") >= preset.min_confidence)}
+    one = spark.range(1)
+    return one.select(*[df.select(F.count(F.lit(1))).scalar().alias(name) for name, df in counts.items()])
 
 
 @register("rule_stats", mining_sql("""

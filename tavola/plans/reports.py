@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tavola.functions import exprs as X
 from tavola.operators import reports as R
 from tavola.plans.registry import register
+from tavola.session import scratch_path
+from tavola.sources import files
 from tavola.sources.fixtures import Fixtures, with_views
 
 DATE_FROM, DATE_TO = "1995-01-01", "2001-12-31"
@@ -99,8 +103,10 @@ SELECT strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS tarih,
 FROM order_f WHERE status = 5 AND CAST(created_at AS DATE) BETWEEN DATE '{a}' AND DATE '{b}'
 GROUP BY CAST(created_at AS DATE)""".format(a=DATE_FROM, b=DATE_TO), "order_f"))
 def daily_sales_export(spark, sf):
-    from tavola.sources.files import daily_sales_file_rows
-    return daily_sales_file_rows(R.daily_sales(Fixtures(spark, sf).order_f, DATE_FROM, DATE_TO))
+    """The daily sales report, written as CSV and read back."""
+    path = scratch_path(spark, f"daily_sales/{uuid.uuid4().hex}")
+    files.write_csv(files.daily_sales_file_rows(R.daily_sales(Fixtures(spark, sf).order_f, DATE_FROM, DATE_TO)), path)
+    return files.read_csv(spark, path, files.DAILY_SALES_SCHEMA)
 
 
 # --------------------------------------------------------------------------- J4/A6/P15/A7/A5

@@ -13,6 +13,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tavola.operators.numbering import numbered
+
 SUMMARY_SCHEMA = (
     "siparis_id long, qr_masa_id string, tarih_saat string, gun string, saat int, ay int, "
     "hafta_sonu int, ozel_gun string, yas_grubu string, kisi_sayisi int, hava_durumu string, "
@@ -22,6 +24,8 @@ SUMMARY_SCHEMA = (
 RULES_SCHEMA = ("antecedent string, consequent string, support double, confidence double, "
                 "lift double, leverage double, conviction double")
 
+DAILY_SALES_SCHEMA = "tarih string, ciro string, siparis_sayisi long"
+
 SUGGESTION_SCHEMA = ("tetikleyici string, oneri string, confidence double, lift double, "
                      "support double, oneri_metni string")
 
@@ -50,7 +54,16 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def read_json(spark: SparkSession, path: str, schema: str, multiline: bool = False) -> DataFrame:
     """S4 source: JSON lines, or one JSON array per file with ``multiline``."""
-    return spark.read.schema(schema).option("multiLine", multiline).json(path)
+    return spark.read.schema(schema).option("multiLine", multiline).option("recursiveFileLookup", multiline).json(path)
+
+
+def write_json_array(df: DataFrame, path: str, order: list[str], rows: int = 10_000) -> None:
+    """S4, S9 sink: files of one JSON array each, of at most ``rows`` rows, in order."""
+    placed = numbered(df, [], order, "_n").withColumn("part", F.floor(F.col("_n") / rows))
+    row = F.struct("_n", F.to_json(F.struct(*df.columns)).alias("v"))
+    arrays = placed.groupBy("part").agg(F.sort_array(F.collect_list(row)).alias("r"))
+    arrays.select("part", F.concat(F.lit("["), F.array_join("r.v", ",\n"), F.lit("]")).alias("value")
+                  ).write.mode("overwrite").partitionBy("part").text(path)
 
 
 def write_text_lines(df: DataFrame, col: str, path: str) -> None:

@@ -30,7 +30,7 @@ def test_files_of_json_arrays(spark, tmp_path):
     df = spark.createDataFrame(rows, "id long, text string, x double").repartition(4)
     files.write_json_array(df, f"{tmp_path}/a", ["id"], rows=30)
     assert sorted(map(tuple, files.read_json(spark, f"{tmp_path}/a", "id long, text string, x double", multiline=True).collect())) == rows
-    texts = [r.value for r in spark.read.option("wholetext", True).text(f"{tmp_path}/a/part=*").collect()]
+    texts = [r.value for r in spark.read.text(f"{tmp_path}/a/part=*", wholetext=True).collect()]
     assert len(texts) == 4 and all(t.startswith("[") and t.rstrip().endswith("]") for t in texts)
 
 

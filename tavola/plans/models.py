@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from tavola.operators import datasets as D
 from tavola.operators import forecast as FC
+from tavola.operators import refresh as RF
 from tavola.operators import segments as SG
 from tavola.plans.datasets import TRAINING_EXTRA, _summary, _summary_sql, _training
 from tavola.plans.datasets import BASKET_LABELS
 from tavola.plans.registry import register
 from tavola.session import cut_lineage, scratch_path
 from tavola.sources import files
-from tavola.sources.tables import table_path
+from tavola.sources.tables import TABLE_SCHEMAS, table_path
 from tavola.sources.fixtures import Fixtures
 
 HORIZON = 14
@@ -324,19 +325,40 @@ SELECT (SELECT COUNT(*) FROM summary) AS summary_rows, (SELECT COUNT(DISTINCT or
  (SELECT COUNT(DISTINCT order_id) FROM order_item_f) AS basket_rows, (SELECT COUNT(*) FROM training) AS training_days,
  true AS fitted""", extra=TRAINING_EXTRA))
 def refresh_job(spark, sf):
-    """Export the summary (CSV), basket lines (text) and the one-hot
-    basket (CSV), then retrain the forecast; one row of counts."""
+    """Bring the summary by day up to date (CSV), export basket lines (text) and
+    the one-hot basket (CSV), then retrain the forecast; one row of counts."""
     fx = Fixtures(spark, sf)
-    base = scratch_path(spark, f"refresh/{uuid.uuid4().hex}")
-    summary = D.order_summary(fx.order_f, fx.order_item_f, fx.product_f)
-    files.write_csv(summary, f"{base}/orders_summary")
+    name = hashlib.sha256(sf.rstrip("/").encode()).hexdigest()[:24]
+    kept, base = scratch_path(spark, f"refresh/{name}"), scratch_path(spark, f"refresh/{uuid.uuid4().hex}")
+    refresh_summary(spark, sf, kept)
     files.write_text_lines(D.basket_lines(fx.order_item_f, fx.product_f), "line", f"{base}/basket_lines")
     files.write_csv(D.basket_onehot(fx.order_item_f, fx.product_f, "basket_label", BASKET_LABELS), f"{base}/market_basket")
     model, train = _model(spark, sf)
-    n_sum = spark.read.schema(files.SUMMARY_SCHEMA).option("header", True).csv(f"{base}/orders_summary")
-    counts = {"summary_rows": n_sum, "basket_lines": spark.read.text(f"{base}/basket_lines"),
+    counts = {"summary_rows": files.read_csv(spark, f"{kept}/data", files.SUMMARY_SCHEMA), "basket_lines": spark.read.text(f"{base}/basket_lines"),
               "basket_rows": spark.read.option("header", True).csv(f"{base}/market_basket"), "training_days": train}
     return FC.weighted_r2(model, train).select(
         *[df.select(F.count(F.lit(1))).scalar().alias(name) for name, df in counts.items()],
         F.col("r2").between(0, 1).alias("fitted"))
 
+
+def refresh_summary(spark, sf, out: str):
+    """The order summary by day, of which only days with new orders or items are rebuilt."""
+    fx = Fixtures(spark, sf)
+    day = F.to_date("created_at")
+    orders = fx.order_f
+
+    def days_of(table, paths):
+        if table == "part":
+            return None
+        key = {"orders": "o_orderkey", "lineitem": "l_orderkey"}[table]
+        new = spark.read.schema(TABLE_SCHEMAS[table]).parquet(*paths).select(F.col(key).alias("order_id"))
+        return orders.join(new, "order_id", "left_semi").select(day.alias("day"))
+
+    def build(days):
+        picked = orders if days is None else orders.where(day.isin(days))
+        items = fx.order_item_f if days is None else fx.order_item_f.join(picked.select("order_id"), "order_id", "left_semi")
+        rows = D.order_summary(picked, items, fx.product_f)
+        return rows.withColumn("day", F.to_date(F.substring("tarih_saat", 1, 10)))
+
+    inputs = {t: table_path(sf, t) for t in ("orders", "lineitem", "part")}
+    return RF.refresh_by_day(spark, out, inputs, days_of, build, header=True, escape='"', nullValue=files.NULL_TOKEN, emptyValue='""')

@@ -21,9 +21,8 @@ HEADLINE = [
     "category_share", "daily_sales", "top_products", "table_occupancy", "station_queue",
     "order_summary", "daily_training", "assoc_rules", "basket_recommendations", "campaign_top",
     "apply_payments", "merge_active_orders", "cart_fold", "weather_asof", "segment_profile",
-    "stream_table_state",
+    "stream_table_state", "smart_basket", "dashboard_recommendations",
 ]
-EXTRA = ["smart_basket", "dashboard_recommendations"]
 
 
 def main() -> None:
@@ -33,7 +32,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "4"))
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    keys = HEADLINE + (EXTRA if os.environ.get("BENCH_FULL") == "1" else [])
+    keys = HEADLINE
     if os.environ.get("BENCH_QUERIES"):
         keys = os.environ["BENCH_QUERIES"].split(",")
     spark = get_session(f"local[{cpus}]", app="tavola-bench", shuffle_partitions=max(8, 2 * cpus))

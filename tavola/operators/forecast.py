@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tavola.functions import exprs as X
 from tavola.operators.datasets import MONTH_TEMPERATURE, WEATHER_CODE
+from tavola.session import cut_lineage
 
 FEATURES = ["gun_no", "ay", "hafta_sonu", "hava_kod", "sicaklik", "gun_sin", "gun_cos", "ay_sin", "ay_cos"]
 # Default weather cycle of the prediction calendar; weights.
@@ -51,18 +52,11 @@ def features(daily: DataFrame, unknown_weather_code: int = 2, weekend_from: int
 
 
 def standardize(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
-    """M8: (x - mean) / population std, std 0 -> 1 (one global aggregate,
-    attached as scalar subqueries)."""
-    fields = [F.avg(c).alias(f"m_{c}") for c in cols]
-    fields += [F.stddev_pop(c).alias(f"s_{c}") for c in cols]
-    # one pass over the data; the single-row result is one scalar subquery
-    stats = df.agg(F.struct(*fields).alias("st")).scalar()
-    out = [F.col(k) for k in keep]
-    for c in cols:
-        m, sd = stats.getField(f"m_{c}"), stats.getField(f"s_{c}")
-        sd = F.when(sd == 0, F.lit(1.0)).otherwise(sd)
-        out.append(((F.col(c) - m) / sd).alias(c))
-    return df.select(*out)
+    """M8: (x - mean) / population std, std 0 -> 1.  ``df`` is written once; its
+    statistics are one row, which comes to the driver."""
+    df = cut_lineage(df.select(*dict.fromkeys([*keep, *cols])))
+    st = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+    return df.select(*keep, *[((F.col(c) - F.lit(st[f"m_{c}"])) / F.lit(st[f"s_{c}"] or 1.0)).alias(c) for c in cols])
 
 
 def pipeline() -> Pipeline:

@@ -39,7 +39,7 @@ def keywords(df: DataFrame, keys: list[str], text: str, alias_pairs: DataFrame |
     own = w.select(*keys, F.col("word").alias("keyword"))
     if alias_pairs is None:
         return own.distinct()
-    more = w.join(F.broadcast(alias_pairs), "word").select(*keys, "keyword")
+    more = w.join(alias_pairs, "word").select(*keys, "keyword")
     return own.unionByName(more).distinct()
 
 

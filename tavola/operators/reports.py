@@ -67,7 +67,7 @@ def category_share(orders: DataFrame, items: DataFrame, products: DataFrame,
     per_product = (paid_items(orders, items)
                    .groupBy("product_id")
                    .agg(F.sum(F.col("quantity") * F.col("unit_price")).alias("rev")))
-    cats = F.broadcast(categories.select("category_id", "category_name"))
+    cats = categories.select("category_id", "category_name")
     with_cat = (per_product
                 .join(products.select("product_id", "category_id"), "product_id", "left")
                 .join(cats, "category_id", "left"))
@@ -150,7 +150,7 @@ def order_totals(items: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- J1
 def order_lines_wide(orders, items, products, categories) -> DataFrame:
     """order -> items -> product -> category, all outer to the left."""
-    cats = F.broadcast(categories.select("category_id", "category_name", "station_id"))
+    cats = categories.select("category_id", "category_name", "station_id")
     return (orders.select("order_id", "table_number", "status", "created_at")
                   .join(items.select("item_id", "order_id", "product_id", "quantity", "unit_price",
                                      "item_status"), "order_id", "left")
@@ -187,7 +187,7 @@ def station_queue(orders, items, products, categories, station_id: int | None =
     todo = items.filter(~F.col("item_status").isin(X.DELIVERED, X.READY, X.AWAITING))
     return (todo.join(live, "order_id")
                 .join(products.select("product_id", "product_name", "category_id"), "product_id")
-                .join(F.broadcast(cats), "category_id")
+                .join(cats, "category_id")
                 .select("station_id", "item_id", "order_id", "table_number", "product_id",
                         "product_name", "quantity", "unit_price",
                         F.col("item_status").alias("station_status")))

@@ -220,13 +220,18 @@ SEG_CTES = {"segf": SEG_FEATURE_SQL,
             "sc": "SELECT * FROM sc0"}
 
 
-def _fixed_assignment(spark, sf):
-    return SG.assign_fixed(SG.scaled(SG.segment_features(_summary(spark, sf))), FIXED_CENTROIDS)
+def _kept_summary(spark, sf):
+    """The columns of the summary that segments and their profile need, written once."""
+    return cut_lineage(_summary(spark, sf).drop("siparis_icerigi"))
+
+
+def _fixed_assignment(summary):
+    return SG.assign_fixed(SG.scaled(SG.segment_features(summary)), FIXED_CENTROIDS)
 
 
 @register("segment_assign", _summary_sql(_assign_sql(), extra=SEG_CTES))
 def segment_assign(spark, sf):
-    return _fixed_assignment(spark, sf)
+    return _fixed_assignment(_summary(spark, sf))
 
 
 PROFILE_SQL = """
@@ -251,14 +256,16 @@ SELECT segment_id, {NAMES_SQL} AS ad, musteri_sayisi, yuzde, ortalama_tutar, ort
  toplam_ciro, hafta_sonu_orani, en_yogun_saat FROM prof""", extra={**SEG_CTES, "asg": _assign_sql(),
                                                                     "prof": PROFILE_SQL}))
 def segment_profile(spark, sf):
-    return SG.profile(_summary(spark, sf), _fixed_assignment(spark, sf))
+    summary = _kept_summary(spark, sf)
+    return SG.profile(summary, _fixed_assignment(summary))
 
 
 @register("dominant_segment", _summary_sql(f"""
 SELECT arg_min({NAMES_SQL}, (-musteri_sayisi, segment_id)) AS dominant_segment, max(musteri_sayisi) AS size
 FROM prof""", extra={**SEG_CTES, "asg": _assign_sql(), "prof": PROFILE_SQL}))
 def dominant_segment(spark, sf):
-    return SG.dominant(SG.profile(_summary(spark, sf), _fixed_assignment(spark, sf)))
+    summary = _kept_summary(spark, sf)
+    return SG.dominant(SG.profile(summary, _fixed_assignment(summary)))
 
 
 STARTS, CLUSTERS, SEED = 10, 4, 42
@@ -294,8 +301,8 @@ def segments(spark, sf):
     """Best of 10 K-Means starts, profiled, named and sorted by revenue;
     the result is saved and read from then on, until a file of its tables changes."""
     def fit():
-        summary = _summary(spark, sf)
-        sc = cut_lineage(SG.scaled(SG.segment_features(summary)))
+        summary = _kept_summary(spark, sf)
+        sc = SG.scaled(SG.segment_features(summary))
         centres, _, _ = SG.best_kmeans(sc, CLUSTERS, STARTS, SEED)
         return SG.profile(summary, SG.assign_fixed(sc, centres))
 

@@ -128,3 +128,13 @@ def test_unset_checkpoint_folder_is_an_error_on_a_cluster():
         fake = N(sparkContext=N(getCheckpointDir=lambda: None, getConf=lambda: none, master=master), conf=none)
         with pytest.raises(ValueError):
             checkpoint_dir(fake)
+
+
+def test_half_cents_are_rounded_up_exactly(spark):
+    from tavola.operators import campaigns as C
+    cart = spark.createDataFrame([(1, 7, 1, "912.30", "Tea"), (1, 8, 3, "10.00", "Soup")], "cart_id int, product_id int, quantity int, price string, category_name string")
+    cart = cart.withColumn("price", cart.price.cast("decimal(18,2)"))
+    campaign = spark.createDataFrame([(1, 25, ["tea"])], "cart_id int, discount_percent int, target_categories array<string>")
+    lines = {r.product_id: str(r.unit_price) for r in C.discounted_lines(cart, campaign).collect()}
+    assert lines == {7: "684.23", 8: "10.00"}                      # 684.225
+    assert [str(r.discount) for r in C.cart_discount(cart, campaign).collect()] == ["228.08"]      # 228.075

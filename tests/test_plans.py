@@ -11,6 +11,8 @@ def test_token_joins_have_no_cartesian_product(spark, small_dir):
     for key in ("basket_recommendations", "smart_basket", "product_recommendations"):
         plan = _plan(QUERIES[key](spark, small_dir))
         assert "CartesianProduct" not in plan, key
+        loops = [line for line in plan.splitlines() if "BroadcastNestedLoopJoin" in line]
+        assert all("kind#" in line for line in loops), key         # the fixed rules of the campaigns
 
 
 def test_scan_pruning_and_pushdown(spark, small_dir):

@@ -137,6 +137,9 @@ class Page(HTMLParser):
         end = self.rawdata.find(">", i)
         return end + 1 if end >= 0 else -1
 
+    def updatepos(self, i, j):
+        return j                        # nobody asks for line numbers
+
     def _end(self) -> None:
         element, tag, parts = self.open.pop()
         text = "\0".join(parts)
@@ -314,17 +317,24 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
                                          F.collect_list(blocks).alias("often")), "templates")
 
 
-def main_text(html: Column, *recurring: Column) -> Column:
-    """Main text of an html column, without the subtrees of the given arrays of
-    digests: those of the host and of its section, each all and those for blocks."""
+def main_text(html: Column, scopes: list[Column], recurring: list[Column]) -> Column:
+    """Main text of an html column, without the recurring subtrees of its ``scopes``: for
+    each scope two arrays of digests, all and those for blocks.  The sets of a scope are
+    made once a batch."""
+    n_scopes = len(scopes)
+
     def run(htmls: pa.Array, *given: pa.Array) -> pa.Array:
+        names, arrays = given[:n_scopes], given[n_scopes:]
+        known: dict[tuple, tuple[frozenset, frozenset]] = {}
         out = []
-        for k, html in enumerate(htmls):
-            digests, often = (frozenset(d for column in given[i::2] for d in column[k].as_py() or ()) for i in (0, 1))
-            out.append(Page(html.as_py() or "").text(digests, often))
+        for k, (html, *within) in enumerate(zip(htmls, *(n.to_pylist() for n in names))):
+            key = tuple(within)
+            if key not in known:
+                known[key] = tuple(frozenset(d for column in arrays[i::2] for d in column[k].as_py() or ()) for i in (0, 1))
+            out.append(Page(html.as_py() or "").text(*known[key]))
         return pa.array(out, type=pa.string())
 
-    return F.arrow_udf(lean(run), "string").asNondeterministic()(html, *recurring)
+    return F.arrow_udf(lean(run), "string").asNondeterministic()(html, *scopes, *recurring)
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES,
@@ -339,6 +349,6 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_
         out = out.join(sites.toDF(f"_scope{k}", f"_digests{k}", f"_often{k}"),
                        F.get("_of", F.lit(k)) == F.col(f"_scope{k}"), "left")
     arrays = [F.col(f"_{name}{k}") for k in (0, 1) for name in ("digests", "often")]
-    return (out.withColumn("text", main_text(F.col(html_col), *arrays))
+    return (out.withColumn("text", main_text(F.col(html_col), [F.col(f"_scope{k}") for k in (0, 1)], arrays))
             .withColumn("n_chars", F.length("text").cast("long"))
             .drop("_of", *[f"_{name}{k}" for k in (0, 1) for name in ("scope", "digests", "often")]))

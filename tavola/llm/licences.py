@@ -1,13 +1,14 @@
 """Licence scan with a positional index of rare words (operator 5).
 
 Built-in functions only: no Python runs on the executors.  A first scan counts
-in how many documents each word of the notices below occurs; the rarest words
-of a notice (highest inverse document frequency) are its index entries, with
-their positions in the notice.  A second scan looks those words up in each
-text; the places of a notice's entries, each less its position in the notice,
-are intersected, and what is left are places where the notice may start.  There
-the notice's mandatory key phrase must stand word by word.  The label's share
-is the part of the notice's words that stand in place.
+in how many documents each word of the notices below occurs.  A second scan takes
+of each text the licence words with the highest inverse document frequency, at most
+``FILE_WORDS`` different ones, and looks up their postings: the notices that have the
+word, and where.  The place of a word in the text less its position in the notice is a
+place where the notice may start; places on which ``LEAST_WORDS`` of the looked-up
+words agree are kept.  There the notice's mandatory key phrase must stand word by
+word, and ``LEAST_SHARE`` of all its words in place, so a notice with some of its words
+altered is still found.  The share is the label's score.
 
 Apart from that, a document is labelled for every base phrase whose words stand
 in it one after the other.  Everything happens within a row, so a hot group of
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-INDEXED_WORDS = 3        # rarest words of a notice that are looked up
+FILE_WORDS = 12          # rarest licence words of a text that are looked up
+LEAST_WORDS = 2          # looked-up words that must agree on where a notice starts
+LEAST_SHARE = 0.6        # of a notice's words that must stand in place
 BASE_SCORE = 0.5         # least score of a text with a base phrase
 
 # Base phrases and their labels.
@@ -74,23 +77,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
-def notice_words() -> list[str]:
-    return sorted({w for _, _, notice in NOTICES for w in notice.split()})
+def notice_words(notices: list[tuple] = NOTICES) -> list[str]:
+    return sorted({w for _, _, notice in notices for w in notice.split()})
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
+def document_frequencies(docs: DataFrame, text_col: str = "text", notices: list[tuple] = NOTICES) -> dict[str, int]:
     """Documents per notice word: as many numbers as the notices have words."""
-    vocabulary = F.array(*[F.lit(w) for w in notice_words()])
+    vocabulary = F.array(*[F.lit(w) for w in notice_words(notices)])
     present = docs.select(F.explode(F.array_intersect(vocabulary, words_of(F.col(text_col)))).alias("word"))
     counted = {r.word: r.n for r in present.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return {w: counted.get(w, 0) for w in notice_words()}
-
-
-def index_entries(notice: str, frequency: dict[str, int]) -> list[tuple[str, int]]:
-    """The rarest words of a notice with their first positions."""
-    words = notice.split()
-    rare = sorted(set(words), key=lambda w: (frequency[w], w))[:INDEXED_WORDS]
-    return [(w, words.index(w)) for w in rare]
+    return {w: counted.get(w, 0) for w in notice_words(notices)}
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -111,46 +107,61 @@ def _base_places(phrase: list[str]) -> Column:
     return F.filter(_places(phrase[last], last), lambda o: (o >= 0) & _stands(F.col("_words"), o, phrase))
 
 
-def _notice_share(entries: list[tuple[str, int]], key: str, notice: str) -> Column:
-    """Best share over the places where a notice stands with its key phrase; null if none."""
-    words, parts = F.col("_words"), notice.split()
-    places = reduce(F.array_intersect, [_places(w, p) for w, p in entries])
-    phrase = key.split()
+def _notice_share(key: str, notice: str) -> Column:
+    """Best share over the places where a notice stands; null if it stands nowhere."""
+    words, rare, parts, phrase = F.col("_words"), F.col("_rare"), notice.split(), key.split()
     key_at = next(i for i in range(len(parts)) if parts[i:i + len(phrase)] == phrase)
+    places = F.array_distinct(F.concat(*[F.when(F.array_contains(rare, w), _places(w, i)).otherwise(_nowhere())
+                                         for i, w in enumerate(parts)]))
     proven = F.filter(places, lambda o: (o >= 0) & _stands(words, o + key_at, phrase))
-    share = F.transform(proven, lambda o: sum(
-        (F.when(F.get(words, o + i) == w, 1).otherwise(0) for i, w in enumerate(parts)), F.lit(0)) / len(parts))
-    return F.array_max(share)
 
+    def count(o: Column, only_rare: bool) -> Column:
+        there = [(F.get(words, o + i) == w) & (F.array_contains(rare, w) if only_rare else F.lit(True)) for i, w in enumerate(parts)]
+        return sum((F.when(t, 1).otherwise(0) for t in there), F.lit(0))
+
+    share = F.transform(F.filter(proven, lambda o: count(o, True) >= LEAST_WORDS), lambda o: count(o, False) / len(parts))
+    key_words = sorted(set(phrase))
+    possible = F.size(F.array_intersect(F.array(*[F.lit(w) for w in key_words]), F.col("_present"))) == len(key_words)
+    return F.when(possible, F.array_max(F.filter(share, lambda x: x >= LEAST_SHARE)))
+
+
+def _nowhere() -> Column:
+    return F.expr("CAST(array() AS array<int>)")
+
+
+def scan(docs: DataFrame, text_col: str = "text", frequency: dict[str, int] | None = None,
+         notices: list[tuple] = NOTICES) -> DataFrame:
+    """Add n_words, n_base, first_word, last_word, base_labels, labels and score.
 
-def scan(docs: DataFrame, text_col: str = "text", frequency: dict[str, int] | None = None) -> DataFrame:
-    """Add n_words, n_base, first_word, last_word, base_labels, labels and score."""
-    frequency = frequency or document_frequencies(docs, text_col)
-    entries = [index_entries(notice, frequency) for _, _, notice in NOTICES]
-    indexed = sorted({w for several in entries for w, _ in several} | {p.split()[-1] for p, _ in BASE_PHRASES})
-    wanted, words = F.array(*[F.lit(w) for w in indexed]), F.col("_words")
+    ``notices``: (label, key phrase, words of the notice), as short as the expressions
+    over them should be; the first words of a licence are enough."""
+    frequency = frequency or document_frequencies(docs, text_col, notices)
+    vocabulary, words = sorted(notice_words(notices), key=lambda w: (frequency[w], w)), F.col("_words")
+    last_words = sorted({p.split()[-1] for p, _ in BASE_PHRASES})
+    present = F.array_intersect(F.array(*[F.lit(w) for w in vocabulary]), words)       # rarest first
     hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))),
-                    lambda h: h["word"].isin(indexed))
-    out = (docs.withColumn("_words", words_of(F.col(text_col)))
-           .withColumn("_hits", F.when(F.arrays_overlap(words, wanted), hits)))
+                    lambda h: h["word"].isin(last_words) | (h["word"].isin(vocabulary) & F.array_contains(F.col("_rare"), h["word"])))
+    out = (docs.withColumn("_words", words_of(F.col(text_col))).withColumn("_present", present)
+           .withColumn("_rare", F.slice("_present", 1, FILE_WORDS))
+           .withColumn("_hits", hits))
     starts = [_base_places(phrase.split()) for phrase, _ in BASE_PHRASES]
     out = out.withColumns({f"_base{i}": s for i, s in enumerate(starts)} | {
-        f"_share{i}": _notice_share(e, key, notice) for i, (e, (_, key, notice)) in enumerate(zip(entries, NOTICES))})
+        f"_share{i}": _notice_share(key, notice) for i, (_, key, notice) in enumerate(notices)})
     base = F.concat(*[F.coalesce(F.col(f"_base{i}"), F.expr("array()").cast("array<int>"))
                       for i in range(len(BASE_PHRASES))])
     base_labels = [F.when(F.size(f"_base{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(BASE_PHRASES)]
-    labels = [F.when(F.col(f"_share{i}").isNotNull(), F.lit(label)) for i, (label, _, _) in enumerate(NOTICES)]
+    labels = [F.when(F.col(f"_share{i}").isNotNull(), F.lit(label)) for i, (label, _, _) in enumerate(notices)]
 
     def joined(columns: list[Column]) -> Column:
         return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*columns)))), ",")
 
-    best = F.coalesce(F.greatest(*[F.col(f"_share{i}") for i in range(len(NOTICES))]), F.lit(0.0))
+    best = F.greatest(F.lit(0.0), *[F.col(f"_share{i}") for i in range(len(notices))])
     answers = {"n_words": F.size("_words").cast("long"), "n_base": F.size("_base").cast("long"),
                "first_word": F.array_min("_base").cast("long"), "last_word": F.array_max("_base").cast("long"),
                "base_labels": joined(base_labels), "labels": joined(base_labels + labels),
                "score": F.greatest(best, F.when(F.size("_base") > 0, BASE_SCORE).otherwise(0.0))}
-    spare = ["_words", "_hits", "_base", *(f"_base{i}" for i in range(len(BASE_PHRASES))),
-             *(f"_share{i}" for i in range(len(NOTICES)))]
+    spare = ["_words", "_present", "_rare", "_hits", "_base", *(f"_base{i}" for i in range(len(BASE_PHRASES))),
+             *(f"_share{i}" for i in range(len(notices)))]
     return out.withColumn("_base", base).withColumns(answers).drop(*spare)
 
 
@@ -175,16 +186,14 @@ p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
 v AS (SELECT doc_id, word, i FROM p
       WHERE word IN (SELECT word FROM notice UNION SELECT word FROM base)),
 df AS (SELECT word, count(DISTINCT doc_id) AS n FROM v GROUP BY word),
-entry AS (SELECT * FROM (
-    SELECT t, word, min(pos) AS pos, row_number() OVER (PARTITION BY t ORDER BY coalesce(any_value(n), 0), word) AS r
-    FROM notice LEFT JOIN df USING (word) GROUP BY t, word) WHERE r <= {INDEXED_WORDS}),
-place AS (SELECT doc_id, t, i - pos AS o, count(*) AS c FROM v JOIN entry USING (word) WHERE i >= pos
-    GROUP BY doc_id, t, i - pos),
-whole AS (SELECT doc_id, place.t, o FROM place JOIN (SELECT t, count(*) AS c FROM entry GROUP BY t) e
-    ON place.t = e.t AND place.c = e.c),
+rare AS (SELECT doc_id, word FROM (
+    SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY n, word) AS r
+    FROM (SELECT DISTINCT doc_id, word FROM v WHERE word IN (SELECT word FROM notice)) JOIN df USING (word)) WHERE r <= {FILE_WORDS}),
+whole AS (SELECT doc_id, t, i - pos AS o FROM v JOIN rare USING (doc_id, word) JOIN notice USING (word) WHERE i >= pos
+    GROUP BY doc_id, t, i - pos HAVING count(*) >= {LEAST_WORDS}),
 slot AS (SELECT doc_id, t, o, label, is_key, word, o + pos AS i FROM whole JOIN notice USING (t)),
 share AS (SELECT doc_id, t, o, any_value(label) AS label, count(v.doc_id) / count(*) AS share,
-      bool_and(is_key = 0 OR v.doc_id IS NOT NULL) AS proven
+      bool_and(is_key = 0 OR v.doc_id IS NOT NULL) AND count(v.doc_id) / count(*) >= {LEAST_SHARE} AS proven
     FROM slot LEFT JOIN v USING (doc_id, i, word) GROUP BY doc_id, t, o),
 sized AS (SELECT *, count(*) OVER (PARTITION BY b) AS size FROM base),
 base_at AS (SELECT doc_id, b, any_value(label) AS label, i - pos AS o FROM v JOIN sized USING (word)

@@ -180,6 +180,21 @@ def test_licence_edges(docs_of):
     assert licences.scan(docs_of([])).count() == 0
 
 
+def test_altered_notices_keep_their_label(docs_of):
+    """Each text's own rarest words decide, so a changed word, another corpus or a second licence do not."""
+    bsd = "redistribution and use in source and binary forms with or without {} are permitted"
+    apache = "licensed under the apache license version 2 0"
+    texts = [bsd.format("modification"), bsd.format("alteration"), "x " * 50 + bsd.format("change") + " y " + apache,
+             "redistribution and use in binary and source forms with or without modification are permitted",
+             "in source and binary forms", "commons attribution", "this work is licensed under a commons attribution note"]
+    for more in ([], ["modification " * 3] * 40, ["redistribution binary forms source"] * 40):
+        got = {r.doc_id: (r.labels, r.score) for r in licences.scan(docs_of(texts + more)).collect()}
+        assert [got[i][0] for i in range(7)] == ["bsd", "bsd", "apache,bsd", "", "", "", ""]
+        assert got[0][1] == 1.0 and 0.9 < got[1][1] < 1.0 and got[2][1] == 1.0
+    own = licences.scan(docs_of(["zlib says as is here", "as is"]), notices=[("zlib", "says as", "zlib says as is")]).collect()
+    assert sorted(r.labels for r in own) == ["", "zlib"]
+
+
 def test_licences_use_no_python(spark):
     from tavola.llm.queries import QUERIES
     plan = QUERIES["op5_licences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

@@ -18,7 +18,8 @@ smallest doc_id it is connected with.
    counted once for all sets below it, and a subtree is left when the shingles
    remaining in it and in the probe cannot make up the overlap needed, or when
    all its sets are connected with the probe already.  Groups of more than
-   ``BLOCK`` sets are dealt out in blocks, and each two blocks meet in a task.
+   ``BLOCK`` sets are cut into chunks, which first meet the group's leader; only sets
+   that are not in its class then meet the other chunks (``linked_groups``).
 
 Defined results: a text of fewer words than n has its whole sequence as its one
 shingle; a null text, or one without words, has an empty set and is connected
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 
 from tavola.llm.common import written
 from tavola.llm.components import components
+from tavola.llm.linked_groups import links as group_links
 from tavola.llm.textscan import batches as byte_batches
 from tavola.llm.textscan import mix, word_hashes
 from tavola.llm.workers import lean
@@ -49,10 +51,11 @@ PERCENT = 85
 SAMPLE = 0.35            # part of the hash range that is sent to find sets without a partner
 FLUSH = 1 << 20          # shingles a task gathers before it sends them
 DOCS_PER_BUCKET = 64
+MOST_BUCKETS = 1 << 18   # hash ranges at most, so that a flush still has several shingles for each
 ROWS = 1000              # documents looked at together
 MANY = 0xFFFF            # stands for several sets; a flush has fewer
 BITS = 1 << 24           # of the filter that a second read of the texts goes through
-BLOCK = 2048             # sets of a group that one prefix tree holds
+BLOCK = 2048             # sets that one prefix tree holds
 
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -97,14 +100,13 @@ def _batch(fields: str, columns) -> pa.RecordBatch:
         names=[n for n, _ in pairs])
 
 
-def _first_pass(docs: DataFrame, words: int, buckets: int) -> DataFrame:
+def _first_pass(docs: DataFrame, words: int, buckets: int, versions: list[str]) -> DataFrame:
     """Written rows of three kinds: 0, a document (doc_id, node, n, sampled,
     signature); 1, sampled shingles of a bucket, each 48 bits of its hash and the
     16-bit number of the one set of the flush that has it (MANY: several have it);
     2, how many sampled shingles the sets of a flush share with each other.  ``node``
     is what to add to a flush's numbers.  Shingles that agree in 48 bits count as
     shared, so the filter may let more sets pass, never fewer."""
-    versions = [c for c in docs.columns if c == "version"]
     ids = "".join(f"{c} long, " for c in ["doc_id", *versions])
     fields = f"kind int, {ids}node long, n long, sampled long, signature binary, bucket long, packed binary"
     limit = np.uint64(int(SAMPLE * 2**64))
@@ -400,34 +402,31 @@ def _links(ordered: DataFrame, percent: int, block: int) -> DataFrame:
     first = ordered.select("node", F.explode(F.slice("items", F.lit(1), prefix)).alias("shingle"))
     leads = first.groupBy("shingle").agg(F.min("node").alias("b"), F.max("node").alias("c")).where("b <> c")
     near = first.join(leads, "shingle").select(F.col("node").alias("a"), "b").distinct()
-    groups = components(near)
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    cells = (groups.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
-
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("node").to_numpy())
-        tree, nodes, sizes = PrefixTree(percent), table.column("node").to_numpy()[order], table.column("n").to_pylist()
-        items = table.column("items")
-        for k in order.tolist():
-            tree.add(items[k].values.to_numpy()[::-1].tolist(), sizes[k])
-        a, b = (np.array([x[i] for x in tree.links], dtype=np.int64) for i in (0, 1))
-        return pa.table({"a": nodes[a], "b": nodes[b]})
-
-    return written(ordered.join(cells, "node").groupBy("component", "i", "j")
-                   .applyInArrow(run, "a long, b long"), "pairs")
-
-
-def connect(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    groups = components(near).withColumnRenamed("component", "key")
+
+    def solve(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        tree, items = PrefixTree(percent), table.column("items").combine_chunks()
+        for k, n in enumerate(table.column("n").to_pylist()):
+            tree.add(items[k].values.to_numpy()[::-1].tolist(), n)
+        return tuple(np.array([x[i] for x in tree.links], dtype=np.int64) for i in (0, 1))
+
+    rows = ordered.join(groups, "node").withColumn("size", F.lit(1).cast("long"))
+    return group_links(rows.select("key", "node", "size", "n", "items"), solve, block).select("a", "b")
+
+
+def connect(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK,
+            version: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of documents (doc_id, text).
 
-    With a column ``version`` (long), which tells rows of one doc_id apart, the result
-    has it too, and component_version: the least (doc_id, version) names a component."""
-    versions = [c for c in docs.columns if c == "version"]
+    ``version`` names a column (long) that tells rows of one doc_id apart; the result
+    then has columns version and component_version, and the least (doc_id, version)
+    names a component."""
+    versions = ["version"] if version else []
+    if version:
+        docs = docs.select("doc_id", "text", F.col(version).cast("long").alias("version"))
     own_id = (F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "version")) if versions else F.col("doc_id"))
-    buckets = max(64, docs.count() // DOCS_PER_BUCKET)
-    rows = _first_pass(docs, words, buckets)
+    buckets = min(MOST_BUCKETS, max(64, docs.count() // DOCS_PER_BUCKET))
+    rows = _first_pass(docs, words, buckets, versions)
     sets = rows.where("kind = 0").select("doc_id", *versions, "node", "n", "sampled", "signature")
     shared = _shared_counts(rows)
     enough = F.coalesce("shared", F.lit(0)) >= F.col("sampled") - allowed_column("n", percent)

@@ -64,7 +64,7 @@ def test_join_equals_all_pairs(docs_of, words, percent, block, seed):
     texts = near_copies(rnd, 14, 9, 60) + [None, "", " \n", "one", "one", "One  ", "one two", "a b c d", "a b c d e"]
     ids = rnd.sample(range(10_000), len(texts))
     ids[-3] = None
-    got = ngram_join.connect(docs_of(texts, ids=ids, node=["x"] * len(texts)), words, percent, block).collect()
+    got = ngram_join.connect(docs_of(texts, ids=ids, node=["x"] * len(texts), version=["x"] * len(texts)), words, percent, block).collect()
     assert Counter(map(tuple, got)) == Counter(slow_components(ids, texts, words, percent))
 
 

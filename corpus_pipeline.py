@@ -49,7 +49,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     prepare(spark)
     version = F.xxhash64("text")
     classes = ngram_join.connect(docs.select("doc_id", "text", version.alias("version")),
-                                 words=NEAR_WORDS, percent=NEAR_PERCENT)
+                                 words=NEAR_WORDS, percent=NEAR_PERCENT, version="version")
     first = (F.col("doc_id") == F.col("component_id")) & (F.col("version") == F.col("component_version"))
     stay = written(classes.where(first).select(F.col("doc_id").alias("_stay"), F.col("version").alias("_version"))
                    .distinct(), "stay")

@@ -45,7 +45,32 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-@register("op2_ngram_join")
+def classes_sql(percent: int, more: str = "") -> str:
+    """Classes of linked 4-word shingle sets: all pairs that share a shingle, then all that links reach."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 2), lambda i: concat_ws(' ', ws[i], ws[i + 1], ws[i + 2], ws[i + 3])) END) AS shingle FROM d)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id),
+link AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= {percent} * (na.n + nb.n - c)),
+both_ways AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b),
+least_of AS (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.least_id, d.doc_id)) AS component_id{more}
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of m ON m.doc_id = d.doc_id
+"""
+
+
+@register("op2_ngram_join", classes_sql(85))
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.connect(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -144,7 +169,29 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.read_shards(spark, shards)
 
 
-@register("op11_hard_negatives")
+FINITE_SQL = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+FLOORS_SQL = "list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))"       # integers, exact as doubles
+
+NEGATIVES_SQL = f"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {FLOORS_SQL} AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND {FINITE_SQL}),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+ CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+ n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positive p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+ AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+
+@register("op11_hard_negatives", NEGATIVES_SQL)
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
     rows = integer_rows(read_table(spark, sf_dir, "embeddings"), "embedding", F.col("vec_id"), label.alias("label"))
@@ -154,7 +201,36 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIM, CENTROIDS, ROUNDS = 64, 40, 5      # of op12
 
 
-@register("op12_centroids")
+def centroids_sql() -> str:
+    """All distances to all centroids, one table of centroids a round."""
+    steps = []
+    for i in range(ROUNDS + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (
+  SELECT vec_id, min({{'d': square - 2 * list_inner_product(v, c) + list_inner_product(c, c), 'cl': cl}}) AS n
+  FROM v, cen{i} GROUP BY vec_id)""")
+        if i < ROUNDS:
+            steps.append(f"""cen{i + 1} AS MATERIALIZED (
+  SELECT cen{i}.cl, coalesce(m.c, cen{i}.c) AS c FROM cen{i} LEFT JOIN (
+    SELECT cl, list(x ORDER BY j) AS c FROM (
+      SELECT cl, j, floor(sum(x) / count(*)) AS x FROM (
+        SELECT n.n.cl AS cl, unnest(v.v) AS x, unnest(range({DIM})) AS j FROM near{i} n JOIN v USING (vec_id)) GROUP BY cl, j)
+    GROUP BY cl) m USING (cl))""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, v, list_inner_product(v, v) AS square FROM (
+    SELECT vec_id, {FLOORS_SQL} AS v FROM embeddings WHERE len(embedding) = {DIM} AND {FINITE_SQL})),
+cen0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS INTEGER) AS cl, v AS c FROM v
+  QUALIFY cl < {CENTROIDS}),
+{", ".join(steps)}
+SELECT vec_id, n.n.cl AS cluster, CAST(n.n.d AS BIGINT) AS distance,
+ CAST(sum(n.n.d) OVER (PARTITION BY n.n.cl) AS BIGINT) AS cluster_inertia, CAST(sum(n.n.d) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM near{ROUNDS} n JOIN cen{ROUNDS} ON cen{ROUNDS}.cl = n.n.cl
+"""
+
+
+@register("op12_centroids", centroids_sql())
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = integer_rows(read_table(spark, sf_dir, "embeddings"), "embedding", F.col("vec_id"), dim=DIM)
     found = va_file.cluster(rows, DIM, va_file.first_by_hash(rows, CENTROIDS, "2:"), ROUNDS)
@@ -168,6 +244,6 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"))
 
 
-@register("op13_minhash")
+@register("op13_minhash", classes_sql(80, ", d.doc_id = least(d.doc_id, coalesce(m.least_id, d.doc_id)) AS kept"))
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))

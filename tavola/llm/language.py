@@ -5,21 +5,23 @@ A text is cut into blocks, each block is compressed with every language's
 dictionaries, and the language with the fewest bytes in all wins: a compressor
 that has seen the language finds its syllables and words in the dictionary.  Texts
 and dictionaries are lower-cased and hold one space for each run of signs that
-are no letters, so that neither capitals nor punctuation count.  Blocks are short, so that a long text cannot explain itself by its own past and
-every part of it counts.  A text is rejected (``rejected``), though its best language
+are no letters, so that neither capitals nor punctuation count.  A block is half of the
+text, but within bounds: long texts cannot explain themselves by their own past, every
+part of them counts, and the compressors are the same for texts of all lengths.  A text is rejected (``rejected``), though its best language
 is still told, if its two best languages lie close together, as in random letters, or
 if the best language of each block explains it better than one language explains them
 all, as in a text of two languages.
 
 The model is fitted on a bounded sample of the labelled rows: at most
-``SAMPLES`` texts a language, of each at most ``SAMPLE_BYTES`` bytes; the choice
-goes by a hash of the text.  Every prediction reads the whole text.
+``SAMPLES`` texts a language and, by fewer of each language, at most ``MODEL_TEXTS``
+in all (but one of each at least, so every label is learnt), of each at most
+``SAMPLE_BYTES`` bytes; the choice goes by a hash of the text.  Every prediction reads
+the whole text.
 
 Defined results: a null text, an empty one or one without a letter is ``und``
 with score 0 and is rejected; ties go to the language that comes first in the
-alphabet, with score 0; with no labelled row at all every text is ``und``; of more
-than ``LANGUAGES`` labels those with the most labelled rows are learnt, of equally
-many the first in the alphabet.
+alphabet, with score 0; with no labelled row at all every text is ``und``; a language with a
+single labelled text has one dictionary, whose sizes count as often as those of two.
 Repeated texts get the same answer, the answer columns replace input columns of
 the same names, and all other columns stay as they are.
 """
@@ -32,27 +34,26 @@ from functools import lru_cache
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from tavola.llm.common import written
 from tavola.llm.workers import lean
 
-SAMPLES = 96             # labelled texts a language
+SAMPLES = 96             # labelled texts a language at most
+MODEL_TEXTS = 24_576     # labelled texts in all, of 256 languages and more
 SAMPLE_BYTES = 4096      # bytes of each
 DICTIONARIES = 2         # dictionaries a language; the texts are dealt out to them
-BLOCK = 2048             # bytes compressed at once
-HALVED = 100             # texts of so many bytes have two blocks at least
-SHORT = 400              # texts of fewer bytes are searched more deeply, for matches of three bytes
+MIN_BLOCK = 64           # bytes compressed at once: half of a text, but at least so many
+BLOCK = 2048             # and at most so many
 # Parameters of the compressors; the tables are as large as a dictionary needs.
-LONG_TEXT = dict(window_log=18, hash_log=16, chain_log=16, search_log=3, min_match=5,
-                 strategy=zstandard.STRATEGY_LAZY)
-SHORT_TEXT = dict(window_log=18, hash_log=16, chain_log=17, search_log=6, min_match=3,
-                  strategy=zstandard.STRATEGY_BTLAZY2)
+COMPRESSOR = dict(window_log=18, hash_log=16, chain_log=16, search_log=3, min_match=4,
+                  strategy=zstandard.STRATEGY_LAZY)
 # Bars of rejection.  Of labelled documents 99 % win by a margin above 0.1; random letters reach
 # 0.043, and half of the texts of two halves in two languages stay below 0.05.
 MARGIN = 0.05            # share of bytes by which the best language must win,
 MARGIN_BYTES = 4         # and the number of bytes
 MIXED = 0.02             # share of bytes that the blocks' own best languages may save
-LANGUAGES = 256          # labels of a model at most
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -65,37 +66,32 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     keyed = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
                         F.xxhash64(text_col).alias("h"))
-
-    def pick(keyed: DataFrame) -> list:
-        return (keyed.groupBy("lang", F.pmod("h", F.lit(SAMPLES)).alias("k"))
-                .agg(F.min("h").alias("h")).limit(LANGUAGES * SAMPLES + 1).collect())
-
-    picked = pick(keyed)
-    if len(picked) > LANGUAGES * SAMPLES or len({r.lang for r in picked}) > LANGUAGES:
-        most = keyed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-        keyed = keyed.where(F.col("lang").isin([r.lang for r in most]))
-        picked = pick(keyed)
-    wanted = sorted({r.h for r in picked})
-    texts = (keyed.where(F.col("h").isin(wanted))
-             .select("lang", "h", F.substring("text", 1, SAMPLE_BYTES).alias("text")).distinct().collect()
-             if wanted else [])
-    by_hash = {(r.lang, r.h): r.text for r in texts}
+    classes = written(keyed.groupBy("lang", F.pmod("h", F.lit(SAMPLES)).alias("k")).agg(F.min("h").alias("h")),
+                      "language-sample")
+    languages = classes.select("lang").distinct().count()
+    if not languages:
+        return {}
+    texts = max(1, min(SAMPLES, MODEL_TEXTS // languages))
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("k"))      # of SAMPLES rows at most
+    picked = classes.withColumn("number", number).where(F.col("number") <= texts)
+    found = (keyed.join(F.broadcast(picked), ["lang", "h"])
+             .groupBy("lang", "number").agg(F.min(F.substring("text", 1, SAMPLE_BYTES)).alias("text")).collect())
     out: dict[str, list[bytes]] = {}
-    for r in sorted(picked, key=lambda r: (r.lang, r.k)):
-        out.setdefault(r.lang, [b""] * DICTIONARIES)
-        out[r.lang][r.k % DICTIONARIES] += plain(by_hash[r.lang, r.h])[:SAMPLE_BYTES] + b"\n"
+    for r in sorted(found, key=lambda r: (r.lang, r.number)):
+        dictionaries = out.setdefault(r.lang, [b""] * DICTIONARIES)
+        dictionaries[r.number % DICTIONARIES] += plain(r.text)[:SAMPLE_BYTES] + b"\n"
     return {lang: [d for d in dicts if d] for lang, dicts in out.items()}
 
 
 @lru_cache(maxsize=4)
-def _compressors(model: tuple) -> tuple[list, list]:
-    def compressor(data: bytes, **how):
+def _compressors(model: tuple) -> list:
+    how = zstandard.ZstdCompressionParameters(
+        **COMPRESSOR, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+    def compressor(data: bytes):
         content = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        how = zstandard.ZstdCompressionParameters(
-            **how, write_checksum=False, write_content_size=False, write_dict_id=False)
         return zstandard.ZstdCompressor(dict_data=content, compression_params=how).compress
-    return ([[compressor(d, **SHORT_TEXT) for d in dicts] for _, dicts in model],
-            [[compressor(d, **LONG_TEXT) for d in dicts] for _, dicts in model])
+    return [[compressor(d) for d in dicts] for _, dicts in model]
 
 
 def plain(text: str) -> bytes:
@@ -103,12 +99,12 @@ def plain(text: str) -> bytes:
     return _NO_LETTERS.sub(" ", text.lower()).encode()
 
 
-def _sizes(text: bytes, model: tuple) -> list[list[int]]:
-    """Bytes of each block with each language."""
-    compressors = _compressors(model)[len(text) >= SHORT]
-    width = min(BLOCK, -(-len(text) // 2)) if len(text) >= HALVED else BLOCK
+def _sizes(text: bytes, model: tuple) -> list[list[float]]:
+    """Bytes of each block with each language, as if each had all its dictionaries."""
+    width = max(MIN_BLOCK, min(BLOCK, -(-len(text) // 2)))
     blocks = [text[at:at + width] for at in range(0, len(text), width)]
-    return [[sum(len(compress(block)) for compress in several) for several in compressors] for block in blocks]
+    return [[sum(len(compress(block)) for compress in several) * DICTIONARIES / len(several)
+             for several in _compressors(model)] for block in blocks]
 
 
 def predict(text: Column, model: dict[str, list[bytes]], margin: float = MARGIN) -> Column:

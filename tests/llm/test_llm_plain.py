@@ -17,11 +17,10 @@ def plain_language(text, dictionaries):
     if text is None or not any(c.isalpha() for c in text) or not dictionaries:
         return "und", 0.0, True
     raw = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
-    size = 2048 if len(raw) < 100 else min(2048, (len(raw) + 1) // 2)
-    how = dict(min_match=3, search_log=6, chain_log=17, strategy=zstandard.STRATEGY_BTLAZY2) if len(raw) < 400 else dict(
-        min_match=5, search_log=3, chain_log=16, strategy=zstandard.STRATEGY_LAZY)
-    how = zstandard.ZstdCompressionParameters(window_log=18, hash_log=16, write_checksum=False, write_content_size=False,
-                                              write_dict_id=False, **how)
+    size = max(64, min(2048, (len(raw) + 1) // 2))
+    how = zstandard.ZstdCompressionParameters(window_log=18, hash_log=16, chain_log=16, search_log=3, min_match=4,
+                                              strategy=zstandard.STRATEGY_LAZY, write_checksum=False,
+                                              write_content_size=False, write_dict_id=False)
     total, lowest = Counter(), 0
     for at in range(0, len(raw), size):
         of_block = {}
@@ -29,7 +28,7 @@ def plain_language(text, dictionaries):
             of_block[lang] = 0
             for d in several:
                 c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
-                of_block[lang] += len(c.compress(raw[at:at + size]))
+                of_block[lang] += len(c.compress(raw[at:at + size])) * 2 / len(several)
             total[lang] += of_block[lang]
         lowest += min(of_block.values())
     best = min(sorted(total), key=total.__getitem__)

@@ -178,12 +178,25 @@ def test_rejection_of_gibberish_and_mixed_texts(spark, docs_of):
     assert share["clean"] < 0.01 and share["noise"] > 0.97 and share["mixed"] > 0.9, share
 
 
-def test_more_labels_than_a_model_holds(docs_of, monkeypatch):
-    monkeypatch.setattr(language, "LANGUAGES", 3)
-    labels = ["e", "d", "d", "c", "c", "b", "a", "a", "a"]
-    assert set(language.fit(docs_of([f"text {i} x" for i in range(9)], lang=labels))) == {"a", "c", "d"}
-    labels = ["d", "c", "b", "a"]
-    assert set(language.fit(docs_of(["one", "two", "three", "four"], lang=labels))) == {"a", "b", "c"}
+def test_every_label_is_learnt(docs_of, monkeypatch):
+    """More labels than the sample has room for get one text each; none is left out."""
+    monkeypatch.setattr(language, "MODEL_TEXTS", 8)
+    labels = [f"l{i:03d}" for i in range(300)]
+    texts = [f"{chr(97 + i % 26) * 9} {i} {chr(97 + i // 26) * 7}" for i in range(300)]
+    model = language.fit(docs_of(texts + texts, lang=labels + labels))
+    assert sorted(model) == labels and {len(d) for d in model.values()} == {1}
+    monkeypatch.setattr(language, "MODEL_TEXTS", 8 * 300)
+    more = language.fit(docs_of([f"{t} number {n}" for n in "abcdef" for t in texts], lang=labels * 6))
+    assert sorted(more) == labels and all(1 <= sum(x.count(b"\n") for x in d) <= 6 for d in more.values())
+
+
+def test_language_with_one_text_does_not_win_by_having_one_dictionary(docs_of):
+    english = [f"the house and the garden of the man number {w}" for w in "one two three four five six".split()]
+    model = language.fit(docs_of(english + ["das haus und der garten von dem mann"], lang=["en"] * 6 + ["de"]))
+    assert len(model["de"]) == 1 and len(model["en"]) == 2
+    rows = language.classify(docs_of(["the man and the garden of the house and the number",
+                                      "das haus und der garten von dem mann und dem haus"]), model).collect()
+    assert {r.doc_id: r.lang_pred for r in rows} == {0: "en", 1: "de"}
 
 
 def slow_counts(text):

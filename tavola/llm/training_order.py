@@ -12,9 +12,11 @@ and the task writes the shard as records of one fixed stride: slot s lies
 in shard s // shard_rows at byte (s % shard_rows) * stride.  A reader that
 stops after slot s starts again at s + 1 by one seek.  A record is the
 sequence's ids in the vocabulary's unsigned width, filled up with ``PAD_ID``,
-and the one line-feed byte that Spark's writer puts after a record.  Shards are
+and the one line-feed byte that Spark's writer puts after a record, so a shard is an
+array of ``Shards.record``, which numpy can map.  Shards are
 written by Spark's committer, so a lost executor's task is run again and no
-half shard is left.
+half shard is left.  A reader of a range of slots (``read_shards``), such as the rest of
+a run that stopped, or one worker's share of it, opens only the shards of that range.
 
 Defined results: an empty table writes no record; null texts, null ids,
 repeated rows and very long documents are packed as ``packing`` says.
@@ -102,6 +104,11 @@ class Shards:
     def stride(self) -> int:
         return self.window * self.width + 1
 
+    @property
+    def record(self) -> np.dtype:
+        """A record of a shard: the ids and the byte after them."""
+        return np.dtype([("ids", f"<u{self.width}", self.window), ("end", "u1")])
+
     def place(self, slot: int) -> tuple[int, int]:
         """Shard number and byte offset of a slot."""
         return slot // self.shard_rows, slot % self.shard_rows * self.stride
@@ -167,34 +174,43 @@ def write_shards(docs: DataFrame, tokenizer: str, key: int = KEY, shard_rows: in
      .repartitionById(max(1, -(-order.n // shard_rows)), F.col("shard"))
      .mapInArrow(lean(functools.partial(_records, shards=shards)), "record binary")
      .select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", "\n").text(path))
+     .write.option("lineSep", "\n").option("maxRecordsPerFile", 0).text(path))      # one file a shard
     return shards
 
 
-def read_shards(spark: SparkSession, shards: Shards, first_slot: int = 0) -> DataFrame:
-    """One row per sequence from ``first_slot`` on, as the shards hold it:
-    sequence_id, slot, shard, byte_offset, length, ids_crc32 (of the ids without
-    padding as little-endian unsigned 32-bit integers)."""
+def read_shards(spark: SparkSession, shards: Shards, first_slot: int = 0, stop_slot: int | None = None,
+                with_ids: bool = False) -> DataFrame:
+    """One row per sequence from ``first_slot`` on, and before ``stop_slot`` if it is
+    given, as the shards hold it: sequence_id, slot, shard, byte_offset, length, ids_crc32
+    (of the ids without padding as little-endian unsigned 32-bit integers) and, if wanted,
+    ids.  The rows of a shard are in the order of their slots.  The shards are chosen by
+    file name alone, so Spark drops the other files when it lists them."""
+    stop_slot = shards.order.n if stop_slot is None else min(stop_slot, shards.order.n)
+    first = first_slot // shards.shard_rows
+    last = (stop_slot - 1) // shards.shard_rows if first_slot < stop_slot else first - 1
+    number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int")
+    files = (spark.read.format("binaryFile").load(shards.path)
+             .where(number.between(first, last))
+             .where("length > 0").select(number.alias("shard"), "content"))
     fields = "sequence_id long, slot long, shard int, byte_offset long, length long, ids_crc32 long"
+    if with_ids:
+        fields += ", ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shard = int(name.rpartition("/part-")[2].split("-")[0])
-                raw = np.frombuffer(content.as_buffer(), dtype=np.uint8).reshape(-1, shards.stride)
-                slot = shard * shards.shard_rows + np.arange(len(raw))
-                offset = np.arange(len(raw)) * shards.stride
-                keep = np.flatnonzero(slot >= first_slot)
-                raw, slot, offset = raw[keep, :-1], slot[keep], offset[keep]
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                records = np.frombuffer(content.as_buffer(), dtype=shards.record)
+                begin = shard * shards.shard_rows
+                row = np.arange(max(0, first_slot - begin), min(len(records), stop_slot - begin))
+                ids = records["ids"][row]
+                slot = begin + row
                 sequence = shards.order.sequences(slot)
                 length = shards.lengths(sequence)
-                crc = [zlib.crc32(r[:n * shards.width].tobytes() if shards.width == 4 else
-                                  np.frombuffer(r[:n * shards.width].tobytes(), dtype="<u2").astype("<u4"))
-                       for r, n in zip(raw, length.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sequence), pa.array(slot), pa.array(np.full(len(slot), shard, dtype=np.int32)),
-                     pa.array(offset), pa.array(length), pa.array(crc, type=pa.int64())],
-                    names=[f.split()[0] for f in fields.split(", ")])
-
-    files = spark.read.format("binaryFile").load(shards.path).where("length > 0")
-    return files.select("path", "content").mapInArrow(lean(run), fields)
+                crc = [zlib.crc32(r[:n].astype("<u4")) for r, n in zip(ids, length.tolist())]
+                columns = [pa.array(sequence), pa.array(slot), pa.array(np.full(len(slot), shard, dtype=np.int32)),
+                           pa.array(row * shards.stride), pa.array(length), pa.array(crc, type=pa.int64())]
+                if with_ids:
+                    columns.append(pa.array([r[:n].astype(np.int32) for r, n in zip(ids, length.tolist())], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in fields.split(", ")])
+
+    return files.mapInArrow(lean(run), fields)

@@ -130,6 +130,29 @@ def test_shards_hold_the_packed_sequences(docs_of, spark, reference):
     assert {r.slot for r in later} == set(range(5, len(rows)))
 
 
+def test_reader_of_a_range_opens_its_shards_only(docs_of, spark, tmp_path):
+    docs, path = docs_of([t for t in TEXTS if t] * 2), str(tmp_path / "shards")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)       # must not split a shard
+    try:
+        shards = training_order.write_shards(docs, PATH, shard_rows=4, window=16, path=path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    files = {int(f.name[5:].split("-")[0]): f for f in tmp_path.glob("shards/part-*")}
+    assert sorted(files) == list(range(-(-shards.order.n // 4))) and len(files) > 4
+    want = {r.slot: r for r in training_order.read_shards(spark, shards, with_ids=True).collect()}
+    for r in want.values():
+        mapped = np.memmap(files[r.shard], dtype=shards.record, mode="r")
+        assert mapped["ids"][r.slot % 4][:r.length].tolist() == r.ids
+        assert zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32
+    for shard in (0, 1, max(files)):                             # a reader of 9..13 must not touch these
+        files[shard].write_bytes(b"damaged")
+    got = training_order.read_shards(spark, shards, 9, 14, with_ids=True).collect()
+    assert [r.slot for r in sorted(got, key=lambda r: r.slot)] == list(range(9, 14))
+    assert all(r == want[r.slot] for r in got)
+    assert training_order.read_shards(spark, shards, 9, 9).count() == 0
+    assert training_order.read_shards(spark, shards, shards.order.n).count() == 0
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     from tavola.llm.queries import QUERIES
     folder = "/root/testdata/sf0.01"

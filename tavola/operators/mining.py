@@ -1,8 +1,8 @@
 """Association-rule mining.
 
-Frequent itemsets come from MLlib's distributed FP-Growth (PFP).  MLlib's own
-rule generator only emits one-item consequents, so rules with any split of an
-itemset are produced here: each frequent itemset of size >= 2 is expanded to
+Frequent itemsets are counted level by level, as partial sums a task (MLlib's FP-Growth
+sends every basket once per group of items and keeps their trees in the heap).  Rules
+with any split of an itemset are produced here: each frequent itemset of size >= 2 is expanded to
 all its proper non-empty subsets level by level (generators inside the task, no
 shuffle), then antecedent and consequent supports are attached with two
 equi-joins on the sorted item array.  The itemset table is the only thing
@@ -12,10 +12,9 @@ joined and it is itself bounded by ``min_support``.
 from __future__ import annotations
 
 from dataclasses import dataclass
-
 from functools import reduce
+from math import ceil
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,25 +47,38 @@ def baskets(items: DataFrame, products: DataFrame, label: str) -> DataFrame:
                  .agg(F.array_sort(F.collect_set(label)).alias("items")))
 
 
-def frequent_itemsets(basket_df: DataFrame, min_support: float,
-                      num_partitions: int | None = None) -> DataFrame:
+def frequent_itemsets(basket_df: DataFrame, min_support: float) -> DataFrame:
     """M1: every itemset with support >= min_support, any size.
 
+    Level by level: a basket sends each of its sets of k items whose first k - 1 items
+    are frequent, and tasks add up the sets they meet before anything is shuffled.  The
+    frequent items and the frequent sets of a level are bounded by ``min_support``.
+
     Returns (items sorted, freq, support, length)."""
-    fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0)
-    if num_partitions:
-        fp = fp.setNumPartitions(num_partitions)
-    basket_df = reuse(basket_df.select("items"))   # read by the fit's passes and by the count
-    model = fp.fit(basket_df)
-    n = basket_df.count()
-    fi = (model.freqItemsets
-          .select(F.array_sort("items").alias("items"), F.col("freq").cast("long").alias("freq"))
+    rows = reuse(basket_df.select(F.array_sort("items").alias("items")))    # read by every level
+    n = rows.count()
+    least = max(1, ceil(min_support * rows.where("items IS NOT NULL").count()))
+    single = rows.select(F.explode("items").alias("i1")).groupBy("i1").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= least)
+    frequent = [r.i1 for r in single.select("i1").collect()]
+    sets = rows.select(F.filter("items", lambda x: x.isin(frequent)).alias("_rest"))
+    level, found, names = None, [], []
+    while True:
+        if level is not None:
+            sets = sets.join(level.drop("freq"), names, "left_semi")
+        names = [*names, f"i{len(names) + 1}"]
+        sets = sets.select(*names[:-1], "_rest", F.posexplode("_rest").alias("_at", names[-1])).select(
+            *names, F.slice("_rest", F.col("_at") + 2, F.size("_rest")).alias("_rest"))
+        level = reuse(sets.groupBy(*names).agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= least))
+        found.append(level.select(F.array(*names).alias("items"), "freq"))
+        if level.count() == 0:
+            break
+    fi = (reduce(DataFrame.unionByName, found)
           .withColumn("support", F.col("freq") / F.lit(float(n)))
           .withColumn("length", F.size("items"))
           .withColumn("n_baskets", F.lit(n).cast("long")))
     # The itemset table is referenced several times by the rule step; it is
     # bounded by min_support, so it is written once to the shared checkpoint
-    # folder instead of re-running the tree mining per reference.
+    # folder instead of counting again per reference.
     return cut_lineage(fi)
 
 

@@ -90,10 +90,10 @@ def product_recommendations(queries: DataFrame, rules: DataFrame, limit: int = 5
 # ---------------------------------------------------------------------------
 # R2: by basket
 # ---------------------------------------------------------------------------
-def basket_keywords(baskets: DataFrame, products: DataFrame, alias_pairs: DataFrame | None) -> DataFrame:
-    """(basket_id, keyword) via per-product keywords (computed once per product)."""
-    pk = keywords(products.select("product_id", "product_name"), ["product_id"], "product_name", alias_pairs)
-    return baskets.select("basket_id", "product_id").join(pk, "product_id").select("basket_id", "keyword").distinct()
+def product_words(products: DataFrame, alias_pairs: DataFrame | None) -> DataFrame:
+    """(product_id, keys): the keywords of each product that has any."""
+    return (keywords(products.select("product_id", "product_name"), ["product_id"], "product_name", alias_pairs)
+            .groupBy("product_id").agg(F.sort_array(F.collect_set("keyword")).alias("keys")))
 
 
 def rule_words(rules: DataFrame, alias_pairs: DataFrame | None) -> DataFrame:
@@ -118,9 +118,10 @@ def relevant_rules(sets: DataFrame, rules: DataFrame, alias_pairs: DataFrame | N
 
 
 def word_sets(baskets: DataFrame, products: DataFrame, alias_pairs: DataFrame | None) -> DataFrame:
-    """(basket_id, set_id, words): the sorted keywords of each basket; set_id is their md5."""
-    return (basket_keywords(baskets, products, alias_pairs).groupBy("basket_id")
-            .agg(F.sort_array(F.collect_set("keyword")).alias("words"))
+    """(basket_id, set_id, words): the sorted keywords of each basket; set_id is their md5.
+    A basket line brings its product's keywords as one array."""
+    return (baskets.select("basket_id", "product_id").join(product_words(products, alias_pairs), "product_id")
+            .groupBy("basket_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("words"))
             .withColumn("set_id", F.md5(F.to_json("words"))))
 
 

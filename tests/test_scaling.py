@@ -22,3 +22,17 @@ def test_itemsets_equal_brute_force(spark):
 
 def test_no_basket_is_sent_once_a_group_of_items():
     assert not hasattr(M, "FPGrowth")
+
+
+from tavola.operators import recommend as RC
+
+
+def test_a_basket_line_brings_its_keywords_as_one_row(spark):
+    products = spark.createDataFrame([(1, "red box"), (2, "box, blue"), (3, "-"), (2, "old lid")], "product_id long, product_name string")
+    baskets = spark.createDataFrame([(7, 1), (7, 2), (8, 3), (9, 2), (9, 5)], "basket_id long, product_id long")
+    pairs = spark.createDataFrame([("red", "rouge")], "word string, keyword string")
+    df = RC.word_sets(baskets, products, pairs)
+    got = {r.basket_id: r.words for r in df.collect()}
+    assert got == {7: ["blue", "box", "lid", "old", "red", "rouge"], 9: ["blue", "box", "lid", "old"]}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten(collect_list(keys" in plan

@@ -385,7 +385,8 @@ def dashboard_recommendations(products: DataFrame, complements: DataFrame, pairi
     recs = best.join(catalog, "product_id").select(
         *qkey, F.col("product_id").alias("rec_id"), F.col("product_name").alias("rec_name"),
         F.col("category_id").alias("rec_category"), "price", "score", "reason")
-    asking_products = catalog.select("product_id", F.col("category_id").alias("q_cat"), F.col("product_name").alias("q_name"))
+    # dealt by product first: each asks for its own rows in the task that ranks them
+    asking_products = catalog.select("product_id", F.col("category_id").alias("q_cat"), F.col("product_name").alias("q_name")).repartition("product_id")
     out = asking_products.join(recs, qkey).filter(F.col("rec_id") != F.col("product_id"))
     out = out.withColumn("rank", F.row_number().over(
         Window.partitionBy("product_id").orderBy(F.desc("score"), "rec_id"))).filter(F.col("rank") <= limit)

@@ -36,3 +36,9 @@ def test_a_basket_line_brings_its_keywords_as_one_row(spark):
     assert got == {7: ["blue", "box", "lid", "old", "red", "rouge"], 9: ["blue", "box", "lid", "old"]}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "flatten(collect_list(keys" in plan
+
+
+def test_dashboard_products_are_dealt_by_product(spark, small_dir):
+    from tavola.plans import QUERIES
+    plan = QUERIES["dashboard_recommendations"](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [product_id" in plan

@@ -85,16 +85,26 @@ def basket_presence(items: DataFrame, products: DataFrame, label: str) -> DataFr
                  .filter(F.col("_n") > 0).drop("_n"))
 
 
+LABELS_A_WORD = 62
+
+
 def basket_onehot(items: DataFrame, products: DataFrame, label: str,
                   values: list[str] | None = None) -> DataFrame:
     """Order x label 0/1 matrix, one column per label of ``values``.  Without
     a list the matrix stays in its long form (order, label), which has no
-    bound on the number of labels and collects none to the driver."""
-    long = basket_presence(items, products, label)
+    bound on the number of labels and collects none to the driver.
+
+    An order's labels are gathered as bits, a number for each ``LABELS_A_WORD`` labels,
+    so a task holds a few bytes an order; the columns are made from the bits."""
     if values is None:
-        return long
-    has = [F.max(F.when(F.col(label) == v, 1).otherwise(0)).alias(v) for v in values]
-    return long.groupBy("order_id").agg(*has)
+        return basket_presence(items, products, label)
+    words = [values[i:i + LABELS_A_WORD] for i in range(0, len(values), LABELS_A_WORD)]
+    bits = [F.coalesce(X.lookup(F.col(label), [(v, 1 << i) for i, v in enumerate(w)], 0), F.lit(0)).cast("long") for w in words]
+    sets = (items.join(products.select("product_id", label), "product_id")
+                 .select("order_id", *[b.alias(f"_w{k}") for k, b in enumerate(bits)])
+                 .groupBy("order_id").agg(*[F.bit_or(f"_w{k}").alias(f"_w{k}") for k in range(len(words))]))
+    return sets.select("order_id", *[F.shiftright(f"_w{k}", i).bitwiseAND(F.lit(1)).cast("int").alias(v)
+                                     for k, w in enumerate(words) for i, v in enumerate(w)])
 
 
 # --------------------------------------------------------------------------- A16

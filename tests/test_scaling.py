@@ -42,3 +42,23 @@ def test_dashboard_products_are_dealt_by_product(spark, small_dir):
     from tavola.plans import QUERIES
     plan = QUERIES["dashboard_recommendations"](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [product_id" in plan
+
+
+from tavola.operators import datasets as D
+
+
+def test_onehot_holds_a_few_bytes_an_order(spark):
+    rnd = random.Random(5)
+    labels = [f"L{i}" for i in range(130)]
+    products = [(i, rnd.choice([*labels, None, "other"])) for i in range(400)]
+    items = [(o, rnd.randrange(420)) for o in range(60) for _ in range(rnd.randint(1, 30))]
+    df = D.basket_onehot(spark.createDataFrame(items, "order_id long, product_id long"),
+                         spark.createDataFrame(products, "product_id long, label string"), "label", labels)
+    of, want = dict(products), {}
+    for o, p in items:
+        if p in of:
+            want.setdefault(o, set()).add(of[p])
+    got = {r.order_id: {v for v in labels if r[v] == 1} for r in df.collect()}
+    assert got == {o: s & set(labels) for o, s in want.items()} and dict(df.dtypes)["L0"] == "int"
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(" not in plan and plan.count("bit_or(") == 3

@@ -121,8 +121,17 @@ def campaign_candidates(contexts: DataFrame, spark: SparkSession, seed: int,
 
 
 def in_priority_order(candidates: DataFrame, key: str = "context_id") -> DataFrame:
-    """The campaigns of each context by priority, then list position."""
-    return candidates.orderBy(key, "priority_rank", "seq")
+    """The campaigns of each context by priority, then list position.
+
+    Only the order's columns and the campaign's id are sorted; what the fixed rule
+    tables say of the campaign is added to the sorted rows."""
+    narrow = candidates.select(key, "campaign_id", "seq", "priority_rank").orderBy(key, "priority_rank", "seq")
+    rules = [*CONTEXT_CAMPAIGNS, *ALWAYS_ON_POOL]
+    about = F.create_map(*[F.lit(x) if isinstance(x, str) else x for c in rules for x in (c[0], F.struct(
+        F.lit(c[1]).alias("title"), F.lit(c[2]).alias("discount_percent"),
+        F.array(*[F.lit(t) for t in c[3]]).cast("array<string>").alias("target_categories"), F.lit(c[4]).alias("priority")))])
+    rows = narrow.withColumn("_c", F.try_element_at(about, F.col("campaign_id"))).select("*", "_c.*").drop("_c")
+    return rows.withColumns({n: c for n, c in zip(("priority_rank", "priority_number"), _priority_cols())}).select(*candidates.columns)
 
 
 def top_campaign(candidates: DataFrame, key: str = "context_id") -> DataFrame:

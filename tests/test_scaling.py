@@ -62,3 +62,11 @@ def test_onehot_holds_a_few_bytes_an_order(spark):
     assert got == {o: s & set(labels) for o, s in want.items()} and dict(df.dtypes)["L0"] == "int"
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "max(" not in plan and plan.count("bit_or(") == 3
+
+
+def test_campaigns_are_sorted_without_their_texts(spark, small_dir):
+    from tavola.plans import QUERIES
+    df = QUERIES["campaign_candidates"](spark, small_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Sort "):]
+    assert "title" not in "".join(x for x in below.splitlines() if "LocalRelation" not in x and "LogicalRDD" not in x and "JoinHint" not in x)

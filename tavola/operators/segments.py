@@ -56,24 +56,52 @@ def nearest(centres: list[list[float]]) -> Column:
     return F.least(*[F.struct(_square(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)])
 
 
-def starts(scaled_df: DataFrame, k: int, n_init: int, seed: int) -> list[list[list[float]]]:
-    """k rows for each start: those with the least md5 of (id, seed of the start)."""
+def starts(scaled_df: DataFrame, total: int, k: int, n_init: int, seed: int) -> list[list[list[float]]]:
+    """k rows for each start: those with the least md5 of (id, seed of the start).
+
+    Only rows whose md5 lies under a bound are ordered, a few hundred a start of the
+    ``total`` rows; where a start finds fewer than k of them the bound is raised, at last to
+    all rows.  So no task sorts its rows once for each start."""
     each = scaled_df.withColumn("_start", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
-    code = F.md5(F.concat_ws("-", F.col("siparis_id").cast("string"), (F.col("_start") + seed).cast("string")))
+    each = each.withColumn("_code", F.md5(F.concat_ws("-", F.col("siparis_id").cast("string"), (F.col("_start") + seed).cast("string"))))
     order = Window.partitionBy("_start").orderBy("_code", "siparis_id")
-    first = each.withColumn("_code", code).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
-    rows = first.orderBy("_start", "_r").collect()          # k * n_init rows
-    return [[[r[f] for f in SEGMENT_FEATURES] for r in rows if r["_start"] == i] for i in range(n_init)]
+    share = 50 * k / max(total, 1)
+    while True:
+        under = each if share >= 1 else each.where(F.col("_code") < f"{int(share * 16 ** 8):08x}")
+        first = under.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+        rows = first.orderBy("_start", "_r").collect()          # k * n_init rows
+        if share >= 1 or len(rows) == k * n_init:
+            return [[[r[f] for f in SEGMENT_FEATURES] for r in rows if r["_start"] == i] for i in range(n_init)]
+        share *= 16
+
 
+BLOCK, CHUNK = 128, 10_000         # points a packed row, points a step of numpy
 
-def _step(rows: DataFrame, centres: np.ndarray) -> DataFrame:
-    """(s, i, n, cost, sums): members, cost and sums of cluster i of start s."""
+
+def packed(scaled_df: DataFrame) -> DataFrame:
+    """(n, points): the feature rows in blocks of up to BLOCK points, as 64-bit floats."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype("<f8")
+            blocks = [x[i:i + BLOCK] for i in range(0, len(x), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(b) for b in blocks], pa.int64()),
+                                              pa.array([b.tobytes() for b in blocks], pa.binary())], names=["n", "points"])
+
+    return scaled_df.select(*SEGMENT_FEATURES).mapInArrow(run, "n long, points binary")
+
+
+def _step(blocks: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(s, i, n, cost, sums): members, cost and sums of cluster i of start s, over packed points."""
     n_starts, k, dim = centres.shape
 
+    def points(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        whole = batch.column(0).to_pylist()
+        for i in range(0, len(whole), CHUNK // BLOCK):
+            yield np.frombuffer(b"".join(whole[i:i + CHUNK // BLOCK]), "<f8").reshape(-1, dim)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, cost, sums = np.zeros((n_starts, k), np.int64), np.zeros((n_starts, k)), np.zeros((n_starts, k, dim))
-        for batch in batches:
-            x = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+        for x in (x for batch in batches for x in points(batch)):
             for s in range(n_starts):
                 d = ((x[:, None, :] - centres[s]) ** 2).sum(axis=2)
                 i = d.argmin(axis=1)
@@ -85,7 +113,7 @@ def _step(rows: DataFrame, centres: np.ndarray) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(i), pa.array(n[s, i]), pa.array(cost[s, i]),
                                           pa.array(list(sums[s, i]), pa.list_(pa.float64()))], names=["s", "i", "n", "cost", "sums"])
 
-    parts = rows.select(*SEGMENT_FEATURES).mapInArrow(run, "s long, i long, n long, cost double, sums array<double>")
+    parts = blocks.select("points").mapInArrow(run, "s long, i long, n long, cost double, sums array<double>")
     return parts.groupBy("s", "i").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"),
                                        F.array(*[F.sum(F.col("sums")[j]) for j in range(dim)]).alias("sums"))
 
@@ -95,8 +123,8 @@ def best_kmeans(scaled_df: DataFrame, k: int = 4, n_init: int = 10, seed: int =
     nearest centre of every start and adds up k * n_init partial sums a task; the driver
     sees their totals only.  An empty cluster keeps its centre.  Returns the centres of
     the start of least cost (to nine digits; then the first), that cost, and the scans."""
-    rows = cut_lineage(scaled_df.select("siparis_id", *SEGMENT_FEATURES))
-    first = starts(rows, k, n_init, seed)
+    rows = cut_lineage(packed(scaled_df))
+    first = starts(scaled_df.select("siparis_id", *SEGMENT_FEATURES), rows.agg(F.sum("n")).first()[0] or 0, k, n_init, seed)
     if not first[0]:
         return [], 0.0, 0
     centres, scans = np.array(first), 0

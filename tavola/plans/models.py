@@ -222,7 +222,8 @@ SEG_CTES = {"segf": SEG_FEATURE_SQL,
 
 def _kept_summary(spark, sf):
     """The columns of the summary that segments and their profile need, written once."""
-    return cut_lineage(_summary(spark, sf).drop("siparis_icerigi"))
+    return cut_lineage(_summary(spark, sf).select("siparis_id", "toplam_tutar", "kisi_sayisi", "urun_sayisi", "saat",
+                                                  "hafta_sonu", "yas_grubu", "hava_durumu", "sicaklik_c"))
 
 
 def _fixed_assignment(summary):

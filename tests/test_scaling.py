@@ -70,3 +70,20 @@ def test_campaigns_are_sorted_without_their_texts(spark, small_dir):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Sort "):]
     assert "title" not in "".join(x for x in below.splitlines() if "LocalRelation" not in x and "LogicalRDD" not in x and "JoinHint" not in x)
+
+
+import pytest
+
+from tavola.operators import segments as SG
+
+
+@pytest.mark.parametrize("n", [3, 250, 4000])
+def test_starts_are_the_least_codes(spark, n):
+    import hashlib
+    df = spark.range(n).select(F.col("id").alias("siparis_id"), *[(F.col("id") * (i + 1) % 97).cast("double").alias(f) for i, f in enumerate(SG.SEGMENT_FEATURES)])
+    got = SG.starts(df, n, 4, 3, 7)
+    for s in range(3):
+        ids = sorted(range(n), key=lambda i: hashlib.md5(f"{i}-{7 + s}".encode()).hexdigest())[:4]
+        assert got[s] == [[float(i * (j + 1) % 97) for j in range(len(SG.SEGMENT_FEATURES))] for i in ids]
+    rows = SG.packed(df.repartition(2)).collect()
+    assert sum(r.n for r in rows) == n and all(len(r.points) == 64 * r.n and r.n <= SG.BLOCK for r in rows)

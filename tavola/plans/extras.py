@@ -15,6 +15,7 @@ from tavola.plans.mining import mining_ctes
 from tavola.plans.recommend import NAME, alias_rows, complement_rows, kw_cte, pairing_rows, rules_by_name, sql_values, sql_words
 from tavola.plans.registry import register
 from tavola.plans.reports import WEATHER_SQL
+from tavola.session import reuse
 from tavola.sources.fixtures import Fixtures, with_views
 
 WIZARD_SEED = 11
@@ -196,7 +197,7 @@ LEFT JOIN desserts_d f ON f.request_id = s.request_id AND f.slot = 0"""))
 def wizard_desserts(spark, sf):
     """Desserts plus the combo total of the first main, drink and dessert."""
     fx = Fixtures(spark, sf)
-    req = _requests(fx)
+    req = reuse(_requests(fx))              # read by the three draws
     mains = RC.wizard_mains(_menu(fx), req, WIZARD_SEED).filter("pick = 1")
     drinks = _drinks(fx, req).filter("pick = 1")
     desserts = RC.wizard_desserts(_menu(fx), req, WIZARD_SEED)

@@ -87,3 +87,9 @@ def test_starts_are_the_least_codes(spark, n):
         assert got[s] == [[float(i * (j + 1) % 97) for j in range(len(SG.SEGMENT_FEATURES))] for i in ids]
     rows = SG.packed(df.repartition(2)).collect()
     assert sum(r.n for r in rows) == n and all(len(r.points) == 64 * r.n and r.n <= SG.BLOCK for r in rows)
+
+
+def test_desserts_read_their_requests_once(spark, small_dir):
+    from tavola.plans import QUERIES
+    plan = QUERIES["wizard_desserts"](spark, small_dir)._jdf.queryExecution().withCachedData().toString()
+    assert plan.count("InMemoryRelation [request_id") >= 3

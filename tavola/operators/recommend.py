@@ -164,48 +164,69 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
     product_name, category_id, price, is_active, is_available.
     ``campaigns``: optional (basket_id, target_ids array<int>, campaign_title).
 
-    Complements and pairings score whole zones of the catalogue, a few rows a basket.
     Rules boost names, once per distinct set of cart words; the lists of a set's best
-    products by zone (``score_lists``) are shared by all its baskets, and a basket
-    takes from each list what its own items leave."""
+    products by zone (``score_lists``) are shared by all its baskets.  A basket stays one
+    row with its items as an array: complements and pairings, fixed rule tables, score its
+    zones, it takes from its set's list what its own items leave, and only its ``limit``
+    rows are made of it.  No (basket, candidate) table is written, sorted or shuffled."""
     catalog = reuse(products.filter(F.col("is_active") & F.col("is_available"))
                             .select("product_id", "product_name", "category_id", "price"))
     classes, zones = zone_tables(catalog, pairings)
     classes, zones = cut_lineage(classes), cut_lineage(zones)
     rules = reuse(rules)
-    cart = reuse(baskets.select("basket_id", "product_id").distinct().join(
-        products.select("product_id", F.col("product_name").alias("item_name"),
-                        F.col("category_id").alias("item_category")), "product_id"))
-    cart_cats = cart.select("basket_id", F.col("item_category").alias("category_id")).distinct()
-    has_meal = cart.groupBy("basket_id").agg(
-        F.max(F.col("item_category").isin(*meal_categories)).alias("has_meal"))
-    in_zone = catalog.join(classes.select("category_id", "product_name", "zone_id"), ["category_id", "product_name"])
-    own = reuse(cart.select("basket_id", "product_id").join(in_zone.select("product_id", "zone_id"), "product_id")
-                .groupBy("basket_id", "zone_id").agg(F.count(F.lit(1)).alias("n_own")))
+    fixed = sorted(zones.collect(), key=lambda z: z.zone_id)                # of fixed rule tables
+    units = lambda score: (score * 10 ** 10).cast("long")                   # noqa: E731  SCORE as a whole number
+
+    def by_zone(gains: dict) -> Column:
+        """key -> its score in each zone, null where it has none."""
+        if not gains:
+            return F.expr("CAST(map() AS map<string, array<bigint>>)")
+        return F.create_map(*[x for key, per in gains.items() for x in (
+            F.lit(str(key)), F.array(*[F.lit(per.get(z.zone_id)).cast("long") for z in fixed]))])
 
     # Category complement per cart item, keyword pairing per word of each item
-    p1 = (cart.join(complements, cart.item_category == complements.src_category)
-              .select("basket_id", "category_id", times("weight", 0.5).alias("score"),
-                      F.concat(F.lit("complement-to-"), "item_name").alias("reason"), loop_key(1, "product_id", "pos")))
-    pw = cart.select("basket_id", "product_id", F.posexplode(words(F.col("item_name"))).alias("word_pos", "keyword"))
-    pw = pw.join(pairings, "keyword").select(
-        "basket_id", "category_id", "target_name", F.struct("keyword", "pos").alias("target"), times("boost", 0.7).alias("score"),
-        F.concat(F.lit("pairs-with-"), "keyword").alias("reason"), loop_key(2, "product_id", "word_pos", "pos"))
-
-    def summed(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.groupBy("basket_id", *keys).agg(
-            F.sum("score").cast(SCORE).alias("score"), F.min_by("reason", "key").alias("reason"), F.min("key").alias("key"))
-
-    of_category = summed(p1.unionByName(pw.where("target_name IS NULL").select(*p1.columns)), "category_id")
-    of_target = summed(pw.where("target_name IS NOT NULL"), "target")
-    targets = zones.select("zone_id", F.explode("targets").alias("target"))
-    cols = ["basket_id", "zone_id", "score", "reason", "key"]
-    base = reuse(summed(of_category.join(zones.select("zone_id", "category_id"), "category_id").select(*cols)
-                        .unionByName(of_target.join(targets, "target").select(*cols)), "zone_id").drop("key"))
+    complement, pairing = {}, {}
+    for r in complements.withColumn("u", units(times("weight", 0.5))).collect():
+        for z in (z for z in fixed if z.category_id == r.category_id):
+            per = complement.setdefault(r.src_category, {})
+            per[z.zone_id] = per.get(z.zone_id, 0) + r.u
+    for r in pairings.withColumn("u", units(times("boost", 0.7))).collect():
+        for z in fixed:
+            if (r.keyword, r.pos) in {tuple(t) for t in z.targets} if r.target_name is not None else z.category_id == r.category_id:
+                per = pairing.setdefault(r.keyword, {})
+                per[z.zone_id] = per.get(z.zone_id, 0) + r.u
+    from_category = lambda x: F.try_element_at(by_zone(complement), x["item_category"].cast("string"))     # noqa: E731
+    from_word = lambda w: F.try_element_at(by_zone(pairing), w)                                             # noqa: E731
+    no_ids = F.expr("CAST(array() AS array<string>)")
+
+    # a row a basket
+    in_zone = catalog.join(classes.select("category_id", "product_name", "zone_id"), ["category_id", "product_name"])
+    own_zones = in_zone.groupBy("product_id").agg(F.collect_list("zone_id").alias("own"))
+    paired = F.filter(words(F.col("product_name")), lambda w: w.isin(*pairing))
+    about = (products.select("product_id", F.col("product_name").alias("item_name"), F.col("category_id").alias("item_category"),
+                             F.coalesce(paired, no_ids).alias("paired"))
+             .join(product_words(products, alias_pairs), "product_id", "left").join(own_zones, "product_id", "left")
+             .withColumns({c: F.coalesce(c, no_ids) for c in ("keys", "own")}))
+    item = F.struct("product_id", "item_name", "item_category", "paired")
+    carts = (baskets.select("basket_id", "product_id").distinct().join(about, "product_id").groupBy("basket_id")
+             .agg(F.sort_array(F.collect_list(item)).alias("items"), F.flatten(F.collect_list("own")).alias("own"),
+                  F.sort_array(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("words")).where(F.size("words") > 0)
+             .withColumn("set_id", F.md5(F.to_json("words"))))
+    item_words = F.flatten(F.transform("items", lambda x: x["paired"]))
+    gains = F.filter(F.concat(F.transform("items", from_category), F.transform(item_words, from_word)), lambda g: g.isNotNull())
+    places = F.array(*[F.lit(z) for z in range(len(fixed))])
+    zone_ids = F.array(*[F.lit(z.zone_id) for z in fixed]) if fixed else no_ids
+    nothing = F.array(*[F.lit(None).cast("long")] * len(fixed)) if fixed else F.expr("CAST(array() AS array<bigint>)")
+    base = F.aggregate(gains, nothing, lambda total, g: F.zip_with(total, g, lambda a, b: F.when(b.isNull(), a).otherwise(
+        F.coalesce(a, F.lit(0).cast("long")) + b)))
+    n_own = F.transform(zone_ids, lambda z: F.size(F.filter("own", lambda o: o == z)))
+    has_meal = F.coalesce(F.exists("items", lambda x: x["item_category"].isin(*meal_categories)), F.lit(False))
+    scored = reuse(carts.select("basket_id", "set_id", "words", "items", base.alias("base"), n_own.alias("n_own"), has_meal.alias("_meal")))
+    sets = scored.select("set_id", "words").distinct()
+    scored = scored.drop("words")
 
     # Rules boost names, once per distinct set of words
-    set_of = reuse(word_sets(cart.select("basket_id", "product_id"), products, alias_pairs))
-    rel = relevant_rules(set_of.select("set_id", "words").distinct(), rules, alias_pairs)
+    rel = relevant_rules(sets, rules, alias_pairs)
     result_words = keywords(rules.select("oneri").distinct(), ["oneri"], "oneri", alias_pairs)
     names = keywords(classes.select("product_name").distinct(), ["product_name"], "product_name", alias_pairs)
     reaches = result_words.join(names, "keyword").select("oneri", "product_name").distinct()
@@ -216,74 +237,90 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
         F.sum("boost").cast(SCORE).alias("boost"), F.min("rule_key").alias("rule_key")))
 
     # the best products by set and zone; a basket's own items are left out of them later
-    zone_ids = F.array(*[F.lit(r.zone_id) for r in zones.select("zone_id").collect()])      # of fixed rule tables
-    most_own = (own.join(set_of.select("basket_id", "set_id"), "basket_id").groupBy("set_id", "zone_id").agg(F.max("n_own").alias("n_own")))
-    scored_zone = (base.select("basket_id", "zone_id").join(set_of.select("basket_id", "set_id"), "basket_id")
-                   .select("set_id", "zone_id").distinct().withColumn("every", F.lit(True)))
-    wanted = (set_of.select("set_id").distinct().withColumn("zone_id", F.explode(zone_ids))
-              .join(most_own, ["set_id", "zone_id"], "left").join(scored_zone, ["set_id", "zone_id"], "left")
-              .select("set_id", "zone_id", (F.lit(CATEGORY_CAP) + F.coalesce("n_own", F.lit(0))).cast("int").alias("m"),
-                      F.coalesce("every", F.lit(False)).alias("every")))
+    wanted = (scored.select("set_id", F.explode(F.arrays_zip(zone_ids.alias("zone_id"), "n_own", "base")).alias("z"))
+              .groupBy("set_id", F.col("z.zone_id").alias("zone_id"))
+              .agg((F.lit(CATEGORY_CAP) + F.max("z.n_own")).cast("int").alias("m"), F.max(F.col("z.base").isNotNull()).alias("every")))
     lists = zone_lists(boosts, wanted, catalog, classes)
-    cand = (set_of.select("basket_id", "set_id").join(lists, "set_id").join(base, ["basket_id", "zone_id"], "left")
-            .where("reached OR score IS NOT NULL")
-            .select("basket_id", "set_id", "zone_id", "product_id", "product_name", "reason",
-                    (F.coalesce("score", dec(0)) + F.col("boost")).cast(SCORE).alias("score")))
-    cand = cand.join(zones.select("zone_id", "category_id"), "zone_id").drop("zone_id")
+    prices = catalog.groupBy("product_id").agg(F.collect_list(F.struct("price")).alias("prices"))
+    by_rule = boosts.select("set_id", "product_name", F.concat(F.lit("apriori:"), "rule_key.tetikleyici").alias("reason"))
+    zone_of = F.create_map(*[F.lit(x) for k, z in enumerate(fixed) for x in (z.zone_id, k)]) if fixed else F.expr("CAST(map() AS map<string, int>)")
+    candidate = F.struct(F.try_element_at(zone_of, F.col("zone_id")).alias("z"), "category_id", "product_id", "product_name",
+                         units(F.col("boost")).alias("u"), "reached", "reason", "prices")
+    listed = (lists.join(by_rule, ["set_id", "product_name"], "left").join(zones.select("zone_id", "category_id"), "zone_id")
+              .join(prices, "product_id").groupBy("set_id").agg(F.collect_list(candidate).alias("list")))
 
     # R3d: fill when fewer than `limit` products are scored
-    sizes = (base.select("basket_id", "zone_id").join(zones.select("zone_id", "zone_size"), "zone_id")
-             .join(own, ["basket_id", "zone_id"], "left").groupBy("basket_id")
-             .agg(F.sum(F.col("zone_size") - F.coalesce("n_own", F.lit(0))).alias("n_zone")))
-    few = (set_of.select("basket_id", "set_id").join(sizes, "basket_id", "left")
-           .withColumn("n_zone", F.coalesce("n_zone", F.lit(0))).where(F.col("n_zone") < limit))
-    more = (few.join(boosts.select("set_id", "product_name"), "set_id").join(classes, "product_name")
-            .join(base.select("basket_id", "zone_id"), ["basket_id", "zone_id"], "left_anti"))
-    taken = (few.join(boosts.select("set_id", "product_name"), "set_id")
+    sizes = F.array(*[F.lit(z.zone_size) for z in fixed]) if fixed else F.expr("CAST(array() AS array<bigint>)")
+    n_zone = F.aggregate(places, F.lit(0).cast("long"), lambda n, z: n + F.when(F.get("base", z).isNull(), 0).otherwise(
+        F.get(sizes, z) - F.get("n_own", z)))
+    scored = scored.withColumn("n_zone", n_zone)
+    few = reuse(scored.where(F.col("n_zone") < limit))
+    cart = few.select("basket_id", F.explode("items").alias("x")).select("basket_id", "x.product_id", F.col("x.item_category").alias("category_id"))
+    in_base = (few.select("basket_id", F.explode(F.arrays_zip(zone_ids.alias("zone_id"), "base")).alias("z"))
+               .where("z.base IS NOT NULL").select("basket_id", "z.zone_id"))
+    few_sets = few.select("basket_id", "set_id", "n_zone")
+    more = (few_sets.join(boosts.select("set_id", "product_name"), "set_id").join(classes, "product_name")
+            .join(in_base, ["basket_id", "zone_id"], "left_anti"))
+    taken = (few_sets.join(boosts.select("set_id", "product_name"), "set_id")
              .join(cart.select("basket_id", "product_id"), "basket_id").join(in_zone, ["product_id", "product_name"])
-             .join(base.select("basket_id", "zone_id"), ["basket_id", "zone_id"], "left_anti")
+             .join(in_base, ["basket_id", "zone_id"], "left_anti")
              .groupBy("basket_id").agg(F.count(F.lit(1)).alias("n_taken")))
     reached = more.groupBy("basket_id").agg(F.sum("class_size").alias("n_reached"))
-    needs = (few.join(reached, "basket_id", "left").join(taken, "basket_id", "left")
+    needs = (few_sets.join(reached, "basket_id", "left").join(taken, "basket_id", "left")
              .where(F.col("n_zone") + F.coalesce("n_reached", F.lit(0)) - F.coalesce("n_taken", F.lit(0)) < limit)
              .select("basket_id", "set_id"))
     first = rank_in(in_zone.drop("price"), ["category_id"], ["product_id"], "_nth", CATEGORY_CAP + limit)
     fill = (needs.withColumn("category_id", F.explode(F.array(*[F.lit(c) for c in all_categories])))
-            .join(cart_cats, ["basket_id", "category_id"], "left_anti").join(first, "category_id")
-            .join(base.select("basket_id", "zone_id"), ["basket_id", "zone_id"], "left_anti")
-            .join(boosts.select("set_id", "product_name"), ["set_id", "product_name"], "left_anti")
-            .select("basket_id", "set_id", "product_id", "product_name", F.lit("popular-fill").alias("reason"),
-                    dec(0.15).alias("score"), "category_id"))
-    cand = cand.unionByName(fill).join(cart.select("basket_id", "product_id"), ["basket_id", "product_id"], "left_anti")
-
-    # R3e: meal penalty
-    cand = (cand.join(cart_cats.withColumn("_in_cart", F.lit(True)), ["basket_id", "category_id"], "left")
-                .join(has_meal, "basket_id", "left"))
-    is_meal = F.col("category_id").isin(*meal_categories)
-    factor = (F.when(is_meal & F.coalesce("_in_cart", F.lit(False)), dec(0.1))
-               .when(is_meal & F.coalesce("has_meal", F.lit(False)), dec(0.25)).otherwise(dec(1)))
-    cand = cand.withColumn("score", times("score", factor))
+            .join(cart.select("basket_id", "category_id"), ["basket_id", "category_id"], "left_anti").join(first, "category_id")
+            .join(in_base, ["basket_id", "zone_id"], "left_anti")
+            .join(boosts.select("set_id", "product_name"), ["set_id", "product_name"], "left_anti").join(prices, "product_id")
+            .withColumns({"z": F.lit(-1), "u": units(dec(0.15)), "reached": F.lit(True), "reason": F.lit("popular-fill")})
+            .groupBy("basket_id").agg(F.collect_list(F.struct("z", F.col("category_id").cast(zones.schema["category_id"].dataType).alias("category_id"),
+                                                              "product_id", "product_name", "u", "reached", "reason", "prices")).alias("fill")))
+    enough = scored.where(F.col("n_zone") >= limit).withColumn("fill", F.lit(None).cast(fill.schema["fill"].dataType))
+    whole = enough.unionByName(few.join(fill, "basket_id", "left"))
+    if campaigns is not None:
+        whole = whole.join(campaigns, "basket_id", "left")
+
+    # what the basket's own items leave; R3e: meal penalty, in per cent
+    offered = F.concat(F.coalesce("list", F.expr("array()").cast(listed.schema["list"].dataType)),
+                       F.coalesce("fill", F.expr("array()").cast(listed.schema["list"].dataType)))
+    left = F.filter(offered, lambda c: (c["reached"] | F.get("base", c["z"]).isNotNull())
+                    & ~F.coalesce(F.exists("items", lambda x: x["product_id"] == c["product_id"]), F.lit(False)))
+
+    def percent(c: Column) -> Column:
+        same = F.coalesce(F.exists("items", lambda x: x["item_category"] == c["category_id"]), F.lit(False))
+        is_meal = c["category_id"].isin(*meal_categories)
+        return F.when(is_meal & same, 10).when(is_meal & F.col("_meal"), 25).otherwise(100)
+
+    def after_penalty(c: Column) -> Column:         # rounded half up, as decimals are
+        total = F.coalesce(F.get("base", c["z"]), F.lit(0)) + c["u"]
+        return F.floor((total * percent(c) + 50) / F.lit(100).cast("decimal(20,0)")).cast("long")
+
+    kept = ("z", "product_name", "reason", "prices")
+    per_category = F.array_sort(F.transform("_left", lambda c: F.struct(
+        c["category_id"].alias("category_id"), (-after_penalty(c)).alias("below"), c["product_id"].alias("product_id"),
+        *[c[k].alias(k) for k in kept])))
     # R3f: rank, cap per category, normalise by the basket maximum
-    order = [F.desc("score"), F.asc("product_id")]
-    cand = cand.withColumn("_cat_rank", F.row_number().over(
-        Window.partitionBy("basket_id", "category_id").orderBy(*order)))
-    cand = cand.withColumn("_max", F.max("score").over(Window.partitionBy("basket_id")))
-    top = cand.filter(F.col("_cat_rank") <= CATEGORY_CAP).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("basket_id").orderBy(*order))).filter(F.col("rank") <= limit)
-    raw = F.col("score").cast("double") / F.greatest(F.col("_max").cast("double"), F.lit(0.01)) * 0.95
-    conf = F.least(F.lit(0.95), F.greatest(F.lit(0.50), raw))
-    by_rule = boosts.select("set_id", "product_name", F.concat(F.lit("apriori:"), "rule_key.tetikleyici").alias("_rule"))
-    out = (top.join(by_rule, ["set_id", "product_name"], "left").join(catalog.select("product_id", "price"), "product_id")
-           .select("basket_id", "rank", "product_id", "product_name", "price", "category_id",
-                   (F.rint(conf * 100) / 100).alias("confidence"), F.coalesce("reason", "_rule").alias("reason")))
-    if campaigns is None:
-        return out.withColumn("has_campaign", F.lit(False)).withColumn(
-            "campaign_title", F.lit(None).cast("string"))
-    out = out.join(campaigns, "basket_id", "left")
-    flag = F.coalesce(F.array_contains(F.col("target_ids"), F.col("category_id")), F.lit(False))
-    return out.select("basket_id", "rank", "product_id", "product_name", "price", "category_id", "confidence",
-                      "reason", flag.alias("has_campaign"),
-                      F.when(flag, F.col("campaign_title")).alias("campaign_title"))
+    capped = F.filter("_ranked", lambda c, i: (i < CATEGORY_CAP) | (F.get("_ranked", i - CATEGORY_CAP)["category_id"] != c["category_id"]))
+    top = F.slice(F.array_sort(F.transform("_capped", lambda c: F.struct(
+        c["below"].alias("below"), c["product_id"].alias("product_id"), c["category_id"].alias("category_id"), *[c[k].alias(k) for k in kept]))), 1, limit)
+    rows = (whole.join(listed, "set_id", "left").withColumn("_left", left)
+            .withColumn("_ranked", per_category).withColumn("_capped", capped).withColumn("_top", top))
+    flags = ["target_ids", "campaign_title"] if campaigns is not None else []
+    out = rows.select("basket_id", "items", *flags, F.get("_top", F.lit(0))["below"].alias("_max"), F.posexplode("_top").alias("_at", "c"))
+    gain_of = F.filter("items", lambda x: F.get(from_category(x), F.col("c.z")).isNotNull())
+    word_of = F.filter(item_words, lambda w: F.get(from_word(w), F.col("c.z")).isNotNull())
+    why = (F.when(F.size(gain_of) > 0, F.concat(F.lit("complement-to-"), F.get(gain_of, F.lit(0))["item_name"]))
+           .when(F.size(word_of) > 0, F.concat(F.lit("pairs-with-"), F.get(word_of, F.lit(0)))))
+    score = lambda c: (-F.col(c).cast("decimal(20,0)") * dec(F.lit("0.0000000001"))).cast(SCORE).cast("double")      # noqa: E731
+    conf = F.least(F.lit(0.95), F.greatest(F.lit(0.50), score("c.below") / F.greatest(score("_max"), F.lit(0.01)) * 0.95))
+    flag = F.coalesce(F.array_contains("target_ids", F.col("category_id")), F.lit(False)) if flags else F.lit(False)
+    title = F.when(flag, F.col("campaign_title")) if flags else F.lit(None).cast("string")
+    out = out.select("basket_id", (F.col("_at") + 1).alias("rank"), "c.product_id", "c.product_name", F.explode("c.prices").alias("p"),
+                     "c.category_id", (F.rint(conf * 100) / 100).alias("confidence"), F.coalesce(why, "c.reason").alias("reason"), *flags)
+    return out.select("basket_id", "rank", "product_id", "product_name", "p.price", "category_id", "confidence", "reason",
+                      flag.alias("has_campaign"), title.alias("campaign_title"))
 
 
 def rule_name_matches(rules: DataFrame, names: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def packed(scaled_df: DataFrame) -> DataFrame:
     """(n, points): the feature rows in blocks of up to BLOCK points, as 64-bit floats."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype("<f8")
+            x = np.stack([c.to_numpy() for c in batch.columns], axis=1).astype("<f8")
             blocks = [x[i:i + BLOCK] for i in range(0, len(x), BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array([len(b) for b in blocks], pa.int64()),
                                               pa.array([b.tobytes() for b in blocks], pa.binary())], names=["n", "points"])

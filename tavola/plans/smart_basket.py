@@ -102,8 +102,8 @@ SMART_BASKET_BRUTE_FORCE_SQL = with_views(FLAGGED, *VIEWS, extra={**REC_BASE, **
 def basket_campaigns(spark, fx: Fixtures):
     """(basket_id, target_ids, campaign_title): the top campaign in the context of each basket's order."""
     top = C.top_campaign(C.campaign_candidates(order_contexts(fx), spark, SEED))
-    ids = C.target_category_ids(top, spark, key="context_id")
-    return (ids.join(top.select("context_id", "title"), "context_id")
+    ids = F.broadcast(C.target_category_ids(C.all_campaigns(spark), spark))         # a row a campaign of the fixed tables
+    return (top.join(ids, "campaign_id")
             .select(F.col("context_id").alias("basket_id"), "target_ids", F.col("title").alias("campaign_title")))
 
 

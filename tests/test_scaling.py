@@ -93,3 +93,11 @@ def test_desserts_read_their_requests_once(spark, small_dir):
     from tavola.plans import QUERIES
     plan = QUERIES["wizard_desserts"](spark, small_dir)._jdf.queryExecution().withCachedData().toString()
     assert plan.count("InMemoryRelation [request_id") >= 3
+
+
+def test_smart_basket_ranks_inside_a_basket(spark, small_dir):
+    """No row a (basket, candidate) is sorted or shuffled to rank it."""
+    from tavola.plans import QUERIES
+    plan = QUERIES["smart_basket"](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "windowspecdefinition(" in line]
+    assert not any("windowspecdefinition(basket_id" in line for line in windows)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tavola.functions import rules as RU
+from tavola.operators.basket_top import best_of_basket
 from tavola.operators.numbering import numbered
 from tavola.operators.text_match import contained
 from tavola.operators.score_lists import rank_in, zone_lists, zone_tables
@@ -152,6 +153,7 @@ def basket_recommendations(baskets: DataFrame, products: DataFrame, rules: DataF
 # Smart basket
 # ---------------------------------------------------------------------------
 CATEGORY_CAP = 2
+FILL_UNITS = 15 * 10 ** 8           # 0.15
 
 
 def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame,
@@ -167,8 +169,8 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
     Rules boost names, once per distinct set of cart words; the lists of a set's best
     products by zone (``score_lists``) are shared by all its baskets.  A basket stays one
     row with its items as an array: complements and pairings, fixed rule tables, score its
-    zones, it takes from its set's list what its own items leave, and only its ``limit``
-    rows are made of it.  No (basket, candidate) table is written, sorted or shuffled."""
+    zones, it takes from its set's list what its own items leave (``basket_top``), and only its
+    ``limit`` rows are made of it.  No (basket, candidate) table is written, sorted or shuffled."""
     catalog = reuse(products.filter(F.col("is_active") & F.col("is_available"))
                             .select("product_id", "product_name", "category_id", "price"))
     classes, zones = zone_tables(catalog, pairings)
@@ -177,13 +179,6 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
     fixed = sorted(zones.collect(), key=lambda z: z.zone_id)                # of fixed rule tables
     units = lambda score: (score * 10 ** 10).cast("long")                   # noqa: E731  SCORE as a whole number
 
-    def by_zone(gains: dict) -> Column:
-        """key -> its score in each zone, null where it has none."""
-        if not gains:
-            return F.expr("CAST(map() AS map<string, array<bigint>>)")
-        return F.create_map(*[x for key, per in gains.items() for x in (
-            F.lit(str(key)), F.array(*[F.lit(per.get(z.zone_id)).cast("long") for z in fixed]))])
-
     # Category complement per cart item, keyword pairing per word of each item
     complement, pairing = {}, {}
     for r in complements.withColumn("u", units(times("weight", 0.5))).collect():
@@ -195,33 +190,44 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
             if (r.keyword, r.pos) in {tuple(t) for t in z.targets} if r.target_name is not None else z.category_id == r.category_id:
                 per = pairing.setdefault(r.keyword, {})
                 per[z.zone_id] = per.get(z.zone_id, 0) + r.u
-    from_category = lambda x: F.try_element_at(by_zone(complement), x["item_category"].cast("string"))     # noqa: E731
-    from_word = lambda w: F.try_element_at(by_zone(pairing), w)                                             # noqa: E731
-    no_ids = F.expr("CAST(array() AS array<string>)")
+    categories, paired_words = sorted(complement), sorted(pairing)
+    no_ids, no_codes = F.expr("CAST(array() AS array<string>)"), F.expr("CAST(array() AS array<int>)")
+
+    def code(x: Column, of: list) -> Column:
+        """Place of a value in a list of the rule tables, -1 if it is not there."""
+        at = F.create_map(*[F.lit(v) for i, k in enumerate(of) for v in (k, i)]) if of else None
+        return F.lit(-1) if at is None else F.coalesce(F.try_element_at(at, x), F.lit(-1))
+
+    def by_zone(gains: dict, of: list) -> Column:
+        """Scores in each zone by code, null where there is none."""
+        rows = [F.array(*[F.lit(gains[k].get(z.zone_id)).cast("long") for z in fixed]) for k in of]
+        return F.array(*rows) if rows else F.expr("CAST(array() AS array<array<bigint>>)")
 
     # a row a basket
     in_zone = catalog.join(classes.select("category_id", "product_name", "zone_id"), ["category_id", "product_name"])
     own_zones = in_zone.groupBy("product_id").agg(F.collect_list("zone_id").alias("own"))
-    paired = F.filter(words(F.col("product_name")), lambda w: w.isin(*pairing))
+    paired = F.transform(F.filter(words(F.col("product_name")), lambda w: w.isin(*pairing)), lambda w: code(w, paired_words))
     about = (products.select("product_id", F.col("product_name").alias("item_name"), F.col("category_id").alias("item_category"),
-                             F.coalesce(paired, no_ids).alias("paired"))
+                             code(F.col("category_id"), categories).alias("item_code"), F.coalesce(paired, no_codes).alias("paired"))
              .join(product_words(products, alias_pairs), "product_id", "left").join(own_zones, "product_id", "left")
              .withColumns({c: F.coalesce(c, no_ids) for c in ("keys", "own")}))
-    item = F.struct("product_id", "item_name", "item_category", "paired")
+    item = F.struct("product_id", "item_name", "item_category", "item_code", "paired")
     carts = (baskets.select("basket_id", "product_id").distinct().join(about, "product_id").groupBy("basket_id")
              .agg(F.sort_array(F.collect_list(item)).alias("items"), F.flatten(F.collect_list("own")).alias("own"),
                   F.sort_array(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("words")).where(F.size("words") > 0)
-             .withColumn("set_id", F.md5(F.to_json("words"))))
-    item_words = F.flatten(F.transform("items", lambda x: x["paired"]))
-    gains = F.filter(F.concat(F.transform("items", from_category), F.transform(item_words, from_word)), lambda g: g.isNotNull())
+             .select("basket_id", F.md5(F.to_json("words")).alias("set_id"), "words", "own", F.col("items.product_id").alias("item_ids"),
+                     F.col("items.item_name").alias("item_names"), F.col("items.item_category").alias("item_categories"),
+                     F.col("items.item_code").alias("item_codes"), F.flatten("items.paired").alias("word_codes")))
+    from_category = F.transform("item_codes", lambda c: F.get(by_zone(complement, categories), c))
+    from_word = F.transform("word_codes", lambda c: F.get(by_zone(pairing, paired_words), c))
+    gains = F.filter(F.concat(from_category, from_word), lambda g: g.isNotNull())
     places = F.array(*[F.lit(z) for z in range(len(fixed))])
     zone_ids = F.array(*[F.lit(z.zone_id) for z in fixed]) if fixed else no_ids
     nothing = F.array(*[F.lit(None).cast("long")] * len(fixed)) if fixed else F.expr("CAST(array() AS array<bigint>)")
     base = F.aggregate(gains, nothing, lambda total, g: F.zip_with(total, g, lambda a, b: F.when(b.isNull(), a).otherwise(
         F.coalesce(a, F.lit(0).cast("long")) + b)))
     n_own = F.transform(zone_ids, lambda z: F.size(F.filter("own", lambda o: o == z)))
-    has_meal = F.coalesce(F.exists("items", lambda x: x["item_category"].isin(*meal_categories)), F.lit(False))
-    scored = reuse(carts.select("basket_id", "set_id", "words", "items", base.alias("base"), n_own.alias("n_own"), has_meal.alias("_meal")))
+    scored = reuse(carts.select("*", base.alias("base"), n_own.alias("n_own")).drop("own"))
     sets = scored.select("set_id", "words").distinct()
     scored = scored.drop("words")
 
@@ -244,10 +250,13 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
     prices = catalog.groupBy("product_id").agg(F.collect_list(F.struct("price")).alias("prices"))
     by_rule = boosts.select("set_id", "product_name", F.concat(F.lit("apriori:"), "rule_key.tetikleyici").alias("reason"))
     zone_of = F.create_map(*[F.lit(x) for k, z in enumerate(fixed) for x in (z.zone_id, k)]) if fixed else F.expr("CAST(map() AS map<string, int>)")
-    candidate = F.struct(F.try_element_at(zone_of, F.col("zone_id")).alias("z"), "category_id", "product_id", "product_name",
-                         units(F.col("boost")).alias("u"), "reached", "reason", "prices")
+    zone_of = F.try_element_at(zone_of, F.col("zone_id")).alias("z")
+    # in the order of equal scores
+    text = F.struct("product_id", "category_id", "z", "product_name", "reason", "prices").alias("text")
+    candidate = F.struct(text, units(F.col("boost")).alias("u"), "reached")
     listed = (lists.join(by_rule, ["set_id", "product_name"], "left").join(zones.select("zone_id", "category_id"), "zone_id")
-              .join(prices, "product_id").groupBy("set_id").agg(F.collect_list(candidate).alias("list")))
+              .join(prices, "product_id").withColumn("z", zone_of).groupBy("set_id").agg(F.sort_array(F.collect_list(candidate)).alias("list"))
+              .select("set_id", "list.text", "list.u", "list.reached", F.col("list.text.z").alias("z"), F.col("list.text.product_id").alias("ids")))
 
     # R3d: fill when fewer than `limit` products are scored
     sizes = F.array(*[F.lit(z.zone_size) for z in fixed]) if fixed else F.expr("CAST(array() AS array<bigint>)")
@@ -255,7 +264,8 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
         F.get(sizes, z) - F.get("n_own", z)))
     scored = scored.withColumn("n_zone", n_zone)
     few = reuse(scored.where(F.col("n_zone") < limit))
-    cart = few.select("basket_id", F.explode("items").alias("x")).select("basket_id", "x.product_id", F.col("x.item_category").alias("category_id"))
+    cart = few.select("basket_id", F.explode(F.arrays_zip("item_ids", "item_categories")).alias("x")).select(
+        "basket_id", F.col("x.item_ids").alias("product_id"), F.col("x.item_categories").alias("category_id"))
     in_base = (few.select("basket_id", F.explode(F.arrays_zip(zone_ids.alias("zone_id"), "base")).alias("z"))
                .where("z.base IS NOT NULL").select("basket_id", "z.zone_id"))
     few_sets = few.select("basket_id", "set_id", "n_zone")
@@ -274,51 +284,32 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
             .join(cart.select("basket_id", "category_id"), ["basket_id", "category_id"], "left_anti").join(first, "category_id")
             .join(in_base, ["basket_id", "zone_id"], "left_anti")
             .join(boosts.select("set_id", "product_name"), ["set_id", "product_name"], "left_anti").join(prices, "product_id")
-            .withColumns({"z": F.lit(-1), "u": units(dec(0.15)), "reached": F.lit(True), "reason": F.lit("popular-fill")})
-            .groupBy("basket_id").agg(F.collect_list(F.struct("z", F.col("category_id").cast(zones.schema["category_id"].dataType).alias("category_id"),
-                                                              "product_id", "product_name", "u", "reached", "reason", "prices")).alias("fill")))
+            .withColumns({"z": F.lit(-1), "reason": F.lit("popular-fill"), "category_id": F.col("category_id").cast(zones.schema["category_id"].dataType)})
+            .groupBy("basket_id").agg(F.sort_array(F.collect_list(text)).alias("fill")))
     enough = scored.where(F.col("n_zone") >= limit).withColumn("fill", F.lit(None).cast(fill.schema["fill"].dataType))
     whole = enough.unionByName(few.join(fill, "basket_id", "left"))
     if campaigns is not None:
         whole = whole.join(campaigns, "basket_id", "left")
 
-    # what the basket's own items leave; R3e: meal penalty, in per cent
-    offered = F.concat(F.coalesce("list", F.expr("array()").cast(listed.schema["list"].dataType)),
-                       F.coalesce("fill", F.expr("array()").cast(listed.schema["list"].dataType)))
-    left = F.filter(offered, lambda c: (c["reached"] | F.get("base", c["z"]).isNotNull())
-                    & ~F.coalesce(F.exists("items", lambda x: x["product_id"] == c["product_id"]), F.lit(False)))
-
-    def percent(c: Column) -> Column:
-        same = F.coalesce(F.exists("items", lambda x: x["item_category"] == c["category_id"]), F.lit(False))
-        is_meal = c["category_id"].isin(*meal_categories)
-        return F.when(is_meal & same, 10).when(is_meal & F.col("_meal"), 25).otherwise(100)
-
-    def after_penalty(c: Column) -> Column:         # rounded half up, as decimals are
-        total = F.coalesce(F.get("base", c["z"]), F.lit(0)) + c["u"]
-        return F.floor((total * percent(c) + 50) / F.lit(100).cast("decimal(20,0)")).cast("long")
-
-    kept = ("z", "product_name", "reason", "prices")
-    per_category = F.array_sort(F.transform("_left", lambda c: F.struct(
-        c["category_id"].alias("category_id"), (-after_penalty(c)).alias("below"), c["product_id"].alias("product_id"),
-        *[c[k].alias(k) for k in kept])))
-    # R3f: rank, cap per category, normalise by the basket maximum
-    capped = F.filter("_ranked", lambda c, i: (i < CATEGORY_CAP) | (F.get("_ranked", i - CATEGORY_CAP)["category_id"] != c["category_id"]))
-    top = F.slice(F.array_sort(F.transform("_capped", lambda c: F.struct(
-        c["below"].alias("below"), c["product_id"].alias("product_id"), c["category_id"].alias("category_id"), *[c[k].alias(k) for k in kept]))), 1, limit)
-    rows = (whole.join(listed, "set_id", "left").withColumn("_left", left)
-            .withColumn("_ranked", per_category).withColumn("_capped", capped).withColumn("_top", top))
+    # what the basket's own items leave, R3e, R3f
+    ranked = best_of_basket([z.category_id for z in fixed], [[complement[k].get(z.zone_id) for z in fixed] for k in categories],
+                            [[pairing[k].get(z.zone_id) for z in fixed] for k in paired_words], meal_categories, all_categories,
+                            CATEGORY_CAP, limit, FILL_UNITS)
+    top = ranked(*[F.col(c) for c in ("base", "item_ids", "item_categories", "item_codes", "word_codes", "ids", "z", "u", "reached",
+                                      "fill.product_id", "fill.category_id")])
+    rows = whole.join(listed, "set_id", "left").withColumn("_top", top)
     flags = ["target_ids", "campaign_title"] if campaigns is not None else []
-    out = rows.select("basket_id", "items", *flags, F.get("_top", F.lit(0))["below"].alias("_max"), F.posexplode("_top").alias("_at", "c"))
-    gain_of = F.filter("items", lambda x: F.get(from_category(x), F.col("c.z")).isNotNull())
-    word_of = F.filter(item_words, lambda w: F.get(from_word(w), F.col("c.z")).isNotNull())
-    why = (F.when(F.size(gain_of) > 0, F.concat(F.lit("complement-to-"), F.get(gain_of, F.lit(0))["item_name"]))
-           .when(F.size(word_of) > 0, F.concat(F.lit("pairs-with-"), F.get(word_of, F.lit(0)))))
-    score = lambda c: (-F.col(c).cast("decimal(20,0)") * dec(F.lit("0.0000000001"))).cast(SCORE).cast("double")      # noqa: E731
-    conf = F.least(F.lit(0.95), F.greatest(F.lit(0.50), score("c.below") / F.greatest(score("_max"), F.lit(0.01)) * 0.95))
+    out = rows.select("basket_id", "item_names", "text", "fill", *flags, F.posexplode("_top").alias("_at", "c"))
+    why = (F.when(F.col("c.item") >= 0, F.concat(F.lit("complement-to-"), F.get("item_names", F.col("c.item"))))
+           .when(F.col("c.word") >= 0, F.concat(F.lit("pairs-with-"), F.get(F.array(*[F.lit(w) for w in paired_words] or [F.lit("")]), F.col("c.word")))))
+    of_list = F.when(F.col("c.at") >= 0, F.get("text", F.col("c.at"))).otherwise(F.get("fill", -1 - F.col("c.at")))
+    score = lambda c: (F.col(c).cast("decimal(20,0)") * dec(F.lit("0.0000000001"))).cast(SCORE).cast("double")      # noqa: E731
+    conf = F.least(F.lit(0.95), F.greatest(F.lit(0.50), score("c.score") / F.greatest(score("c.most"), F.lit(0.01)) * 0.95))
+    out = out.select("basket_id", (F.col("_at") + 1).alias("rank"), of_list.alias("t"), (F.rint(conf * 100) / 100).alias("confidence"), why.alias("_why"), *flags)
+    out = out.select("basket_id", "rank", "t.product_id", "t.product_name", F.explode("t.prices").alias("p"), "t.category_id", "confidence",
+                     F.coalesce("_why", "t.reason").alias("reason"), *flags)
     flag = F.coalesce(F.array_contains("target_ids", F.col("category_id")), F.lit(False)) if flags else F.lit(False)
     title = F.when(flag, F.col("campaign_title")) if flags else F.lit(None).cast("string")
-    out = out.select("basket_id", (F.col("_at") + 1).alias("rank"), "c.product_id", "c.product_name", F.explode("c.prices").alias("p"),
-                     "c.category_id", (F.rint(conf * 100) / 100).alias("confidence"), F.coalesce(why, "c.reason").alias("reason"), *flags)
     return out.select("basket_id", "rank", "product_id", "product_name", "p.price", "category_id", "confidence", "reason",
                       flag.alias("has_campaign"), title.alias("campaign_title"))
 

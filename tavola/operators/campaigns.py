@@ -135,10 +135,19 @@ def in_priority_order(candidates: DataFrame, key: str = "context_id") -> DataFra
 
 
 def top_campaign(candidates: DataFrame, key: str = "context_id") -> DataFrame:
-    """C4: first campaign per context by (priority, list position)."""
-    fields = ("campaign_id", "title", "discount_percent", "target_categories", "priority_number")
-    best = candidates.groupBy(key).agg(F.min_by(F.struct(*fields), F.struct("priority_rank", "seq")).alias("c"))
-    return best.select(key, "c.*")
+    """C4: first campaign per context by (priority, list position).
+
+    The order and the campaign's place in the fixed rule tables are one number, so tasks keep
+    a number a context; what the tables say of the campaign is added to the result."""
+    rules = [*CONTEXT_CAMPAIGNS, *ALWAYS_ON_POOL]
+    place = F.try_element_at(F.create_map(*[F.lit(x) for i, c in enumerate(rules) for x in (c[0], i)]), F.col("campaign_id"))
+    order = (F.col("priority_rank").cast("long") * 10 ** 6 + F.col("seq")) * len(rules) + place
+    about = F.array(*[F.struct(
+        F.lit(c[0]).alias("campaign_id"), F.lit(c[1]).alias("title"), F.lit(c[2]).alias("discount_percent"),
+        F.array(*[F.lit(t) for t in c[3]]).cast("array<string>").alias("target_categories"),
+        F.lit(PRIORITY_NUMBER.get(c[4], 3)).alias("priority_number")) for c in rules])
+    best = candidates.select(key, order.alias("_order")).groupBy(key).agg(F.min("_order").alias("_order"))
+    return best.withColumn("c", F.get(about, (F.col("_order") % len(rules)).cast("int"))).select(key, "c.*")
 
 
 def active_campaign(log: DataFrame, key: str = "terminal_id") -> DataFrame:

@@ -58,20 +58,25 @@ def frequent_itemsets(basket_df: DataFrame, min_support: float) -> DataFrame:
     rows = reuse(basket_df.select(F.array_sort("items").alias("items")))    # read by every level
     n = rows.count()
     least = max(1, ceil(min_support * rows.where("items IS NOT NULL").count()))
-    single = rows.select(F.explode("items").alias("i1")).groupBy("i1").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= least)
-    frequent = [r.i1 for r in single.select("i1").collect()]
-    sets = rows.select(F.filter("items", lambda x: x.isin(frequent)).alias("_rest"))
-    level, found, names = None, [], []
-    while True:
-        if level is not None:
+    level = reuse(rows.select(F.explode("items").alias("i1")).where("i1 IS NOT NULL").groupBy("i1")
+                  .agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= least))
+    frequent = [r.i1 for r in level.select("i1").collect()]
+    found, more = [level.select(F.array("i1").alias("items"), "freq")], bool(frequent)
+
+    def longer(sets: DataFrame, names: list[str], name: str) -> DataFrame:
+        return sets.select(*names, "_rest", F.posexplode("_rest").alias("_at", name)).select(
+            *names, name, F.slice("_rest", F.col("_at") + 2, F.size("_rest")).alias("_rest"))
+
+    # of frequent items only, so the sets of one item need no look at their level
+    kept = reuse(rows.select(F.filter("items", lambda x: x.isin(frequent)).alias("_rest")).where(F.size("_rest") > 1))
+    sets, names = longer(kept, [], "i1"), ["i1"]
+    while more:
+        if len(names) > 1:
             sets = sets.join(level.drop("freq"), names, "left_semi")
-        names = [*names, f"i{len(names) + 1}"]
-        sets = sets.select(*names[:-1], "_rest", F.posexplode("_rest").alias("_at", names[-1])).select(
-            *names, F.slice("_rest", F.col("_at") + 2, F.size("_rest")).alias("_rest"))
+        sets, names = longer(sets, names, f"i{len(names) + 1}"), [*names, f"i{len(names) + 1}"]
         level = reuse(sets.groupBy(*names).agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= least))
         found.append(level.select(F.array(*names).alias("items"), "freq"))
-        if level.count() == 0:
-            break
+        more = level.count() > 0
     fi = (reduce(DataFrame.unionByName, found)
           .withColumn("support", F.col("freq") / F.lit(float(n)))
           .withColumn("length", F.size("items"))
@@ -79,7 +84,7 @@ def frequent_itemsets(basket_df: DataFrame, min_support: float) -> DataFrame:
     # The itemset table is referenced several times by the rule step; it is
     # bounded by min_support, so it is written once to the shared checkpoint
     # folder instead of counting again per reference.
-    return cut_lineage(fi)
+    return cut_lineage(fi.repartition("items"))
 
 
 def drop_too_frequent(itemsets: DataFrame, max_support: float) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tavola.functions import rules as RU
-from tavola.operators.basket_top import best_of_basket
+from tavola.operators.basket_top import ZoneTables, best_of_basket, zone_scores
 from tavola.operators.numbering import numbered
 from tavola.operators.text_match import contained
 from tavola.operators.score_lists import rank_in, zone_lists, zone_tables
@@ -190,44 +190,35 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
             if (r.keyword, r.pos) in {tuple(t) for t in z.targets} if r.target_name is not None else z.category_id == r.category_id:
                 per = pairing.setdefault(r.keyword, {})
                 per[z.zone_id] = per.get(z.zone_id, 0) + r.u
-    categories, paired_words = sorted(complement), sorted(pairing)
-    no_ids, no_codes = F.expr("CAST(array() AS array<string>)"), F.expr("CAST(array() AS array<int>)")
+    paired_words = sorted(pairing)
+    scores = lambda per: [per.get(z.zone_id) for z in fixed]               # noqa: E731
+    tables = ZoneTables([z.category_id for z in fixed], [z.zone_size for z in fixed],
+                        {k: scores(per) for k, per in complement.items()}, [scores(pairing[w]) for w in paired_words])
 
     def code(x: Column, of: list) -> Column:
-        """Place of a value in a list of the rule tables, -1 if it is not there."""
-        at = F.create_map(*[F.lit(v) for i, k in enumerate(of) for v in (k, i)]) if of else None
-        return F.lit(-1) if at is None else F.coalesce(F.try_element_at(at, x), F.lit(-1))
+        """Place of a text in a list of the rule tables."""
+        return F.try_element_at(F.create_map(*[F.lit(v) for i, k in enumerate(of) for v in (k, i)]), x) if of else F.lit(None).cast("int")
 
-    def by_zone(gains: dict, of: list) -> Column:
-        """Scores in each zone by code, null where there is none."""
-        rows = [F.array(*[F.lit(gains[k].get(z.zone_id)).cast("long") for z in fixed]) for k in of]
-        return F.array(*rows) if rows else F.expr("CAST(array() AS array<array<bigint>>)")
+    zone = code(F.col("zone_id"), [z.zone_id for z in fixed])
+    no_ids, no_codes = F.expr("CAST(array() AS array<string>)"), F.expr("CAST(array() AS array<int>)")
 
     # a row a basket
     in_zone = catalog.join(classes.select("category_id", "product_name", "zone_id"), ["category_id", "product_name"])
-    own_zones = in_zone.groupBy("product_id").agg(F.collect_list("zone_id").alias("own"))
-    paired = F.transform(F.filter(words(F.col("product_name")), lambda w: w.isin(*pairing)), lambda w: code(w, paired_words))
+    own_zones = in_zone.groupBy("product_id").agg(F.collect_list(zone).alias("own"))
+    paired = F.transform(F.filter(words(F.col("product_name")), lambda w: w.isin(*paired_words)), lambda w: code(w, paired_words))
     about = (products.select("product_id", F.col("product_name").alias("item_name"), F.col("category_id").alias("item_category"),
-                             code(F.col("category_id"), categories).alias("item_code"), F.coalesce(paired, no_codes).alias("paired"))
+                             F.coalesce(paired, no_codes).alias("paired"))
              .join(product_words(products, alias_pairs), "product_id", "left").join(own_zones, "product_id", "left")
-             .withColumns({c: F.coalesce(c, no_ids) for c in ("keys", "own")}))
-    item = F.struct("product_id", "item_name", "item_category", "item_code", "paired")
+             .withColumns({"keys": F.coalesce("keys", no_ids), "own": F.coalesce("own", no_codes)}))
+    item = F.struct("product_id", "item_name", "item_category", "paired", "keys", "own")
     carts = (baskets.select("basket_id", "product_id").distinct().join(about, "product_id").groupBy("basket_id")
-             .agg(F.sort_array(F.collect_list(item)).alias("items"), F.flatten(F.collect_list("own")).alias("own"),
-                  F.sort_array(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("words")).where(F.size("words") > 0)
-             .select("basket_id", F.md5(F.to_json("words")).alias("set_id"), "words", "own", F.col("items.product_id").alias("item_ids"),
+             .agg(F.sort_array(F.collect_list(item)).alias("items"))
+             .withColumn("words", F.sort_array(F.array_distinct(F.flatten("items.keys")))).where(F.size("words") > 0)
+             .select("basket_id", F.md5(F.array_join("words", "\n")).alias("set_id"), "words", F.col("items.product_id").alias("item_ids"),
                      F.col("items.item_name").alias("item_names"), F.col("items.item_category").alias("item_categories"),
-                     F.col("items.item_code").alias("item_codes"), F.flatten("items.paired").alias("word_codes")))
-    from_category = F.transform("item_codes", lambda c: F.get(by_zone(complement, categories), c))
-    from_word = F.transform("word_codes", lambda c: F.get(by_zone(pairing, paired_words), c))
-    gains = F.filter(F.concat(from_category, from_word), lambda g: g.isNotNull())
-    places = F.array(*[F.lit(z) for z in range(len(fixed))])
-    zone_ids = F.array(*[F.lit(z.zone_id) for z in fixed]) if fixed else no_ids
-    nothing = F.array(*[F.lit(None).cast("long")] * len(fixed)) if fixed else F.expr("CAST(array() AS array<bigint>)")
-    base = F.aggregate(gains, nothing, lambda total, g: F.zip_with(total, g, lambda a, b: F.when(b.isNull(), a).otherwise(
-        F.coalesce(a, F.lit(0).cast("long")) + b)))
-    n_own = F.transform(zone_ids, lambda z: F.size(F.filter("own", lambda o: o == z)))
-    scored = reuse(carts.select("*", base.alias("base"), n_own.alias("n_own")).drop("own"))
+                     F.flatten("items.paired").alias("word_codes"), F.flatten("items.own").alias("own")))
+    scored = carts.withColumn("_z", zone_scores(tables)(F.col("item_categories"), F.col("word_codes"), F.col("own")))
+    scored = reuse(scored.select("*", "_z.*").drop("_z", "own"))
     sets = scored.select("set_id", "words").distinct()
     scored = scored.drop("words")
 
@@ -243,30 +234,67 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
         F.sum("boost").cast(SCORE).alias("boost"), F.min("rule_key").alias("rule_key")))
 
     # the best products by set and zone; a basket's own items are left out of them later
-    wanted = (scored.select("set_id", F.explode(F.arrays_zip(zone_ids.alias("zone_id"), "n_own", "base")).alias("z"))
-              .groupBy("set_id", F.col("z.zone_id").alias("zone_id"))
-              .agg((F.lit(CATEGORY_CAP) + F.max("z.n_own")).cast("int").alias("m"), F.max(F.col("z.base").isNotNull()).alias("every")))
+    places = range(len(fixed))
+    at_most = [F.max(F.get("n_own", F.lit(k))).alias(f"n{k}") for k in places] + [F.max(F.get("base", F.lit(k)).isNotNull()).alias(f"e{k}") for k in places]
+    per_zone = [F.struct(F.lit(z.zone_id).alias("zone_id"), (F.lit(CATEGORY_CAP) + F.col(f"n{k}")).cast("int").alias("m"), F.col(f"e{k}").alias("every"))
+                for k, z in enumerate(fixed)] or [F.lit(None).cast("struct<zone_id:string,m:int,every:boolean>")]
+    wanted = (scored.groupBy("set_id").agg(F.count(F.lit(1)).alias("_n"), *at_most)
+              .select("set_id", F.explode(F.array(*per_zone)).alias("z")).select("set_id", "z.*").where("zone_id IS NOT NULL"))
     lists = zone_lists(boosts, wanted, catalog, classes)
     prices = catalog.groupBy("product_id").agg(F.collect_list(F.struct("price")).alias("prices"))
     by_rule = boosts.select("set_id", "product_name", F.concat(F.lit("apriori:"), "rule_key.tetikleyici").alias("reason"))
-    zone_of = F.create_map(*[F.lit(x) for k, z in enumerate(fixed) for x in (z.zone_id, k)]) if fixed else F.expr("CAST(map() AS map<string, int>)")
-    zone_of = F.try_element_at(zone_of, F.col("zone_id")).alias("z")
     # in the order of equal scores
     text = F.struct("product_id", "category_id", "z", "product_name", "reason", "prices").alias("text")
     candidate = F.struct(text, units(F.col("boost")).alias("u"), "reached")
     listed = (lists.join(by_rule, ["set_id", "product_name"], "left").join(zones.select("zone_id", "category_id"), "zone_id")
-              .join(prices, "product_id").withColumn("z", zone_of).groupBy("set_id").agg(F.sort_array(F.collect_list(candidate)).alias("list"))
+              .join(prices, "product_id").withColumn("z", zone).groupBy("set_id").agg(F.sort_array(F.collect_list(candidate)).alias("list"))
               .select("set_id", "list.text", "list.u", "list.reached", F.col("list.text.z").alias("z"), F.col("list.text.product_id").alias("ids")))
 
     # R3d: fill when fewer than `limit` products are scored
-    sizes = F.array(*[F.lit(z.zone_size) for z in fixed]) if fixed else F.expr("CAST(array() AS array<bigint>)")
-    n_zone = F.aggregate(places, F.lit(0).cast("long"), lambda n, z: n + F.when(F.get("base", z).isNull(), 0).otherwise(
-        F.get(sizes, z) - F.get("n_own", z)))
-    scored = scored.withColumn("n_zone", n_zone)
-    few = reuse(scored.where(F.col("n_zone") < limit))
+    of_text = listed.schema["text"].dataType
+    least = scored.agg(F.min("n_zone")).first()[0]
+    if least is None or least >= limit:
+        whole = scored.withColumn("fill", F.lit(None).cast(of_text))
+    else:
+        few = reuse(scored.where(F.col("n_zone") < limit))
+        fill = basket_fill(few, boosts, classes, in_zone, prices, [z.zone_id for z in fixed], limit, all_categories)
+        fill = fill.groupBy("basket_id").agg(F.sort_array(F.collect_list(text)).cast(of_text).alias("fill"))
+        whole = (scored.where(F.col("n_zone") >= limit).withColumn("fill", F.lit(None).cast(of_text))
+                 .unionByName(few.join(fill, "basket_id", "left")))
+    whole = whole.select("basket_id", "set_id", "item_ids", "item_names", "item_categories", "word_codes", "fill")
+    if campaigns is not None:
+        whole = whole.join(campaigns, "basket_id", "left")
+
+    # what the basket's own items leave, R3e, R3f
+    ranked = best_of_basket(tables, meal_categories, all_categories, CATEGORY_CAP, limit, FILL_UNITS)
+    whole = whole.join(listed, "set_id", "left")
+    # an empty list, not null: Spark's Arrow writer goes over all nulls of a list column again with each row of a batch
+    lists_of = {c: F.coalesce(F.col(c), F.array().cast(whole.select(c).schema[0].dataType))
+                for c in ("ids", "z", "u", "reached", "fill.product_id", "fill.category_id")}
+    top = ranked(F.col("item_ids"), F.col("item_categories"), F.col("word_codes"), *lists_of.values())
+    rows = whole.withColumn("_top", top)
+    flags = ["target_ids", "campaign_title"] if campaigns is not None else []
+    out = rows.select("basket_id", "item_names", "text", "fill", *flags, F.posexplode("_top").alias("_at", "c"))
+    why = (F.when(F.col("c.item") >= 0, F.concat(F.lit("complement-to-"), F.get("item_names", F.col("c.item"))))
+           .when(F.col("c.word") >= 0, F.concat(F.lit("pairs-with-"), F.get(F.array(*[F.lit(w) for w in paired_words] or [F.lit("")]), F.col("c.word")))))
+    of_list = F.when(F.col("c.at") >= 0, F.get("text", F.col("c.at"))).otherwise(F.get("fill", -1 - F.col("c.at")))
+    out = out.select("basket_id", (F.col("_at") + 1).alias("rank"), of_list.alias("t"), "c.confidence", why.alias("_why"), *flags)
+    out = out.select("basket_id", "rank", "t.product_id", "t.product_name", F.explode("t.prices").alias("p"), "t.category_id", "confidence",
+                     F.coalesce("_why", "t.reason").alias("reason"), *flags)
+    flag = F.coalesce(F.array_contains("target_ids", F.col("category_id")), F.lit(False)) if flags else F.lit(False)
+    title = F.when(flag, F.col("campaign_title")) if flags else F.lit(None).cast("string")
+    return out.select("basket_id", "rank", "product_id", "product_name", "p.price", "category_id", "confidence", "reason",
+                      flag.alias("has_campaign"), title.alias("campaign_title"))
+
+
+def basket_fill(few: DataFrame, boosts: DataFrame, classes: DataFrame, in_zone: DataFrame, prices: DataFrame,
+                zone_ids: list[str], limit: int, all_categories) -> DataFrame:
+    """R3d: (basket_id, category_id, product_id, product_name, z, reason, prices): the first products of
+    the categories that a basket lacks, for those of ``few`` whose scored products are fewer than ``limit``."""
     cart = few.select("basket_id", F.explode(F.arrays_zip("item_ids", "item_categories")).alias("x")).select(
         "basket_id", F.col("x.item_ids").alias("product_id"), F.col("x.item_categories").alias("category_id"))
-    in_base = (few.select("basket_id", F.explode(F.arrays_zip(zone_ids.alias("zone_id"), "base")).alias("z"))
+    ids = F.array(*[F.lit(z) for z in zone_ids]).cast("array<string>").alias("zone_id")
+    in_base = (few.select("basket_id", F.explode(F.arrays_zip(ids, "base")).alias("z"))
                .where("z.base IS NOT NULL").select("basket_id", "z.zone_id"))
     few_sets = few.select("basket_id", "set_id", "n_zone")
     more = (few_sets.join(boosts.select("set_id", "product_name"), "set_id").join(classes, "product_name")
@@ -280,38 +308,11 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
              .where(F.col("n_zone") + F.coalesce("n_reached", F.lit(0)) - F.coalesce("n_taken", F.lit(0)) < limit)
              .select("basket_id", "set_id"))
     first = rank_in(in_zone.drop("price"), ["category_id"], ["product_id"], "_nth", CATEGORY_CAP + limit)
-    fill = (needs.withColumn("category_id", F.explode(F.array(*[F.lit(c) for c in all_categories])))
+    return (needs.withColumn("category_id", F.explode(F.array(*[F.lit(c) for c in all_categories])))
             .join(cart.select("basket_id", "category_id"), ["basket_id", "category_id"], "left_anti").join(first, "category_id")
             .join(in_base, ["basket_id", "zone_id"], "left_anti")
             .join(boosts.select("set_id", "product_name"), ["set_id", "product_name"], "left_anti").join(prices, "product_id")
-            .withColumns({"z": F.lit(-1), "reason": F.lit("popular-fill"), "category_id": F.col("category_id").cast(zones.schema["category_id"].dataType)})
-            .groupBy("basket_id").agg(F.sort_array(F.collect_list(text)).alias("fill")))
-    enough = scored.where(F.col("n_zone") >= limit).withColumn("fill", F.lit(None).cast(fill.schema["fill"].dataType))
-    whole = enough.unionByName(few.join(fill, "basket_id", "left"))
-    if campaigns is not None:
-        whole = whole.join(campaigns, "basket_id", "left")
-
-    # what the basket's own items leave, R3e, R3f
-    ranked = best_of_basket([z.category_id for z in fixed], [[complement[k].get(z.zone_id) for z in fixed] for k in categories],
-                            [[pairing[k].get(z.zone_id) for z in fixed] for k in paired_words], meal_categories, all_categories,
-                            CATEGORY_CAP, limit, FILL_UNITS)
-    top = ranked(*[F.col(c) for c in ("base", "item_ids", "item_categories", "item_codes", "word_codes", "ids", "z", "u", "reached",
-                                      "fill.product_id", "fill.category_id")])
-    rows = whole.join(listed, "set_id", "left").withColumn("_top", top)
-    flags = ["target_ids", "campaign_title"] if campaigns is not None else []
-    out = rows.select("basket_id", "item_names", "text", "fill", *flags, F.posexplode("_top").alias("_at", "c"))
-    why = (F.when(F.col("c.item") >= 0, F.concat(F.lit("complement-to-"), F.get("item_names", F.col("c.item"))))
-           .when(F.col("c.word") >= 0, F.concat(F.lit("pairs-with-"), F.get(F.array(*[F.lit(w) for w in paired_words] or [F.lit("")]), F.col("c.word")))))
-    of_list = F.when(F.col("c.at") >= 0, F.get("text", F.col("c.at"))).otherwise(F.get("fill", -1 - F.col("c.at")))
-    score = lambda c: (F.col(c).cast("decimal(20,0)") * dec(F.lit("0.0000000001"))).cast(SCORE).cast("double")      # noqa: E731
-    conf = F.least(F.lit(0.95), F.greatest(F.lit(0.50), score("c.score") / F.greatest(score("c.most"), F.lit(0.01)) * 0.95))
-    out = out.select("basket_id", (F.col("_at") + 1).alias("rank"), of_list.alias("t"), (F.rint(conf * 100) / 100).alias("confidence"), why.alias("_why"), *flags)
-    out = out.select("basket_id", "rank", "t.product_id", "t.product_name", F.explode("t.prices").alias("p"), "t.category_id", "confidence",
-                     F.coalesce("_why", "t.reason").alias("reason"), *flags)
-    flag = F.coalesce(F.array_contains("target_ids", F.col("category_id")), F.lit(False)) if flags else F.lit(False)
-    title = F.when(flag, F.col("campaign_title")) if flags else F.lit(None).cast("string")
-    return out.select("basket_id", "rank", "product_id", "product_name", "p.price", "category_id", "confidence", "reason",
-                      flag.alias("has_campaign"), title.alias("campaign_title"))
+            .withColumns({"z": F.lit(-1), "reason": F.lit("popular-fill")}))
 
 
 def rule_name_matches(rules: DataFrame, names: DataFrame) -> DataFrame:

@@ -54,6 +54,7 @@ def zone_lists(boosts: DataFrame, wanted: DataFrame, catalog: DataFrame, classes
 
     ``boosts``: (set_id, product_name, boost > 0), the names reached by a set.  Without
     ``every`` only products of reached names count."""
+    wanted = cut_lineage(wanted)
     most = wanted.agg(F.max("m")).first()[0]
     name_key = ["category_id", "product_name"]
     products = rank_in(catalog.select("product_id", *name_key), name_key, ["product_id"], "_in_class", most)
@@ -67,7 +68,7 @@ def zone_lists(boosts: DataFrame, wanted: DataFrame, catalog: DataFrame, classes
         return (rows.join(products, name_key).where("_in_class <= m")
                 .select(*of_pair, "m", "every", "product_id", "product_name", "boost"))
 
-    pending, looked, done, short = cut_lineage(wanted), FIRST_NAMES, [], None
+    pending, looked, done, short = wanted, FIRST_NAMES, [], None
     while True:
         seen = names.where(F.col("_rank") <= looked).select("set_id", "product_name", "boost")
         bound = names.where(F.col("_rank") == looked + 1).select("set_id", F.col("boost").alias("_bound"))

@@ -120,18 +120,21 @@ def test_best_of_basket_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(BT, "CANDIDATES", 40)
     rnd = random.Random(9)
     zone_category, meals, every = [1, 3, 3, 7, None], (3, 4), (1, 2, 3, 7, 8)
-    gives = [[5, None, None, 7, None], [None, 5, 5, None, None]]
+    gives = {1: [5, None, None, 7, None], 7: [None, 5, 5, None, None]}
     pairs = [[None, None, 9, None, None], [3, None, None, None, None]]
     rows = []
     for b in range(200):
         items = [(i, rnd.choice([1, 3, 4, 7, 99, None])) for i in sorted(rnd.randrange(40) for _ in range(rnd.randint(0, 6)))]
-        base = [rnd.choice([None, rnd.randrange(60)]) for _ in zone_category]
         lst = sorted((i, rnd.randrange(4), rnd.choice([0, 0, 15, rnd.randrange(90)])) for i in (rnd.randrange(40) for _ in range(rnd.randint(0, 14))))
         fill = sorted((100 + rnd.randrange(9), rnd.choice(every)) for _ in range(rnd.choice([0, 0, 5])))
-        codes, words = [rnd.choice([-1, 0, 1]) for _ in items], [rnd.randrange(2) for _ in range(rnd.randint(0, 3))]
-        rows.append((b, base, items, codes, words, lst if b % 7 else None, fill if b % 3 else None))
+        words = [rnd.randrange(2) for _ in range(rnd.randint(0, 3))]
+        rows.append((b, items, words, lst if b % 7 else None, fill if b % 3 else None))
 
-    def expected(base, items, codes, words, lst, fill):
+    def zones_of(items, words):
+        return [[x for x in [gives.get(c, [None] * 5)[z] for _, c in items] + [pairs[w][z] for w in words] if x is not None] for z in range(5)]
+
+    def expected(items, words, lst, fill):
+        base = [sum(x) if x else None for x in zones_of(items, words)]
         own, cats = {i for i, _ in items}, {c for _, c in items}
         offered = [(-1 - k, -1, c, i, 15, True) for k, (i, c) in enumerate(fill or [])]
         offered += [(k, z, zone_category[z], i, u, u > 0) for k, (i, z, u) in enumerate(lst or [])]
@@ -140,22 +143,31 @@ def test_best_of_basket_equals_brute_force(spark, monkeypatch):
             if i in own or not (hit or z >= 0 and base[z] is not None):
                 continue
             percent = 10 if c in meals and c in cats else 25 if c in meals and cats & set(meals) else 100
-            score = (((base[z] or 0) if z >= 0 else 0) + u) * percent + 50
-            item = next((k for k, x in enumerate(codes) if z >= 0 and x >= 0 and gives[x][z] is not None), -1)
+            score = ((base[z] or 0) if z >= 0 else 0) + u
+            item = next((k for k, (_, x) in enumerate(items) if z >= 0 and gives.get(x, [None] * 5)[z] is not None), -1)
             word = next((x for x in words if z >= 0 and pairs[x][z] is not None), -1)
-            scored.append((-(score // 100), i, at >= 0, at if at >= 0 else -at, c, at, item, word))
+            scored.append((-((score * 10 ** 8 * percent + 50) // 100), i, at >= 0, at if at >= 0 else -at, c, at, item, word))
         best, n = [], Counter()
         for s in sorted(scored):
             n[s[4]] += 1
             if n[s[4]] <= 2 and len(best) < 6:
                 best.append(s)
-        return [(s[5], s[6], s[7], -s[0], -best[0][0]) for s in best]
-
-    df = spark.createDataFrame([(b, base, [i for i, _ in items], [c for _, c in items], codes, words, *([[x[k] for x in lst] for k in range(3)] if lst is not None else [None] * 3),
-                                 [x[2] > 0 for x in lst] if lst is not None else None, *([[x[k] for x in fill] for k in range(2)] if fill is not None else [None] * 2))
-                                for b, base, items, codes, words, lst, fill in rows],
-                               "b int, base array<bigint>, i array<bigint>, c array<int>, ic array<int>, wc array<int>, ids array<bigint>, z array<int>, u array<bigint>, "
-                               "hit array<boolean>, fi array<bigint>, fc array<int>").repartition(3)
-    top = BT.best_of_basket(zone_category, gives, pairs, meals, every, 2, 6, 15)
-    got = {r.b: [tuple(x) for x in r.top] for r in df.select("b", top(*df.columns[1:]).alias("top")).collect()}
+        conf = [min(0.95, max(0.5, -s[0] / 1e10 / max(-best[0][0] / 1e10, 0.01) * 0.95)) for s in best]
+        return [(s[5], s[6], s[7], round(c * 100) / 100) for s, c in zip(best, conf, strict=True)]
+
+    df = spark.createDataFrame([(b, [i for i, _ in items], [c for _, c in items], words, *([[x[k] for x in lst] for k in range(2)] if lst is not None else [None] * 2),
+                                 [x[2] * 10 ** 8 for x in lst] if lst is not None else None, [x[2] > 0 for x in lst] if lst is not None else None,
+                                 *([[x[k] for x in fill] for k in range(2)] if fill is not None else [None] * 2), [i % 5 for i, _ in items])
+                                for b, items, words, lst, fill in rows],
+                               "b int, i array<bigint>, c array<int>, w array<int>, ids array<bigint>, z array<int>, u array<bigint>, "
+                               "hit array<boolean>, fi array<bigint>, fc array<int>, own array<int>").repartition(3)
+    scaled = BT.ZoneTables(zone_category, [9, 8, 7, 6, 5], {k: [x and x * 10 ** 8 for x in v] for k, v in gives.items()}, [[x and x * 10 ** 8 for x in v] for v in pairs])
+    top = BT.best_of_basket(scaled, meals, every, 2, 6, 15 * 10 ** 8)
+    z = BT.zone_scores(scaled)
+    made = {r.b: r for r in df.select("b", top(*df.columns[1:-1]).alias("top"), z(F.col("c"), F.col("w"), F.col("own")).alias("z")).collect()}
+    for b, items, words, _, _ in rows:
+        per, own = zones_of(items, words), [sum(i % 5 == k for i, _ in items) for k in range(5)]
+        assert made[b].z.base == [sum(x) * 10 ** 8 if x else None for x in per] and made[b].z.n_own == own
+        assert made[b].z.n_zone == sum(n - o for n, o, x in zip([9, 8, 7, 6, 5], own, per, strict=True) if x)
+    got = {b: [tuple(x) for x in r.top] for b, r in made.items()}
     assert got == {b: expected(*x) for b, *x in rows} and sum(map(len, got.values())) > 400

@@ -200,7 +200,7 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
         return F.try_element_at(F.create_map(*[F.lit(v) for i, k in enumerate(of) for v in (k, i)]), x) if of else F.lit(None).cast("int")
 
     zone = code(F.col("zone_id"), [z.zone_id for z in fixed])
-    no_ids, no_codes = F.expr("CAST(array() AS array<string>)"), F.expr("CAST(array() AS array<int>)")
+    no_codes = F.expr("CAST(array() AS array<int>)")
 
     # a row a basket
     in_zone = catalog.join(classes.select("category_id", "product_name", "zone_id"), ["category_id", "product_name"])
@@ -208,15 +208,19 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
     paired = F.transform(F.filter(words(F.col("product_name")), lambda w: w.isin(*paired_words)), lambda w: code(w, paired_words))
     about = (products.select("product_id", F.col("product_name").alias("item_name"), F.col("category_id").alias("item_category"),
                              F.coalesce(paired, no_codes).alias("paired"))
-             .join(product_words(products, alias_pairs), "product_id", "left").join(own_zones, "product_id", "left")
-             .withColumns({"keys": F.coalesce("keys", no_ids), "own": F.coalesce("own", no_codes)}))
+             .join(product_words(products, alias_pairs).withColumn("keys", F.array_join("keys", "\n")), "product_id", "left")
+             .join(own_zones, "product_id", "left").withColumn("own", F.coalesce("own", no_codes)))
     item = F.struct("product_id", "item_name", "item_category", "paired", "keys", "own")
     carts = (baskets.select("basket_id", "product_id").distinct().join(about, "product_id").groupBy("basket_id")
              .agg(F.sort_array(F.collect_list(item)).alias("items"))
-             .withColumn("words", F.sort_array(F.array_distinct(F.flatten("items.keys")))).where(F.size("words") > 0)
+             .withColumn("words", F.array_join("items.keys", "\n")).where("words <> ''")       # no word holds a line break
+             .withColumn("words", F.sort_array(F.array_distinct(F.split("words", "\n"))))
              .select("basket_id", F.md5(F.array_join("words", "\n")).alias("set_id"), "words", F.col("items.product_id").alias("item_ids"),
                      F.col("items.item_name").alias("item_names"), F.col("items.item_category").alias("item_categories"),
                      F.flatten("items.paired").alias("word_codes"), F.flatten("items.own").alias("own")))
+    flags = [] if campaigns is None else ["target_ids", "campaign_title"]
+    if flags:           # here, where the baskets lie by their id
+        carts = carts.join(campaigns.select("basket_id", *flags), "basket_id", "left")
     scored = carts.withColumn("_z", zone_scores(tables)(F.col("item_categories"), F.col("word_codes"), F.col("own")))
     scored = reuse(scored.select("*", "_z.*").drop("_z", "own"))
     sets = scored.select("set_id", "words").distinct()
@@ -261,9 +265,7 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
         fill = fill.groupBy("basket_id").agg(F.sort_array(F.collect_list(text)).cast(of_text).alias("fill"))
         whole = (scored.where(F.col("n_zone") >= limit).withColumn("fill", F.lit(None).cast(of_text))
                  .unionByName(few.join(fill, "basket_id", "left")))
-    whole = whole.select("basket_id", "set_id", "item_ids", "item_names", "item_categories", "word_codes", "fill")
-    if campaigns is not None:
-        whole = whole.join(campaigns, "basket_id", "left")
+    whole = whole.select("basket_id", "set_id", "item_ids", "item_names", "item_categories", "word_codes", "fill", *flags)
 
     # what the basket's own items leave, R3e, R3f
     ranked = best_of_basket(tables, meal_categories, all_categories, CATEGORY_CAP, limit, FILL_UNITS)
@@ -273,7 +275,6 @@ def smart_basket(baskets: DataFrame, products: DataFrame, complements: DataFrame
                 for c in ("ids", "z", "u", "reached", "fill.product_id", "fill.category_id")}
     top = ranked(F.col("item_ids"), F.col("item_categories"), F.col("word_codes"), *lists_of.values())
     rows = whole.withColumn("_top", top)
-    flags = ["target_ids", "campaign_title"] if campaigns is not None else []
     out = rows.select("basket_id", "item_names", "text", "fill", *flags, F.posexplode("_top").alias("_at", "c"))
     why = (F.when(F.col("c.item") >= 0, F.concat(F.lit("complement-to-"), F.get("item_names", F.col("c.item"))))
            .when(F.col("c.word") >= 0, F.concat(F.lit("pairs-with-"), F.get(F.array(*[F.lit(w) for w in paired_words] or [F.lit("")]), F.col("c.word")))))
